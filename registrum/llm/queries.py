@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import blocks, impact, pieces, ppm, rule_ensemble, trie, url_rules
+from . import blocks, impact, pieces, ppm, rule_ensemble, spaced_seeds, trie, url_rules
 from .common import table
 
 
@@ -27,6 +27,10 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judged(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spaced_seeds.found(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"), tokenizer())
 
@@ -48,7 +52,7 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_url_filters, op4_pieces, op5_token_counts, op7_quality, op9_top_k, op10_main_text)}
+    return {f.__name__: f for f in (op1_language_id, op2_url_filters, op3_decontamination, op4_pieces, op5_token_counts, op7_quality, op9_top_k, op10_main_text)}
 
 
 #: DuckDB twin of op9; the other operators' results can't be written in SQL, or not at a bearable cost.
