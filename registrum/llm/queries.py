@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import blocks, impact, pieces, ppm, rule_ensemble, spaced_seeds, trie, url_rules
+from . import blocks, impact, minhash, pieces, ppm, rule_ensemble, spaced_seeds, trie, url_rules
 from .common import table
 
 
@@ -39,6 +39,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.counted(table(spark, sf_dir, "documents"), trie.Unigram.ranked(tokenizer()))
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.linked(table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_ensemble.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -52,7 +56,7 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_url_filters, op3_decontamination, op4_pieces, op5_token_counts, op7_quality, op9_top_k, op10_main_text)}
+    return {f.__name__: f for f in (op1_language_id, op2_url_filters, op3_decontamination, op4_pieces, op5_token_counts, op6_near_duplicates, op7_quality, op9_top_k, op10_main_text)}
 
 
 #: DuckDB twin of op9; the other operators' results can't be written in SQL, or not at a bearable cost.
