@@ -78,14 +78,16 @@ def appended(df: DataFrame, function, columns: str) -> DataFrame:
     added = spark.createDataFrame([], columns).schema
     names = [f.name.lower() for f in added]
     df = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in names])
-    schema = StructType([*df.schema.fields, *added.fields])
+    old = df.columns
+    plain = df.toDF(*[f"c{k}" for k in range(len(old))])  # mapInArrow takes no names with dots
+    schema = StructType([*plain.schema.fields, *added.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            new = function(batch)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, *names])
+            new = function(batch.rename_columns(old))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], schema.names)
 
-    return df.mapInArrow(run, schema)
+    return plain.mapInArrow(run, schema).toDF(*old, *added.names)
 
 
 _SPACE = np.zeros(256, bool)

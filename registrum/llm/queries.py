@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import blocks, impact, minhash, pieces, ppm, rule_ensemble, spaced_seeds, trie, url_rules
+from . import blocks, impact, minhash, pieces, ppm, repeats, rule_ensemble, spaced_seeds, trie, url_rules
 from .common import table
 
 
@@ -47,6 +47,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_ensemble.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(table(spark, sf_dir, "documents"))
+
+
 def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return impact.searched(table(spark, sf_dir, "embeddings"))
 
@@ -56,7 +60,7 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_url_filters, op3_decontamination, op4_pieces, op5_token_counts, op6_near_duplicates, op7_quality, op9_top_k, op10_main_text)}
+    return {f.__name__: f for f in (op1_language_id, op2_url_filters, op3_decontamination, op4_pieces, op5_token_counts, op6_near_duplicates, op7_quality, op8_repeats, op9_top_k, op10_main_text)}
 
 
 #: DuckDB twin of op9; the other operators' results can't be written in SQL, or not at a bearable cost.
