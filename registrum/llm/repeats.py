@@ -29,7 +29,7 @@ from .common import groups, mixed, prefix_hash, staged, utf8
 from .run_index import RunIndex
 
 #: Bytes of a repeated string and of an anchor; different segments of an anchor that go into one bucket; bytes of a bucket.
-LENGTH, SEED, HOT, BUCKET = 100, 32, 4096, 1 << 20
+LENGTH, SEED, HOT, BUCKET = 100, 32, 4096, 1 << 18
 
 _DUP = np.uint64(128)
 

@@ -47,7 +47,7 @@ class RunIndex:
         for k in range(depth):
             key[: max(0, n - k)] |= symbol[k:] << (bits * (depth - 1 - k))
         while True:
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             new = np.concatenate([[0], (key[order][1:] != key[order][:-1]).cumsum()])
             if new[-1] == n - 1:
                 return order
