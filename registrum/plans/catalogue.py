@@ -1,9 +1,35 @@
-"""Registered queries of the engine over the provided tables, each with its SQL twin."""
+"""Registered queries: the engine's operators over the provided tables, each with its DuckDB twin.
+
+The tables stand in for registries: customers, suppliers and parts are entities, orders and line items are dated money.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from registrum.functions import text as T
+from registrum.operators import bars, graph, linkage, money, resolve, rules, scoring, serve
+from registrum.session import table
+from registrum.sources import readers
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+TODAY = "2000-12-31"
+
+
+def query(sql: str | None):
+    """Registers a function of t, where t(name) is a provided table."""
+
+    def add(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: table(spark, sf_dir, name))
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
 
 
 def queries() -> dict:
@@ -12,3 +38,444 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     return ORACLES
+
+
+# Adapters -------------------------------------------------------------------------------------------------------------------------
+
+
+def yearly(t) -> DataFrame:
+    return t("orders").groupBy(F.col("o_custkey").alias("uid"), F.year("o_orderdate").alias("period")).agg(F.round(F.sum("o_totalprice"), 2).alias("amount"))
+
+
+YEARLY = "yearly as (select o_custkey as uid, cast(year(o_orderdate) as integer) as period, round(sum(o_totalprice), 2) as amount from orders group by 1, 2)"
+
+
+def shipped(t) -> DataFrame:
+    return t("lineitem").select(F.col("l_suppkey").alias("uid"), F.col("l_returnflag").alias("program"), F.year("l_shipdate").alias("period"), (F.col("l_extendedprice").cast("decimal(12,2)") * (1 - F.col("l_discount").cast("decimal(4,2)"))).alias("amount"))
+
+
+SHIPPED = "shipped as (select l_suppkey as uid, l_returnflag as program, cast(year(l_shipdate) as integer) as period, cast(l_extendedprice as decimal(12,2)) * (1 - cast(l_discount as decimal(4,2))) as amount from lineitem)"
+DOMINANT = f"""{SHIPPED}, per as (select uid, program, cast(round(sum(amount), 2) as double) as amount from shipped group by 1, 2),
+dominant as (select uid, program, amount, round(sum(amount) over (partition by uid), 2) as total, row_number() over (partition by uid order by amount desc, program) as turn from per)"""
+
+
+def people(t) -> DataFrame:
+    """Customers as entities with statuses, dates and contacts made of their keys."""
+    k = F.col("c_custkey")
+    rows = t("customer").select(
+        k.alias("id"), F.col("c_name").alias("name"), F.when(k % 3 == 0, "Closed").otherwise("Active").alias("state_of"), F.concat(F.when(k % 7 == 0, "PO Box ").when(k % 11 == 0, "PMB 12, ").otherwise(""), k.cast("string"), F.lit(" Main Street")).alias("street"),
+        F.col("c_acctbal").cast("string").alias("money"), F.when(k % 4 == 0, "01/15/1999").otherwise("2005-06-30").alias("licenseexpirationdate"), F.when(k % 5 == 0, "").otherwise(F.concat(F.lit("A@"), (k % 50).cast("string"))).alias("primarycontactemail"),
+        F.when(k % 10 == 0, "1").otherwise(F.concat(F.lit("(206) 555-"), F.lpad((k % 1000).cast("string"), 4, "0"))).alias("primarycontactphonenumber"), F.when(k % 6 != 0, (k % 90).cast("string")).alias("licensecapacity"),
+        F.element_at(F.array(*map(F.lit, ["Revoked", "Suspended", "Surrendered", "Active with conditions", "Active", "Expired", "Active", "Active", "Active"])), (k % 9 + 1).cast("int")).alias("status"), F.when(k % 13 == 0, "Yes").when(k % 17 == 0, "Pending").otherwise("No").alias("actiontaken"),
+    )
+    return readers.entities(rows, "customer", {"source_id": "id", "name": "name", "status": "state_of", "address": "street", "amount": "money"})
+
+
+@query(
+    f"""with {YEARLY}, steps as (
+      select *, lag(amount) over w as prev, lag(amount, 2) over w as before, lead(period) over w as next from yearly window w as (partition by uid order by period)),
+    tests as (select *, coalesce(bool_and(before >= prev) over (partition by uid order by period), false) as falling from steps)
+    select uid, period, amount, prev, round(amount / prev, 4) as ratio from tests
+    where next is null and prev > 0 and amount / prev >= 2 and amount >= 25000 and amount - prev >= 10000 and not falling"""
+)
+def billing_spike(t):
+    return money.spikes(yearly(t))
+
+
+@query(
+    """with e as (select 'customer:' || c_custkey as uid, c_name as name from customer union all select 'supplier:' || s_suppkey, s_name from supplier union all select 'part:' || p_partkey, p_name from part)
+    select uid, name, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(upper(name), '\\.', '', 'g'), '[^A-Z0-9 ]', ' ', 'g'), '^\\s*THE ', ''), ' +', ' ', 'g')) as name_key from e"""
+)
+def entity_normalize(t):
+    made = [readers.entities(t(n).select(F.col(f"{p}_{k}").alias("id"), F.col(f"{p}_name").alias("name")), n, {"source_id": "id", "name": "name"}) for n, p, k in (("customer", "c", "custkey"), ("supplier", "s", "suppkey"), ("part", "p", "partkey"))]
+    return rules.union(*made).select("uid", "name", T.name_key(F.col("name")).alias("name_key"))
+
+
+@query(f"with {SHIPPED} select uid, program, period, cast(round(sum(amount), 2) as double) as amount from shipped group by 1, 2, 3")
+def payments_rollup(t):
+    return money.rollup(shipped(t))
+
+
+@query(f"with {DOMINANT} select uid, program, amount, total from dominant where turn = 1")
+def dominant_program(t):
+    return money.dominant_program(shipped(t))
+
+
+@query(
+    f"""with {DOMINANT}, d as (select * from dominant where turn = 1), ranked as (select program, total, row_number() over (partition by program order by total) - 1 as r, count(*) over (partition by program) as n from d),
+    cut as (select program, total as at_rank from ranked where r = round_even(0.95 * (n - 1), 0)) select uid, program, total, at_rank from d join cut using (program) where total >= at_rank and total >= 100000"""
+)
+def payment_outlier(t):
+    return money.outliers(money.dominant_program(shipped(t))).select("uid", "program", "total", "at_rank")
+
+
+@query(
+    f"""with {YEARLY}, s as (select *, lag(amount) over w as prev, lead(period) over w as next from yearly window w as (partition by uid order by period))
+    select uid, period, amount, prev, round(amount - prev, 2) as rise from s where next is null and prev > 10000 and amount >= 100000 and amount / prev >= 1.6 order by rise desc, uid limit 12"""
+)
+def movers_top12(t):
+    return money.movers(yearly(t))
+
+
+@query(f"with {YEARLY} select uid, array_to_string(list(period order by period), ',') as periods, round(sum(amount), 2) as total from yearly group by 1")
+def spark_series(t):
+    s = money.series(yearly(t))
+    return s.select("uid", F.array_join(F.transform("periods", lambda y: y.cast("string")), ",").alias("periods"), F.round(F.aggregate("amounts", F.lit(0.0), lambda a, x: a + x), 2).alias("total"))
+
+
+@query(f"with {YEARLY} select uid, min(period) as first, max(period) as last, count(distinct period) as years from yearly group by 1 having max(period) - min(period) + 1 = count(distinct period) and count(distinct period) >= 3")
+def contiguous_years(t):
+    return money.contiguous(yearly(t))
+
+
+@query("with m as (select event_type, avg(value) as mean, stddev_pop(value) as sigma, count(value) as n from events group by 1) select event_id as uid, event_type as kind, value from events join m using (event_type) where n >= 20 and value > mean + 3 * sigma")
+def capacity_outlier(t):
+    return rules.capacity_outliers(t("events").select(F.col("event_id").alias("uid"), F.col("event_type").alias("kind"), "value")).select("uid", "kind", "value")
+
+
+@query(f"with c as (select quantile_cont(o_totalprice, 0.9) as cut from orders where o_totalprice > 0) select o_orderkey as uid, o_totalprice as value from orders, c where date_diff('day', cast(o_orderdate as date), date '{TODAY}') between 0 and 365 and o_totalprice >= cut")
+def recent_high_capacity(t):
+    rows = t("orders").select(F.col("o_orderkey").alias("uid"), F.col("o_orderdate").cast("date").alias("date"), F.col("o_totalprice").alias("value"))
+    return rules.recent_large(rows, TODAY).select("uid", "value")
+
+
+@query("select l_suppkey, l_quantity, l_discount, l_tax, count(distinct l_orderkey) as n from lineitem group by all having count(distinct l_orderkey) >= 2")
+def duplicate_amount(t):
+    return rules.duplicate_values(t("lineitem").withColumn("uid", F.col("l_orderkey")), ["l_suppkey", "l_quantity", "l_discount", "l_tax"])
+
+
+@query("select p_partkey, p_retailprice from part where p_retailprice >= 100 and p_retailprice % 10 = 0")
+def round_amount(t):
+    return t("part").where((F.col("p_retailprice") >= 100) & (F.col("p_retailprice") % 10 == 0)).select("p_partkey", "p_retailprice")
+
+
+PART_KEY = "p_brand || '|' || p_size || '|' || p_type"
+
+
+@query(f"with r as (select p_partkey as uid, {PART_KEY} as key, p_name as brand from part), s as (select key, count(distinct uid) as members, count(distinct brand) as brands from r group by 1) select uid, key, members, brands from r join s using (key) where members between 2 and 8 and brands >= 2")
+def shared_key_cluster(t):
+    return rules.shared_key(t("part").select(F.col("p_partkey").alias("uid"), F.concat_ws("|", "p_brand", "p_size", "p_type").alias("key"), F.col("p_name").alias("brand")))
+
+
+@query("with p as (select p_brand as cluster, split_part(p_name, ' ', 1) as root, count(*) as n from part group by 1, 2), r as (select *, sum(n) over (partition by cluster) as total, row_number() over (partition by cluster order by n desc, ascii(root), root desc) as turn from p) select cluster, root, n, cast(total as bigint) as total from r where turn = 1 and n / total >= 0.1")
+def majority_root(t):
+    return rules.majority_root(t("part").select(F.col("p_brand").alias("cluster"), F.col("p_name").alias("name")), 0.1)
+
+
+@query("with p as (select o_custkey as uid, o_orderpriority as code, round(sum(o_totalprice), 2) as amount from orders group by 1, 2), r as (select *, round(sum(amount) over (partition by uid), 2) as total0, row_number() over (partition by uid order by amount desc, code) as turn from p), w as (select o_custkey as uid, round(sum(o_totalprice), 2) as total from orders group by 1) select uid, code, amount, total, round(amount / total, 4) as share from r join w using (uid) where turn = 1 and round(amount / total, 4) >= 0.5 and total >= 50000")
+def single_code_dominance(t):
+    return money.dominance(t("orders").select(F.col("o_custkey").alias("uid"), F.col("o_orderpriority").alias("code"), F.col("o_totalprice").alias("amount")), 0.5)
+
+
+@query("with p as (select l_suppkey as uid, l_partkey as code, round(sum(l_extendedprice), 2) as amount from lineitem group by 1, 2) select uid, code, amount, cast(row_number() over (partition by uid order by amount desc, code) as integer) as rank from p qualify rank <= 5")
+def top5_codes(t):
+    return money.top_codes(t("lineitem").select(F.col("l_suppkey").alias("uid"), F.col("l_partkey").alias("code"), F.col("l_extendedprice").alias("amount")))
+
+
+@query("select o_custkey as uid, count(*) as n, count_if(o_orderpriority = '1-URGENT') as urgent, count_if(o_orderstatus = 'F' and o_totalprice >= 100000) as large_closed, round(sum(case when o_orderstatus = 'F' then o_totalprice else 0 end), 2) as closed from orders group by 1")
+def audit_counts(t):
+    closed = F.col("o_orderstatus") == "F"
+    return t("orders").groupBy(F.col("o_custkey").alias("uid")).agg(F.count("*").alias("n"), F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("urgent"), F.count_if(closed & (F.col("o_totalprice") >= 100_000)).alias("large_closed"), F.round(F.sum(F.when(closed, F.col("o_totalprice")).otherwise(0)), 2).alias("closed"))
+
+
+@query("with d as (select distinct l_suppkey as uid, cast(l_shipdate as date) as date from lineitem), n as (select date, count(*) as n from d group by 1) select uid, count_if(n < 4) as own, count_if(n >= 4) as chain from d join n using (date) group by 1")
+def chain_dates(t):
+    return money.chain_dates(t("lineitem").select(F.col("l_suppkey").alias("uid"), F.col("l_shipdate").cast("date").alias("date")))
+
+
+@query("select c_custkey as uid, c_acctbal as value, round_even(6 + 14 * cume_dist() over (order by c_acctbal), 0) as severity from customer where c_acctbal > 0")
+def percentile_severity(t):
+    return money.rank_severity(t("customer").select(F.col("c_custkey").alias("uid"), F.col("c_acctbal").alias("value")), "value").select("uid", "value", "severity")
+
+
+@query("with b as (select c_custkey as uid, c_mktsegment as segment, round(sum(o_totalprice), 2) as total from orders join customer on o_custkey = c_custkey group by 1, 2) select uid, segment, total, count(*) over (partition by segment) as peers, round((rank() over (partition by segment order by total) - 1) / count(*) over (partition by segment), 4) as percentile from b")
+def peer_stats(t):
+    rows = t("orders").groupBy(F.col("o_custkey").alias("uid")).agg(F.round(F.sum("o_totalprice"), 2).alias("total")).join(t("customer").select(F.col("c_custkey").alias("uid"), F.col("c_mktsegment").alias("segment")), "uid")
+    return serve.peers(rows, "segment", "total").select("uid", "segment", "total", "peers", "percentile")
+
+
+@query("with r as (select upper(p_name) as name_key, bool_or(p_size >= 25) as active from part where p_partkey % 3 = 0 and p_size > 5 group by 1) select p_partkey as uid, case when active then 'active' when active is not null then 'inactive' else 'none' end as found from part left join r on upper(p_name) = name_key")
+def registry_best_match(t):
+    registry = t("part").where("p_partkey % 3 = 0 and p_size > 5").select(T.name_key(F.col("p_name")).alias("name_key"), (F.col("p_size") >= 25).alias("active"))
+    return linkage.active_match(t("part").select(F.col("p_partkey").alias("uid"), T.name_key(F.col("p_name")).alias("key")), registry, ["key"]).select("uid", "found")
+
+
+@query(
+    """with l as (select case when s_suppkey % 3 = 0 then s_suppkey end as npi, case when s_suppkey % 3 <> 2 then s_suppkey * 7 end as lic, s_name as name, s_nationkey as nation, s_suppkey as ord from supplier where s_suppkey % 2 = 0)
+    select s_suppkey as uid, case when a.ord is not null then 'npi' when b.ord is not null then 'licence' when c.ord is not null then 'name' end as tier, coalesce(a.ord, b.ord, c.ord) as hit
+    from supplier s left join l a on a.npi = s_suppkey left join l b on b.lic = s_suppkey * 7 left join l c on c.name = s_name and c.nation = s_nationkey"""
+)
+def cascading_match(t):
+    k = F.col("s_suppkey")
+    listed = t("supplier").where("s_suppkey % 2 = 0").select(F.when(k % 3 == 0, k).alias("npi"), F.when(k % 3 != 2, k * 7).alias("lic"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation"), k.alias("ord"))
+    left = t("supplier").select(k.alias("uid"), k.alias("npi"), (k * 7).alias("lic"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation"))
+    return linkage.cascade(left, listed, [("npi", ["npi"]), ("licence", ["lic"]), ("name", ["name", "nation"])], "ord").select("uid", "tier", F.col("hit.ord").alias("hit"))
+
+
+@query("with u as (select p_name, p_brand, any_value(p_partkey) as owner from part group by 1, 2 having count(*) = 1) select p_partkey as uid, owner from part join u using (p_name, p_brand)")
+def unique_only_join(t):
+    key = ["p_name", "p_brand"]
+    return linkage.unique_only(t("part").select(F.col("p_partkey").alias("uid"), *key), t("part").select(*key, F.col("p_partkey").alias("owner")), key).select("uid", "owner")
+
+
+@query("select o_custkey as uid, o_orderkey, o_totalprice from orders qualify row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey) = 1")
+def first_wins_join(t):
+    return linkage.first_wins(t("orders"), ["o_custkey"], [F.desc("o_orderdate"), "o_orderkey"]).select(F.col("o_custkey").alias("uid"), "o_orderkey", "o_totalprice")
+
+
+@query("select l_suppkey as uid, count(*) as n, round(sum(l_extendedprice), 2) as amount from lineitem where l_orderkey in (select o_orderkey from orders where o_orderpriority = '1-URGENT') group by 1")
+def semi_scan(t):
+    tracked = t("orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("l_orderkey"))
+    return t("lineitem").join(tracked, "l_orderkey", "left_semi").groupBy(F.col("l_suppkey").alias("uid")).agg(F.count("*").alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("amount"))
+
+
+@query("select c_custkey as uid from customer where c_custkey not in (select o_custkey from orders where o_orderpriority = '1-URGENT')")
+def anti_resume(t):
+    return t("customer").select(F.col("c_custkey").alias("uid")).join(t("orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("uid")), "uid", "left_anti")
+
+
+@query("select c_custkey as uid, o_orderstatus as program, cast(year(o_orderdate) as integer) as year, round(sum(o_totalprice), 2) as amount from orders join customer on o_custkey = c_custkey where c_acctbal < 0 and year(o_orderdate) > 1995 + c_custkey % 6 and o_orderstatus <> 'P' group by 1, 2, 3")
+def paid_after_bar(t):
+    facts = t("orders").groupBy(F.col("o_custkey").alias("uid"), F.col("o_orderstatus").alias("program"), F.year("o_orderdate").alias("year")).agg(F.round(F.sum("o_totalprice"), 2).alias("amount"))
+    barred = t("customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("uid"), (1995 + F.col("c_custkey") % 6).alias("bar_year"))
+    return linkage.after(facts, barred, F.col("program") != "P").select("uid", "program", "year", "amount")
+
+
+@query("select o_orderkey as uid, o_custkey as key from orders join customer on o_custkey = c_custkey where c_acctbal < 0 and strftime(o_orderdate, '%Y-%m-%d') <= coalesce(case when c_custkey % 3 > 0 then (1997 + c_custkey % 4) || '-06-30' end, '9999-12-31') and strftime(o_orderdate + interval 30 day, '%Y-%m-%d') >= (1996 + c_custkey % 4) || '-01-01'")
+def interval_overlap(t):
+    k = F.col("c_custkey")
+    left = t("orders").select(F.col("o_orderkey").alias("uid"), F.col("o_custkey").alias("key"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("start"), F.date_format(F.date_add("o_orderdate", 30), "yyyy-MM-dd").alias("end"))
+    right = t("customer").where("c_acctbal < 0").select(k.alias("key"), F.concat((1996 + k % 4).cast("string"), F.lit("-01-01")).alias("start"), F.when(k % 3 > 0, F.concat((1997 + k % 4).cast("string"), F.lit("-06-30"))).alias("end"))
+    return linkage.overlapping(left, right, "key").select("uid", "key")
+
+
+@query("select o_custkey as uid, round(sum(o_totalprice), 2) as amount, count(*) as n from orders join customer on o_custkey = c_custkey where c_acctbal < 0 and year(o_orderdate) > 1995 + c_custkey % 6 group by 1")
+def paid_after_deactivation(t):
+    facts = t("orders").select(F.col("o_custkey").alias("uid"), F.year("o_orderdate").alias("year"), F.col("o_totalprice").alias("amount"))
+    off = t("customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("uid"), (1995 + F.col("c_custkey") % 6).alias("bar_year"))
+    return linkage.after(facts, off).groupBy("uid").agg(F.round(F.sum("amount"), 2).alias("amount"), F.count("*").alias("n"))
+
+
+BLOCKED = "r as (select doc_id as uid, lang || left(text, 8) as block, regexp_replace(left(text, 120), '[^ -~]', '?', 'g') as text from documents), s as (select block from r group by 1 having count(distinct uid) between 2 and 40), pairs as (select distinct a.uid, b.uid as uid2, a.text, b.text as text2 from r a join s using (block) join r b using (block) where a.uid < b.uid)"
+
+
+def _pairs(t):
+    return linkage.blocked_pairs(t("documents").select(F.col("doc_id").alias("uid"), F.concat("lang", F.left("text", F.lit(8))).alias("block"), F.regexp_replace(F.left("text", F.lit(120)), "[^ -~]", "?").alias("text")), "block")
+
+
+@query(f"with {BLOCKED} select uid, uid2, cast(levenshtein(text, text2) as integer) as edits from pairs where levenshtein(text, text2) <= 8")
+def fuzzy_block_pairs(t):
+    return _pairs(t).withColumn("edits", F.levenshtein("text", "text2", 8)).where("edits >= 0").select("uid", "uid2", "edits")
+
+
+@query(None)
+def fuzzy_ratio(t):
+    return _pairs(t).withColumn("ratio", linkage.ratio("text", "text2")).where("ratio >= 0.9").select("uid", "uid2", F.round("ratio", 6).alias("ratio"))
+
+
+PLACES = "p as (select vec_id as uid, 47 + round(cast(embedding[1] as double), 2) / 100 as lat, -122 + round(cast(embedding[2] as double), 2) / 100 as lon from embeddings where vec_id < 1000000)"
+
+
+@query(
+    f"""with {PLACES}, c as (select *, floor(lat / (50 / 111320.0)) as x, floor(lon / (50 / 111320.0)) as y from p), n as (select x, y, count(*) as n from c group by 1, 2),
+    a as (select c.x, c.y, sum(n.n) as around from (select distinct x, y from c) c join n on abs(n.x - c.x) <= 1 and abs(n.y - c.y) <= 1 group by 1, 2),
+    e as (select c.*, around from c join a on a.x = c.x and a.y = c.y), m as (
+    select s.uid as a, t.uid as b, 2 * 6371000.0 * asin(sqrt(sin(radians(t.lat - s.lat) / 2) ** 2 + cos(radians(s.lat)) * cos(radians(t.lat)) * sin(radians(t.lon - s.lon) / 2) ** 2)) as metres
+    from e s join e t on abs(s.x - t.x) <= 1 and abs(s.y - t.y) <= 1 and s.uid < t.uid where s.around <= 15 or t.around <= 15) select a, b, round(metres, 3) as metres from m where metres <= 50"""
+)
+def geo_pairs(t):
+    place = t("embeddings").select(F.col("vec_id").alias("uid"), (47 + F.round(F.col("embedding")[0].cast("double"), 2) / 100).alias("lat"), (-122 + F.round(F.col("embedding")[1].cast("double"), 2) / 100).alias("lon"))
+    return graph.geo_pairs(place).select("a", "b", F.round("metres", 3).alias("metres"))
+
+
+KEYS = "keys as (select p_partkey as uid, 'a' || p_brand || p_size || p_type as key from part union all select p_partkey, 'b' || cast(p_retailprice as bigint) || p_size from part), sized as (select key, min(uid) as b from keys group by 1 having count(distinct uid) between 2 and 3), edges as (select distinct uid as a, b from keys join sized using (key))"
+ROOTS = f"with recursive {KEYS}, both_ as (select a, b from edges union select b, a from edges), walk as (select a as node, b as seen from both_ union select w.node, e.b from walk w join both_ e on w.seen = e.a), roots as (select node, min(seen) as root from walk group by 1)"
+
+
+def _roots(t):
+    p = t("part")
+    keys = p.select(F.col("p_partkey").alias("uid"), F.concat(F.lit("a"), "p_brand", "p_size", "p_type").alias("key")).unionByName(p.select(F.col("p_partkey").alias("uid"), F.concat(F.lit("b"), F.bround("p_retailprice", 0).cast("long").cast("string"), F.col("p_size").cast("string")).alias("key")))
+    return graph.components(graph.key_edges(keys, 2, 3))
+
+
+@query(f"{ROOTS} select node, root from roots")
+def connected_components(t):
+    return _roots(t)
+
+
+@query(
+    f"""{ROOTS}, m as (select root, 'part:' || node as uid, p_brand as source, p_name as name, p_name as person, cast(p_size as double) as score, p_retailprice as funds, p_size > 40 as barred, case when p_size > 45 then p_retailprice else 0 end as contradiction from roots join part on node = p_partkey),
+    r as (select root, 'op:' || left(md5(string_agg(uid, '|' order by uid)), 12) as operator_id, count(*) as members, count(distinct source) as sources, count(distinct case when barred then person end) as barred_people, round(sum(funds), 2) as funds, round(sum(contradiction), 2) as contradiction, max(score) as base, arg_max(name, score * 1000000 + node) as name from (select *, cast(substr(uid, 6) as bigint) as node from m) group by 1)
+    select operator_id, members, sources, barred_people, funds, contradiction, round_even(least(100.0, base + case when contradiction > 0 then 30 else 0 end + case when barred_people > 0 then 15 else 0 end + least(12, 4 * (sources - 1))), 1) as score from r"""
+)
+def operator_rollup(t):
+    p = t("part")
+    members = _roots(t).join(p, F.col("node") == F.col("p_partkey")).select(
+        "root", F.concat(F.lit("part:"), "node").alias("uid"), F.col("p_brand").alias("source"), F.col("p_name").alias("name"), F.col("p_name").alias("person"), F.col("p_size").cast("double").alias("score"),
+        F.col("p_retailprice").alias("funds"), (F.col("p_size") > 40).alias("barred"), F.when(F.col("p_size") > 45, F.col("p_retailprice")).otherwise(0.0).alias("contradiction"),
+    )
+    return resolve.scored(resolve.rollup(members)).select("operator_id", "members", "sources", "barred_people", "funds", "contradiction", "score")
+
+
+@query(
+    """with w as (select unnest(regexp_extract_all(lower(text), '[a-z]+')) as word from documents where lang = 'en'), c as (select word, count(*) as n from w where length(word) >= 5 group by 1),
+    odd as (select word from c where n <= 3), usual as (select word as likely, n from c where n >= 5),
+    cuts as (select word, unnest(list_distinct(list_append(list_transform(range(1, length(word) + 1), lambda i: left(word, i - 1) || substr(word, i + 1)), word))) as cut from odd),
+    cuts2 as (select likely, n, unnest(list_distinct(list_append(list_transform(range(1, length(likely) + 1), lambda i: left(likely, i - 1) || substr(likely, i + 1)), likely))) as cut from usual),
+    pairs as (select distinct word, likely, n from cuts join cuts2 using (cut) where damerau_levenshtein(word, likely) = 1)
+    select word, likely, n as frequency from pairs qualify row_number() over (partition by word order by n desc, likely desc) = 1"""
+)
+def misspelled_words(t):
+    return rules.misspelled(t("documents").where("lang = 'en'").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word")))
+
+
+@query("with w as (select distinct list_sort(string_split(p_name, ' ')) as want, p_name from part where p_size = 1) select p_partkey as uid, w.p_name as subset from part join w on len(list_filter(string_split(w.p_name, ' '), lambda x: not list_contains(string_split(part.p_name, ' '), x))) = 0")
+def token_subset(t):
+    p, want = t("part").select(F.col("p_partkey").alias("uid"), "p_name"), t("part").where("p_size = 1").select(F.col("p_name").alias("subset")).distinct()
+    # Sets meet on their first word in order, which every superset has.
+    left = want.withColumn("word", F.array_min(F.split("subset", " ")))
+    right = p.withColumn("word", F.explode(F.array_distinct(F.split("p_name", " "))))
+    return right.join(left, "word").where(linkage.covers_tokens(F.col("subset"), F.col("p_name"))).select("uid", "subset")
+
+
+@query("select doc_id as uid, item_id from documents, benchmark where contains(documents.text, left(benchmark.text, 40))")
+def containment(t):
+    # The longest word inside the needle is a whole word of every text that contains it; texts and needles meet on that, then are compared.
+    inner = F.filter(F.slice(F.split("needle", " "), 2, F.greatest(F.size(F.split("needle", " ")) - 2, F.lit(1))), lambda w: w != "")
+    needle = t("benchmark").select("item_id", F.left("text", F.lit(40)).alias("needle"))
+    needle = needle.withColumn("word", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
+    words = t("documents").select(F.col("doc_id").alias("uid"), F.explode(F.array_distinct(F.split("text", " "))).alias("word"))
+    met = words.join(needle, "word").select("uid", "item_id", "needle")
+    return met.join(t("documents").select(F.col("doc_id").alias("uid"), "text"), "uid").where(F.col("text").contains(F.col("needle"))).select("uid", "item_id").distinct()
+
+
+@query("select page_id as uid, length(trim(regexp_replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&amp;', '&'), '&nbsp;', ' '), '[\\s]+', ' ', 'g'))) as n, md5(trim(regexp_replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&amp;', '&'), '&nbsp;', ' '), '[\\s]+', ' ', 'g'))) as digest from pages")
+def html_strip(t):
+    plain = T.plain_html(F.col("html"))
+    return t("pages").select(F.col("page_id").alias("uid"), F.length(plain).cast("long").alias("n"), F.md5(plain).alias("digest"))
+
+
+@query("select doc_id as uid, unnest(regexp_extract_all(text, '[A-Za-z0-9._]+@[A-Za-z0-9.]+[A-Za-z]')) as email from documents")
+def entry_extract(t):
+    return t("documents").select(F.col("doc_id").alias("uid"), F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9._]+@[A-Za-z0-9.]+[A-Za-z]"), F.lit(0))).alias("email"))
+
+
+@query("select event_type as kind, count(*) as n, sum(cast(json_extract(props, '$.k') as bigint)) as total from events group by 1")
+def json_story(t):
+    k = F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint")
+    return t("events").groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("n"), F.sum(k).alias("total"))
+
+
+# Rules and scores over the customer entities ---------------------------------------------------------------------------------------
+
+ENTITIES = """e as (select 'customer:' || c_custkey as uid, c_custkey as k, c_custkey % 3 > 0 as active, c_acctbal as amount, case when c_custkey % 7 = 0 then 'PO Box ' when c_custkey % 11 = 0 then 'PMB 12, ' else '' end || c_custkey || ' Main Street' as address,
+ c_custkey % 4 = 0 as expired, c_custkey % 5 = 0 as no_mail, c_custkey % 10 = 0 as no_phone, case when c_custkey % 6 <> 0 then c_custkey % 90 else 0 end as capacity, ['REVOKED', 'SUSPENDED', 'SURRENDERED', 'ACTIVE WITH CONDITIONS', 'ACTIVE', 'EXPIRED', 'ACTIVE', 'ACTIVE', 'ACTIVE'][c_custkey % 9 + 1] as credential, c_custkey % 13 = 0 as acted, c_custkey % 13 <> 0 and c_custkey % 17 = 0 as pending from customer),
+flags as (select uid, k, unnest([case when active and expired then {'r': 'license_expired_active', 's': 30.0} end, case when active and capacity = 0 then {'r': 'capacity_missing_or_zero', 's': 10.0} end, case when active then {'r': 'ungeocoded_address', 's': 5.0} end, case when active and no_mail and no_phone then {'r': 'missing_contact_info', 's': 8.0} end,
+ case when k % 7 <> 0 and k % 11 = 0 then {'r': 'commercial_mailbox', 's': 12.0} end, case when k % 7 = 0 then {'r': 'po_box_address', 's': 8.0} end, case when credential in ('REVOKED', 'SUSPENDED') then {'r': 'credential_revoked_or_suspended', 's': 30.0} end, case when credential = 'SURRENDERED' then {'r': 'credential_surrendered', 's': 16.0} end,
+ case when credential = 'ACTIVE WITH CONDITIONS' then {'r': 'credential_active_with_conditions', 's': 18.0} end, case when acted then {'r': 'disciplinary_action_taken', 's': 22.0} end, case when pending then {'r': 'disciplinary_action_pending', 's': 12.0} end]) as f from e),
+hits as (select uid as entity_uid, k, f.r as rule_id, cast(f.s as double) as severity, case when f.r in ('credential_revoked_or_suspended', 'credential_surrendered', 'credential_active_with_conditions', 'disciplinary_action_taken', 'disciplinary_action_pending') then 'doh_sanction' when f.r = 'capacity_missing_or_zero' then 'capacity' else f.r end as grp,
+ case when f.r in ('capacity_missing_or_zero', 'ungeocoded_address', 'missing_contact_info') then 'quality' when f.r in ('commercial_mailbox', 'po_box_address') then 'network' else 'integrity' end as family from flags where f is not null),
+parts as (select entity_uid, k, grp, severity, rule_id from hits qualify row_number() over (partition by entity_uid, grp order by severity desc, rule_id) = 1),
+scores as (select entity_uid, p.k, risk_score, flag_count, family_count, top_rule from (select entity_uid, k, round_even(least(sum(severity), 100.0), 1) as risk_score from parts group by 1, 2) p join (select entity_uid, count(*) as flag_count, count(distinct family) as family_count from hits group by 1) h using (entity_uid) join (select entity_uid, rule_id as top_rule from parts qualify row_number() over (partition by entity_uid order by severity desc, rule_id) = 1) t using (entity_uid))"""
+
+
+def _flags(t):
+    return rules.simple_flags(people(t), TODAY)
+
+
+@query(f"with {ENTITIES} select entity_uid, rule_id, severity from hits")
+def rule_flags(t):
+    return _flags(t).select("entity_uid", "rule_id", "severity")
+
+
+@query(f"with {ENTITIES} select entity_uid, grp, severity, rule_id from parts")
+def score_parts(t):
+    return scoring.parts(_flags(t))
+
+
+@query(f"with {ENTITIES} select entity_uid, risk_score, flag_count, family_count, top_rule from scores")
+def risk_score(t):
+    return scoring.scores(_flags(t))
+
+
+@query(f"with {ENTITIES} select entity_uid, case when entity_uid like '%5' then round_even(risk_score * 0.5, 1) else risk_score end as risk_score from scores")
+def institution_suppression(t):
+    s = scoring.scores(_flags(t))
+    return scoring.suppressed(s, s.where("entity_uid like '%5'")).select("entity_uid", "risk_score")
+
+
+@query(f"with {ENTITIES} select case when risk_score < 20 then '0-19' when risk_score < 40 then '20-39' when risk_score < 60 then '40-59' when risk_score < 80 then '60-79' else '80-100' end as band, count(*) as n from scores group by 1")
+def score_buckets(t):
+    return scoring.buckets(scoring.scores(_flags(t)))
+
+
+@query(f"with {ENTITIES} select upper(trim(n_name)) as place, count(*) as n, round(sum(c_acctbal), 2) as funds, count_if(risk_score >= 40) as high from scores join customer on k = c_custkey join nation on c_nationkey = n_nationkey group by 1")
+def nation_density(t):
+    at = t("customer").join(F.broadcast(t("nation")), F.col("c_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("entity_uid"), F.col("n_name").alias("place"), F.col("c_acctbal").alias("funds"))
+    return serve.density(scoring.scores(_flags(t)).join(at, "entity_uid").withColumnRenamed("risk_score", "score"), "place")
+
+
+@query(f"with {ENTITIES} select uid, name, risk_score, flag_count, coalesce(state, 'new') as state from (select entity_uid as uid, 'Customer' as x, c_name as name, risk_score, flag_count, family_count, case when k % 8 = 0 then 'reviewed' end as state from scores join customer on k = c_custkey) where risk_score >= 30 and name ilike '%1%' and uid in (select entity_uid from hits where rule_id = 'license_expired_active') order by risk_score desc, family_count desc, flag_count desc, uid limit 1000")
+def review_queue(t):
+    e, f = people(t), _flags(t)
+    triage = t("customer").where("c_custkey % 8 = 0").select(F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("uid"), F.lit("reviewed").alias("state"))
+    rows = serve.review_queue(e.drop("state"), scoring.scores(f), triage, serve.predicates(least=30, text="1"), f.where("rule_id = 'license_expired_active'"))
+    return rows.where(F.col("name").ilike("%1%")).select("uid", "name", "risk_score", "flag_count", "state")
+
+
+@query(f"with {ENTITIES}, r as (select entity_uid, severity, grp, row_number() over (partition by entity_uid order by severity desc, grp) as n from parts) select entity_uid, count(*) as titles, max(severity) as top from r where n <= 6 group by 1")
+def top_titles(t):
+    return serve.top_titles(_flags(t)).groupBy("entity_uid").agg(F.count("*").alias("titles"), F.max("severity").alias("top"))
+
+
+@query("""select c_custkey as uid, case when pre and not t1 then 'D' when bad and (t1 or (t2 and funds > 0 and not (pre and not t1))) then 'C' when t1 and good and ((amt >= 1000 and not run) or amt >= 100000) and (ly >= 2022 or amt >= 100000) then 'A' when t1 then 'B' when t2 and funds > 0 and not (pre and not t1) and good then 'B' when (t2 and funds > 0 and not (pre and not t1)) or (strong and funds > 0) then 'C' else 'D' end as grade
+ from (select c_custkey, c_custkey % 2 = 0 as t1, c_custkey % 5 = 0 as pre, c_custkey % 3 = 0 as t2, c_custkey % 7 = 0 as strong, c_acctbal as funds, c_custkey % 4 = 1 as good, c_custkey % 4 = 2 as bad, c_acctbal * 20 as amt, c_custkey % 11 = 0 as run, 2018 + c_custkey % 8 as ly from customer)""")
+def grade(t):
+    k, money_ = F.col("c_custkey"), F.col("c_acctbal")
+    identity = F.when(k % 4 == 1, "license-confirmed").when(k % 4 == 2, "license-mismatch").otherwise("name-only")
+    return t("customer").select(k.alias("uid"), scoring.grade(k % 2 == 0, k % 5 == 0, k % 3 == 0, k % 7 == 0, money_, identity, money_ * 20, k % 11 == 0, 2018 + k % 8).alias("grade"))
+
+
+@query("""with f as (select o_custkey as uid, round(sum(o_totalprice), 2) as total, max(case when o_orderstatus = 'F' then 2 when o_orderpriority = '1-URGENT' then 1 else 0 end) as tier from orders group by 1)
+ select case tier when 2 then 'closed' when 1 then 'urgent' else 'other' end as tier, count(*) as n, round(sum(total), 2) as funds from f group by 1""")
+def funds_tiers(t):
+    level = F.max(F.when(F.col("o_orderstatus") == "F", 2).when(F.col("o_orderpriority") == "1-URGENT", 1).otherwise(0))
+    per = t("orders").groupBy("o_custkey").agg(F.round(F.sum("o_totalprice"), 2).alias("total"), level.alias("level"))
+    return per.groupBy(F.when(F.col("level") == 2, "closed").when(F.col("level") == 1, "urgent").otherwise("other").alias("tier")).agg(F.count("*").alias("n"), F.round(F.sum("total"), 2).alias("funds"))
+
+
+SNAPSHOTS = "snap as (select o_custkey as uid, year(o_orderdate) as y, cast(count(*) * 15 as double) as score, round(sum(o_totalprice), 2) as funds, max(o_orderstatus) as status from orders group by 1, 2)"
+
+
+@query(f"with {SNAPSHOTS}, c as (select n.uid, case when o.score is null and n.score >= 40 then 'new' when o.score is not null and n.status <> o.status then 'status' when abs(n.score - o.score) >= 10 then 'score' when n.funds - o.funds > 25000 then 'money' end as kind, n.score, o.score as score0, n.funds, o.funds as funds0 from snap n left join (select * from snap where y = 1999) o using (uid) where n.y = 2000) select * from c where kind is not null")
+def change_feed(t):
+    snap = t("orders").groupBy(F.col("o_custkey").alias("uid"), F.year("o_orderdate").alias("y")).agg((F.count("*") * 15).cast("double").alias("score"), F.round(F.sum("o_totalprice"), 2).alias("funds"), F.max("o_orderstatus").alias("status"))
+    return serve.changes(snap.where("y = 2000").drop("y"), snap.where("y = 1999").drop("y"))
+
+
+@query("select o_orderstatus as status, min(year(o_orderdate)) || '–' || max(year(o_orderdate)) as range, count(distinct year(o_orderdate)) as years from orders group by 1")
+def period_range(t):
+    y = F.year("o_orderdate")
+    return t("orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.concat(F.min(y).cast("string"), F.lit("–"), F.max(y).cast("string")).alias("range"), F.count_distinct(y).alias("years"))
+
+
+@query("select c_custkey as uid, c_name as name, c_acctbal as score from customer where c_name ilike '%00012%' order by c_acctbal desc, c_custkey limit 10")
+def search(t):
+    return serve.search(t("customer").select(F.col("c_custkey").alias("uid"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("score")), "00012")
+
+
+@query("with o as (select o_orderkey as uid, o_orderstatus as status, o_totalprice as amount from orders where o_orderkey % 3 > 0), n as (select o_orderkey as uid, case when o_orderkey % 2 = 0 then 'Z' end as status, case when o_orderkey % 5 = 0 then 0.0 end as amount from orders where o_orderkey % 3 < 2) select coalesce(n.uid, o.uid) as uid, coalesce(n.status, o.status, 'new') as status, coalesce(n.amount, o.amount) as amount from o full join n on o.uid = n.uid")
+def upsert_merge(t):
+    k = F.col("o_orderkey")
+    old = t("orders").where(k % 3 > 0).select(k.alias("uid"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("amount"))
+    new = t("orders").where(k % 3 < 2).select(k.alias("uid"), F.when(k % 2 == 0, "Z").alias("status"), F.when(k % 5 == 0, 0.0).alias("amount"))
+    return linkage.merge(old, new, "uid", {"status": "new"})
+
+
+@query("select o_custkey as uid, round(sum(case when year(o_orderdate) > 1996 + o_custkey % 4 and year(o_orderdate) <= 2002 + o_custkey % 4 then o_totalprice else 0 end), 2) as after_amount from orders where o_custkey % 9 in (0, 1) group by 1")
+def bar_after_amounts(t):
+    facts = t("orders").groupBy(F.col("o_custkey").alias("uid"), F.col("o_orderstatus").alias("program"), F.year("o_orderdate").alias("year")).agg(F.round(F.sum("o_totalprice"), 2).alias("amount"))
+    k = F.col("c_custkey")
+    barred = t("customer").where(k % 9 < 2).select(k.alias("uid"), F.when(k % 9 == 0, "REVOKED").otherwise("SUSPENDED").alias("status"), F.lit("license-confirmed").alias("identity"), (1996 + k % 4).cast("int").alias("expiry_year"), F.lit(None).cast("int").alias("reissue_year"))
+    none = barred.where("false").select("uid", F.lit("").alias("list"), F.col("expiry_year").alias("bar_year"), F.lit("").alias("scope"))
+    return bars.dispositions(barred, facts, none, 2001).select("uid", "after_amount")
