@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 #: Trie nodes, and pre-tokens with a stored count, that a worker keeps.
-NODES, TERMINALS = 500_000, 300_000
+NODES, TERMINALS = 1_000_000, 400_000
 
 _WORD = re.compile(f"{MARK}+[^{MARK}]*")
 
@@ -29,7 +29,9 @@ class Unigram:
     """Log-probabilities of pieces."""
 
     def __init__(self, scores: dict[str, float], byte: float):
-        self.scores, self.byte, self.longest = scores, byte, max(map(len, scores), default=1)
+        self.byte = byte
+        self.ends: dict[str, float | None] = {p[k:]: None for p in scores for k in range(1, len(p))}  # what pieces end with
+        self.ends |= scores
 
     @classmethod
     def ranked(cls, model: bytes) -> Unigram:
@@ -57,23 +59,25 @@ class Trie(dict):
     def insert(self, word: str) -> int:
         """The node of the whole pre-token, with what was missing on the way."""
         path, node = [0], 0
-        scores, longest, children, best, count = self.model.scores, self.model.longest, self.children, self.best, self.count
+        ends, byte, children, best, count = self.model.ends, self.model.byte, self.children, self.best, self.count
         for d, ch in enumerate(word, 1):
             below = children.get((node, ch))
             if below is None:
-                top, n = -math.inf, 0
-                for lo in range(max(0, d - longest), d):
-                    s = scores.get(word[lo:d])
-                    if s is None:
-                        if lo < d - 1:
-                            continue
-                        k = len(ch.encode())
-                        s, k = self.model.byte * k, k
-                    else:
-                        k = 1
-                    s += best[path[lo]]
-                    if s > top or s == top and count[path[lo]] + k < n:
-                        top, n = s, count[path[lo]] + k
+                s = ends.get(ch)
+                n = 1
+                if s is None:
+                    n = len(ch.encode())
+                    s = byte * n
+                top, n = best[node] + s, count[node] + n
+                for lo in range(d - 2, -1, -1):
+                    s = ends.get(word[lo:d], self)
+                    if s is self:  # no piece ends so, and none that is longer
+                        break
+                    if s is not None:
+                        at = path[lo]
+                        s += best[at]
+                        if s > top or s == top and count[at] + 1 < n:
+                            top, n = s, count[at] + 1
                 below = children[node, ch] = len(best)
                 best.append(top)
                 count.append(n)
