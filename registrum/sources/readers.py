@@ -61,7 +61,7 @@ def csv(spark: SparkSession, path: str, hints: dict[str, list[str]] | None = Non
 def officers(c: Column) -> Column:
     """Names of a list, split at the first of `;`, `|` and `/` that it holds."""
     cut = F.when(c.contains(";"), F.split(c, ";")).when(c.contains("|"), F.split(c, r"\|")).otherwise(F.split(c, "/"))
-    return F.filter(F.transform(cut, F.trim), lambda x: x != "")
+    return F.filter(F.transform(cut, lambda x: F.trim(x)), lambda x: x != "")
 
 
 def json_pages(spark: SparkSession, path: str) -> DataFrame:
