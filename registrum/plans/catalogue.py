@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from registrum.functions import text as T
 from registrum.operators import bars, graph, linkage, money, resolve, rules, scoring, serve
+from registrum.operators import context_rules as context
 from registrum.session import table
 from registrum.sources import readers
 
@@ -194,9 +195,9 @@ def peer_stats(t):
     return serve.peers(rows, "segment", "total").select("uid", "segment", "total", "peers", "percentile")
 
 
-@query("with r as (select upper(p_name) as name_key, bool_or(p_size >= 25) as active from part where p_partkey % 3 = 0 and p_size > 5 group by 1) select p_partkey as uid, case when active then 'active' when active is not null then 'inactive' else 'none' end as found from part left join r on upper(p_name) = name_key")
+@query("with r as (select upper(p_name) as name_key, bool_or(p_size >= 25) as active from part where p_partkey % 37 = 0 group by 1) select p_partkey as uid, case when active then 'active' when active is not null then 'inactive' else 'none' end as found from part left join r on upper(p_name) = name_key")
 def registry_best_match(t):
-    registry = t("part").where("p_partkey % 3 = 0 and p_size > 5").select(T.name_key(F.col("p_name")).alias("name_key"), (F.col("p_size") >= 25).alias("active"))
+    registry = t("part").where("p_partkey % 37 = 0").select(T.name_key(F.col("p_name")).alias("name_key"), (F.col("p_size") >= 25).alias("active"))
     return linkage.active_match(t("part").select(F.col("p_partkey").alias("uid"), T.name_key(F.col("p_name")).alias("key")), registry, ["key"]).select("uid", "found")
 
 
@@ -479,3 +480,85 @@ def bar_after_amounts(t):
     barred = t("customer").where(k % 9 < 2).select(k.alias("uid"), F.when(k % 9 == 0, "REVOKED").otherwise("SUSPENDED").alias("status"), F.lit("license-confirmed").alias("identity"), (1996 + k % 4).cast("int").alias("expiry_year"), F.lit(None).cast("int").alias("reissue_year"))
     none = barred.where("false").select("uid", F.lit("").alias("list"), F.col("expiry_year").alias("bar_year"), F.lit("").alias("scope"))
     return bars.dispositions(barred, facts, none, 2001).select("uid", "after_amount")
+
+
+# Rules with side tables -----------------------------------------------------------------------------------------------------------
+
+
+@query("select l_suppkey as uid, 'ownership_churn' as rule_id, case when count_if(n < 4) >= 2 then 14.0::double else 6.0::double end as severity from (select distinct l_suppkey, cast(l_shipdate as date) as d from lineitem) join (select d, count(*) as n from (select distinct l_suppkey, cast(l_shipdate as date) as d from lineitem) group by 1) using (d) group by 1")
+def ownership_churn(t):
+    return context.ownership_churn(t("lineitem").select(F.col("l_suppkey").alias("uid"), F.col("l_shipdate").cast("date").alias("date")))
+
+
+@query("with o as (select p_partkey as uid, p_brand || p_size as owner, p_name as org from part), b as (select owner from o group by 1 having count(distinct org) >= 2) select distinct uid, 'shared_owner' as rule_id, 16.0::double as severity from o join b using (owner)")
+def shared_owner(t):
+    return context.shared_owner(t("part").select(F.col("p_partkey").alias("uid"), F.concat("p_brand", F.col("p_size").cast("string")).alias("owner"), F.col("p_name").alias("org")))
+
+
+@query("select l_partkey as uid, 'services_per_visit_outlier' as rule_id, 14.0::double as severity from (select l_partkey, l_returnflag, sum(l_quantity) as services, count(*) as days from lineitem group by 1, 2) where days >= 5 group by 1 having max(services / days) >= 30")
+def services_per_visit(t):
+    codes = t("lineitem").groupBy(F.col("l_partkey").alias("uid"), "l_returnflag").agg(F.sum("l_quantity").alias("services"), F.count("*").alias("days"))
+    return context.services_per_visit(codes, 30.0, 5)
+
+
+@query("""with f as (select o_custkey as uid, cast(count(*) as double) as deficiencies, count_if(o_orderpriority = '1-URGENT' and o_orderstatus = 'P') as jeopardy, round(sum(case when o_orderstatus = 'F' then o_totalprice else 0 end), 2) as fines, count_if(o_totalprice > 400000) as denials from orders group by 1)
+ select uid, 'immediate_jeopardy_citation' as rule_id, 22.0::double as severity from f where jeopardy > 0
+ union all select uid, 'civil_monetary_penalty', round_even(6 + 14 * p, 0) from (select uid, fines, cume_dist() over (order by fines) as p from f where fines > 0) where fines >= 10000
+ union all select uid, 'payment_denial_imposed', 16.0 from f where denials > 0
+ union all select uid, 'many_health_deficiencies', 8.0 from (select uid, cume_dist() over (order by deficiencies) as p from f where deficiencies > 0) where p >= 0.9""")
+def enforcement_flags(t):
+    status, price = F.col("o_orderstatus"), F.col("o_totalprice")
+    rows = t("orders").groupBy(F.col("o_custkey").alias("uid")).agg(F.count("*").cast("double").alias("deficiencies"), F.count_if((F.col("o_orderpriority") == "1-URGENT") & (status == "P")).alias("jeopardy"), F.round(F.sum(F.when(status == "F", price).otherwise(0)), 2).alias("fines"), F.count_if(price > 400_000).alias("denials"))
+    return context.enforcement(rows)
+
+
+@query("with f as (select user_id as uid, count_if(event_type = 'purchase') as complaints, count(*) as inspections from events group by 1) select uid, 'childcare_valid_complaint' as rule_id, cast(least(34, 18 + 6 * (complaints - 1)) as double) as severity from f where complaints >= 1 union all select uid, 'childcare_many_inspections', 6.0 from f where inspections >= 6")
+def complaint_flags(t):
+    return context.complaints(t("events").groupBy(F.col("user_id").alias("uid")).agg(F.count_if(F.col("event_type") == "purchase").alias("complaints"), F.count("*").alias("inspections")))
+
+
+@query("select distinct o_custkey as uid, 'paid_after_npi_deactivated' as rule_id, 45.0::double as severity from orders join customer on o_custkey = c_custkey where c_acctbal < 500 and year(o_orderdate) > 1997 + c_custkey % 3 and c_custkey % 5 <> 0")
+def deactivated_flags(t):
+    k = F.col("c_custkey")
+    facts = t("orders").select(F.col("o_custkey").alias("uid"), F.year("o_orderdate").alias("year"), F.col("o_totalprice").alias("amount"))
+    return context.deactivated(facts, t("customer").where("c_acctbal < 500").select(k.alias("uid"), (1997 + k % 3).alias("off_year")), t("customer").where(k % 5 == 0).select(k.alias("uid")))
+
+
+@query("""with c as (select o_orderkey as uid, 'COMPANY ' || o_custkey as name_key, strftime(o_orderdate, '%Y-%m-%d') as s, case when o_orderstatus = 'F' then strftime(o_orderdate + interval 60 day, '%Y-%m-%d') end as e from orders),
+ l as (select 'COMPANY ' || c_custkey as name_key, case when c_custkey % 2 = 0 then 'debarred' else 'strike' end as kind, (1996 + c_custkey % 4) || '-03-01' as s2, (1997 + c_custkey % 4) || '-03-01' as e2 from customer where c_custkey % 7 = 0)
+ select uid, case when kind = 'debarred' and s <= e2 and coalesce(e, '9999') >= s2 then 'contract_during_debarment' when kind = 'debarred' then 'lni_debarred' else 'lni_strike' end as rule_id, cast(case when kind = 'debarred' and s <= e2 and coalesce(e, '9999') >= s2 then 40 when kind = 'debarred' then 22 else 10 end as double) as severity from c join l using (name_key)""")
+def labor_flags(t):
+    k, at = F.col("c_custkey"), F.col("o_orderdate")
+    contracts = t("orders").select(F.col("o_orderkey").alias("uid"), F.concat(F.lit("COMPANY "), F.col("o_custkey").cast("string")).alias("name_key"), F.date_format(at, "yyyy-MM-dd").alias("start"), F.when(F.col("o_orderstatus") == "F", F.date_format(F.date_add(at, 60), "yyyy-MM-dd")).alias("end"))
+    day = lambda y: F.concat((y + k % 4).cast("string"), F.lit("-03-01"))
+    listed = t("customer").where(k % 7 == 0).select(F.concat(F.lit("COMPANY "), k.cast("string")).alias("name_key"), F.when(k % 2 == 0, "debarred").otherwise("strike").alias("kind"), day(1996).alias("start"), day(1997).alias("end"))
+    return context.labor(contracts, listed)
+
+
+@query("""with h as (select s_suppkey as k, case when k % 4 = 0 then 'npi' when k % 4 = 1 then 'licence' when k % 4 = 2 then 'name' end as tier, k % 8 = 0 as mandatory, k % 5 = 0 as derived, k % 3 > 0 as state_ok, k % 9 = 0 as namesake, k % 7 > 0 as active from (select s_suppkey, s_suppkey as k from supplier) s)
+ select k as uid, case when derived then 'excluded_license_derived' else 'excluded_or_sanctioned' end as rule_id, round_even(cast((case when derived then least(22, sev) else sev end) as double) * case when active then 1.0 else 0.6 end, 0) as severity
+ from (select *, case when tier = 'npi' and mandatory then 48 when tier = 'npi' then 40 when tier = 'licence' then 30 else 20 end as sev from h) where tier is not null and not namesake and (tier <> 'name' or state_ok)""")
+def exclusion_flags(t):
+    k = F.col("uid")
+    rows = t("supplier").select(F.col("s_suppkey").alias("uid")).select(
+        "uid", F.when(k % 4 == 0, "npi").when(k % 4 == 1, "licence").when(k % 4 == 2, "name").alias("tier"), (k % 8 == 0).alias("mandatory"), F.when(k % 5 == 0, "License revoked by state").alias("reason"), (k % 3 > 0).alias("state_ok"),
+        F.when(k % 2 == 1, 1950).when(k % 9 == 0, 1950).alias("birth"), F.when(k % 9 == 0, 1960).alias("listed_birth"), (k % 7 > 0).alias("active"),
+    )
+    return context.exclusions(rows)
+
+
+@query("with c as (select c_custkey as uid, case when c_custkey % 3 = 0 then 'm' || c_custkey % 200 end as email, case when c_custkey % 2 = 0 then '206555' || lpad(cast(c_custkey % 300 as varchar), 4, '0') end as phone from customer), k as (select uid, 'email' as via, email as key from c where email is not null union all select uid, 'phone', phone from c where phone is not null), s as (select via, key from k group by 1, 2 having count(distinct uid) between 2 and 8) select uid, 'shared_contact_multiple_providers' as rule_id, 22.0::double as severity, max(via) as via from k join s using (via, key) group by 1")
+def shared_contact(t):
+    k = F.col("c_custkey")
+    rows = t("customer").select(k.alias("uid"), F.when(k % 3 == 0, F.concat(F.lit("m"), (k % 200).cast("string"))).alias("email"), T.phone(F.when(k % 2 == 0, F.concat(F.lit("206-555-"), F.lpad((k % 300).cast("string"), 4, "0")))).alias("phone"))
+    return context.shared_contact(rows)
+
+
+@query("with b as (select p_brand || p_size as person from part group by 1 having count(*) between 3 and 10) select p_partkey as uid, 'concentration_same_contact_person' as rule_id, 12.0::double as severity from part where p_brand || p_size in (select person from b)")
+def contact_person(t):
+    return context.contact_person(t("part").select(F.col("p_partkey").alias("uid"), F.concat("p_brand", F.col("p_size").cast("string")).alias("person")))
+
+
+@query("with r as (select upper(p_name) as name_key, bool_or(p_size >= 25) as active from part where p_partkey % 37 = 0 group by 1) select p_partkey as uid, 'no_active_business_registration' as rule_id, case when active is null then 12.0::double else 20.0::double end as severity from part left join r on upper(p_name) = name_key where active is not true")
+def registration_flags(t):
+    return context.registration(registry_best_match(t))
