@@ -30,6 +30,8 @@ from .run_index import RunIndex
 
 #: Bytes of a repeated string and of an anchor; different segments of an anchor that go into one bucket; bytes of a bucket.
 LENGTH, SEED, HOT, BUCKET = 100, 32, 4096, 1 << 18
+#: Segments that a worker holds at once to settle what repeats among them.
+SETTLED = 250_000
 
 _DUP = np.uint64(128)
 
@@ -69,28 +71,34 @@ def _anchored(docs: DataFrame) -> DataFrame:
     """anchor, segment, doc and start of every segment; the low byte of `segment` holds its windows less one, and a bit for settled copies."""
     names = ["anchor", "segment", "doc", "start"]
 
+    def settled(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        anchor, segment, doc, start = (np.concatenate(x) for x in zip(*parts, strict=True))
+        if not len(anchor):
+            return
+        order = np.lexsort((start, doc, segment, anchor))
+        anchor, segment, doc, start = anchor[order], segment[order], doc[order], start[order]
+        new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (segment[1:] != segment[:-1])])
+        first = np.flatnonzero(new)[np.cumsum(new) - 1]
+        copy = (doc != doc[first]) | (start != start[first])
+        segment[copy] |= _DUP
+        anchor[copy] = mixed(doc[copy].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + start[copy].astype(np.uint64))  # settled: spread at random
+        for lo in range(0, len(anchor), 100_000):
+            part = slice(lo, lo + 100_000)
+            yield pa.RecordBatch.from_arrays([pa.array(anchor[part].view(np.int64)), pa.array(segment[part].view(np.int64)), pa.array(doc[part]), pa.array(start[part])], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy()
+            ids, parts, held = batch.column(0).to_numpy(), [], 0
             data, at = utf8(batch.column(1))
-            parts = []
             for lo, hi in groups(at):
                 row, start, many, anchor, whole = segments(data, at[lo : hi + 1])
                 parts.append((anchor, (whole & ~np.uint64(255)) | (many - 1).astype(np.uint64), ids[lo + row], start))
-            if not parts:
-                continue
-            anchor, segment, doc, start = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.lexsort((start, doc, segment, anchor))
-            anchor, segment, doc, start = anchor[order], segment[order], doc[order], start[order]
-            if len(anchor):
-                new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (segment[1:] != segment[:-1])])
-                first = np.flatnonzero(new)[np.cumsum(new) - 1]
-                copy = (doc != doc[first]) | (start != start[first])
-                segment[copy] |= _DUP
-                anchor[copy] = mixed(doc[copy].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + start[copy].astype(np.uint64))  # settled: spread at random
-            for lo in range(0, len(anchor), 100_000):
-                part = slice(lo, lo + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor[part].view(np.int64)), pa.array(segment[part].view(np.int64)), pa.array(doc[part]), pa.array(start[part])], names)
+                held += len(row)
+                if held > SETTLED:
+                    yield from settled(parts)
+                    parts, held = [], 0
+            if parts:
+                yield from settled(parts)
 
     return docs.mapInArrow(run, "anchor long, segment long, doc long, start long")
 
