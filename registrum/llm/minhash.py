@@ -175,6 +175,8 @@ def _similar_sets(table: pa.Table) -> pa.Table:
 
 def linked(docs: DataFrame, text: str = "text", broadcast: int = BROADCAST, block_signatures: int = BLOCK_SIGNATURES, block_sets: int = BLOCK_SETS) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) and kept (doc_id = component_id) of every row."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
+    text = "text"
     base, _ = staged(_described(docs, text), "sets")
     full = base.where("n_shingles > 0")
     nodes = full.groupBy("node", "check").agg(F.min("doc_id").alias("doc_id"))
