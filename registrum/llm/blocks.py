@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import releasing
+
 #: Lines per window; characters that a window must pass outside marked articles.
 WINDOW, THRESHOLD = 3, 86
 
@@ -161,4 +163,4 @@ def extracted(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("pa
             texts = [main_text(x.as_py()) for x in batch.column(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(releasing(run), schema)

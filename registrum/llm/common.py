@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -72,6 +73,25 @@ def groups(at: np.ndarray, most: int = CHUNK) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
+def freed() -> None:
+    """Gives memory that Arrow and the C library keep back to the system; idle Python workers live on beside the next stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps less
+        pass
+
+
+def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, with its worker's memory given back at the end of each task."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        freed()
+
+    return wrapped
+
+
 def appended(df: DataFrame, function, columns: str) -> DataFrame:
     """df with the columns that `function(batch) -> list[pa.Array]` makes of each Arrow batch. An input column of a new column's name gives way."""
     spark = df.sparkSession
@@ -87,7 +107,7 @@ def appended(df: DataFrame, function, columns: str) -> DataFrame:
             new = function(batch.rename_columns(old))
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], schema.names)
 
-    return plain.mapInArrow(run, schema).toDF(*old, *added.names)
+    return plain.mapInArrow(releasing(run), schema).toDF(*old, *added.names)
 
 
 _SPACE = np.zeros(256, bool)

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import groups, mixed, staged, utf8, words
+from .common import groups, mixed, releasing, staged, utf8, words
 from .graph import components
 
 SHINGLE, CHUNKS, SYMBOLS = 5, 10, 6
@@ -111,7 +111,7 @@ def _described(docs: DataFrame, text: str) -> DataFrame:
                 sig = pa.array([x.tobytes() for x in signatures(sets, edge)], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(edge)), pa.array(print_[:, 0].copy()), pa.array(print_[:, 1].copy()), sig], names)
 
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, node long, check long, sig binary")
+    return rows.mapInArrow(releasing(run), "doc_id long, n_shingles long, node long, check long, sig binary")
 
 
 def _forest(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
@@ -189,7 +189,7 @@ def linked(docs: DataFrame, text: str = "text", broadcast: int = BROADCAST, bloc
                 made = keys(np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint16).reshape(part.num_rows, -1))
                 yield pa.RecordBatch.from_arrays([pa.array(made.ravel()), pa.array(np.repeat(part.column(0).to_numpy(), made.shape[1]))], ["key", "node"])
 
-    shared = sigs.select("node", "sig").mapInArrow(keyed, "key long, node long").withColumn("size", F.count("*").over(Window.partitionBy("key"))).where("size > 1")
+    shared = sigs.select("node", "sig").mapInArrow(releasing(keyed), "key long, node long").withColumn("size", F.count("*").over(Window.partitionBy("key"))).where("size > 1")
     gathered = _in_blocks(shared.join(sigs.select("node", "sig"), "node"), "key", F.col("size"), block_signatures)
     loose = gathered.groupBy("key", "i", "j").applyInArrow(_similar_signatures, "a long, b long")
     roots, _ = staged(_members(components(loose)), "candidates")
@@ -210,7 +210,7 @@ def linked(docs: DataFrame, text: str = "text", broadcast: int = BROADCAST, bloc
                 packed = pa.array([sets[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], packed], ["root", "size", "node", "shingles"]).filter(pa.array(mine))
 
-    sets = texts.mapInArrow(with_sets, "root long, size long, node long, shingles binary")
+    sets = texts.mapInArrow(releasing(with_sets), "root long, size long, node long, shingles binary")
     blocks = _in_blocks(sets, "root", F.col("size"), block_sets)
     links = blocks.groupBy("root", "i", "j").applyInArrow(_similar_sets, "a long, b long")
     linked_nodes, _ = staged(_members(components(links)), "linked")

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import releasing
+
 MARK = "▁"
 #: Distinct marked words that a worker keeps.
 TABLE = 300_000
@@ -83,7 +85,7 @@ def encoded(docs: DataFrame, model: bytes, text: str = "text", keep: tuple[str,
                 new = [pa.array(ids, pa.binary())] + [pa.array([codec.decode(x) for x in ids], pa.string())] * decode
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *new], schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(releasing(run), schema)
 
 
 def digests(docs: DataFrame, model: bytes) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK, remainder, utf8
+from .common import CHUNK, releasing, remainder, utf8
 
 #: Longest context in bytes, and labelled texts sampled per language.
 ORDER, DOCS_PER_LANG = 4, 200
@@ -189,7 +189,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
                 best, score = np.where(known, first, best), np.where(known, 1 / odds, 0)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs[best], pa.string()), pa.array(score)], schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(releasing(run), schema)
 
 
 def predicted(docs: DataFrame, folds: int = 5, held: int = 0) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import groups, mixed, prefix_hash, staged, utf8
+from .common import freed, groups, mixed, prefix_hash, releasing, staged, utf8
 from .run_index import RunIndex
 
 #: Bytes of a repeated string and of an anchor; different segments of an anchor that go into one bucket; bytes of a bucket.
@@ -100,7 +100,7 @@ def _anchored(docs: DataFrame) -> DataFrame:
             if parts:
                 yield from settled(parts)
 
-    return docs.mapInArrow(run, "anchor long, segment long, doc long, start long")
+    return docs.mapInArrow(releasing(run), "anchor long, segment long, doc long, start long")
 
 
 def _met(docs: DataFrame) -> DataFrame:
@@ -130,7 +130,7 @@ def _pieces(texts: DataFrame) -> DataFrame:
             raw = [data[a:b].tobytes() for a, b in zip(lo, np.minimum(lo + size, at[row + 1]), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(doc[row]), pa.array(start), pa.array(kinds), pa.array(raw, pa.binary())], ["anchor", "doc", "start", "kinds", "bytes"])
 
-    return texts.mapInArrow(run, "anchor long, doc long, start long, kinds long, bytes binary")
+    return texts.mapInArrow(releasing(run), "anchor long, doc long, start long, kinds long, bytes binary")
 
 
 def _indexed(table: pa.Table) -> pa.Table:
@@ -154,7 +154,10 @@ def _indexed(table: pa.Table) -> pa.Table:
     cut = np.flatnonzero(np.concatenate([[True], (np.diff(late) > 1) | (np.diff(of[late]) > 0)])) if len(late) else late
     many = np.diff(np.concatenate([cut, [len(late)]])) if len(late) else late
     head = late[cut]
-    return pa.table({"doc": doc[of[head]], "start": start[of[head]] + where[head], "size": many + LENGTH - 1})
+    out = pa.table({"doc": doc[of[head]], "start": start[of[head]] + where[head], "size": many + LENGTH - 1})
+    del index, found, pieces
+    freed()
+    return out
 
 
 def _by_window(pieces: DataFrame) -> DataFrame:
@@ -175,7 +178,7 @@ def _by_window(pieces: DataFrame) -> DataFrame:
                 half = mixed((sums[i + LENGTH // 2] - sums[i]) * inverse[i]).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(half), pa.array(doc[lo:hi][of]), pa.array(start[lo:hi][of] + where)], ["one", "half", "doc", "start"])
 
-    rows = pieces.select("doc", "start", "bytes").mapInArrow(run, "one long, half long, doc long, start long")
+    rows = pieces.select("doc", "start", "bytes").mapInArrow(releasing(run), "one long, half long, doc long, start long")
     first = rows.groupBy("one", "half").agg(F.min(F.struct("doc", "start")).alias("first"))
     return rows.join(first, ["one", "half"]).where(F.struct("doc", "start") > F.col("first")).select("doc", "start", F.lit(LENGTH).cast("long").alias("size"))
 
@@ -232,7 +235,7 @@ def cut(marked_rows: DataFrame) -> DataFrame:
                 gone.append(n - len(left))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at)), pa.array(gone, pa.int64()), pa.array([len(x) for x in spans], pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], names)
 
-    return marked_rows.mapInArrow(run, schema)
+    return marked_rows.mapInArrow(releasing(run), schema)
 
 
 def digests(docs: DataFrame) -> DataFrame:

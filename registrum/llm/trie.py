@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import releasing
+
 MARK = "▁"
 #: Trie nodes, and pre-tokens with a stored count, that a worker keeps.
 NODES, TERMINALS = 1_000_000, 400_000
@@ -110,4 +112,4 @@ def counted(docs: DataFrame, model: Unigram, text: str = "text", keep: tuple[str
             got = [trie.tokens(t.as_py()) for t in batch.column(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array([x[k] for x in got], pa.int64()) for k in (0, 1))], schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(releasing(run), schema)
