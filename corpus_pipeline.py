@@ -31,9 +31,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.select(*[F.col(f"`{own}{c}`").alias(c) for c in docs.columns])
 
 
+#: Near duplicates have at least this percentage of their shingles in common.
+SIMILAR = 80
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: the one with the smallest id. Rows that repeat it, id included, come down to one."""
-    dropped = minhash.linked(docs).where("not kept and n_shingles > 0").select("doc_id").distinct()
+    dropped = minhash.linked(docs, percent=SIMILAR).where("not kept and n_shingles > 0").select("doc_id").distinct()
     kept = docs.join(dropped, "doc_id", "left_anti").select(_all(docs))
     known = kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"])
     return known.unionByName(kept.where("doc_id is null"))

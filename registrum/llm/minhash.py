@@ -3,8 +3,8 @@
 A document's set is its distinct shingles of five words. Its signature is CHUNKS * SYMBOLS minimum hashes cut to 16 bits each. By the pigeonhole
 principle, signatures that differ in fewer than 2 * CHUNKS symbols have a chunk with at most one differing symbol; so for each chunk every
 single error is enumerated: a key is made of the chunk without one of its symbols, and all pairs under that signature distance share a
-key. At the threshold of 0.85 a pair differs in 9 of 60 symbols on average; that no chunk at all has fewer than two errors, the only way
-to lose it, has the chance 0.22 ** 10 < 1e-6.
+key. At a similarity of 0.85 a pair differs in 9 of 60 symbols on average, at 0.8 in 12; that no chunk at all has fewer than two errors, the
+only way to lose it, has the chance 0.22 ** 10 < 1e-6, or 0.34 ** 10 < 3e-5.
 
 Work follows the number of documents, not of pairs:
 1. equal sets collapse to one node (a 128-bit fingerprint of the whole set), so copies are never compared;
@@ -20,6 +20,7 @@ Repeated rows are copies; texts are read whole. Extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -34,8 +35,8 @@ from .graph import components
 SHINGLE, CHUNKS, SYMBOLS = 5, 10, 6
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 85
-#: Differing symbols up to which signatures are candidates: 1e-5 of pairs at the threshold have more.
-LOOSE = 22
+#: Signatures are candidates up to so many differing symbols more than the mean at the threshold, in standard deviations: 1e-5 of pairs have more.
+DEVIATIONS = 4.7
 #: Nodes of a block, of signatures and of full sets; nodes with candidates that are few enough to broadcast.
 BLOCK_SIGNATURES, BLOCK_SETS, BROADCAST = 2048, 512, 200_000
 
@@ -97,6 +98,12 @@ def keys(signature: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def loose(percent: int) -> int:
+    """Differing symbols up to which signatures are candidates for links of `percent`."""
+    n, p = CHUNKS * SYMBOLS, 1 - percent / 100
+    return math.ceil(n * p + DEVIATIONS * (n * p * (1 - p)) ** 0.5)
+
+
 def _described(docs: DataFrame, text: str) -> DataFrame:
     """doc_id, n_shingles, node and check (the set's fingerprint) and sig of every row."""
     rows = docs.select("doc_id", F.col(text).alias("text"))
@@ -142,13 +149,13 @@ def _edges(nodes: np.ndarray, forest: list[tuple[int, int]]) -> pa.Table:
     return pa.table({"a": nodes[pairs[:, 0]], "b": nodes[pairs[:, 1]]})
 
 
-def _similar_signatures(table: pa.Table) -> pa.Table:
+def _similar_signatures(table: pa.Table, most: int) -> pa.Table:
     nodes = table.column("node").to_numpy()
     sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(len(nodes), -1)
-    return _edges(nodes, _forest(len(nodes), lambda i, left: (sig[left] != sig[i]).sum(1) <= LOOSE))
+    return _edges(nodes, _forest(len(nodes), lambda i, left: (sig[left] != sig[i]).sum(1) <= most))
 
 
-def _similar_sets(table: pa.Table) -> pa.Table:
+def _similar_sets(table: pa.Table, percent: int) -> pa.Table:
     nodes = table.column("node").to_numpy()
     sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
     sizes = np.array([len(x) for x in sets])
@@ -159,22 +166,23 @@ def _similar_sets(table: pa.Table) -> pa.Table:
     def near(i: int, left: np.ndarray) -> np.ndarray:
         mine = flat[start[i] : start[i + 1]]
         mark[mine] = True
-        fits = (100 * np.minimum(sizes[left], sizes[i]) >= PERCENT * np.maximum(sizes[left], sizes[i])).nonzero()[0]
+        fits = (100 * np.minimum(sizes[left], sizes[i]) >= percent * np.maximum(sizes[left], sizes[i])).nonzero()[0]
         out = np.zeros(len(left), bool)
         if len(fits):
             own = left[fits]
             at = np.concatenate([[0], np.cumsum(sizes[own])])
             where = np.arange(at[-1]) - np.repeat(at[:-1] - start[own], sizes[own])
             both = np.add.reduceat(mark[flat[where]].astype(np.int64), at[:-1])
-            out[fits] = 100 * both >= PERCENT * (sizes[own] + sizes[i] - both)
+            out[fits] = 100 * both >= percent * (sizes[own] + sizes[i] - both)
         mark[mine] = False
         return out
 
     return _edges(nodes, _forest(len(nodes), near))
 
 
-def linked(docs: DataFrame, text: str = "text", broadcast: int = BROADCAST, block_signatures: int = BLOCK_SIGNATURES, block_sets: int = BLOCK_SETS) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) and kept (doc_id = component_id) of every row."""
+def linked(docs: DataFrame, text: str = "text", percent: int = PERCENT, broadcast: int = BROADCAST, block_signatures: int = BLOCK_SIGNATURES, block_sets: int = BLOCK_SETS) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) and kept (doc_id = component_id) of every row; links have at least `percent` of their shingles in common (80 or more: the keys are made for that)."""
+    most = loose(percent)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
     text = "text"
     base, _ = staged(_described(docs, text), "sets")
@@ -191,8 +199,8 @@ def linked(docs: DataFrame, text: str = "text", broadcast: int = BROADCAST, bloc
 
     shared = sigs.select("node", "sig").mapInArrow(releasing(keyed), "key long, node long").withColumn("size", F.count("*").over(Window.partitionBy("key"))).where("size > 1")
     gathered = _in_blocks(shared.join(sigs.select("node", "sig"), "node"), "key", F.col("size"), block_signatures)
-    loose = gathered.groupBy("key", "i", "j").applyInArrow(_similar_signatures, "a long, b long")
-    roots, _ = staged(_members(components(loose)), "candidates")
+    close = gathered.groupBy("key", "i", "j").applyInArrow(lambda table: _similar_signatures(table, most), "a long, b long")
+    roots, _ = staged(_members(components(close)), "candidates")
 
     sized = roots.join(roots.groupBy("root").agg(F.count("*").alias("size")), "root")
     wanted = sized.join(sigs.select("node", "doc_id"), "node")
@@ -212,7 +220,7 @@ def linked(docs: DataFrame, text: str = "text", broadcast: int = BROADCAST, bloc
 
     sets = texts.mapInArrow(releasing(with_sets), "root long, size long, node long, shingles binary")
     blocks = _in_blocks(sets, "root", F.col("size"), block_sets)
-    links = blocks.groupBy("root", "i", "j").applyInArrow(_similar_sets, "a long, b long")
+    links = blocks.groupBy("root", "i", "j").applyInArrow(lambda table: _similar_sets(table, percent), "a long, b long")
     linked_nodes, _ = staged(_members(components(links)), "linked")
     named = linked_nodes.join(sigs.select("node", "doc_id"), "node")
     lowest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))

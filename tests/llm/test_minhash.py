@@ -7,7 +7,7 @@ from registrum.llm import minhash as M
 from registrum.llm.graph import components
 
 
-def brute(rows):
+def brute(rows, percent=85):
     sets = []
     for _, t in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
@@ -16,7 +16,7 @@ def brute(rows):
     for i in range(len(rows)):
         for j in range(i):
             both = len(sets[i] & sets[j])
-            if sets[i] and 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
+            if sets[i] and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
                 a, b = root[i], root[j]
                 root = [b if r == a else r for r in root]
     low = {}
@@ -42,11 +42,11 @@ def corpus():
     return rows
 
 
-@pytest.mark.parametrize("sizes", [{}, {"broadcast": 0, "block_signatures": 7, "block_sets": 5}])
+@pytest.mark.parametrize("sizes", [{}, {"broadcast": 0, "block_signatures": 7, "block_sets": 5}, {"percent": 80}])
 def test_equals_brute_force(spark, sizes):
     rows = corpus()
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, node string").repartition(4)
-    assert sorted(tuple(r) for r in M.linked(docs, **sizes).collect()) == brute(rows)
+    assert sorted(tuple(r) for r in M.linked(docs, **sizes).collect()) == brute(rows, sizes.get("percent", 85))
 
 
 def test_empty_table(spark):
