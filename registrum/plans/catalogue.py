@@ -479,7 +479,40 @@ def bar_after_amounts(t):
     k = F.col("c_custkey")
     barred = t("customer").where(k % 9 < 2).select(k.alias("uid"), F.when(k % 9 == 0, "REVOKED").otherwise("SUSPENDED").alias("status"), F.lit("license-confirmed").alias("identity"), (1996 + k % 4).cast("int").alias("expiry_year"), F.lit(None).cast("int").alias("reissue_year"))
     none = barred.where("false").select("uid", F.lit("").alias("list"), F.col("expiry_year").alias("bar_year"), F.lit("").alias("scope"))
-    return bars.dispositions(barred, facts, none, 2001).select("uid", "after_amount")
+    return bars.dispositions(barred, facts, none, 2001, first=1990).select("uid", "after_amount")
+
+
+@query(
+    """with p as (select c_custkey as uid, c_custkey as k, ['REVOKED', 'SUSPENDED', 'EXPIRED', 'TERMINATED', 'ACTIVE'][c_custkey % 5 + 1] as status, case when c_custkey % 4 = 0 then 'license-confirmed' when c_custkey % 11 = 0 then 'license-mismatch' else 'name-only' end as identity, 1994 + c_custkey % 6 as expiry, case when c_custkey % 13 = 0 then 2000 else 0 end as reissue from customer),
+    e as (select *, case when status in ('REVOKED', 'SUSPENDED', 'TERMINATED') and reissue <= expiry then expiry end as proxy, case when k % 3 = 0 then 1995 + k % 8 end as formal, case when k % 2 = 0 then 'MEDICAID' else '' end as scope from p where status <> 'ACTIVE'),
+    f as (select o_custkey as uid, case o_orderstatus when 'F' then 'Medicare Part D' when 'O' then 'Medicaid' else 'WA state grants' end as program, year(o_orderdate) as year, floor(cast(sum(cast(o_totalprice as decimal(14, 2))) as double) / power(10, o_custkey % 4)) as amount from orders group by 1, 2, 3, o_custkey),
+    d as (select f.*, identity, case when formal is not null and contains(upper(program), scope) then formal else proxy end as bar from f join e using (uid)),
+    g as (select uid, program, identity, bar, sum(amount) as total, max(year) as last, coalesce(sum(amount) filter (year = bar), 0) as same, min(year) filter (year > bar) as lf, max(year) filter (year > bar) as lt, count(*) filter (year > bar) as ln, coalesce(sum(amount) filter (year > bar), 0) as ls, max(year) filter (year > bar and year <= bar + 2) as nt, coalesce(sum(amount) filter (year > bar and year <= bar + 2), 0) as ns from d group by 1, 2, 3, 4),
+    h as (select *, coalesce(identity = 'license-confirmed' and lt - lf + 1 = ln and lf - bar <= 2, false) as whole, contains(program, 'Part D') as refills from g),
+    a as (select *, case when whole then ls else ns end as after, case when whole then lt else nt end as aft from h),
+    rb as (select uid, max(bar) as rbar from a where refills and aft is not null group by 1),
+    pr as (select uid, sum(amount) as prior from a join rb using (uid) join f using (uid, program) where refills and aft is not null and year between rbar - 1 and rbar group by 1),
+    u as (select uid, sum(total) as total, max(last) as last, sum(after) as after, max(aft) as aft, sum(same) as same, sum(ls - after) as dropped, bool_and(refills) filter (aft is not null) as only_refills, bool_and(starts_with(program, 'WA state')) as named from a group by 1),
+    v as (select *, coalesce(formal, proxy) as any_bar, identity = 'license-mismatch' or named as doubtful, aft is not null and after < greatest(1000, 0.02 * total) and after <= 0.5 * total as trivial from u join e using (uid) left join rb using (uid) left join pr using (uid)),
+    w as (select *, aft is not null and not trivial and not doubtful as counted, case when after < 1000 then 22 when after < 25000 then 35 when after < 100000 then 45 else 50 end as dollars from v),
+    x as (select *, counted and coalesce(only_refills and aft <= rbar + 1 and prior > 0 and after < 0.35 * prior, false) as runoff, not counted and not doubtful and coalesce(last < any_bar or (2001 > any_bar and (last = any_bar or trivial)), false) as ceased, coalesce(any_bar > 2001, false) as unseen, coalesce(last > any_bar, false) as beyond from w),
+    y as (select *, case when runoff then least(dollars, 20) else dollars end as hard, case when total < 1000 then least(soft, 15) when total < 25000 then least(soft, 28) else soft end as mild from (select *, case when unseen then 14 when beyond then 18 else 35 end as soft from x))
+    select uid, case when doubtful then 'paid_attribution_unconfirmed' when counted then 'paid_after_barred' when ceased then 'paid_before_bar' else 'paid_while_sanctioned' end as rule_id,
+    cast(case when doubtful then 8 when counted then case when after >= 100000 or 2001 - aft < 5 then hard when 2001 - aft >= 8 then greatest(8, round_even(hard * 0.3, 0)) else greatest(10, round_even(hard * 0.6, 0)) end when ceased then 10
+      else case when 2001 - last >= 8 then greatest(8, round_even(mild * 0.3, 0)) when 2001 - last >= 5 then greatest(10, round_even(mild * 0.6, 0)) else mild end end as double) as severity,
+    round(after, 2) as after_amount, runoff, round(same, 2) as same_amount, round(dropped, 2) as dropped, not counted and not doubtful and not ceased and beyond and not unseen as out_of_scope from y"""
+)
+def dated_bar_tree(t):
+    k = F.col("c_custkey")
+    people_ = t("customer").select(
+        k.alias("uid"), F.element_at(F.array(*map(F.lit, ["Revoked", "SUSPENDED", "Expired", "TERMINATED", "ACTIVE"])), (k % 5 + 1).cast("int")).alias("status"), F.when(k % 4 == 0, "license-confirmed").when(k % 11 == 0, "license-mismatch").otherwise("name-only").alias("identity"),
+        (1994 + k % 6).cast("int").alias("expiry_year"), F.when(k % 13 == 0, 2000).alias("reissue_year"),
+    )
+    program = F.when(F.col("o_orderstatus") == "F", "Medicare Part D").when(F.col("o_orderstatus") == "O", "Medicaid").otherwise("WA state grants")
+    facts = t("orders").groupBy(F.col("o_custkey").alias("uid"), program.alias("program"), F.year("o_orderdate").alias("year")).agg(F.sum(F.col("o_totalprice").cast("decimal(14,2)")).cast("double").alias("sum"))
+    facts = facts.select("uid", "program", "year", F.floor(F.col("sum") / F.pow(F.lit(10), F.col("uid") % 4)).cast("double").alias("amount"))
+    listed = t("customer").where(k % 3 == 0).select(k.alias("uid"), F.lit("list").alias("list"), (1995 + k % 8).cast("int").alias("bar_year"), F.when(k % 2 == 0, "Medicaid").otherwise("").alias("scope"))
+    return bars.dispositions(people_, facts, listed, 2001, recent=2, first=1990).select("uid", "rule_id", "severity", "after_amount", "runoff", "same_amount", "dropped", "out_of_scope")
 
 
 # Rules with side tables -----------------------------------------------------------------------------------------------------------

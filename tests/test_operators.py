@@ -63,7 +63,9 @@ def test_dated_bars(spark):
     listed = spark.createDataFrame([(u, "l", 2019, "") for u in ("after", "small", "before")] + [("scope", "m", 2019, "medicaid")], "uid string, list string, bar_year int, scope string")
     got = {r.uid: (r.rule_id, r.severity) for r in bars.dispositions(e, facts, listed, 2022).collect()}
     assert got["after"] == ("paid_after_barred", 50.0) and got["before"][0] == "paid_before_bar" and got["other"] == ("paid_attribution_unconfirmed", 8.0)
-    assert got["same"][0] == "paid_while_sanctioned" and got["again"][0] == "paid_while_sanctioned" and got["scope"][0] == "paid_while_sanctioned" and "fine" not in got
+    assert got["same"][0] == "paid_before_bar" and got["small"] == ("paid_after_barred", 22.0) and got["again"][0] == "paid_while_sanctioned" and got["scope"] == ("paid_while_sanctioned", 18.0) and "fine" not in got
+    early = {r.uid: r for r in bars.dispositions(e, facts.where("year = 2020"), listed, 2020).collect()}  # money of the bar's year, and data that end there: nothing is known
+    assert early["same"].rule_id == "paid_while_sanctioned" and early["same"].same_amount == 5_000.0
 
 
 def test_identity(spark):
