@@ -2,26 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from registrum.functions.text import operator_id
+from registrum.functions.text import first_of, operator_id
 
 
 def rollup(members: DataFrame) -> DataFrame:
-    """One row per component of members (root, uid, source, name, person, score, funds, barred, contradiction): people are counted once, the name is that of the best member."""
+    """One row per component of members (root, uid, source, name, person, score, funds, barred, sanctioned, contradiction).
+
+    People are counted once. A barred or sanctioned member is verified unless it is a health-care credential, which meets others by a person's
+    name only. The base score is that of the first member by bar, score and money. The name is that of a verified barred member in this
+    place, else of the organization with the most money, else the longest."""
+    order = F.struct("barred", "score", "funds", "uid")
+    org = F.col("source") != "healthcare"
+    adverse = F.col("barred") | F.col("sanctioned")
     rows = members.groupBy("root").agg(
         operator_id(F.collect_set("uid")).alias("operator_id"), F.count_distinct("uid").alias("members"), F.count_distinct("source").alias("sources"),
-        F.count_distinct(F.when(F.col("barred"), F.col("person"))).alias("barred_people"), F.round(F.sum("funds"), 2).alias("funds"), F.round(F.sum("contradiction"), 2).alias("contradiction"),
-        F.max("score").alias("base"), F.max_by("name", F.struct("score", "uid")).alias("name"),
+        F.count_distinct(F.when(F.col("barred"), F.col("person"))).alias("barred_people"), F.count_distinct(F.when(F.col("sanctioned"), F.col("person"))).alias("sanctioned_people"), F.count_distinct(F.when(adverse & org, F.col("person"))).alias("verified"),
+        F.round(F.sum("funds"), 2).alias("funds"), F.round(F.sum("contradiction"), 2).alias("contradiction"), F.coalesce(F.sum(F.when(F.col("sanctioned"), F.col("funds"))), F.lit(0.0)).alias("sanctioned_funds"),
+        F.max_by(F.struct("source", "name", "barred", "score"), order).alias("top"), F.max_by(F.struct("name", "funds"), F.when(org, F.struct("funds", "uid"))).alias("paid"), F.max_by("name", F.struct(org, F.length("name"), F.col("uid"))).alias("longest"),
     )
-    return rows
+    name = first_of((F.col("top.barred") & (F.col("top.source") != "healthcare"), F.col("top.name")), (F.col("paid.funds") > 0, F.col("paid.name")), default=F.col("longest"))
+    unproven = (F.col("verified") == 0) & (F.col("barred_people") + F.col("sanctioned_people") > 0) & (F.col("top.source") == "healthcare")
+    base = F.when(unproven, F.least(F.col("top.score"), F.lit(15.0))).otherwise(F.col("top.score"))
+    return rows.withColumn("name", name).withColumn("base", base).drop("top", "paid", "longest")
 
 
-def scored(rolled: DataFrame, clean: int = 20) -> DataFrame:
-    """operator score: the best member's, 30 for money that contradicts a bar, 15 for a barred person, up to 12 for sources; 100 at most; large clean groups times 0.4, without money 45 at most."""
-    s = F.col("base") + F.when(F.col("contradiction") > 0, 30).otherwise(0) + F.when(F.col("barred_people") > 0, 15).otherwise(0) + F.least(F.lit(12), 4 * (F.col("sources") - 1))
+def scored(rolled: DataFrame, bonus: Column | float = 0.0, institution: Column | bool = False, large: int = 20) -> DataFrame:
+    """The operator's score, 100 at most: its base, the bonus of its structure, 30 for money that contradicts a bar, 15 for a barred person in an
+    operator with money to sanctioned members, up to 12 for further barred people. Institutions without verified evidence count half, large
+    groups without any 0.4; without money and verified evidence 45 is the most."""
+    bonus = bonus if isinstance(bonus, Column) else F.lit(float(bonus))
+    institution = institution if isinstance(institution, Column) else F.lit(institution)
+    barred, calm = F.col("barred_people"), F.col("contradiction") == 0
+    s = F.col("base") + bonus + F.when(calm, 0).otherwise(30) + F.when((barred >= 1) & (F.col("sanctioned_funds") > 0), 15).otherwise(0) + F.when(barred >= 2, F.least(F.lit(12), 4 * (barred - 1))).otherwise(0)
     s = F.least(s, F.lit(100.0))
-    s = F.when((F.col("members") >= clean) & (F.col("barred_people") == 0), s * 0.4).otherwise(s)
-    s = F.when(F.col("funds") == 0, F.least(s, F.lit(45.0))).otherwise(s)
+    s = F.when(institution & (F.col("verified") == 0) & calm, s * 0.5).otherwise(s)
+    s = F.when((F.col("members") >= large) & (barred == 0) & calm, s * 0.4).otherwise(s)
+    s = F.when((F.col("funds") == 0) & (F.col("verified") == 0) & calm, F.least(s, F.lit(45.0))).otherwise(s)
     return rolled.withColumn("score", F.bround(s, 1)).drop("base")
+
+
+def identity_bonus(keys: DataFrame) -> DataFrame:
+    """root and bonus of components whose members share hard identifiers: keys (root, uid, kind, key, brand) of the kinds ubi (16), agent (14),
+    gov (12) and owner (16). Agents and officers count only across different brands."""
+    shared = keys.groupBy("root", "kind", "key").agg(F.count_distinct("uid").alias("n"), F.count_distinct("brand").alias("brands"))
+    shared = shared.where((F.col("n") >= 2) & (~F.col("kind").isin("agent", "gov") | (F.col("brands") >= 2))).select("root", "kind").distinct()
+    points = first_of((F.col("kind").isin("ubi", "owner"), 16), (F.col("kind") == "agent", 14), (F.col("kind") == "gov", 12), default=0)
+    return shared.groupBy("root").agg(F.sum(points).alias("bonus"))

@@ -305,17 +305,32 @@ def connected_components(t):
 
 
 @query(
-    f"""{ROOTS}, m as (select root, 'part:' || node as uid, p_brand as source, p_name as name, p_name as person, cast(p_size as double) as score, p_retailprice as funds, p_size > 40 as barred, case when p_size > 45 then p_retailprice else 0 end as contradiction from roots join part on node = p_partkey),
-    r as (select root, 'op:' || left(md5(string_agg(uid, '|' order by uid)), 12) as operator_id, count(*) as members, count(distinct source) as sources, count(distinct case when barred then person end) as barred_people, round(sum(funds), 2) as funds, round(sum(contradiction), 2) as contradiction, max(score) as base, arg_max(name, score * 1000000 + node) as name from (select *, cast(substr(uid, 6) as bigint) as node from m) group by 1)
-    select operator_id, members, sources, barred_people, funds, contradiction, round_even(least(100.0, base + case when contradiction > 0 then 30 else 0 end + case when barred_people > 0 then 15 else 0 end + least(12, 4 * (sources - 1))), 1) as score from r"""
+    f"""{ROOTS}, m as (select root, 'part:' || node as uid, case when node % 3 = 0 then 'healthcare' else p_brand end as source, p_name as person, cast(p_size as double) as score, case when node % 5 = 0 then 0 else p_retailprice end as funds, p_size > 40 as barred, p_size > 30 and node % 2 = 0 as sanctioned, case when p_size > 45 then p_retailprice else 0 end as contradiction from roots join part on node = p_partkey),
+    r as (select root, 'op:' || left(md5(string_agg(uid, '|' order by uid)), 12) as operator_id, count(*) as members, count(distinct source) as sources, count(distinct case when barred then person end) as barred_people, count(distinct case when sanctioned then person end) as sanctioned_people, count(distinct case when (barred or sanctioned) and source <> 'healthcare' then person end) as verified,
+      round(sum(funds), 2) as funds, round(sum(contradiction), 2) as contradiction, coalesce(sum(funds) filter (sanctioned), 0) as sanctioned_funds from m group by 1),
+    top as (select root, source, score from m qualify row_number() over (partition by root order by barred desc, score desc, funds desc, uid desc) = 1),
+    s as (select r.*, least(100.0, case when verified = 0 and barred_people + sanctioned_people > 0 and source = 'healthcare' then least(score, 15) else score end + case when contradiction > 0 then 30 else 0 end + case when barred_people >= 1 and sanctioned_funds > 0 then 15 else 0 end + case when barred_people >= 2 then least(12, 4 * (barred_people - 1)) else 0 end) as raw from r join top using (root))
+    select operator_id, members, sources, barred_people, verified, funds, contradiction, round_even(cast(case when funds = 0 and verified = 0 and contradiction = 0 then least(raw, 45) else raw end as double), 1) as score from s"""
 )
 def operator_rollup(t):
     p = t("part")
-    members = _roots(t).join(p, F.col("node") == F.col("p_partkey")).select(
-        "root", F.concat(F.lit("part:"), "node").alias("uid"), F.col("p_brand").alias("source"), F.col("p_name").alias("name"), F.col("p_name").alias("person"), F.col("p_size").cast("double").alias("score"),
-        F.col("p_retailprice").alias("funds"), (F.col("p_size") > 40).alias("barred"), F.when(F.col("p_size") > 45, F.col("p_retailprice")).otherwise(0.0).alias("contradiction"),
+    node = F.col("node")
+    members = _roots(t).join(p, node == F.col("p_partkey")).select(
+        "root", F.concat(F.lit("part:"), "node").alias("uid"), F.when(node % 3 == 0, "healthcare").otherwise(F.col("p_brand")).alias("source"), F.col("p_name").alias("name"), F.col("p_name").alias("person"), F.col("p_size").cast("double").alias("score"),
+        F.when(node % 5 == 0, 0.0).otherwise(F.col("p_retailprice")).alias("funds"), (F.col("p_size") > 40).alias("barred"), ((F.col("p_size") > 30) & (node % 2 == 0)).alias("sanctioned"), F.when(F.col("p_size") > 45, F.col("p_retailprice")).otherwise(0.0).alias("contradiction"),
     )
-    return resolve.scored(resolve.rollup(members)).select("operator_id", "members", "sources", "barred_people", "funds", "contradiction", "score")
+    return resolve.scored(resolve.rollup(members)).select("operator_id", "members", "sources", "barred_people", "verified", "funds", "contradiction", "score")
+
+
+@query(
+    """with k as (select s_suppkey // 4 as root, s_suppkey as uid, ['ubi', 'agent', 'gov', 'owner'][s_nationkey % 4 + 1] as kind, s_nationkey % 3 as key, s_suppkey % 3 as brand from supplier),
+    f as (select distinct root, kind from (select root, kind, key from k group by 1, 2, 3 having count(distinct uid) >= 2 and (kind not in ('agent', 'gov') or count(distinct brand) >= 2)))
+    select root, cast(sum(case kind when 'agent' then 14 when 'gov' then 12 else 16 end) as bigint) as bonus from f group by 1"""
+)
+def identity_bonus(t):
+    k, n = F.col("s_suppkey"), F.col("s_nationkey")
+    kind = F.element_at(F.array(*map(F.lit, ["ubi", "agent", "gov", "owner"])), (n % 4 + 1).cast("int"))
+    return resolve.identity_bonus(t("supplier").select(F.floor(k / 4).alias("root"), k.alias("uid"), kind.alias("kind"), (n % 3).alias("key"), (k % 3).alias("brand")))
 
 
 @query(

@@ -89,9 +89,13 @@ def test_links(spark):
 
 
 def test_operator_scores(spark):
-    members = spark.createDataFrame([("r", "a", "s1", "A", "p", 40.0, 10.0, True, 5.0), ("r", "b", "s2", "B", "p", 20.0, 0.0, True, 0.0)], "root string, uid string, source string, name string, person string, score double, funds double, barred boolean, contradiction double")
-    got = resolve.scored(resolve.rollup(members)).first()
-    assert (got.barred_people, got.sources, got["name"], got.score) == (1, 2, "A", 89.0) and got.operator_id.startswith("op:") and len(got.operator_id) == 15
+    schema = "root string, uid string, source string, name string, person string, score double, funds double, barred boolean, sanctioned boolean, contradiction double"
+    rows = [("r", "a", "s1", "A", "p", 40.0, 10.0, True, True, 5.0), ("r", "b", "s2", "B", "p", 20.0, 0.0, True, False, 0.0)]
+    rows += [("n", "c", "healthcare", "Jane Roe", "q", 80.0, 0.0, True, True, 0.0), ("n", "d", "childcare", "Day Care", "d", 5.0, 0.0, False, False, 0.0)]
+    got = {r.root: r for r in resolve.scored(resolve.rollup(spark.createDataFrame(rows, schema))).collect()}
+    r = got["r"]
+    assert (r.barred_people, r.sources, r["name"], r.verified, r.score) == (1, 2, "A", 1, 85.0) and r.operator_id.startswith("op:") and len(r.operator_id) == 15
+    assert (got["n"].score, got["n"].verified, got["n"]["name"]) == (15.0, 0, "Day Care")
 
 
 def test_changes(spark):
