@@ -296,7 +296,7 @@ ROOTS = f"with recursive {KEYS}, both_ as (select a, b from edges union select b
 def _roots(t):
     p = t("part")
     keys = p.select(F.col("p_partkey").alias("uid"), F.concat(F.lit("a"), "p_brand", "p_size", "p_type").alias("key")).unionByName(p.select(F.col("p_partkey").alias("uid"), F.concat(F.lit("b"), F.bround("p_retailprice", 0).cast("long").cast("string"), F.col("p_size").cast("string")).alias("key")))
-    return graph.components(graph.key_edges(keys, 2, 3))
+    return graph.components(graph.key_edges(keys, 2, 8))
 
 
 @query(f"{ROOTS} select node, root from roots")
