@@ -86,6 +86,7 @@ def found(docs: DataFrame, items: DataFrame, text: str = "text", window: int = W
 
 
 def clean(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
-    """The documents in which no item is found. Rows without an id are checked like others and kept where their text is clean."""
-    dirty = found(docs, items, text).select("doc_id").distinct()
-    return docs.join(dirty, docs["doc_id"].eqNullSafe(dirty["doc_id"]), "left_anti")
+    """The documents in which no item is found. Rows without an id are checked like others, each by its own text, and kept where it is clean."""
+    key = F.coalesce(F.concat(F.lit("id "), F.col("doc_id").cast("string")), F.concat(F.lit("text "), F.sha2(F.col(text), 256)))
+    dirty = found(docs.select(key.alias("doc_id"), F.col(text).alias("text")), items).select(F.col("doc_id").alias("__dirty")).distinct()
+    return docs.join(dirty, key == F.col("__dirty"), "left_anti")

@@ -61,3 +61,11 @@ def test_clean_and_empty(spark):
     assert {r.doc_id for r in clean(docs, items).collect()} == {0, 1, 5, 7, 9}
     assert found(docs.limit(0), items).collect() == [] and found(docs, items.limit(0)).collect() == []
     assert clean(docs, items.limit(0)).count() == len(DOCS) - 1
+
+
+def test_clean_checks_rows_without_an_id(spark):
+    docs = spark.createDataFrame([*DOCS, (None, "clean text"), (None, None), (None, "pre " + ITEM)], "doc_id long, text string")
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    got = [(r.doc_id, r.text) for r in clean(docs, items).collect()]
+    assert {d for d, _ in got if d is not None} == {0, 1, 5, 7, 9}
+    assert sorted(str(t) for d, t in got if d is None) == ["None", "clean text"]
