@@ -108,8 +108,16 @@ def majority_root(rows: DataFrame, share: float = 0.5) -> DataFrame:
     return out.where(F.col("n") / F.col("total") >= share).select("cluster", "root", "n", "total")
 
 
-def misspelled(words: DataFrame, rare: int = 3, common: int = 5, least: int = 5) -> DataFrame:
-    """Rare words (word) one edit away from a common one: word, likely, frequency. Candidates meet on the word with one letter left out, so no length class is joined with itself."""
+#: Long, often misspelled words with few near ones: only these are met with two edits.
+ANCHORS = (
+    "professional accommodation rehabilitation comprehensive development environment independent opportunity international achievement management association foundation transportation "
+    "excellence enrichment montessori counseling elementary education behavioral residential pediatric"
+).split()
+
+
+def misspelled(words: DataFrame, rare: int = 3, common: int = 5, least: int = 5, long: int = 8) -> DataFrame:
+    """Rare words (word) one edit away from a common one: word, likely, frequency. Candidates meet on the word with one letter left out, so no length class is joined with itself.
+    Rare words of `long` letters or more that meet none are compared with the ANCHORS, at two edits at most; an added s or es is no misspelling there."""
     from registrum.functions.text import one_edit
 
     counts = words.where(F.length("word") >= least).groupBy("word").agg(F.count("*").alias("n"))
@@ -117,7 +125,16 @@ def misspelled(words: DataFrame, rare: int = 3, common: int = 5, least: int = 5)
     odd = counts.where(F.col("n") <= rare).select("word", F.explode(cuts).alias("cut"))
     usual = counts.where(F.col("n") >= common).select(F.col("word").alias("likely"), "n", F.explode(cuts).alias("cut"))
     pairs = odd.join(usual, "cut").select("word", "likely", "n").distinct().where(one_edit(F.col("word"), F.col("likely")))
-    return pairs.groupBy("word").agg(F.max_by("likely", F.struct("n", "likely")).alias("likely"), F.max("n").alias("frequency"))
+    near = pairs.groupBy("word").agg(F.max_by("likely", F.struct("n", "likely")).alias("likely"), F.max("n").alias("frequency"))
+
+    anchors = F.explode(F.array(*map(F.lit, ANCHORS))).alias("likely")
+    far = counts.where((F.col("n") <= rare) & (F.length("word") >= long) & ~F.col("word").isin(ANCHORS)).select("word", anchors).where("levenshtein(word, likely, 2) >= 0")
+    w, a = F.col("word"), F.col("likely")
+    plural = (w == F.concat(a, F.lit("s"))) | (a == F.concat(w, F.lit("s"))) | (w == F.concat(a, F.lit("es"))) | (a == F.concat(w, F.lit("es")))
+    known = counts.where(F.col("word").isin(ANCHORS)).select(F.col("word").alias("likely"), "n")
+    far = far.where(~plural).join(near, "word", "left_anti").join(F.broadcast(known), "likely", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    far = far.groupBy("word").agg(F.max_by("likely", F.struct("n", "likely")).alias("likely"), F.max("n").alias("frequency"))
+    return near.unionByName(far)
 
 
 def union(*flags: DataFrame) -> DataFrame:

@@ -342,7 +342,7 @@ def identity_bonus(t):
     select word, likely, n as frequency from pairs qualify row_number() over (partition by word order by n desc, likely desc) = 1"""
 )
 def misspelled_words(t):
-    return rules.misspelled(t("documents").where("lang = 'en'").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word")))
+    return rules.misspelled(t("documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word")))
 
 
 @query("with w as (select distinct list_sort(string_split(p_name, ' ')) as want, p_name from part where p_size = 1) select p_partkey as uid, w.p_name as subset from part join w on len(list_filter(string_split(w.p_name, ' '), lambda x: not list_contains(string_split(part.p_name, ' '), x))) = 0")

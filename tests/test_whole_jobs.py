@@ -24,3 +24,11 @@ def test_keys_of_two_to_eight_members_connect(spark, tmp_path):
     want = {(n, min(g)) for g in groups.values() if 2 <= len(g) <= 8 for n in g}
     assert {tuple(r) for r in catalogue.queries()["connected_components"](spark, str(tmp_path)).collect()} == want
     assert sorted(r.members for r in catalogue.queries()["operator_rollup"](spark, str(tmp_path)).collect()) == [2, 3, 4, 5, 6, 7, 8]
+
+
+def test_misspelled_words_of_every_language_and_of_two_edits(spark, tmp_path):
+    rows = [(1, "garden garden garden", "de"), (2, "garden gardem", "fr"), (3, "garden proffesional managements", None), (4, "anchors proffessionnal", "en")]
+    write(spark, tmp_path, "documents", rows, "doc_id long, text string, lang string")
+    got = {(r.word, r.likely, r.frequency) for r in catalogue.queries()["misspelled_words"](spark, str(tmp_path)).collect()}
+    # No language alone has "garden" five times; "managements" is a plural.
+    assert got == {("gardem", "garden", 5), ("proffesional", "professional", 0), ("proffessionnal", "professional", 0)}
