@@ -59,19 +59,42 @@ def overlapping(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return met.where((F.col("start") <= F.coalesce("end2", F.lit("9999-12-31"))) & (F.coalesce("end", F.lit("9999-12-31")) >= F.col("start2")))
 
 
-def blocked_pairs(rows: DataFrame, block: str, most: int = 40) -> DataFrame:
-    """Pairs of rows (uid, text, block) that share a block of 2 to `most` rows, uid below uid2."""
-    sized = rows.groupBy(block).agg(F.count_distinct("uid").alias("n")).where(F.col("n").between(2, most))
-    kept = rows.join(sized.select(block), block)
-    other = kept.select(block, F.col("uid").alias("uid2"), F.col("text").alias("text2"))
-    return kept.join(other, block).where("uid < uid2").select("uid", "uid2", "text", "text2").distinct()
-
-
-def ratio(left: str, right: str) -> Column:
-    """Similarity of two names: 1 for equal word sets, else the share of characters in matching blocks. No built-in function has it."""
+def words(text: Column) -> Column:
+    """The different words of a text, cut at white space as Python's split() does."""
+    return F.array_distinct(F.filter(F.split(text, r"(?U)[\s\x1c-\x1f]+"), lambda w: w != ""))
+
+
+def blocked_pairs(rows: DataFrame, near: Column, least: int = 5, most: int = 40) -> DataFrame:
+    """Pairs of rows (uid, text, block), uid below uid2, that share a word of `least` or more characters, the block or the whole text, where 2 to
+    `most` rows have it. `near` is a condition
+    that all wanted pairs fulfil, over the lengths n and n2 and the hashes of the word sets same and same2; it holds before texts are joined."""
+    rows = rows.where("text is not null")
+    # A word has no blank in it, so that the other two kinds of keys can't be taken for one.
+    others = F.array(F.concat(F.lit("block "), "block"), F.concat(F.lit("text "), F.sha2("text", 256)))
+    known = rows.select("uid", F.length("text").alias("n"), words(F.col("text")).alias("words"), others.alias("others"))
+    keys = F.filter(F.concat(F.filter("words", lambda w: F.length(w) >= least), "others"), lambda k: k.isNotNull())
+    known = known.select("uid", "n", F.xxhash64(F.array_sort("words")).alias("same"), F.explode(keys).alias("word"))
+    rows = rows.select("uid", "text")
+    sized = known.groupBy("word").agg(F.count_distinct("uid").alias("members")).where(F.col("members").between(2, most))
+    kept = known.join(sized.select("word"), "word")
+    other = kept.select("word", F.col("uid").alias("uid2"), F.col("n").alias("n2"), F.col("same").alias("same2"))
+    pairs = kept.join(other, "word").where("uid < uid2").where(near).select("uid", "uid2").distinct()
+    return pairs.join(rows, "uid").join(rows.select(F.col("uid").alias("uid2"), F.col("text").alias("text2")), "uid2").select("uid", "uid2", "text", "text2")
+
+
+def ratio(left: str, right: str, least: float = 0.0) -> Column:
+    """Similarity of two names: 1 for equal word sets, else the share of characters in matching blocks. Where that can't reach `least`, a higher
+    value that doesn't either. No built-in function has it."""
+
+    def one(x: str, y: str) -> float:
+        if set(x.split()) == set(y.split()):
+            return 1.0
+        m = difflib.SequenceMatcher(None, x, y)
+        bound = m.quick_ratio() if least else 1.0
+        return m.ratio() if bound >= least else bound
 
     def compared(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([1.0 if set(x.split()) == set(y.split()) else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a.fillna(""), b.fillna(""), strict=True)], dtype="float64")
+        return pd.Series([one(x, y) for x, y in zip(a.fillna(""), b.fillna(""), strict=True)], dtype="float64")
 
     return F.pandas_udf(compared, "double")(left, right)
 

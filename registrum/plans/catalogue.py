@@ -260,18 +260,20 @@ def paid_after_deactivation(t):
 BLOCKED = "r as (select doc_id as uid, lang || left(text, 8) as block, regexp_replace(left(text, 120), '[^ -~]', '?', 'g') as text from documents), s as (select block from r group by 1 having count(distinct uid) between 2 and 40), pairs as (select distinct a.uid, b.uid as uid2, a.text, b.text as text2 from r a join s using (block) join r b using (block) where a.uid < b.uid)"
 
 
-def _pairs(t):
-    return linkage.blocked_pairs(t("documents").select(F.col("doc_id").alias("uid"), F.concat("lang", F.left("text", F.lit(8))).alias("block"), F.regexp_replace(F.left("text", F.lit(120)), "[^ -~]", "?").alias("text")), "block")
+def _pairs(t, near):
+    return linkage.blocked_pairs(t("documents").select(F.col("doc_id").alias("uid"), "text", F.concat("lang", F.left("text", F.lit(8))).alias("block")), near)
 
 
 @query(f"with {BLOCKED} select uid, uid2, cast(levenshtein(text, text2) as integer) as edits from pairs where levenshtein(text, text2) <= 8")
 def fuzzy_block_pairs(t):
-    return _pairs(t).withColumn("edits", F.levenshtein("text", "text2", 8)).where("edits >= 0").select("uid", "uid2", "edits")
+    return _pairs(t, F.expr("abs(n - n2) <= 8")).withColumn("edits", F.levenshtein("text", "text2", 8)).where("edits >= 0").select("uid", "uid2", "edits").distinct()
 
 
 @query(None)
 def fuzzy_ratio(t):
-    return _pairs(t).withColumn("ratio", linkage.ratio("text", "text2")).where("ratio >= 0.9").select("uid", "uid2", F.round("ratio", 6).alias("ratio"))
+    # Matching blocks are at most as long as the shorter text.
+    near = F.expr("20 * least(n, n2) >= 9 * (n + n2) or same = same2")
+    return _pairs(t, near).withColumn("ratio", linkage.ratio("text", "text2", 0.9)).where("ratio >= 0.9").select("uid", "uid2", F.round("ratio", 6).alias("ratio")).distinct()
 
 
 PLACES = "p as (select vec_id as uid, 47 + round(cast(embedding[1] as double), 2) / 100 as lat, -122 + round(cast(embedding[2] as double), 2) / 100 as lon from embeddings where vec_id < 1000000)"

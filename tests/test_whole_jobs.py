@@ -1,5 +1,7 @@
 """Registered queries on small tables of their own, against brute force: what a cut of the input would lose."""
 
+import difflib
+
 from registrum.plans import catalogue
 
 
@@ -32,3 +34,28 @@ def test_misspelled_words_of_every_language_and_of_two_edits(spark, tmp_path):
     got = {(r.word, r.likely, r.frequency) for r in catalogue.queries()["misspelled_words"](spark, str(tmp_path)).collect()}
     # No language alone has "garden" five times; "managements" is a plural.
     assert got == {("gardem", "garden", 5), ("proffesional", "professional", 0), ("proffessionnal", "professional", 0)}
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_fuzzy_pairs_compare_whole_texts_that_share_a_word(spark, tmp_path):
+    base = " ".join(f"w{k:02}" for k in range(40)) + " shared"
+    texts = {1: base, 2: "Zz" + base, 3: base + " tail", 4: base + " a far longer other end of it", 5: base.replace("shared", "other"), 6: "é" + base[1:], 7: "shared again shared", 8: "again shared again", 9: None, 10: "shared", 11: "a b c d e f", 12: "a b c d g", 13: "h i", 14: "h i"}
+    rows = [(i, t, None if i < 3 else "en" if i < 5 else "fr") for i, t in texts.items()]
+    rows += [(100 + i, "common words", "en") for i in range(41)]  # two words in more than 40 rows
+    write(spark, tmp_path, "documents", rows, "doc_id long, text string, lang string")
+    lang = {i: x for i, _, x in rows}
+    keys = {i: {*(w for w in t.split() if len(w) > 4), ("text", t), ("block", lang[i] or i, t[:8])} for i, t in texts.items() if t}
+    met = [(i, j) for i in keys for j in keys if i < j and keys[i] & keys[j]]
+    want = {(i, j, e) for i, j in met if (e := edits(texts[i], texts[j])) <= 8}
+    assert {tuple(r) for r in catalogue.queries()["fuzzy_block_pairs"](spark, str(tmp_path)).collect()} == want >= {(1, 2, 2), (1, 3, 5), (2, 6, 3), (11, 12, 3), (13, 14, 0)}
+    alike = lambda a, b: 1.0 if set(a.split()) == set(b.split()) else difflib.SequenceMatcher(None, a, b).ratio()
+    want = {(i, j, round(r, 6)) for i, j in met if (r := alike(texts[i], texts[j])) >= 0.9}
+    assert {tuple(r) for r in catalogue.queries()["fuzzy_ratio"](spark, str(tmp_path)).collect()} == want >= {(7, 8, 1.0)}
