@@ -8,11 +8,14 @@ input. The corpus is never indexed as one text; equal strings are brought togeth
 2. Segments meet by anchor. One equal in whole (anchor, length and a further 56-bit hash) to an earlier segment is covered from end to end;
    a worker settles what repeats within its own batch at once, so that copies and common passages are thinned before the shuffle. Of
    anchors with several different segments, the first occurrence of each segment is asked for its text; all other anchors are done.
-3. Buckets of those segments get a run-length index each (`run_index`): their matching statistics are streamed, and windows that match an
-   earlier place are marked. Anchors with more than HOT different segments are spread by window instead: a group per window, the same test.
-4. Marks go back to their documents and overlapping ones are joined to spans.
-
-Null texts are empty. Rows without an id are left whole. Rows that repeat a doc_id are one document and must repeat its text.
+3. Buckets of those segments, in corpus order, get a run-length index each (`run_index`): its matching statistics are streamed from the samples
+   at run ends, and windows whose LENGTH bytes also start at a smaller position are marked.
+4. Anchors with more than HOT different segments would fill a task. Their segments are cut, at fixed distances from the anchor, into narrower
+   ones of NARROW[0] windows, keyed by the bytes that all these windows share, and go through 2 and 3 again; what is still hot then, in NARROW[1].
+5. Marks go back to their documents and overlapping ones are joined to spans.
+
+Null texts are empty. Rows without an id are left whole. Rows that repeat a doc_id and its text are one document; an id with different texts
+names no document, so its rows are left whole too.
 """
 
 from __future__ import annotations
@@ -25,11 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import freed, groups, mixed, prefix_hash, releasing, staged, utf8
+from .common import discard, freed, groups, mixed, prefix_hash, releasing, staged, utf8
 from .run_index import RunIndex
 
 #: Bytes of a repeated string and of an anchor; different segments of an anchor that go into one bucket; bytes of a bucket.
-LENGTH, SEED, HOT, BUCKET = 100, 32, 4096, 1 << 18
+LENGTH, SEED, HOT, BUCKET = 100, 32, 1024, 1 << 18
+#: Windows of the narrower segments of hot anchors.
+NARROW = (8, 1)
 #: Segments that a worker holds at once to settle what repeats among them.
 SETTLED = 250_000
 
@@ -67,24 +72,28 @@ def segments(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
     return row, start - (at[:-1] - base)[row], many, seeds[anchor[edge]], whole
 
 
+_ROWS = ["anchor", "segment", "doc", "start"]
+
+
+def _thinned(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+    """Rows (anchor, segment, doc, start) in which copies of a segment among them are marked as settled."""
+    anchor, segment, doc, start = (np.concatenate(x) for x in zip(*parts, strict=True))
+    if not len(anchor):
+        return
+    order = np.lexsort((start, doc, segment, anchor))
+    anchor, segment, doc, start = anchor[order], segment[order], doc[order], start[order]
+    new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (segment[1:] != segment[:-1])])
+    first = np.flatnonzero(new)[np.cumsum(new) - 1]
+    copy = (doc != doc[first]) | (start != start[first])
+    segment[copy] |= _DUP
+    anchor[copy] = mixed(doc[copy].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + start[copy].astype(np.uint64))  # settled: spread at random
+    for lo in range(0, len(anchor), 100_000):
+        part = slice(lo, lo + 100_000)
+        yield pa.RecordBatch.from_arrays([pa.array(anchor[part].view(np.int64)), pa.array(segment[part].view(np.int64)), pa.array(doc[part]), pa.array(start[part])], _ROWS)
+
+
 def _anchored(docs: DataFrame) -> DataFrame:
     """anchor, segment, doc and start of every segment; the low byte of `segment` holds its windows less one, and a bit for settled copies."""
-    names = ["anchor", "segment", "doc", "start"]
-
-    def settled(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        anchor, segment, doc, start = (np.concatenate(x) for x in zip(*parts, strict=True))
-        if not len(anchor):
-            return
-        order = np.lexsort((start, doc, segment, anchor))
-        anchor, segment, doc, start = anchor[order], segment[order], doc[order], start[order]
-        new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (segment[1:] != segment[:-1])])
-        first = np.flatnonzero(new)[np.cumsum(new) - 1]
-        copy = (doc != doc[first]) | (start != start[first])
-        segment[copy] |= _DUP
-        anchor[copy] = mixed(doc[copy].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + start[copy].astype(np.uint64))  # settled: spread at random
-        for lo in range(0, len(anchor), 100_000):
-            part = slice(lo, lo + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array(anchor[part].view(np.int64)), pa.array(segment[part].view(np.int64)), pa.array(doc[part]), pa.array(start[part])], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,17 +104,57 @@ def _anchored(docs: DataFrame) -> DataFrame:
                 parts.append((anchor, (whole & ~np.uint64(255)) | (many - 1).astype(np.uint64), ids[lo + row], start))
                 held += len(row)
                 if held > SETTLED:
-                    yield from settled(parts)
+                    yield from _thinned(parts)
                     parts, held = [], 0
             if parts:
-                yield from settled(parts)
+                yield from _thinned(parts)
 
     return docs.mapInArrow(releasing(run), "anchor long, segment long, doc long, start long")
 
 
-def _met(docs: DataFrame) -> DataFrame:
+def narrower(data: np.ndarray, at: np.ndarray, anchor: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+    """The segments data[at[i]:at[i + 1]] cut into runs of up to `width` windows that stand at the same distances from the anchor (runs of one window need none): segment of each, first byte in it, windows, hash of the bytes that all such windows share, hash of the whole."""
+    base, data = int(at[0]), data[at[0] : at[-1]]
+    at = at - base
+    sums, inverse = prefix_hash(data)
+    windows = np.diff(at) - LENGTH + 1
+    seeds = mixed((sums[SEED:] - sums[:-SEED]) * inverse[: len(data) - SEED + 1])
+    lo, hi = at[:-1] + windows - 1, at[:-1] + LENGTH - SEED + 1  # where a seed lies in all of a segment's windows
+    row = np.repeat(np.arange(len(windows)), hi - lo)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + lo[row]
+    hit = np.flatnonzero(seeds[place] == anchor[row])
+    where = np.full(len(windows), len(data))
+    np.minimum.at(where, row[hit], place[hit])
+    row = np.repeat(np.arange(len(windows)), windows)
+    start = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows) + at[row]
+    block = (where[row] - start) // width
+    edge = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (block[1:] != block[:-1])])) if len(row) else np.zeros(0, np.int64)
+    many = np.diff(np.concatenate([edge, [len(row)]]))
+    row, start, block = row[edge], start[edge], block[edge]
+    core = where[row] - block * width  # the last window start of a full block
+    end = core - width + 1 + LENGTH
+    key = mixed(((sums[end] - sums[core]) * inverse[core]) ^ np.uint64(width))
+    whole = mixed(((sums[start + many + LENGTH - 1] - sums[start]) * inverse[start]) ^ np.uint64(0xA5A5A5A5A5A5A5A5))
+    return row, start - at[row], many, key, whole
+
+
+def _narrowed(pieces: DataFrame, width: int) -> DataFrame:
+    """_anchored() for the narrower segments of rows of _pieces()."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            anchor, doc, start = (batch.column(k).to_numpy() for k in range(3))
+            data, at = utf8(batch.column(4))
+            for lo, hi in groups(at):
+                row, first, many, key, whole = narrower(data, at[lo : hi + 1], anchor[lo:hi].view(np.uint64), width)
+                yield from _thinned([(key, (whole & ~np.uint64(255)) | (many - 1).astype(np.uint64), doc[lo:hi][row], start[lo:hi][row] + first)])
+
+    return pieces.select("anchor", "doc", "start", "kinds", "bytes").mapInArrow(releasing(run), "anchor long, segment long, doc long, start long")
+
+
+def _met(rows: DataFrame) -> DataFrame:
     """anchor, doc, start, size and kinds: segments that are covered whole (kinds 0), and the first ones of anchors with several kinds."""
-    rows = _anchored(docs).repartition("anchor")
+    rows = rows.repartition("anchor")
     one = Window.partitionBy("anchor", "segment").orderBy("doc", "start")
     rows = rows.withColumn("first_doc", F.first("doc").over(one)).withColumn("first_start", F.first("start").over(one)).withColumn("turn", F.row_number().over(one))
     settled = F.col("segment").bitwiseAND(128) > 0
@@ -135,68 +184,53 @@ def _pieces(texts: DataFrame) -> DataFrame:
 
 def _indexed(table: pa.Table) -> pa.Table:
     """doc, start and size of the passages of a bucket that match an earlier one."""
-    table = table.sort_by([("doc", "ascending"), ("start", "ascending")])
     doc, start = table.column("doc").to_numpy(), table.column("start").to_numpy()
-    pieces = [np.frombuffer(x, np.uint8) for x in table.column("bytes").to_pylist()]
-    index = RunIndex(pieces)
-    found = index.matches(pieces)
-    windows = np.array([max(0, len(p) - LENGTH + 1) for p in pieces])
-    of = np.repeat(np.arange(len(pieces)), windows)
-    where = np.arange(windows.sum()) - np.repeat(windows.cumsum() - windows, windows)
-    place = np.concatenate([f[:w] for f, w in zip(found, windows, strict=True)])
-    kind = index.classes(LENGTH)[place]
-    turn = np.lexsort((start[of] + where, doc[of]))  # by document and position
-    rank = np.empty(len(of), np.int64)
-    rank[turn] = np.cumsum(np.concatenate([[False], (doc[of][turn][1:] != doc[of][turn][:-1]) | ((start[of] + where)[turn][1:] != (start[of] + where)[turn][:-1])]))
-    first = np.full(len(index.text) + 1, len(of), np.int64)
-    np.minimum.at(first, kind, rank)
-    late = np.flatnonzero(rank > first[kind])
-    cut = np.flatnonzero(np.concatenate([[True], (np.diff(late) > 1) | (np.diff(of[late]) > 0)])) if len(late) else late
-    many = np.diff(np.concatenate([cut, [len(late)]])) if len(late) else late
-    head = late[cut]
-    out = pa.table({"doc": doc[of[head]], "start": start[of[head]] + where[head], "size": many + LENGTH - 1})
-    del index, found, pieces
+    order = np.lexsort((start, doc))
+    order = order[np.concatenate([[True], (np.diff(doc[order]) != 0) | (np.diff(start[order]) != 0)])]  # repeated rows are one document
+    doc, start, raw = doc[order], start[order], table.column("bytes").to_pylist()
+    index = RunIndex([np.frombuffer(raw[k], np.uint8) for k in order])
+    late = index.late(LENGTH)
+    of = np.searchsorted(index.starts, late, "right") - 1
+    head = np.flatnonzero(np.concatenate([[True], (np.diff(late) > 1) | (np.diff(of) > 0)])) if len(late) else late
+    many = np.diff(np.concatenate([head, [len(late)]]))
+    of, late = of[head], late[head]
+    out = pa.table({"doc": doc[of], "start": start[of] + late - index.starts[of], "size": many + LENGTH - 1})
+    del index, raw
     freed()
     return out
 
 
-def _by_window(pieces: DataFrame) -> DataFrame:
-    """doc, start and size of windows that also start earlier, for anchors with very many segments: a group per window."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            doc, start = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            data, at = utf8(batch.column(2))
-            for lo, hi in groups(at):
-                own = data[at[lo] : at[hi]]
-                sums, inverse = prefix_hash(own)
-                windows = np.maximum(np.diff(at[lo : hi + 1]) - LENGTH + 1, 0)
-                of = np.repeat(np.arange(hi - lo), windows)
-                where = np.arange(windows.sum()) - np.repeat(windows.cumsum() - windows, windows)
-                i = at[lo:hi][of] - at[lo] + where
-                one = mixed((sums[i + LENGTH] - sums[i]) * inverse[i]).view(np.int64)
-                half = mixed((sums[i + LENGTH // 2] - sums[i]) * inverse[i]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(half), pa.array(doc[lo:hi][of]), pa.array(start[lo:hi][of] + where)], ["one", "half", "doc", "start"])
-
-    rows = pieces.select("doc", "start", "bytes").mapInArrow(releasing(run), "one long, half long, doc long, start long")
-    first = rows.groupBy("one", "half").agg(F.min(F.struct("doc", "start")).alias("first"))
-    return rows.join(first, ["one", "half"]).where(F.struct("doc", "start") > F.col("first")).select("doc", "start", F.lit(LENGTH).cast("long").alias("size"))
-
-
 def marked(docs: DataFrame, text: str = "text", hot: int = HOT, bucket: int = BUCKET) -> DataFrame:
     """doc_id, text and marks (start and size of covered passages in bytes, overlapping, unordered; null if none) of every row."""
+    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    met, _ = staged(_met(rows.where("doc_id is not null")), "segments")
-    asked = met.where("kinds > 0")
-    total, most = asked.agg(F.coalesce(F.sum("size"), F.lit(0)), F.max("kinds")).first()
-    marks = met.where("kinds = 0").select("doc", "start", "size")
-    if total:
-        lists = asked.groupBy("doc").agg(F.collect_list(F.struct("anchor", "start", "size", "kinds")).alias("asked"))
-        pieces = _pieces(rows.join(lists, rows["doc_id"] == lists["doc"]).select("doc_id", "text", "asked"))
-        buckets = F.pmod(F.xxhash64("anchor"), F.lit(-(-int(total) // bucket)))
-        marks = marks.unionByName(pieces.where(F.col("kinds") <= hot).groupBy(buckets.alias("bucket")).applyInArrow(_indexed, "doc long, start long, size long"))
-        if most > hot:
-            marks = marks.unionByName(_by_window(pieces.where(F.col("kinds") > hot)))
+    digest = F.xxhash64("text")
+    torn = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min(digest).alias("low"), F.max(digest).alias("high")).where("low <> high").select("doc_id")
+    torn, torn_path = staged(torn, "torn")
+    some = torn.limit(1).count() > 0
+    whole = rows.where("doc_id is not null")
+    whole = whole.join(torn, "doc_id", "left_anti") if some else whole
+
+    level, marks, used = _anchored(whole), None, [torn_path]
+    for width in (*NARROW, None):
+        met, path = staged(_met(level), "segments")
+        used.append(path)
+        asked = met.where("kinds > 0")
+        total, most = asked.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max("kinds"), F.lit(0))).first()
+        found = met.where("kinds = 0").select("doc", "start", "size")
+        if total:
+            lists = asked.groupBy("doc").agg(F.collect_list(F.struct("anchor", "start", "size", "kinds")).alias("asked"))
+            pieces = _pieces(whole.join(lists, whole["doc_id"] == lists["doc"]).select("doc_id", "text", "asked"))
+            buckets = F.pmod(F.xxhash64("anchor"), F.lit(-(-int(total) // bucket)))
+            fit = pieces if width is None else pieces.where(F.col("kinds") <= hot)
+            found = found.unionByName(fit.groupBy(buckets.alias("bucket")).applyInArrow(_indexed, "doc long, start long, size long"))
+        marks = found if marks is None else marks.unionByName(found)
+        if most <= hot or width is None:
+            break
+        level = _narrowed(pieces.where(F.col("kinds") > hot), width)
+    marks, _ = staged(marks, "marks")
+    for path in used:
+        discard(spark, path)
     lists = marks.groupBy("doc").agg(F.collect_list(F.struct("start", "size")).alias("marks"))
     return rows.join(lists, rows["doc_id"] == lists["doc"], "left").select("doc_id", "text", "marks")
 

@@ -1,10 +1,13 @@
-"""A run-length index of a text: its Burrows-Wheeler transform by runs, suffix positions at run ends, and matching statistics by streaming.
+"""A run-length index of a text: its Burrows-Wheeler transform by runs, suffix positions at run ends, and the text's matching statistics by streaming.
 
-The text is a row of documents' pieces, each closed by a separator of its own that never matches. Kept per run: its byte, first row, the count of its byte before it, and the text positions of its
-first and last suffix; and for two neighbouring runs of one byte the threshold row between them at which the common prefix is shortest.
-A pattern is streamed from its end: if the row's run has the next byte, the row steps through it; if not, the row first jumps to the end
-of the nearest run that has it, above or below as the threshold tells, and takes the position sampled there. So each pattern position gets
-the place in the text of its longest match. All patterns are streamed in step.
+The text is a row of pieces, each closed by a separator of its own that never matches. Kept per run: its byte, its first row, the text position of
+its first suffix, the text position of the last suffix of the run before, and how many bytes these two have in common. Nothing is kept per row
+or per text byte, so the index grows with the runs: copies of a piece add next to none.
+
+Suffixes that are neighbours in order stay neighbours one byte further on, with one byte less in common, until the transform changes there; so
+from one sample on, up to the next sample in the text, each position's neighbour and what it has in common with it follow by counting.
+Streamed in text order, the samples thus give every position's matching statistic against all the rest of the text: the longest
+match is with the neighbour before or the one after. Positions with the same next `length` bytes are linked through neighbours.
 """
 
 from __future__ import annotations
@@ -14,128 +17,88 @@ import numpy as np
 
 class RunIndex:
     def __init__(self, pieces: list[np.ndarray]):
-        """pieces: byte arrays, none of them empty."""
-        sizes = np.array([len(p) for p in pieces])
+        """pieces: byte arrays."""
+        sizes = np.array([len(p) for p in pieces], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(sizes + 1)])
-        text = np.zeros(self.starts[-1], np.int64)  # bytes are 1 to 256, separators 0
+        self.size = int(self.starts[-1])
+        text = np.zeros(self.size, np.int64)  # bytes are 1 to 256, separators 0
         for p, at in zip(pieces, self.starts, strict=False):
             text[at : at + len(p)] = p.astype(np.int64) + 1
-        self.text, n = text, len(text)
-        order = self._suffixes(text)
+        order = _suffixes(text)
         before = text[order - 1]
-        edge = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]]))
-        self.first, self.byte = edge, before[edge]  # of each run
-        last = np.concatenate([edge[1:], [n]]) - 1
-        self.sample = np.stack([order[edge], order[last]])  # suffix positions at run ends
-        self.last = last
-        sizes = last - edge + 1
-        by_byte = np.lexsort((np.arange(len(edge)), self.byte))
-        total = np.cumsum(sizes[by_byte]) - sizes[by_byte]
-        self.base = np.empty(len(edge), np.int64)
-        self.base[by_byte] = total  # a run's first row steps to here: all smaller bytes, then equal ones above
-        self.by_byte, self.keys = by_byte, self.byte[by_byte] * len(edge) + by_byte
-        self.threshold = self._thresholds(order)
+        edge = np.flatnonzero(np.concatenate([[True], (before[1:] != before[:-1]) | (before[1:] == 0)])) if len(text) else np.zeros(0, np.int64)
+        self.byte, self.first = before[edge].astype(np.uint16), edge.astype(np.int32)
+        head, tail = order[edge], order[edge - 1]
+        shared = _common(text, tail, head)
+        shared[:1] = 0  # the first suffix has none before it
+        turn = np.argsort(head)
+        self.at, self.near, self.shared = head[turn].astype(np.int32), tail[turn].astype(np.int32), shared[turn].astype(np.int32)
 
-    @staticmethod
-    def _suffixes(text: np.ndarray) -> np.ndarray:
-        """All suffixes in order; each separator is a symbol of its own, so none are equal."""
-        n, ends = len(text), text == 0
-        symbol = np.where(ends, np.cumsum(ends) - 1, text - 1 + ends.sum())
-        bits = int(ends.sum() + 256).bit_length()
-        depth = 62 // bits
-        key = np.zeros(n, np.int64)
-        for k in range(depth):
-            key[: max(0, n - k)] |= symbol[k:] << (bits * (depth - 1 - k))
-        while True:
-            order = np.argsort(key)
-            new = np.concatenate([[0], (key[order][1:] != key[order][:-1]).cumsum()])
-            if new[-1] == n - 1:
-                return order
-            rank = np.empty(n, np.int64)
-            rank[order] = new
-            key = rank * (n + 1)
-            key[: max(0, n - depth)] += rank[depth:] + 1
-            depth *= 2
+    @property
+    def stored(self) -> int:
+        """Bytes that the index keeps."""
+        return sum(x.nbytes for x in (self.byte, self.first, self.at, self.near, self.shared))
 
-    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Lengths to which the suffixes at a and b agree; separators agree with nothing."""
-        out, live, k = np.zeros(len(a), np.int64), np.arange(len(a)), 0
-        while len(live):
-            x, y = a[live] + k, b[live] + k
-            inside = (x < len(self.text)) & (y < len(self.text))
-            live, x, y = live[inside], x[inside], y[inside]
-            same = (self.text[x] == self.text[y]) & (self.text[x] > 0)
-            live = live[same]
-            k += 1
-            out[live] = k
-        return out
+    def matches(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Text positions, rising, whose suffix has at least `length` bytes in common with its neighbour before, and that neighbour's position."""
+        reach = np.diff(np.concatenate([self.at, [self.size]]))  # positions that follow from a sample
+        many = np.clip(self.shared - length + 1, 0, reach)
+        of = np.repeat(np.arange(len(many)), many)
+        on = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+        return self.at[of] + on, self.near[of] + on
 
-    def classes(self, length: int) -> np.ndarray:
-        """For each text position a number that is equal where the next `length` bytes are, if that many follow in the piece."""
-        out = np.empty(len(self.text), np.int64)
-        out[self.order] = np.cumsum(self.lcp < length)
+    def statistics(self) -> np.ndarray:
+        """Each position's longest match that starts elsewhere in the text, in bytes."""
+        at, near = self.matches(1)
+        reach = np.diff(np.concatenate([self.at, [self.size]]))
+        own = np.repeat(self.shared + self.at, reach)[at] - at  # text position 0, after a separator, is the first sample
+        out = np.zeros(self.size, np.int64)
+        np.maximum.at(out, at, own)
+        np.maximum.at(out, near, own)
         return out
 
-    def _thresholds(self, order: np.ndarray) -> np.ndarray:
-        """For each run in by_byte order but the last of a byte: the row from which on the next run of that byte is nearer in text."""
-        n = len(order)
-        lcp = np.zeros(n, np.int64)
-        lcp[1:] = self.common(order[:-1], order[1:])
-        self.order, self.lcp = order, lcp
-        table = [(lcp << 40) | np.arange(n)]
-        while (1 << len(table)) <= n:
-            h = 1 << (len(table) - 1)
-            table.append(np.minimum(table[-1][:-h], table[-1][h:]))
-        lo, hi = self.last[self.by_byte[:-1]] + 1, self.first[self.by_byte[1:]] + 1
-        out = np.zeros(len(self.by_byte), np.int64)
-        fine = np.flatnonzero(lo < hi)
-        level = np.zeros(len(lo), np.int64)
-        level[fine] = np.floor(np.log2(hi[fine] - lo[fine])).astype(np.int64)
-        for k in np.unique(level[fine]):
-            at = fine[level[fine] == k]
-            out[at] = np.minimum(table[k][lo[at]], table[k][hi[at] - (1 << int(k))]) & ((1 << 40) - 1)
-        return out
+    def late(self, length: int) -> np.ndarray:
+        """Positions, rising, whose next `length` bytes also start at a smaller position."""
+        at, near = self.matches(length)
+        places = np.union1d(at, near)
+        link = np.arange(len(places))
+        link[np.searchsorted(places, at)] = np.searchsorted(places, near)
+        while (link[link] != link).any():  # up the chain of neighbours to the first one in order
+            link = link[link]
+        least = np.full(len(places), self.size, np.int64)
+        np.minimum.at(least, link, places)
+        return places[places > least[link]]
 
-    def matches(self, patterns: list[np.ndarray]) -> list[np.ndarray]:
-        """For each pattern and position the text position of a longest match of what follows there; -1 where no byte matches."""
-        sizes = np.array([len(p) for p in patterns])
-        out = [np.full(k, -1, np.int64) for k in sizes]
-        if not len(self.text) or not len(patterns):
-            return out
-        order = np.argsort(-sizes, kind="stable")
-        width = int(sizes.max())
-        grid = np.zeros((width, len(patterns)), np.int64)  # from the end, longest pattern first
-        for k, p in enumerate(order):
-            grid[: sizes[p], k] = patterns[p][::-1].astype(np.int64) + 1
-        alive = np.searchsorted(-sizes[order], -np.arange(width), "left")
-        found = np.full((width, len(patterns)), -1, np.int64)
-        row, place = np.zeros(len(patterns), np.int64), np.full(len(patterns), self.sample[0][0])
-        runs = len(self.first)
-        for step in range(width):
-            n = int(alive[step])
-            byte, q, at = grid[step, :n], row[:n].copy(), place[:n].copy()
-            run = np.searchsorted(self.first, q, "right") - 1
-            jump = np.flatnonzero(self.byte[run] != byte)
-            if len(jump):
-                near = np.searchsorted(self.keys, byte[jump] * runs + run[jump])
-                below = np.minimum(near, runs - 1)
-                above = np.maximum(near - 1, 0)
-                has_below = (near < runs) & (self.byte[self.by_byte[below]] == byte[jump])
-                has_above = (near > 0) & (self.byte[self.by_byte[above]] == byte[jump])
-                down = has_below & (~has_above | (q[jump] >= self.threshold[above]))
-                target = np.where(down, self.by_byte[below], self.by_byte[above])
-                run[jump] = target
-                q[jump] = np.where(down, self.first[target], self.last[target])
-                at[jump] = np.where(down, self.sample[0][target], self.sample[1][target])
-                lost = jump[~(has_below | has_above)]
-            else:
-                lost = jump
-            q, at = self.base[run] + q - self.first[run], at - 1
-            if len(lost):  # a byte that the text doesn't have: matching starts anew
-                q[lost], at[lost] = 0, self.sample[0][0]
-            row[:n], place[:n] = q, at
-            found[step, :n] = at
-            found[step, lost] = -1
-        for k, p in enumerate(order):
-            out[p] = found[: sizes[p], k][::-1]
-        return out
+
+def _suffixes(text: np.ndarray) -> np.ndarray:
+    """All suffixes in order; each separator is a symbol of its own, so none are equal."""
+    n, ends = len(text), text == 0
+    symbol = np.where(ends, np.cumsum(ends) - 1, text - 1 + ends.sum())
+    bits = int(ends.sum() + 256).bit_length()
+    depth = 62 // bits
+    key = np.zeros(n, np.int64)
+    for k in range(depth):
+        key[: max(0, n - k)] |= symbol[k:] << (bits * (depth - 1 - k))
+    while True:
+        order = np.argsort(key)
+        new = np.concatenate([[0], (key[order][1:] != key[order][:-1]).cumsum()])
+        if n == 0 or new[-1] == n - 1:
+            return order
+        rank = np.empty(n, np.int64)
+        rank[order] = new
+        key = rank * (n + 1)
+        key[: max(0, n - depth)] += rank[depth:] + 1
+        depth *= 2
+
+
+def _common(text: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Lengths to which the suffixes at a and b agree; separators agree with nothing."""
+    out, live, k = np.zeros(len(a), np.int64), np.flatnonzero(a != b), 0
+    while len(live):
+        x, y = a[live] + k, b[live] + k
+        inside = (x < len(text)) & (y < len(text))
+        live, x, y = live[inside], x[inside], y[inside]
+        live = live[(text[x] == text[y]) & (text[x] > 0)]
+        k += 1
+        out[live] = k
+    return out

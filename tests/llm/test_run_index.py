@@ -5,27 +5,45 @@ from hypothesis import strategies as st
 from registrum.llm.run_index import RunIndex
 
 
-def longest(pieces, what):
-    return max(next((k for k in range(min(len(what), len(p) - i) + 1) if k == min(len(what), len(p) - i) or what[k] != p[i + k]), 0) for p in pieces for i in range(len(p)))
+def joined(pieces):
+    return [(k, i, p[i:]) for k, p in enumerate(pieces) for i in range(len(p))]
 
 
-texts = st.binary(min_size=1, max_size=30).map(lambda b: bytes(x % 3 + 97 for x in b))
+def shared(a, b):
+    return next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b)))
+
+
+texts = st.binary(max_size=30).map(lambda b: bytes(x % 3 + 97 for x in b))
+index_of = lambda pieces: RunIndex([np.frombuffer(p, np.uint8) for p in pieces])
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(texts, max_size=6))
+def test_statistics_are_longest_matches(pieces):
+    index, places = index_of(pieces), joined(pieces)
+    found = index.statistics()
+    for k, i, rest in places:
+        assert found[index.starts[k] + i] == max((shared(rest, other) for n, j, other in places if (n, j) != (k, i)), default=0)
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(texts, min_size=1, max_size=6), st.lists(texts, min_size=1, max_size=4))
-def test_matches_are_longest(pieces, patterns):
-    index = RunIndex([np.frombuffer(p, np.uint8) for p in pieces])
-    assert int((index.last - index.first + 1).sum()) == len(index.text)
-    for p, found in zip(patterns, index.matches([np.frombuffer(p, np.uint8) for p in patterns]), strict=True):
-        for i, at in enumerate(found):
-            want = longest(pieces, p[i:])
-            got = 0
-            while at >= 0 and i + got < len(p) and at + got < len(index.text) and index.text[at + got] == p[i + got] + 1:
-                got += 1
-            assert got == want, (pieces, p, i, at)
-
-
-def test_unknown_bytes_match_nothing():
-    index = RunIndex([np.frombuffer(b"abab", np.uint8)])
-    assert index.matches([np.frombuffer(b"z", np.uint8)])[0].tolist() == [-1]
+@given(st.lists(texts, max_size=6), st.integers(1, 8))
+def test_late_are_all_but_the_first(pieces, length):
+    index, seen, want = index_of(pieces), set(), []
+    for k, i, rest in joined(pieces):
+        if len(rest) >= length:
+            if rest[:length] in seen:
+                want.append(index.starts[k] + i)
+            seen.add(rest[:length])
+    assert index.late(length).tolist() == want
+
+
+def test_the_index_grows_with_the_runs():
+    """Ten times the text, by slightly changed copies, takes little more than the text once."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(97, 123, 20_000).astype(np.uint8)
+    copies = [base.copy() for _ in range(10)]
+    for c in copies:
+        c[rng.integers(0, len(c), 5)] = 32
+    one, ten, fresh = RunIndex([base]).stored, RunIndex(copies).stored, RunIndex([rng.integers(97, 123, 20_000).astype(np.uint8) for _ in range(10)]).stored
+    assert ten < 1.2 * one and fresh > 8 * one
