@@ -7,7 +7,7 @@ and compared token by token. An item is found where, in some window of WINDOW to
 default mask hits every such window (11010011 keeps a place free of any two positions of thirteen). Items shorter than the window are
 matched whole, without substitutions; items shorter than a mask have masks of their own length without zeros.
 
-Item seeds are broadcast only while there are at most `BROADCAST` of them; beyond it the same join is shuffled. A hot seed has a row per
+A side is broadcast only while it holds at most `BROADCAST` numbers and words; beyond it the same join is shuffled. A hot seed has a row per
 occurrence and the hits of a document are made distinct before they are verified. Null and empty texts and items without a token match
 nothing; repeated rows of a document give the same pairs once. Everything stays in DataFrame operations.
 """
@@ -17,10 +17,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import discard, staged
 
-#: Tokens of a window and how many of them may differ; masks that hit all such windows; item seeds that are small enough to broadcast.
-WINDOW, SUBSTITUTIONS, MASKS, BROADCAST = 13, 2, ("11010011",), 200_000
+#: Tokens of a window and how many of them may differ; masks that hit all such windows; numbers and words that are few enough to broadcast.
+WINDOW, SUBSTITUTIONS, MASKS, BROADCAST = 13, 2, ("11010011",), 1_000_000
 
 
 def tokens(text: Column) -> Column:
@@ -59,20 +59,21 @@ def found(docs: DataFrame, items: DataFrame, text: str = "text", window: int = W
     docs = docs.select("doc_id", F.col(text).alias("text"))
     short = sorted(r["n"] for r in items.select(F.size("item").alias("n")).where(F.col("n") < span).distinct().collect())  # fewer than a mask has places
 
-    def small(rows: DataFrame) -> DataFrame:
-        return F.broadcast(rows) if rows.count() <= broadcast else rows
+    def small(rows: DataFrame, held: Column) -> DataFrame:
+        """rows, to be broadcast if they hold few enough numbers and words: `held` in each."""
+        return F.broadcast(rows) if (rows.agg(F.sum(held)).first()[0] or 0) <= broadcast else rows
 
     starts = _all_seeds(items.where(F.size("item") >= span), "item", masks, "item_at")
     for n in short:
         starts = starts.unionByName(_all_seeds(items.where(F.size("item") == n), "item", ("1" * n,), "item_at"))
     places = _all_seeds(docs.select("doc_id", tokens(F.col("text")).alias("words")), "words", (*masks, *("1" * n for n in short)), "doc_at")
-    hits = places.join(small(starts), "seed").select("doc_id", "item_id", (F.col("doc_at") - F.col("item_at")).alias("shift")).distinct()
-    hits, _ = staged(hits, "seed-hits")
+    hits = places.join(small(starts, F.lit(3)), "seed").select("doc_id", "item_id", (F.col("doc_at") - F.col("item_at")).alias("shift")).distinct()
+    hits, path = staged(hits, "seed-hits")
 
     # Verification reads the texts that have hits once more and lays each item over its diagonals.
     shifts = hits.groupBy("doc_id", "item_id").agg(F.collect_set("shift").alias("shifts"))  # at most a document's positions
     # Tokens are made beneath the join with the items, so that they aren't made anew for each comparison.
-    laid = docs.join(small(shifts), "doc_id").select("doc_id", "item_id", "shifts", tokens(F.col("text")).alias("words")).join(small(items), "item_id")
+    laid = docs.join(small(shifts, F.size("shifts") + 2), "doc_id").select("doc_id", "item_id", "shifts", tokens(F.col("text")).alias("words")).join(small(items, F.size("item") + 1), "item_id")
     wide = F.least(F.size("item"), F.lit(window))
 
     def judged(shift: Column) -> Column:
@@ -82,7 +83,10 @@ def found(docs: DataFrame, items: DataFrame, text: str = "text", window: int = W
 
     best = laid.select("doc_id", "item_id", wide.alias("wide"), F.array_max(F.transform("shifts", judged)).alias("best"))
     best = best.where(F.col("best.matched") >= F.col("wide") - F.when(F.col("wide") < window, 0).otherwise(substitutions))
-    return best.groupBy("doc_id", "item_id").agg(F.max("best").alias("best")).select("doc_id", "item_id", F.col("best.matched").alias("matched"), F.col("best.share").alias("share"))
+    best = best.groupBy("doc_id", "item_id").agg(F.max("best").alias("best"))
+    out, _ = staged(best.select("doc_id", "item_id", F.col("best.matched").alias("matched"), F.col("best.share").alias("share")), "found")
+    discard(docs.sparkSession, path)
+    return out
 
 
 def clean(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
