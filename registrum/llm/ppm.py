@@ -163,7 +163,7 @@ def sample(docs: DataFrame, labelled, per_lang: int = DOCS_PER_LANG) -> dict[str
     share = F.lit(0)
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, int(min(1.0, 1.5 * per_lang / n) * (1 << 30)) + 1).otherwise(share)
-    picked = rows.where(mark < share).select("lang", "text", mark.alias("mark")).limit(2 * per_lang * len(counts)).collect()
+    picked = rows.where(mark < share).select("lang", "text", mark.alias("mark")).orderBy("mark", "text").limit(2 * per_lang * len(counts)).collect()
     out: dict[str, list[bytes]] = {}
     for r in sorted(picked, key=lambda r: (r["mark"], r["text"])):
         if len(found := out.setdefault(r["lang"], [])) < per_lang:

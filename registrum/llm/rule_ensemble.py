@@ -159,9 +159,9 @@ def learned(docs: DataFrame, labels: DataFrame, label: str = "quality", sample:
     rows = labels.select("doc_id", F.col(label).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
     mark = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     share = min(1.0, 1.2 * sample / max(1, rows.count()))
-    some = rows.where(mark < int(share * (1 << 30)) + 1).limit(2 * sample)
+    some = rows.where(mark < int(share * (1 << 30)) + 1).orderBy(mark, "doc_id", "label").limit(2 * sample)
     found = measured(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id"))  # at most 2 * sample rows of two numbers
-    got = found.select("doc_id", "label", *[f"{PREFIX}{s}" for s in STATISTICS]).limit(2 * sample).toArrow()
+    got = found.select("doc_id", "label", *[f"{PREFIX}{s}" for s in STATISTICS]).orderBy("doc_id", "label").limit(2 * sample).toArrow()
     x = np.column_stack([got.column(k).to_numpy() for k in range(got.num_columns)])
     x = x[np.lexsort(x.T[::-1])][: 2 * sample]
     return fit(x[:, 2:], x[:, 1])
