@@ -9,7 +9,12 @@ from .common import discard, staged
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node and root (the smallest node of its component) of every node in `links` (a, b: numbers) but the roots themselves.
+    """The rows of component_table(), whose table stays."""
+    return component_table(links)[0]
+
+
+def component_table(links: DataFrame) -> tuple[DataFrame, str]:
+    """A table and its path: node and root (the smallest node of its component) of every node in `links` (a, b: numbers) but the roots themselves.
 
     A large star ties a node's larger neighbours to the smallest one, a small star its smaller ones; each keeps components whole, and a few
     rounds (in the logarithm of the longest path) leave one star per component. Self links and nulls are ignored.
@@ -28,7 +33,7 @@ def components(links: DataFrame) -> DataFrame:
         discard(spark, path)
         edges, path, before, mark = new, new_path, mark, _mark(new)
         if mark == before:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("root")), path
 
 
 def _mark(edges: DataFrame) -> tuple:

@@ -15,7 +15,9 @@ Work follows the number of documents, not of pairs:
 Keys and components of any size are cut into blocks and every pair of blocks is one task, so no group has to fit one and none is cut off.
 
 Null texts and texts without a word have an empty set and are linked with nothing. Texts of fewer than five words are one shingle.
-Repeated rows are copies; texts are read whole. Extra columns are ignored.
+Repeated rows are copies; texts are read whole. Extra columns are ignored. Rows without an id link nothing and are always kept; their
+component is that of rows with the same set, null if there are none. Different texts of one id are judged apart, each by its own links, and
+are not linked to each other for having one id.
 """
 
 from __future__ import annotations
@@ -29,8 +31,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import groups, mixed, releasing, staged, utf8, words
-from .graph import components
+from .common import discard, groups, mixed, releasing, staged, utf8, words
+from .graph import component_table
 
 SHINGLE, CHUNKS, SYMBOLS = 5, 10, 6
 #: Links have 100 * intersection >= PERCENT * union.
@@ -104,10 +106,10 @@ def loose(percent: int) -> int:
     return math.ceil(n * p + DEVIATIONS * (n * p * (1 - p)) ** 0.5)
 
 
-def _described(docs: DataFrame, text: str) -> DataFrame:
-    """doc_id, n_shingles, node and check (the set's fingerprint) and sig of every row."""
-    rows = docs.select("doc_id", F.col(text).alias("text"))
-    names = ["doc_id", "n_shingles", "node", "check", "sig"]
+def _described(docs: DataFrame) -> DataFrame:
+    """doc_id, mark, n_shingles, node and check (the set's fingerprint) and sig of every row (doc_id, text, mark)."""
+    rows = docs.select("doc_id", "text", "mark")
+    names = ["doc_id", "mark", "n_shingles", "node", "check", "sig"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,9 +118,9 @@ def _described(docs: DataFrame, text: str) -> DataFrame:
                 sets, edge = shingles(data, at[lo : hi + 1])
                 print_ = fingerprints(sets, edge).view(np.int64)
                 sig = pa.array([x.tobytes() for x in signatures(sets, edge)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(edge)), pa.array(print_[:, 0].copy()), pa.array(print_[:, 1].copy()), sig], names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(np.diff(edge)), pa.array(print_[:, 0].copy()), pa.array(print_[:, 1].copy()), sig], names)
 
-    return rows.mapInArrow(releasing(run), "doc_id long, n_shingles long, node long, check long, sig binary")
+    return rows.mapInArrow(releasing(run), "doc_id long, mark long, n_shingles long, node long, check long, sig binary")
 
 
 def _forest(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
@@ -180,15 +182,23 @@ def _similar_sets(table: pa.Table, percent: int) -> pa.Table:
     return _edges(nodes, _forest(len(nodes), near))
 
 
+def mark_of(text: Column) -> Column:
+    """The mark by which linked() tells rows of one id apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def linked(docs: DataFrame, text: str = "text", percent: int = PERCENT, broadcast: int = BROADCAST, block_signatures: int = BLOCK_SIGNATURES, block_sets: int = BLOCK_SETS) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) and kept (doc_id = component_id) of every row; links have at least `percent` of their shingles in common (80 or more: the keys are made for that)."""
-    most = loose(percent)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
-    text = "text"
-    base, _ = staged(_described(docs, text), "sets")
-    full = base.where("n_shingles > 0")
+    """doc_id, mark (mark_of the text), n_shingles, component_id (the smallest doc_id reachable by links) and kept (doc_id = component_id) of every row; links have at least `percent` of their shingles in common (80 or more: the keys are made for that)."""
+    if percent < 80:
+        raise ValueError(f"percent = {percent}: the keys find links of 80 or more")
+    spark, most = docs.sparkSession, loose(percent)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"), mark_of(F.col(text)).alias("mark"))
+    base, base_path = staged(_described(docs), "sets")
+    used = [base_path]
+    full = base.where("n_shingles > 0 and doc_id is not null")
     nodes = full.groupBy("node", "check").agg(F.min("doc_id").alias("doc_id"))
-    sigs, _ = staged(full.join(nodes, ["node", "check", "doc_id"]).select("node", "doc_id", "sig").dropDuplicates(["node"]), "nodes")
+    sigs, path = staged(full.join(nodes, ["node", "check", "doc_id"]).select("node", "doc_id", "mark", "sig").dropDuplicates(["node"]), "nodes")
+    used.append(path)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,13 +210,16 @@ def linked(docs: DataFrame, text: str = "text", percent: int = PERCENT, broadcas
     shared = sigs.select("node", "sig").mapInArrow(releasing(keyed), "key long, node long").withColumn("size", F.count("*").over(Window.partitionBy("key"))).where("size > 1")
     gathered = _in_blocks(shared.join(sigs.select("node", "sig"), "node"), "key", F.col("size"), block_signatures)
     close = gathered.groupBy("key", "i", "j").applyInArrow(lambda table: _similar_signatures(table, most), "a long, b long")
-    roots, _ = staged(_members(components(close)), "candidates")
+    tied, path = component_table(close)
+    roots, roots_path = staged(_members(tied), "candidates")
+    discard(spark, path)
+    used.append(roots_path)
 
     sized = roots.join(roots.groupBy("root").agg(F.count("*").alias("size")), "root")
-    wanted = sized.join(sigs.select("node", "doc_id"), "node")
+    wanted = sized.join(sigs.select("node", "doc_id", "mark"), "node")
     if roots.count() <= broadcast:
         wanted = F.broadcast(wanted)
-    texts = docs.select("doc_id", F.col(text).alias("text")).join(wanted, "doc_id").select("root", "size", "node", "text")
+    texts = docs.join(wanted, ["doc_id", "mark"]).select("root", "size", "node", "text")
 
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,20 +227,26 @@ def linked(docs: DataFrame, text: str = "text", percent: int = PERCENT, broadcas
             for lo, hi in groups(at):
                 sets, edge = shingles(data, at[lo : hi + 1])
                 part = batch.slice(lo, hi - lo)
-                mine = fingerprints(sets, edge).view(np.int64)[:, 0] == part.column(2).to_numpy()  # other texts of the same doc_id aren't this node
+                mine = fingerprints(sets, edge).view(np.int64)[:, 0] == part.column(2).to_numpy()  # a text of the same mark may be another one
                 packed = pa.array([sets[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], packed], ["root", "size", "node", "shingles"]).filter(pa.array(mine))
 
     sets = texts.mapInArrow(releasing(with_sets), "root long, size long, node long, shingles binary")
     blocks = _in_blocks(sets, "root", F.col("size"), block_sets)
     links = blocks.groupBy("root", "i", "j").applyInArrow(lambda table: _similar_sets(table, percent), "a long, b long")
-    linked_nodes, _ = staged(_members(components(links)), "linked")
+    tied, path = component_table(links)
+    linked_nodes, linked_path = staged(_members(tied), "linked")
+    discard(spark, path)
+    used.append(linked_path)
     named = linked_nodes.join(sigs.select("node", "doc_id"), "node")
     lowest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of = nodes.select("node", "check", "doc_id").join(linked_nodes, "node", "left").join(lowest, "root", "left").select("node", "check", F.coalesce("component_id", "doc_id").alias("component_id"))
-    out = base.select("doc_id", "n_shingles", "node", "check").join(of, ["node", "check"], "left")
+    out = base.select("doc_id", "mark", "n_shingles", "node", "check").join(of, ["node", "check"], "left")
     alone = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", alone.alias("component_id"), F.coalesce(F.col("doc_id") == alone, F.lit(True)).alias("kept"))
+    out, _ = staged(out.select("doc_id", "mark", "n_shingles", alone.alias("component_id"), F.coalesce(F.col("doc_id") == alone, F.lit(True)).alias("kept")), "near-duplicates")
+    for path in used:
+        discard(spark, path)
+    return out
 
 
 def _members(tied: DataFrame) -> DataFrame:

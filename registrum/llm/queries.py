@@ -40,7 +40,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.linked(table(spark, sf_dir, "documents"))
+    return minhash.linked(table(spark, sf_dir, "documents")).drop("mark")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,12 +69,12 @@ with fine as (
   select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v from embeddings
   where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
 ), pairs as (
-  select q.vec_id as query_id, c.vec_id,
+  select q.vec_id as query_id, q.v as ask, c.vec_id,
          cast(list_sum(list_transform(list_zip(q.v, c.v), lambda p: coalesce(p[1], 0) * coalesce(p[2], 0))) as bigint) as score
-  from fine q, fine c where q.vec_id % 50 = 0 and c.vec_id <> q.vec_id
+  from (select distinct vec_id, v from fine where vec_id % 50 = 0) q, fine c where c.vec_id <> q.vec_id
 )
 select query_id, cast(rank as integer) as rank, vec_id, score
-from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from pairs) where rank <= 5
+from (select *, row_number() over (partition by query_id, ask order by score desc, vec_id) as rank from pairs) where rank <= 5
 """
 
 

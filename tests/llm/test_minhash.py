@@ -2,6 +2,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from registrum.llm import minhash as M
 from registrum.llm.graph import components
@@ -46,7 +47,18 @@ def corpus():
 def test_equals_brute_force(spark, sizes):
     rows = corpus()
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, node string").repartition(4)
-    assert sorted(tuple(r) for r in M.linked(docs, **sizes).collect()) == brute(rows, sizes.get("percent", 85))
+    assert sorted(tuple(r) for r in M.linked(docs, **sizes).drop("mark").collect()) == brute(rows, sizes.get("percent", 85))
+
+
+def test_rows_without_an_id_and_texts_of_one_id(spark):
+    a, near, b = "one two three four five six", " ".join(f"w{k}" for k in range(60)), "six five four three two one"
+    rows = [(5, a), (None, a), (None, "unlike all of the others here"), (5, near), (3, near + " more"), (7, a), (8, b), (None, None)]
+    got = sorted(((r.doc_id, r.mark, r.component_id, r.kept) for r in M.linked(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    mark = {t: m for t, m in spark.createDataFrame([(t,) for _, t in rows], "text string").select("text", M.mark_of(F.col("text"))).collect()}
+    want = [(5, mark[a], 5, True), (None, mark[a], 5, True), (None, mark[rows[2][1]], None, True), (5, mark[near], 3, False), (3, mark[rows[4][1]], 3, True), (7, mark[a], 5, False), (8, mark[b], 8, True), (None, mark[None], None, True)]
+    assert got == sorted(want, key=str)
+    with pytest.raises(ValueError):
+        M.linked(spark.createDataFrame(rows, "doc_id long, text string"), percent=60)
 
 
 def test_empty_table(spark):
