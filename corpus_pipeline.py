@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which run() writes as Parquet in the shared folder and rereads as the next
 stage's docs. All but the last return the columns that they got. Rows without a doc_id are judged like others where a stage can judge a
 single row (quality, decontamination, encoding) and kept whole where it compares documents by id; empty tables pass through; repeated rows
-are copies. Columns besides doc_id and text are carried and never read.
+are copies. Of an id with different texts, near duplicates are judged text by text and never among themselves, repeated passages stay.
+Columns besides doc_id and text are carried and never read.
 """
 
 from __future__ import annotations
@@ -37,28 +38,22 @@ SIMILAR = 80
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: the one with the smallest id. Rows that repeat it, id included, come down to one."""
-    dropped = minhash.linked(docs, percent=SIMILAR).where("not kept and n_shingles > 0").select("doc_id").distinct()
-    kept = docs.join(dropped, "doc_id", "left_anti").select(_all(docs))
+    dropped = minhash.linked(docs, percent=SIMILAR).where("not kept and n_shingles > 0").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).distinct()
+    same = (docs["doc_id"] == F.col("__id")) & (minhash.mark_of(docs["text"]) == F.col("__mark"))
+    kept = docs.join(dropped, same, "left_anti").select(_all(docs))
     known = kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"])
     return known.unionByName(kept.where("doc_id is null"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes that repeat an earlier passage; a character cut in two goes. Documents that lose all their text go."""
-    left = repeats.cut(repeats.marked(docs)).where("n_removed > 0").select("doc_id", "n_bytes", F.expr("try_validate_utf8(cast(kept as string))").alias("valid"), F.col("kept"))
-    left = left.select(F.col("doc_id").alias("__id"), _whole_characters("valid", "kept").alias("__left")).dropDuplicates(["__id"])
+    left = repeats.cut(repeats.marked(docs)).where("n_removed > 0").select(F.col("doc_id").alias("__id"), F.col("left_text").alias("__left")).dropDuplicates(["__id"])
     joined = docs.join(left, docs["doc_id"] == left["__id"], "left")
     text = F.coalesce("__left", "text")
     out = joined.where(~(F.col("__left").isNotNull() & (F.trim("__left") == "")))
     return out.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])
 
 
-def _whole_characters(valid: str, kept: str):
-    """The bytes as a string; where a cut fell inside a character, without its remains."""
-    fixed = F.regexp_replace(F.make_valid_utf8(F.col(kept).cast("string")), "�", "")
-    return F.coalesce(F.col(valid), fixed)
-
-
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item is found."""
     return spaced_seeds.clean(docs, table(spark, sf_dir, "benchmark")).select(_all(docs))
@@ -82,7 +77,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("decontamination", decontaminated), ("encoding", encoded)]
 
-#: SQL can't express the stages; tests hold run() against a brute-force version.
+#: SQL can't express the stages; tests hold run() against a brute-force version of them all.
 ORACLE_SQL = None
 
 
