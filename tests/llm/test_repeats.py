@@ -50,6 +50,7 @@ def test_equals_brute_force(spark, sizes):
     got = R.cut(R.marked(docs, **sizes)).collect()
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in got), key=str) == brute(rows)
     assert all(sum(s.end - s.start for s in r.spans) == r.n_removed for r in got)
+    assert all(r.left_text == (r.kept.decode(errors="ignore") if r.n_removed else None) for r in got)
 
 
 def test_nothing_to_remove(spark):
