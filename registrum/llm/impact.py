@@ -122,7 +122,7 @@ def searched(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256,
                         out.append((np.full(len(found), own), np.full(len(found), ask), found, scores))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[c] for x in out])) for c in range(4)], names)
 
-    dealt = offered.unionByName(asked).withColumn("ask", F.when(F.col("asks"), F.xxhash64("v")).otherwise(0)).repartition("block").sortWithinPartitions("block", "asks")
+    dealt = offered.unionByName(asked).withColumn("ask", F.when(F.col("asks"), F.xxhash64("v")).otherwise(0)).repartition(2 * across, "block").sortWithinPartitions("block", "asks")
     found = dealt.mapInArrow(releasing(best), "query_id long, ask long, vec_id long, score long")
     order = Window.partitionBy("query_id", "ask").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
