@@ -8,11 +8,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Corporate suffixes that a name key drops.
-SUFFIXES = ["INCORPORATED", "CORPORATION", "COMPANY", "LIMITED", "PLLC", "LLC", "LLP", "INC", "CORP", "LTD", "LP", "PS", "PC", "CO", "DBA"]
+SUFFIXES = ["LLC", "INC", "INCORPORATED", "CORP", "CORPORATION", "CO", "COMPANY", "LLP", "LP", "PLLC", "PS", "PC", "LTD", "DBA", "ENTERPRISE", "ENTERPRISES"]
 # Street words and their postal abbreviations.
-STREETS = {"STREET": "ST", "AVENUE": "AVE", "ROAD": "RD", "DRIVE": "DR", "BOULEVARD": "BLVD", "LANE": "LN", "COURT": "CT", "PLACE": "PL", "SUITE": "STE", "NORTH": "N", "SOUTH": "S", "EAST": "E", "WEST": "W", "HIGHWAY": "HWY", "PARKWAY": "PKWY"}
-# Words too generic to tell a brand.
-GENERIC = ["THE", "A", "AND", "CARE", "CHILD", "CENTER", "HEALTH", "HOME", "SERVICES", "GROUP", "OF", "AT"]
+STREETS = {
+    "STREET": "ST", "AVENUE": "AVE", "ROAD": "RD", "DRIVE": "DR", "BOULEVARD": "BLVD", "LANE": "LN", "COURT": "CT", "PLACE": "PL", "HIGHWAY": "HWY", "PARKWAY": "PKWY", "TERRACE": "TER", "CIRCLE": "CIR",
+    "NORTH": "N", "SOUTH": "S", "EAST": "E", "WEST": "W", "NORTHEAST": "NE", "NORTHWEST": "NW", "SOUTHEAST": "SE", "SOUTHWEST": "SW", "SUITE": "STE", "APARTMENT": "APT", "BUILDING": "BLDG", "UNIT": "UNIT",
+}
 
 
 def blank(c: Column) -> Column:
@@ -33,8 +34,8 @@ def money(c: Column) -> Column:
 def name_key(c: Column) -> Column:
     """Upper case without punctuation, corporate suffixes and a leading THE."""
     s = F.regexp_replace(F.regexp_replace(F.upper(F.coalesce(c, F.lit(""))), r"\.", ""), "[^A-Z0-9 ]", " ")
-    s = F.regexp_replace(s, rf"\b({'|'.join(SUFFIXES)})\b", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(s, r"^\s*THE ", ""), " +", " "))
+    s = F.trim(F.regexp_replace(s, rf"\b({'|'.join(SUFFIXES)})\b", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(s, "^THE ", ""), " +", " "))
 
 
 def upper_key(*columns: Column) -> Column:
@@ -60,26 +61,52 @@ def letters(c: Column) -> Column:
     return F.regexp_replace(F.upper(c), "[^A-Z]", "")
 
 
-def address_key(c: Column) -> Column:
-    """Upper-cased address with postal abbreviations; null without a digit or under eight characters."""
+def address_line(*columns: Column) -> Column:
+    """Upper-cased address with postal abbreviations."""
     table = F.create_map(*[F.lit(x) for pair in STREETS.items() for x in pair])
-    words = F.transform(F.split(upper_key(c), " "), lambda w: F.coalesce(table[w], w))
-    out = F.array_join(words, " ")
-    return F.when(out.rlike(r"\d") & (F.length(out) >= 8), out)
+    return F.array_join(F.transform(F.split(upper_key(*[blank(c) for c in columns]), " "), lambda w: F.coalesce(table[w], w)), " ")
+
+
+def address_key(address: Column, city: Column | None = None, zip_code: Column | None = None) -> Column:
+    """address_line of the parts; null where the address has no digit, or under eight characters."""
+    out = address_line(address, *[c for c in (city, zip_code) if c is not None])
+    return F.when(address.rlike(r"\d") & (F.length(out) >= 8), out)
 
 
 def person_key(c: Column) -> Column:
     """First and last word of more than one letter, sorted; null with fewer than two."""
-    words = F.filter(F.split(upper_key(F.regexp_replace(c, "[^A-Za-z ]", " ")), " "), lambda w: F.length(w) > 1)
+    words = F.filter(F.split(upper_key(c), " "), lambda w: F.length(w) > 1)
     return F.when(F.size(words) >= 2, F.array_join(F.array_sort(F.array(F.element_at(words, 1), F.element_at(words, -1))), " "))
 
 
-def brand_key(c: Column) -> Column:
-    """The first two distinctive words of a name, cut at OF and AT; null under four characters."""
-    head = F.regexp_replace(name_key(c), r"\b(OF|AT)\b.*$", "")
-    words = F.filter(F.split(F.trim(head), " "), lambda w: ~w.isin(GENERIC) & ~w.rlike(r"^\d*$"))
-    out = F.array_join(F.slice(words, 1, 2), " ")
-    return F.when(F.length(out) >= 4, out)
+def ein(c: Column) -> Column:
+    """An employer's number: digits, nine at most."""
+    return F.left(F.regexp_replace(blank(c), r"\D", ""), F.lit(9))
+
+
+def fiscal(period: Column) -> Column:
+    """Whether a period is a fiscal year, `FY2024`."""
+    return period.rlike("^FY[0-9]{4}$")
+
+
+def iso_day(c: Column) -> Column:
+    """A date in one of the layouts of the lists, as yyyy-MM-dd: 20240131, 2024-01-31, 1/31/2024 or 31-JAN-2024, 1990 to 2035; empty where it is none."""
+    text = F.trim(c)
+    layouts = [(r"^\d{8}$", "yyyyMMdd"), (r"^\d{4}-\d\d-\d\d", "yyyy-MM-dd"), (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"), (r"^\d\d-[A-Za-z]{3}-\d{4}$", "dd-MMM-yyyy")]
+    shown = {"yyyy-MM-dd": F.substring(text, 1, 10), "dd-MMM-yyyy": F.initcap(text)}
+    found = F.coalesce(*[F.when(text.rlike(p), F.try_to_timestamp(shown.get(f, text), F.lit(f))) for p, f in layouts])
+    return F.when(F.year(found).between(1990, 2035), F.date_format(found, "yyyy-MM-dd")).otherwise("")
+
+
+def dollars(c: Column) -> Column:
+    """`$1,234`, half-even as the texts write it."""
+    return F.concat(F.lit("$"), F.format_number(F.bround(c, 0), 0))
+
+
+def plural_of(a: Column, b: Column) -> Column:
+    """Whether one word is the other with an S or ES, in any case."""
+    x, y = F.upper(a), F.upper(b)
+    return (x == F.concat(y, F.lit("S"))) | (x == F.concat(y, F.lit("ES"))) | (y == F.concat(x, F.lit("S"))) | (y == F.concat(x, F.lit("ES")))
 
 
 def any_of(c: Column, words: list[str]) -> Column:

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from registrum.functions.text import first_of
+from registrum.functions.names import professions_conflict
+from registrum.functions.text import first_of, letters, license_core, year
 
 from .money import chain_dates, rank_severity
+from .rules import OPEN_BRAND, open_brands
 
 
 def _flags(rows: DataFrame, rule: Column | str, severity: Column | float) -> DataFrame:
@@ -21,18 +23,70 @@ def registration(matched: DataFrame, missing: float = 12.0, inactive: float = 20
     return _flags(matched.where("found <> 'active'"), "no_active_business_registration", F.when(F.col("found") == "none", missing).otherwise(inactive))
 
 
-def exclusions(hits: DataFrame) -> DataFrame:
-    """excluded_or_sanctioned or excluded_license_derived of rows (uid, tier, mandatory, reason, state_ok, birth, listed_birth, active).
+# Adverse credential statuses, and identity grades that mean another person.
+ADVERSE = ("REVOKED", "SUSPENDED", "EXPIRED", "TERMINATED", "SURRENDER", "VOLUNTARY SURRENDER", "DENIED", "INACTIVE")
+MISMATCHED = ("license-mismatch", "dob-mismatch", "taxonomy-mismatch")
+# What each list bars, and how its entry is headed, by a word of its name.
+SCOPES = [
+    ("LEIE", "Excluded parties may not be paid by any federal health program (Medicare, Medicaid, CHIP)."), ("CMS REVOKED", "Revoked from MEDICARE billing; state Medicaid status is separate."),
+    ("SAM", "Debarred from federal procurement/awards; clinical program billing is governed separately by OIG/CMS status."), ("HCA TERMINATED", "Terminated from WA MEDICAID (Apple Health) only — this does not by itself bar Medicare or other federal programs."),
+]
+TITLES = [("HCA", "On Washington's Medicaid termination list"), ("LEIE", "On the federal OIG exclusion list"), ("SAM", "On the federal SAM.gov exclusion list"), ("CMS REVOKED", "Medicare billing privileges revoked")]
 
-    Births that differ mean a namesake and drop the hit; a name alone needs its state. A hit by number is definitive (40, mandatory 48), by
-    licence 30, by name 20; one whose reason only repeats the licence action is capped at 22; a closed record decays."""
+
+def scope_text(listed: Column) -> Column:
+    """What a list bars."""
+    name = F.upper(F.coalesce(listed, F.lit("")))
+    return first_of(*[(name.contains(k), F.lit(v)) for k, v in SCOPES], default=F.lit("Verify which programs this listing actually bars before attributing dollars."))
+
+
+def list_title(listed: Column) -> Column:
+    """The headline of an entry; a state's list is never called federal."""
+    name = F.upper(F.coalesce(listed, F.lit("")))
+    shown = first_of(*[(name.contains(k), F.lit(v)) for k, v in TITLES], default=F.lit("On an exclusion/sanction list"))
+    return F.concat(shown, F.lit(" ("), F.coalesce(listed, F.lit("")), F.lit(")"))
+
+
+def license_derived(code: Column) -> Column:
+    """Whether an exclusion restates a state's licence action."""
+    return F.regexp_replace(F.lower(F.coalesce(code, F.lit(""))), r"[ ()]", "").rlike("^1128b[45]")
+
+
+def identity_grade(rows: DataFrame) -> Column:
+    """How sure it is that a credential's holder is the person behind its provider number: a column over credential, licenses (array), via, birth and
+    listed_birth (years), city and listed_city, credential_type and taxonomy, npi. Licence numbers decide, then birth years of an exclusion
+    by number, then cities; different professions refute what is only a name. Null without a number."""
+    own = F.when(F.length(license_core(F.col("credential"))) > 0, license_core(F.col("credential")))
+    cores = F.filter(F.transform(F.coalesce("licenses", F.array().cast("array<string>")), license_core), lambda c: F.length(c) >= 3)
+    both = own.isNotNull() & (F.size(cores) > 0)
+    listed = F.coalesce(F.col("via") == "NPI", F.lit(False))
     births = F.col("birth").isNotNull() & F.col("listed_birth").isNotNull()
-    rows = hits.where(F.col("tier").isNotNull() & ~(births & (F.col("birth") != F.col("listed_birth"))) & ((F.col("tier") != "name") | F.col("state_ok")))
-    derived = F.lower(F.coalesce("reason", F.lit(""))).rlike("licen[cs]e (revo|susp|surr)")
-    severity = first_of(((F.col("tier") == "npi") & F.col("mandatory"), 48.0), (F.col("tier") == "npi", 40.0), (F.col("tier") == "licence", 30.0), default=20.0)
-    severity = F.when(derived, F.least(severity, F.lit(22.0))).otherwise(severity)
-    severity = F.bround(severity * F.when(F.col("active"), 1.0).otherwise(0.6), 0)
-    return _flags(rows, F.when(derived, "excluded_license_derived").otherwise("excluded_or_sanctioned"), severity)
+    cities = letters(F.coalesce("city", F.lit("")))
+    same_city = (cities != "") & (cities == letters(F.coalesce("listed_city", F.lit(""))))
+    soft = first_of((listed, "exclusion-npi"), (same_city & F.col("via").isNotNull(), "city-corroborated"), default="unique-name")
+    soft = F.when(professions_conflict(F.col("credential_type"), F.col("taxonomy")), "taxonomy-mismatch").otherwise(soft)
+    grade = first_of((both & F.array_contains(cores, own), "license-confirmed"), (both, "license-mismatch"), (listed & births & (F.col("birth") == F.col("listed_birth")), "dob-confirmed"), (listed & births, "dob-mismatch"), default=soft)
+    return F.when(F.coalesce("npi", F.lit("")) != "", grade)
+
+
+def exclusions(hits: DataFrame, horizon: int | None = None, derived_most: float = 22.0) -> DataFrame:
+    """excluded_or_sanctioned or excluded_license_derived of matches with a listed row: uid, source, status, confidence, mandatory, list, code, reason, date (of
+    the listing), identity (identity_grade, null where none) and last_paid (year of the last money, null without any).
+
+    Definitive 40, mandatory 48; corroborated 30; by name 20. Definitive by a crosswalked number whose identity is mismatched: 10 at most. A listing
+    that restates the credential's own adverse status: derived_most. Where all money ended by the listing's year and 5 years or more before the
+    horizon: 0.6 of it, from 8 years on 0.3, 10 at least."""
+    sure = F.col("confidence") == "definitive"
+    severity = first_of((sure & F.coalesce("mandatory", F.lit(False)), 48.0), (sure, 40.0), (F.col("confidence") == "corroborated", 30.0), default=20.0)
+    severity = F.when(sure & F.coalesce(F.col("identity").isin(*MISMATCHED), F.lit(False)), F.least(severity, F.lit(10.0))).otherwise(severity)
+    echo = F.upper(F.coalesce("list", F.lit(""))).contains("HCA") & F.coalesce(F.col("reason").rlike(r"(?i)licen[cs]e\s+(suspend|revok|surrender)"), F.lit(False))
+    derived = (license_derived(F.col("code")) | echo) & (F.col("source") == "healthcare") & F.upper(F.trim(F.coalesce("status", F.lit("")))).isin(*ADVERSE)
+    severity = F.when(derived, F.least(severity, F.lit(derived_most))).otherwise(severity)
+    if horizon is not None:
+        gone = F.lit(horizon) - F.col("last_paid")
+        over = F.coalesce((F.col("last_paid") <= year(F.col("date"))) & (gone >= 5), F.lit(False))
+        severity = F.when(over, F.greatest(F.lit(10.0), F.bround(severity * F.when(gone >= 8, 0.3).otherwise(0.6), 0))).otherwise(severity)
+    return _flags(hits, F.when(derived, "excluded_license_derived").otherwise("excluded_or_sanctioned"), severity)
 
 
 def ownership_churn(events: DataFrame) -> DataFrame:
@@ -88,15 +142,29 @@ def labor(contracts: DataFrame, listed: DataFrame) -> DataFrame:
     return _flags(met, rule, severity).distinct()
 
 
-def shared_contact(rows: DataFrame, low: int = 2, high: int = 8) -> DataFrame:
-    """Rows (uid, email, phone) that share either with `low` to `high` uids: 22, once; `via` says phone where both do."""
+def _discounted(met: DataFrame, groups: DataFrame, names: DataFrame | None, key: list[str], severity: float) -> DataFrame:
+    """met (uid and key columns) with severity, less where the names (uid, name) of a key's members openly carry one brand."""
+    if names is None:
+        return met.withColumn("severity", F.lit(severity))
+    named = groups.join(names.select("uid", "name"), "uid").withColumn("__key", F.concat_ws("|", *key))
+    brands = open_brands(named, "__key", 2)
+    out = met.withColumn("__key", F.concat_ws("|", *key)).join(brands, "__key", "left")
+    return out.withColumn("severity", F.bround(severity * F.when(F.col("brand").isNotNull(), OPEN_BRAND).otherwise(1.0), 1)).drop("__key", "brand")
+
+
+def shared_contact(rows: DataFrame, low: int = 2, high: int = 8, names: DataFrame | None = None) -> DataFrame:
+    """Rows (uid, email, phone) that share either with `low` to `high` uids: 22, once; `via` says phone where both do. With names (uid, name), OPEN_BRAND of it for sites of one brand."""
     keys = rows.select("uid", F.explode(F.array_compact(F.array(F.when(F.col("phone").isNotNull(), F.struct(F.lit("phone").alias("via"), F.col("phone").alias("key"))), F.when(F.coalesce("email", F.lit("")) != "", F.struct(F.lit("email").alias("via"), F.col("email").alias("key")))))).alias("k")).select("uid", "k.*")
     sized = keys.groupBy("via", "key").agg(F.count_distinct("uid").alias("n")).where(F.col("n").between(low, high))
-    met = keys.join(sized, ["via", "key"]).groupBy("uid").agg(F.max("via").alias("via"))
-    return met.select("uid", F.lit("shared_contact_multiple_providers").alias("rule_id"), F.lit(22.0).alias("severity"), "via")
+    groups = keys.join(sized, ["via", "key"])
+    met = groups.groupBy("uid").agg(F.max_by("key", F.struct("via", "key")).alias("key"), F.max("via").alias("via"))
+    met = _discounted(met, groups, names, ["via", "key"], 22.0)
+    return met.select("uid", F.lit("shared_contact_multiple_providers").alias("rule_id"), "severity", "via")
 
 
-def contact_person(rows: DataFrame, low: int = 3, high: int = 10) -> DataFrame:
-    """12 for uids whose contact person serves `low` to `high` uids."""
+def contact_person(rows: DataFrame, low: int = 3, high: int = 10, names: DataFrame | None = None) -> DataFrame:
+    """12 for uids whose contact person serves `low` to `high` uids; with names (uid, name), OPEN_BRAND of it for sites of one brand."""
     busy = rows.where("person is not null").groupBy("person").agg(F.count_distinct("uid").alias("n")).where(F.col("n").between(low, high))
-    return _flags(rows.join(busy, "person", "left_semi").select("uid").distinct(), "concentration_same_contact_person", 12.0)
+    groups = rows.join(busy, "person", "left_semi").select("uid", "person")
+    met = _discounted(groups.groupBy("uid").agg(F.max("person").alias("person")), groups, names, ["person"], 12.0)
+    return _flags(met, "concentration_same_contact_person", F.col("severity"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from registrum.session import staged
+from registrum.session import discard, staged
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -13,12 +15,14 @@ def components(edges: DataFrame) -> DataFrame:
     ends = F.struct(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).alias("e")
     alone = edges.where("a = b").select(F.col("a").alias("node"))
     now = staged(edges.where("a <> b").select(ends).select("e.*").distinct(), "edges")
-    mark = None
+    mark, old = None, now
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = both.join(both.groupBy("a").agg(F.min("b").alias("low")), "a").where("b > a").select(F.col("b").alias("a"), F.least("a", "low").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("low"))
         now = staged(large.join(low, "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(low.select("a", F.col("low").alias("b"))).distinct(), "edges")
+        discard(old)
+        old = now
         before, mark = mark, tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
         if mark == before:
             break
@@ -34,14 +38,15 @@ def key_edges(keys: DataFrame, least: int = 2, most: int = 8) -> DataFrame:
     return keys.join(sized, "key").select(F.col("uid").alias("a"), "b").distinct()
 
 
-def geo_pairs(points: DataFrame, metres: float = 50.0, dense: int = 15) -> DataFrame:
-    """Pairs a < b of (uid, lat, lon) within `metres`: cells of that size meet their neighbours; a pair stays if the nine cells around
-    either end hold at most `dense` points, so no crowded cell is joined with itself. (0, 0) and nulls are no place."""
+def geo_pairs(points: DataFrame, metres: float = 50.0, dense: int = 15, bounds: tuple[float, float, float, float] = (45.0, 49.5, -125.0, -116.0), latitude: float = 47.5) -> DataFrame:
+    """Pairs a < b of (uid, lat, lon) within `metres`: cells of that size, at `latitude`, meet their neighbours; a pair stays if the nine cells around
+    either end hold at most `dense` points, so no crowded cell is joined with itself. Places outside `bounds` (south, north, west, east), zeros and nulls are none."""
     from registrum.functions.text import haversine
 
-    step = metres / 111_320.0
-    rows = points.where("lat is not null and lon is not null and not (lat = 0 and lon = 0)")
-    rows = rows.withColumn("x", F.floor(F.col("lat") / step)).withColumn("y", F.floor(F.col("lon") / step))
+    south, north, west, east = bounds
+    down, across = metres / 111_320.0, metres / (111_320.0 * math.cos(math.radians(latitude)))
+    rows = points.where(F.col("lat").between(south, north) & F.col("lon").between(west, east) & (F.col("lat") != 0) & (F.col("lon") != 0))
+    rows = rows.withColumn("x", (F.col("lat") / down).cast("long")).withColumn("y", (F.col("lon") / across).cast("long"))
     near = F.explode(F.expr("flatten(transform(sequence(-1, 1), i -> transform(sequence(-1, 1), j -> struct(x + i as x, y + j as y))))"))
     counts = rows.groupBy("x", "y").agg(F.count("*").alias("n"))
     around = counts.select("n", near.alias("c")).groupBy("c").agg(F.sum("n").alias("around")).select("c.x", "c.y", "around")

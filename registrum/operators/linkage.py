@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from registrum.functions.names import generic
+from registrum.functions.text import name_key
+
 
 def first_wins(rows: DataFrame, key: list[str], order: list) -> DataFrame:
     """One row per key, the first in `order`."""
@@ -34,6 +37,13 @@ def cascade(left: DataFrame, listed: DataFrame, keys: list[tuple[str, list[str]]
     return out.withColumn("tier", tier).withColumn("hit", F.coalesce(*[F.col(f"hit_{t}") for t in tiers])).drop(*[f"hit_{t}" for t in tiers])
 
 
+def registry_index(rows: DataFrame, active: tuple[str, ...] = ("ACTIVE", "OPEN")) -> DataFrame:
+    """name_key and active of a business registry (name, status): a name is active if any of its rows is; one without a status counts as active."""
+    status = F.upper(F.trim(F.coalesce("status", F.lit(""))))
+    good = status.isin(*active) | (F.coalesce("status", F.lit("")) == "")
+    return rows.select(name_key(F.col("name")).alias("name_key"), good.alias("active")).where("name_key <> ''").groupBy("name_key").agg(F.bool_or("active").alias("active"))
+
+
 def active_match(left: DataFrame, registry: DataFrame, names: list[str], name: str = "name_key", active: str = "active") -> DataFrame:
     """left with `found` (none, active, inactive): any active registry row of one of the name keys, else any row."""
     best = registry.groupBy(name).agg(F.bool_or(active).alias("__a"))
@@ -82,6 +92,19 @@ def blocked_pairs(rows: DataFrame, near: Column, least: int = 5, most: int = 40)
     return pairs.join(rows, "uid").join(rows.select(F.col("uid").alias("uid2"), F.col("text").alias("text2")), "uid2").select("uid", "uid2", "text", "text2")
 
 
+def name_pairs(rows: DataFrame, near: Column, least: int = 5, most: int = 40) -> DataFrame:
+    """blocked_pairs of the name keys of organizations (uid, name): of five characters or more, not generic, different, sharing a word."""
+    keys = rows.select("uid", name_key(F.col("name")).alias("text")).where((F.length("text") >= least) & ~generic(F.col("text")))
+    return blocked_pairs(keys.withColumn("block", F.lit(None).cast("string")), near, least, most).where("text <> text2")
+
+
+def near_names(rows: DataFrame, least: float = 0.9) -> DataFrame:
+    """Pairs uid, uid2 of organizations whose name keys are alike by `least`, with their ratio."""
+    # Matching blocks are at most as long as the shorter text.
+    near = (F.lit(2.0 / least) * F.least("n", "n2") >= F.col("n") + F.col("n2")) | (F.col("same") == F.col("same2"))
+    return name_pairs(rows, near).withColumn("ratio", ratio("text", "text2", least)).where(F.col("ratio") >= least).select("uid", "uid2", "ratio")
+
+
 def ratio(left: str, right: str, least: float = 0.0) -> Column:
     """Similarity of two names: 1 for equal word sets, else the share of characters in matching blocks. Where that can't reach `least`, a higher
     value that doesn't either. No built-in function has it."""
@@ -104,6 +127,31 @@ def covers_tokens(left: Column, right: Column) -> Column:
     return F.size(F.array_except(F.split(left, " "), F.split(right, " "))) == 0
 
 
+def supersets(rows: DataFrame, subsets: DataFrame) -> DataFrame:
+    """uid and subset for rows (uid, name) whose words hold all words of a subset (subset). They meet on the subset's rarest word, so no common word gathers everything; names are made distinct first."""
+    names = rows.select("name").distinct().select("name", F.explode(F.array_distinct(F.split("name", " "))).alias("word"))
+    often = names.groupBy("word").agg(F.count("*").alias("n"))
+    wanted = subsets.select("subset", F.explode(F.array_distinct(F.split("subset", " "))).alias("word")).join(often, "word", "left")
+    rarest = wanted.groupBy("subset").agg(F.min(F.struct(F.coalesce("n", F.lit(0).cast("long")).alias("n"), "word")).alias("r")).select("subset", F.col("r.word").alias("word"))
+    met = names.join(rarest, "word").where(covers_tokens(F.col("subset"), F.col("name"))).select("name", "subset")
+    return rows.join(met, "name").select("uid", "subset")
+
+
+def containing(texts: DataFrame, needles: DataFrame) -> DataFrame:
+    """uid and item_id for texts (uid, text) that hold a needle (item_id, needle) as it stands.
+
+    Needles of three or more words meet texts on the longest of their inner words, which is a whole word of every text that holds them;
+    shorter ones, which may start or end inside a word, are looked for in every text. Empty needles are nowhere."""
+    parts = F.split("needle", " ")
+    inner = F.filter(F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(1))), lambda w: w != "")
+    needles = needles.where("needle <> ''").withColumn("word", F.when(F.size(parts) >= 3, F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]))
+    long, short = needles.where("word is not null"), needles.where("word is null")
+    words = texts.select("uid", F.explode(F.array_distinct(F.split("text", " "))).alias("word"))
+    met = words.join(long, "word").select("uid", "item_id", "needle").join(texts, "uid").where(F.col("text").contains(F.col("needle"))).select("uid", "item_id")
+    anywhere = texts.join(short, F.col("text").contains(F.col("needle"))).select("uid", "item_id")
+    return met.unionByName(anywhere).distinct()
+
+
 def merge(old: DataFrame, new: DataFrame, key: str, defaults: dict[str, object] | None = None) -> DataFrame:
     """old with new laid over it by key: a null in new leaves the old value; missing ones take the default."""
     a, b, defaults = old.alias("a"), new.alias("b"), defaults or {}

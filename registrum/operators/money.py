@@ -19,13 +19,39 @@ def dominant_program(facts: DataFrame) -> DataFrame:
     return per.withColumn("total", F.round(F.sum("amount").over(whole), 2)).withColumn("turn", F.row_number().over(top)).where("turn = 1").drop("turn")
 
 
+def ranked(rows: DataFrame, group: str | None, value: str) -> DataFrame:
+    """Per group and value, how many rows have it (n), a smaller one (below), and how many the group has (size). Nulls take no part.
+
+    No group has to fit a task: values are counted first, ranked inside coarse buckets of their logarithm, and the buckets, a few thousand at
+    most, are summed up from below."""
+    keys = [group] if group else []
+    v = F.col(value)
+    counts = rows.where(v.isNotNull() & ~F.isnan(v.cast("double"))).groupBy(*keys, value).agg(F.count("*").alias("n"))
+    # 1,024 steps a power of two; below zero in reverse
+    size_of = F.floor(F.log2(F.abs(v.cast("double")) + 1) * 1024)
+    counts = counts.withColumn("__bucket", F.when(v < 0, -size_of - 1).otherwise(size_of))
+    sums = counts.groupBy(*keys, "__bucket").agg(F.sum("n").alias("__m"))
+    before = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*keys)
+    sums = sums.select(*keys, "__bucket", F.coalesce(F.sum("__m").over(before), F.lit(0)).alias("__below"), F.sum("__m").over(whole).alias("size"))
+    inside = Window.partitionBy(*keys, "__bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    met = counts.join(sums, [*keys, "__bucket"])
+    return met.select(*keys, value, "n", (F.col("__below") + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("below"), "size")
+
+
 def nearest_rank(rows: DataFrame, group: str, value: str, share: float) -> DataFrame:
-    """Per group the value at the (half-even rounded) rank share * (n - 1), counted from 0. Values are first counted per group, so ties of a group don't travel."""
-    counts = rows.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("n"))
-    upto = Window.partitionBy(group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    counts = counts.withColumn("last", F.sum("n").over(upto) - 1).withColumn("size", F.sum("n").over(Window.partitionBy(group)))
+    """Per group the value at the (half-even rounded) rank share * (n - 1), counted from 0."""
     rank = F.bround(F.lit(share) * (F.col("size") - 1), 0)
-    return counts.where((F.col("last") >= rank) & (F.col("last") - F.col("n") < rank)).select(group, F.col(value).alias("at_rank"))
+    return ranked(rows, group, value).where((F.col("below") <= rank) & (rank < F.col("below") + F.col("n"))).select(group, F.col(value).alias("at_rank"))
+
+
+def interpolated(rows: DataFrame, value: str, share: float) -> DataFrame:
+    """One row, `cut`: the percentile of all values, by linear interpolation between the two ranks around it."""
+    at = F.lit(share) * (F.col("size") - 1)
+    low, high = F.floor(at), F.ceil(at)
+    holds = lambda rank: (F.col("below") <= rank) & (rank < F.col("below") + F.col("n"))
+    ends = ranked(rows, None, value).where(holds(low) | holds(high)).agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.first(at - low).alias("part"))
+    return ends.select((F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("part")).alias("cut"))
 
 
 def outliers(dominant: DataFrame, share: float = 0.95, least: float = 100_000.0) -> DataFrame:
@@ -35,12 +61,14 @@ def outliers(dominant: DataFrame, share: float = 0.95, least: float = 100_000.0)
 
 
 def spikes(yearly: DataFrame, ratio: float = 2.0, least: float = 25_000.0, rise: float = 10_000.0) -> DataFrame:
-    """uids whose last period (uid, period, amount) is at least `ratio` times the one before, large, well above it, and not a bounce in a falling history."""
+    """uids whose last period (uid, period, amount) is at least `ratio` times the one before, large and well above it. A uid of four or more
+    periods that fell or stood still through all but the last two is a bounce and left out."""
     by = Window.partitionBy("uid").orderBy("period")
-    rows = yearly.withColumn("prev", F.lag("amount").over(by)).withColumn("before", F.lag("amount", 2).over(by))
-    rows = rows.withColumn("next", F.lead("period").over(by)).withColumn("falls", F.col("before") >= F.col("prev"))
-    past = by.rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("falling", F.coalesce(F.bool_and("falls").over(past), F.lit(False)))
+    rows = yearly.withColumn("prev", F.lag("amount").over(by)).withColumn("next", F.lead("period").over(by)).withColumn("turn", F.row_number().over(by))
+    step = F.lead("amount").over(by)
+    rows = rows.withColumn("falls", F.col("amount") >= step).withColumn("left", F.count("*").over(Window.partitionBy("uid")) - F.col("turn"))
+    falling = F.bool_and(F.when(F.col("left") >= 3, F.col("falls"))).over(Window.partitionBy("uid"))
+    rows = rows.withColumn("falling", (F.count("*").over(Window.partitionBy("uid")) >= 4) & F.coalesce(falling, F.lit(False)))
     last = rows.where("next is null and prev > 0")
     return last.where((F.col("amount") / F.col("prev") >= ratio) & (F.col("amount") >= least) & (F.col("amount") - F.col("prev") >= rise) & ~F.col("falling")).select("uid", "period", "amount", "prev", F.round(F.col("amount") / F.col("prev"), 4).alias("ratio"))
 
@@ -87,14 +115,6 @@ def chain_dates(events: DataFrame, least: int = 4) -> DataFrame:
 
 
 def rank_severity(rows: DataFrame, value: str, low: float = 6.0, spread: float = 14.0) -> DataFrame:
-    """Positive values with their percentile rank and a half-even rounded severity that grows with it. Values are counted first, so equal ones are one row of the sort."""
-    counts = rows.where(F.col(value) > 0).groupBy(value).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    bucket = Window.partitionBy("bucket").orderBy(value)
-    # A global rank without one task for all: ranks inside coarse buckets of the value plus the counts of the buckets below.
-    counts = counts.withColumn("bucket", F.floor(F.log2(F.col(value)) * 16))
-    sums = counts.groupBy("bucket").agg(F.sum("n").alias("m"))
-    below = sums.withColumn("below", F.coalesce(F.sum("m").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("bucket", "below")
-    ranks = counts.withColumn("upto", F.sum("n").over(bucket)).join(below, "bucket").crossJoin(F.broadcast(total))
-    ranks = ranks.select(value, ((F.col("upto") + F.col("below")) / F.col("total")).alias("percentile"))
+    """Positive values with their percentile rank and a half-even rounded severity that grows with it."""
+    ranks = ranked(rows.where(F.col(value) > 0), None, value).select(value, ((F.col("below") + F.col("n")) / F.col("size")).alias("percentile"))
     return rows.join(ranks, value).withColumn("severity", F.bround(low + spread * F.col("percentile"), 0))

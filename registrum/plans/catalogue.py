@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from registrum.functions import names as N
 from registrum.functions import text as T
 from registrum.operators import bars, graph, linkage, money, resolve, rules, scoring, serve
 from registrum.operators import context_rules as context
@@ -60,35 +61,61 @@ DOMINANT = f"""{SHIPPED}, per as (select uid, program, cast(round(sum(amount), 2
 dominant as (select uid, program, amount, round(sum(amount) over (partition by uid), 2) as total, row_number() over (partition by uid order by amount desc, program) as turn from per)"""
 
 
+#: Texts that the predicates must read: names, addresses, statuses, cities and credentials as registries write them.
+NAMES = [
+    "Keller Child Care LLC", "The Keller Child Care", "KELLER CHILD CARE, INC.", "Kiddie Academy of Seattle at Queen Anne", "Martha & Mary Vinland School Age Program", "Martha and Mary Poulsbo", "Providence Mt St Vincent", "Early Learning Center Kids Academy", "Childs Time IX",
+    "Sunrise Enterprises", "Northgate Limited", "P.L.L.C. of Health", "Gardens on University - Spokane Valley, LLC", "Of Mice Inc", "Hillside Community Center", "Saint Mark Church", "Acme Rehabilitation University, Inc.", "", "Tendercare 12", "YMCA of Yakima", "City of Kent", "The LLC", "Of The Sea - 02",
+]
+ADDRESSES = ["{} Main Street", "1 Main, PO Box {}", "POST OFFICE BOX 9", "PO Box {}", "MAILBOX 3, 5 Elm", "Suite 4 PMB 12", "Box 7 Rural Route", "The UPS Store 5", "Regus 9 Pine", "", "p. o. box 4", "Boxwood 3 Lane", "UPS Storefront 8"]
+STATUSES = ["Active", "Closed", "Revoked", " suspended", "SURRENDER", "Voluntary Surrender", "Active with conditions", "Surrendered", "ACTIVE - PENDING", "Expired", "Summary Suspension"]
+
+
+def pick(values: list, k) -> F.Column:
+    """The value of the list in turn of k."""
+    return F.element_at(F.array(*map(F.lit, values)), (k % len(values) + 1).cast("int"))
+
+
+def sql_pick(values: list, k: str) -> str:
+    shown = ", ".join("'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v) for v in values)
+    return f"[{shown}][cast(({k}) % {len(values)} + 1 as integer)]"
+
+
+#: A name key in SQL.
+def sql_key(name: str) -> str:
+    words = "LLC|INC|INCORPORATED|CORP|CORPORATION|CO|COMPANY|LLP|LP|PLLC|PS|PC|LTD|DBA|ENTERPRISE|ENTERPRISES"
+    s = f"trim(regexp_replace(regexp_replace(replace(upper(coalesce({name}, '')), '.', ''), '[^A-Z0-9 ]', ' ', 'g'), '\\b({words})\\b', ' ', 'g'))"
+    return f"trim(regexp_replace(case when starts_with({s}, 'THE ') then substr({s}, 5) else {s} end, ' +', ' ', 'g'))"
+
+
 def people(t) -> DataFrame:
-    """Customers as entities with statuses, dates and contacts made of their keys."""
+    """Customers as entities with statuses, addresses, dates and contacts made of their keys."""
     k = F.col("c_custkey")
+    street = F.replace(pick(ADDRESSES, k), F.lit("{}"), k.cast("string"))
     rows = t("customer").select(
-        k.alias("id"), F.col("c_name").alias("name"), F.when(k % 3 == 0, "Closed").otherwise("Active").alias("state_of"), F.concat(F.when(k % 7 == 0, "PO Box ").when(k % 11 == 0, "PMB 12, ").otherwise(""), k.cast("string"), F.lit(" Main Street")).alias("street"),
+        k.alias("id"), F.col("c_name").alias("name"), pick(STATUSES, k).alias("state_of"), street.alias("street"),
         F.col("c_acctbal").cast("string").alias("money"), F.when(k % 4 == 0, "01/15/1999").otherwise("2005-06-30").alias("licenseexpirationdate"), F.when(k % 5 == 0, "").otherwise(F.concat(F.lit("A@"), (k % 50).cast("string"))).alias("primarycontactemail"),
         F.when(k % 10 == 0, "1").otherwise(F.concat(F.lit("(206) 555-"), F.lpad((k % 1000).cast("string"), 4, "0"))).alias("primarycontactphonenumber"), F.when(k % 6 != 0, (k % 90).cast("string")).alias("licensecapacity"),
-        F.element_at(F.array(*map(F.lit, ["Revoked", "Suspended", "Surrendered", "Active with conditions", "Active", "Expired", "Active", "Active", "Active"])), (k % 9 + 1).cast("int")).alias("status"), F.when(k % 13 == 0, "Yes").when(k % 17 == 0, "Pending").otherwise("No").alias("actiontaken"),
+        F.when(k % 13 == 0, "Yes").when(k % 17 == 0, "Pending").otherwise("No").alias("actiontaken"), pick(["Proprietary", "non-profit", "For-Profit LLC", "Government", "profit"], k).alias("_ownership"), pick(["2", "Not Available", "4.5", "1"], k).alias("five_star"), pick(["", "1", "N/A"], k).alias("overall_rating"),
     )
     return readers.entities(rows, "customer", {"source_id": "id", "name": "name", "status": "state_of", "address": "street", "amount": "money"})
 
 
 @query(
-    f"""with {YEARLY}, steps as (
-      select *, lag(amount) over w as prev, lag(amount, 2) over w as before, lead(period) over w as next from yearly window w as (partition by uid order by period)),
-    tests as (select *, coalesce(bool_and(before >= prev) over (partition by uid order by period), false) as falling from steps)
-    select uid, period, amount, prev, round(amount / prev, 4) as ratio from tests
-    where next is null and prev > 0 and amount / prev >= 2 and amount >= 25000 and amount - prev >= 10000 and not falling"""
+    f"""with {YEARLY}, listed as (select uid, list(amount order by period) as a, max(period) as period from yearly group by 1),
+    sized as (select *, len(a) as n from listed where len(a) >= 2)
+    select uid, period, a[n] as amount, a[n - 1] as prev, round(a[n] / a[n - 1], 4) as ratio from sized
+    where a[n - 1] > 0 and a[n] / a[n - 1] >= 2 and a[n] >= 25000 and a[n] - a[n - 1] >= 10000 and not (n >= 4 and len(list_filter(range(1, n - 2), lambda i: a[i] < a[i + 1])) = 0)"""
 )
 def billing_spike(t):
     return money.spikes(yearly(t))
 
 
 @query(
-    """with e as (select 'customer:' || c_custkey as uid, c_name as name from customer union all select 'supplier:' || s_suppkey, s_name from supplier union all select 'part:' || p_partkey, p_name from part)
-    select uid, name, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(upper(name), '\\.', '', 'g'), '[^A-Z0-9 ]', ' ', 'g'), '^\\s*THE ', ''), ' +', ' ', 'g')) as name_key from e"""
+    f"""with e as (select 'customer:' || c_custkey as uid, {sql_pick(NAMES, "c_custkey")} as name from customer union all select 'supplier:' || s_suppkey, s_name from supplier union all select 'part:' || p_partkey, p_name from part)
+    select uid, name, {sql_key("name")} as name_key from e"""
 )
 def entity_normalize(t):
-    made = [readers.entities(t(n).select(F.col(f"{p}_{k}").alias("id"), F.col(f"{p}_name").alias("name")), n, {"source_id": "id", "name": "name"}) for n, p, k in (("customer", "c", "custkey"), ("supplier", "s", "suppkey"), ("part", "p", "partkey"))]
+    made = [readers.entities(t(n).select(F.col(f"{p}_{k}").alias("id"), (pick(NAMES, F.col("c_custkey")) if p == "c" else F.col(f"{p}_name")).alias("name")), n, {"source_id": "id", "name": "name"}) for n, p, k in (("customer", "c", "custkey"), ("supplier", "s", "suppkey"), ("part", "p", "partkey"))]
     return rules.union(*made).select("uid", "name", T.name_key(F.col("name")).alias("name_key"))
 
 
@@ -195,21 +222,30 @@ def peer_stats(t):
     return serve.peers(rows, "segment", "total").select("uid", "segment", "total", "peers", "percentile")
 
 
-@query("with r as (select upper(p_name) as name_key, bool_or(p_size >= 25) as active from part where p_partkey % 37 = 0 group by 1) select p_partkey as uid, case when active then 'active' when active is not null then 'inactive' else 'none' end as found from part left join r on upper(p_name) = name_key")
+REGISTRY = f"""r as (select {sql_key("name")} as name_key, bool_or(upper(trim(status)) in ('ACTIVE', 'OPEN')) as active from (select {sql_pick(NAMES[::2], "p_partkey")} as name, {sql_pick(["Active", "CLOSED", "open", "Dissolved", "closed"], "p_size")} as status from part) where {sql_key("name")} <> '' group by 1)"""
+
+
+def registry(t) -> DataFrame:
+    """Registered businesses with their statuses; of a name any active one counts."""
+    return linkage.registry_index(t("part").select(pick(NAMES[::2], F.col("p_partkey")).alias("name"), pick(["Active", "CLOSED", "open", "Dissolved", "closed"], F.col("p_size")).alias("status")))
+
+
+@query(f"with {REGISTRY} select c_custkey as uid, case when coalesce(a.active, false) or coalesce(b.active, false) then 'active' when coalesce(a.active, b.active) is not null then 'inactive' else 'none' end as found from (select c_custkey, {sql_key(sql_pick(NAMES, 'c_custkey'))} as key, {sql_key(sql_pick(NAMES, 'c_custkey + 3'))} as key2 from customer) c left join r a on a.name_key = c.key left join r b on b.name_key = c.key2")
 def registry_best_match(t):
-    registry = t("part").where("p_partkey % 37 = 0").select(T.name_key(F.col("p_name")).alias("name_key"), (F.col("p_size") >= 25).alias("active"))
-    return linkage.active_match(t("part").select(F.col("p_partkey").alias("uid"), T.name_key(F.col("p_name")).alias("key")), registry, ["key"]).select("uid", "found")
+    k = F.col("c_custkey")
+    rows = t("customer").select(k.alias("uid"), T.name_key(pick(NAMES, k)).alias("key"), T.name_key(pick(NAMES, k + 3)).alias("key2"))
+    return linkage.active_match(rows, registry(t), ["key", "key2"]).select("uid", "found")
 
 
 @query(
-    """with l as (select case when s_suppkey % 3 = 0 then s_suppkey end as npi, case when s_suppkey % 3 <> 2 then s_suppkey * 7 end as lic, s_name as name, s_nationkey as nation, s_suppkey as ord from supplier where s_suppkey % 2 = 0)
+    f"""with l as (select case when c_custkey % 3 = 0 then c_custkey end as npi, case when c_custkey % 3 <> 2 then c_custkey * 7 end as lic, {sql_pick(NAMES, "c_custkey")} as name, c_nationkey as nation, c_custkey as ord from customer)
     select s_suppkey as uid, case when a.ord is not null then 'npi' when b.ord is not null then 'licence' when c.ord is not null then 'name' end as tier, coalesce(a.ord, b.ord, c.ord) as hit
-    from supplier s left join l a on a.npi = s_suppkey left join l b on b.lic = s_suppkey * 7 left join l c on c.name = s_name and c.nation = s_nationkey"""
+    from supplier s left join l a on a.npi = s_suppkey left join l b on b.lic = s_suppkey left join (select name, nation, min(ord) as ord from l group by 1, 2) c on c.name = {sql_pick(NAMES, "s_suppkey")} and c.nation = s_nationkey"""
 )
 def cascading_match(t):
-    k = F.col("s_suppkey")
-    listed = t("supplier").where("s_suppkey % 2 = 0").select(F.when(k % 3 == 0, k).alias("npi"), F.when(k % 3 != 2, k * 7).alias("lic"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation"), k.alias("ord"))
-    left = t("supplier").select(k.alias("uid"), k.alias("npi"), (k * 7).alias("lic"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation"))
+    k, s = F.col("c_custkey"), F.col("s_suppkey")
+    listed = t("customer").select(F.when(k % 3 == 0, k).alias("npi"), F.when(k % 3 != 2, k * 7).alias("lic"), pick(NAMES, k).alias("name"), F.col("c_nationkey").alias("nation"), k.alias("ord"))
+    left = t("supplier").select(s.alias("uid"), s.alias("npi"), s.alias("lic"), pick(NAMES, s).alias("name"), F.col("s_nationkey").alias("nation"))
     return linkage.cascade(left, listed, [("npi", ["npi"]), ("licence", ["lic"]), ("name", ["name", "nation"])], "ord").select("uid", "tier", F.col("hit.ord").alias("hit"))
 
 
@@ -257,30 +293,38 @@ def paid_after_deactivation(t):
     return linkage.after(facts, off).groupBy("uid").agg(F.round(F.sum("amount"), 2).alias("amount"), F.count("*").alias("n"))
 
 
-BLOCKED = "r as (select doc_id as uid, lang || left(text, 8) as block, regexp_replace(left(text, 120), '[^ -~]', '?', 'g') as text from documents), s as (select block from r group by 1 having count(distinct uid) between 2 and 40), pairs as (select distinct a.uid, b.uid as uid2, a.text, b.text as text2 from r a join s using (block) join r b using (block) where a.uid < b.uid)"
+ENDINGS = [" Light Services LLC", " Lights Services", " Lite Services, Inc.", " Counsel", " Services Light"]
+
+
+def organizations(t) -> DataFrame:
+    """Customers with names of which a few in a row are nearly alike."""
+    k = F.col("c_custkey")
+    number = F.lpad(F.floor(k / 5).cast("string"), 6, "0")
+    return t("customer").select(k.alias("uid"), F.concat(F.lit("Harbor"), number, pick(ENDINGS, k)).alias("name"))
 
 
-def _pairs(t, near):
-    return linkage.blocked_pairs(t("documents").select(F.col("doc_id").alias("uid"), "text", F.concat("lang", F.left("text", F.lit(8))).alias("block")), near)
+ORGANIZATIONS = f"o as (select c_custkey as uid, 'Harbor' || lpad(cast(c_custkey // 5 as varchar), 6, '0') || {sql_pick(ENDINGS, 'c_custkey')} as name from customer)"
 
 
-@query(f"with {BLOCKED} select uid, uid2, cast(levenshtein(text, text2) as integer) as edits from pairs where levenshtein(text, text2) <= 8")
+@query(
+    f"""with {ORGANIZATIONS}, r as (select uid, {sql_key("name")} as key from o), w as (select uid, key, unnest(list_distinct(list_filter(string_split(key, ' '), lambda x: length(x) >= 5))) as word from r), s as (select word from w group by 1 having count(*) between 2 and 40)
+    select distinct a.uid, b.uid as uid2, cast(levenshtein(a.key, b.key) as integer) as edits from w a join s using (word) join w b using (word) where a.uid < b.uid and a.key <> b.key and levenshtein(a.key, b.key) <= 8"""
+)
 def fuzzy_block_pairs(t):
-    return _pairs(t, F.expr("abs(n - n2) <= 8")).withColumn("edits", F.levenshtein("text", "text2", 8)).where("edits >= 0").select("uid", "uid2", "edits").distinct()
+    pairs = linkage.name_pairs(organizations(t), F.expr("abs(n - n2) <= 8"))
+    return pairs.withColumn("edits", F.levenshtein("text", "text2", 8)).where("edits >= 0").select("uid", "uid2", "edits")
 
 
 @query(None)
 def fuzzy_ratio(t):
-    # Matching blocks are at most as long as the shorter text.
-    near = F.expr("20 * least(n, n2) >= 9 * (n + n2) or same = same2")
-    return _pairs(t, near).withColumn("ratio", linkage.ratio("text", "text2", 0.9)).where("ratio >= 0.9").select("uid", "uid2", F.round("ratio", 6).alias("ratio")).distinct()
+    return linkage.near_names(organizations(t)).select("uid", "uid2", F.round("ratio", 6).alias("ratio"))
 
 
-PLACES = "p as (select vec_id as uid, 47 + round(cast(embedding[1] as double), 2) / 100 as lat, -122 + round(cast(embedding[2] as double), 2) / 100 as lon from embeddings where vec_id < 1000000)"
+PLACES = "p as (select vec_id as uid, 47 + round(cast(embedding[1] as double), 2) / 100 as lat, -122 + round(cast(embedding[2] as double), 2) / 100 as lon from embeddings)"
 
 
 @query(
-    f"""with {PLACES}, c as (select *, floor(lat / (50 / 111320.0)) as x, floor(lon / (50 / 111320.0)) as y from p), n as (select x, y, count(*) as n from c group by 1, 2),
+    f"""with {PLACES}, c as (select *, trunc(lat / (50 / 111320.0)) as x, trunc(lon / (50 / (111320.0 * cos(radians(47.5))))) as y from p where lat between 45 and 49.5 and lon between -125 and -116), n as (select x, y, count(*) as n from c group by 1, 2),
     a as (select c.x, c.y, sum(n.n) as around from (select distinct x, y from c) c join n on abs(n.x - c.x) <= 1 and abs(n.y - c.y) <= 1 group by 1, 2),
     e as (select c.*, around from c join a on a.x = c.x and a.y = c.y), m as (
     select s.uid as a, t.uid as b, 2 * 6371000.0 * asin(sqrt(sin(radians(t.lat - s.lat) / 2) ** 2 + cos(radians(s.lat)) * cos(radians(t.lat)) * sin(radians(t.lon - s.lon) / 2) ** 2)) as metres
@@ -291,7 +335,7 @@ def geo_pairs(t):
     return graph.geo_pairs(place).select("a", "b", F.round("metres", 3).alias("metres"))
 
 
-KEYS = "keys as (select p_partkey as uid, 'a' || p_brand || p_size || p_type as key from part union all select p_partkey, 'b' || cast(p_retailprice as bigint) || p_size from part), sized as (select key, min(uid) as b from keys group by 1 having count(distinct uid) between 2 and 3), edges as (select distinct uid as a, b from keys join sized using (key))"
+KEYS = "keys as (select p_partkey as uid, 'a' || p_brand || p_size || p_type as key from part union all select p_partkey, 'b' || cast(p_retailprice as bigint) || p_size from part), sized as (select key, min(uid) as b from keys group by 1 having count(distinct uid) between 2 and 8), edges as (select distinct uid as a, b from keys join sized using (key))"
 ROOTS = f"with recursive {KEYS}, both_ as (select a, b from edges union select b, a from edges), walk as (select a as node, b as seen from both_ union select w.node, e.b from walk w join both_ e on w.seen = e.a), roots as (select node, min(seen) as root from walk group by 1)"
 
 
@@ -336,35 +380,28 @@ def identity_bonus(t):
 
 
 @query(
-    """with w as (select unnest(regexp_extract_all(lower(text), '[a-z]+')) as word from documents where lang = 'en'), c as (select word, count(*) as n from w where length(word) >= 5 group by 1),
-    odd as (select word from c where n <= 3), usual as (select word as likely, n from c where n >= 5),
+    f"""with w as (select upper(unnest(regexp_extract_all(lower(text), '[a-z]+'))) as word from documents), c as (select word, count(*) as n from w group by 1), seeds as (select unnest({list(rules.SEEDS)!r}) as word), anchors as (select unnest({list(rules.ANCHORS)!r}) as likely),
+    usual as (select coalesce(c.word, s.word) as likely, coalesce(n, 0) as n from c full join seeds s on s.word = c.word where (n >= 25 and length(c.word) >= 4) or s.word is not null),
+    odd as (select word from c where length(word) >= 5 and n <= 3 and word not in (select word from seeds)),
     cuts as (select word, unnest(list_distinct(list_append(list_transform(range(1, length(word) + 1), lambda i: left(word, i - 1) || substr(word, i + 1)), word))) as cut from odd),
-    cuts2 as (select likely, n, unnest(list_distinct(list_append(list_transform(range(1, length(likely) + 1), lambda i: left(likely, i - 1) || substr(likely, i + 1)), likely))) as cut from usual),
-    pairs as (select distinct word, likely, n from cuts join cuts2 using (cut) where damerau_levenshtein(word, likely) = 1)
-    select word, likely, n as frequency from pairs qualify row_number() over (partition by word order by n desc, likely desc) = 1"""
+    cuts2 as (select likely, n, unnest(list_distinct(list_append(list_transform(range(1, length(likely) + 1), lambda i: left(likely, i - 1) || substr(likely, i + 1)), likely))) as cut from usual where length(likely) >= 5),
+    pairs as (select distinct word, likely, n from cuts join cuts2 using (cut) where damerau_levenshtein(word, likely) = 1 and word not in (likely || 'S', likely || 'ES') and likely not in (word || 'S', word || 'ES')),
+    far as (select odd.word, likely, coalesce(c.n, 0) as n from odd, anchors left join c on c.word = likely where length(odd.word) >= 8 and odd.word not in (select p.word from pairs p) and levenshtein(odd.word, likely) <= 2 and odd.word not in (likely || 'S', likely || 'ES') and likely not in (odd.word || 'S', odd.word || 'ES')),
+    found as (select word, likely, n from pairs union all select * from far)
+    select word, likely, n as frequency from found qualify row_number() over (partition by word order by n desc, likely) = 1"""
 )
 def misspelled_words(t):
     return rules.misspelled(t("documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word")))
 
 
-@query("with w as (select distinct list_sort(string_split(p_name, ' ')) as want, p_name from part where p_size = 1) select p_partkey as uid, w.p_name as subset from part join w on len(list_filter(string_split(w.p_name, ' '), lambda x: not list_contains(string_split(part.p_name, ' '), x))) = 0")
+@query("with n as (select distinct p_name as subset from part) select p_partkey as uid, subset from part join n on len(list_filter(string_split(subset, ' '), lambda x: not list_contains(string_split(part.p_name, ' '), x))) = 0")
 def token_subset(t):
-    p, want = t("part").select(F.col("p_partkey").alias("uid"), "p_name"), t("part").where("p_size = 1").select(F.col("p_name").alias("subset")).distinct()
-    # Sets meet on their first word in order, which every superset has.
-    left = want.withColumn("word", F.array_min(F.split("subset", " ")))
-    right = p.withColumn("word", F.explode(F.array_distinct(F.split("p_name", " "))))
-    return right.join(left, "word").where(linkage.covers_tokens(F.col("subset"), F.col("p_name"))).select("uid", "subset")
+    return linkage.supersets(t("part").select(F.col("p_partkey").alias("uid"), F.col("p_name").alias("name")), t("part").select(F.col("p_name").alias("subset")).distinct())
 
 
-@query("select doc_id as uid, item_id from documents, benchmark where contains(documents.text, left(benchmark.text, 40))")
+@query("select doc_id as uid, item_id from documents, benchmark where contains(documents.text, benchmark.text) and benchmark.text <> ''")
 def containment(t):
-    # The longest word inside the needle is a whole word of every text that contains it; texts and needles meet on that, then are compared.
-    inner = F.filter(F.slice(F.split("needle", " "), 2, F.greatest(F.size(F.split("needle", " ")) - 2, F.lit(1))), lambda w: w != "")
-    needle = t("benchmark").select("item_id", F.left("text", F.lit(40)).alias("needle"))
-    needle = needle.withColumn("word", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
-    words = t("documents").select(F.col("doc_id").alias("uid"), F.explode(F.array_distinct(F.split("text", " "))).alias("word"))
-    met = words.join(needle, "word").select("uid", "item_id", "needle")
-    return met.join(t("documents").select(F.col("doc_id").alias("uid"), "text"), "uid").where(F.col("text").contains(F.col("needle"))).select("uid", "item_id").distinct()
+    return linkage.containing(t("documents").select(F.col("doc_id").alias("uid"), "text"), t("benchmark").select("item_id", F.col("text").alias("needle")))
 
 
 @query("select page_id as uid, length(trim(regexp_replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&amp;', '&'), '&nbsp;', ' '), '[\\s]+', ' ', 'g'))) as n, md5(trim(regexp_replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&amp;', '&'), '&nbsp;', ' '), '[\\s]+', ' ', 'g'))) as digest from pages")
@@ -386,13 +423,15 @@ def json_story(t):
 
 # Rules and scores over the customer entities ---------------------------------------------------------------------------------------
 
-ENTITIES = """e as (select 'customer:' || c_custkey as uid, c_custkey as k, c_custkey % 3 > 0 as active, c_acctbal as amount, case when c_custkey % 7 = 0 then 'PO Box ' when c_custkey % 11 = 0 then 'PMB 12, ' else '' end || c_custkey || ' Main Street' as address,
- c_custkey % 4 = 0 as expired, c_custkey % 5 = 0 as no_mail, c_custkey % 10 = 0 as no_phone, case when c_custkey % 6 <> 0 then c_custkey % 90 else 0 end as capacity, ['REVOKED', 'SUSPENDED', 'SURRENDERED', 'ACTIVE WITH CONDITIONS', 'ACTIVE', 'EXPIRED', 'ACTIVE', 'ACTIVE', 'ACTIVE'][c_custkey % 9 + 1] as credential, c_custkey % 13 = 0 as acted, c_custkey % 13 <> 0 and c_custkey % 17 = 0 as pending from customer),
-flags as (select uid, k, unnest([case when active and expired then {'r': 'license_expired_active', 's': 30.0} end, case when active and capacity = 0 then {'r': 'capacity_missing_or_zero', 's': 10.0} end, case when active then {'r': 'ungeocoded_address', 's': 5.0} end, case when active and no_mail and no_phone then {'r': 'missing_contact_info', 's': 8.0} end,
- case when k % 7 <> 0 and k % 11 = 0 then {'r': 'commercial_mailbox', 's': 12.0} end, case when k % 7 = 0 then {'r': 'po_box_address', 's': 8.0} end, case when credential in ('REVOKED', 'SUSPENDED') then {'r': 'credential_revoked_or_suspended', 's': 30.0} end, case when credential = 'SURRENDERED' then {'r': 'credential_surrendered', 's': 16.0} end,
- case when credential = 'ACTIVE WITH CONDITIONS' then {'r': 'credential_active_with_conditions', 's': 18.0} end, case when acted then {'r': 'disciplinary_action_taken', 's': 22.0} end, case when pending then {'r': 'disciplinary_action_pending', 's': 12.0} end]) as f from e),
+ENTITIES = f"""d as (select c_custkey as k, upper(trim({sql_pick(STATUSES, "c_custkey")})) as status, upper(trim(replace({sql_pick(ADDRESSES, "c_custkey")}, '{{}}', cast(c_custkey as varchar)))) as address, upper({sql_pick(["Proprietary", "non-profit", "For-Profit LLC", "Government", "profit"], "c_custkey")}) as owned,
+  coalesce(try_cast({sql_pick(["2", "Not Available", "4.5", "1"], "c_custkey")} as double), try_cast({sql_pick(["", "1", "N/A"], "c_custkey")} as double)) as stars, c_acctbal as amount from customer),
+ e as (select 'customer:' || k as uid, k, starts_with(status, 'ACTIVE') as active, amount, address, owned, stars, k % 4 = 0 as expired, k % 5 = 0 as no_mail, k % 10 = 0 as no_phone, case when k % 6 <> 0 then k % 90 else 0 end as capacity, status as credential, k % 13 = 0 as acted, k % 13 <> 0 and k % 17 = 0 as pending,
+  case when regexp_matches(address, '\\b(PMB|UPS STORE|MAIL ?BOXES ?ETC|POSTAL ANNEX|PAK ?MAIL|PACKAGING|PARCEL|GOIN ?POSTAL|POSTNET|MAILBOX)\\b') then 'commercial_mailbox' when regexp_matches(address, '\\b(REGUS|WEWORK|INTELLIGENT OFFICE|DAVINCI|OPUS VIRTUAL)\\b') then 'virtual_office' when regexp_matches(address, '^\\s*(P\\.?\\s*O\\.?\\s*BOX|POST OFFICE BOX|BOX\\s+\\d)') then 'po_box_address' end as boxed from d),
+flags as (select uid, k, unnest([case when active and expired then {{'r': 'license_expired_active', 's': 30.0}} end, case when active and capacity = 0 then {{'r': 'capacity_missing_or_zero', 's': 10.0}} end, case when active then {{'r': 'ungeocoded_address', 's': case when address = '' then 10.0 else 5.0 end}} end, case when active and no_mail and no_phone then {{'r': 'missing_contact_info', 's': 8.0}} end,
+ case when boxed is not null then {{'r': boxed, 's': case when boxed = 'po_box_address' then 8.0 else 12.0 end}} end, case when owned in ('FOR-PROFIT', 'PROFIT', 'PROPRIETARY', 'FOR PROFIT') or contains(owned, 'FOR-PROFIT') or contains(owned, 'PROPRIETARY') then {{'r': 'for_profit_ownership', 's': 5.0}} end, case when stars <= 2 then {{'r': 'low_quality_rating', 's': 8.0}} end, case when credential in ('REVOKED', 'SUSPENDED') then {{'r': 'credential_revoked_or_suspended', 's': 30.0}} end, case when credential in ('SURRENDER', 'VOLUNTARY SURRENDER') then {{'r': 'credential_surrendered', 's': 16.0}} end,
+ case when credential = 'ACTIVE WITH CONDITIONS' then {{'r': 'credential_active_with_conditions', 's': 18.0}} end, case when acted then {{'r': 'disciplinary_action_taken', 's': 22.0}} end, case when pending then {{'r': 'disciplinary_action_pending', 's': 12.0}} end]) as f from e),
 hits as (select uid as entity_uid, k, f.r as rule_id, cast(f.s as double) as severity, case when f.r in ('credential_revoked_or_suspended', 'credential_surrendered', 'credential_active_with_conditions', 'disciplinary_action_taken', 'disciplinary_action_pending') then 'doh_sanction' when f.r = 'capacity_missing_or_zero' then 'capacity' else f.r end as grp,
- case when f.r in ('capacity_missing_or_zero', 'ungeocoded_address', 'missing_contact_info') then 'quality' when f.r in ('commercial_mailbox', 'po_box_address') then 'network' else 'integrity' end as family from flags where f is not null),
+ case when f.r in ('capacity_missing_or_zero', 'ungeocoded_address', 'missing_contact_info', 'for_profit_ownership', 'low_quality_rating') then 'quality' when f.r in ('commercial_mailbox', 'virtual_office', 'po_box_address') then 'network' else 'integrity' end as family from flags where f is not null),
 parts as (select entity_uid, k, grp, severity, rule_id from hits qualify row_number() over (partition by entity_uid, grp order by severity desc, rule_id) = 1),
 scores as (select entity_uid, p.k, risk_score, flag_count, family_count, top_rule from (select entity_uid, k, round_even(least(sum(severity), 100.0), 1) as risk_score from parts group by 1, 2) p join (select entity_uid, count(*) as flag_count, count(distinct family) as family_count from hits group by 1) h using (entity_uid) join (select entity_uid, rule_id as top_rule from parts qualify row_number() over (partition by entity_uid order by severity desc, rule_id) = 1) t using (entity_uid))"""
 
@@ -416,10 +455,18 @@ def risk_score(t):
     return scoring.scores(_flags(t))
 
 
-@query(f"with {ENTITIES} select entity_uid, case when entity_uid like '%5' then round_even(risk_score * 0.5, 1) else risk_score end as risk_score from scores")
+def _institutions(name: str) -> str:
+    """Whether a name is an institution's, in SQL."""
+    pattern = "|".join(N.INSTITUTIONS).replace("'", "''")
+    n = f"upper(coalesce({name}, ''))"
+    return f"case when regexp_matches({n}, '{N.SCHOOLS}') and regexp_matches({n}, '{N.COMPANIES}') then regexp_matches(regexp_replace({n}, '{N.SCHOOLS}', ' ', 'g'), '{pattern}') else regexp_matches({n}, '{pattern}') end"
+
+
+@query(f"with {ENTITIES} select entity_uid, case when {_institutions(sql_pick(NAMES, 'k'))} then round_even(risk_score * 0.5, 1) else risk_score end as risk_score from scores")
 def institution_suppression(t):
-    s = scoring.scores(_flags(t))
-    return scoring.suppressed(s, s.where("entity_uid like '%5'")).select("entity_uid", "risk_score")
+    k = F.col("c_custkey")
+    named = t("customer").select(F.concat(F.lit("customer:"), k.cast("string")).alias("entity_uid"), pick(NAMES, k).alias("name"))
+    return scoring.suppressed(scoring.scores(_flags(t)), named.where(N.institution(F.col("name")))).select("entity_uid", "risk_score")
 
 
 @query(f"with {ENTITIES} select case when risk_score < 20 then '0-19' when risk_score < 40 then '20-39' when risk_score < 60 then '40-59' when risk_score < 80 then '60-79' else '80-100' end as band, count(*) as n from scores group by 1")
@@ -465,10 +512,15 @@ def funds_tiers(t):
 SNAPSHOTS = "snap as (select o_custkey as uid, year(o_orderdate) as y, cast(count(*) * 15 as double) as score, round(sum(o_totalprice), 2) as funds, max(o_orderstatus) as status from orders group by 1, 2)"
 
 
-@query(f"with {SNAPSHOTS}, c as (select n.uid, case when o.score is null and n.score >= 40 then 'new' when o.score is not null and n.status <> o.status then 'status' when abs(n.score - o.score) >= 10 then 'score' when n.funds - o.funds > 25000 then 'money' end as kind, n.score, o.score as score0, n.funds, o.funds as funds0 from snap n left join (select * from snap where y = 1999) o using (uid) where n.y = 2000) select * from c where kind is not null")
+@query(
+    f"""with {SNAPSHOTS}, c as (select n.uid, n.score, o.score as score0, n.funds, o.funds as funds0, n.status, o.status as status0, n.uid % 4 = 0 as watched from snap n left join (select * from snap where y = 1999) o using (uid) where n.y = 2000)
+    select uid, 'new' as kind, score, score0, funds, funds0, status, status0, watched from c where score0 is null and score >= 40 union all select uid, 'risk', score, score0, funds, funds0, status, status0, watched from c where score - score0 >= 10
+    union all select uid, 'funds', score, score0, funds, funds0, status, status0, watched from c where funds - funds0 > 25000 union all select uid, 'status', score, score0, funds, funds0, status, status0, watched from c where status <> status0"""
+)
 def change_feed(t):
     snap = t("orders").groupBy(F.col("o_custkey").alias("uid"), F.year("o_orderdate").alias("y")).agg((F.count("*") * 15).cast("double").alias("score"), F.round(F.sum("o_totalprice"), 2).alias("funds"), F.max("o_orderstatus").alias("status"))
-    return serve.changes(snap.where("y = 2000").drop("y"), snap.where("y = 1999").drop("y"))
+    triage = t("customer").select(F.col("c_custkey").alias("uid"), (F.col("c_custkey") % 4 == 0).alias("watched"))
+    return serve.changes(snap.where("y = 2000").drop("y"), snap.where("y = 1999").drop("y"), triage=triage)
 
 
 @query("select o_orderstatus as status, min(year(o_orderdate)) || '–' || max(year(o_orderdate)) as range, count(distinct year(o_orderdate)) as years from orders group by 1")
@@ -585,16 +637,28 @@ def labor_flags(t):
     return context.labor(contracts, listed)
 
 
-@query("""with h as (select s_suppkey as k, case when k % 4 = 0 then 'npi' when k % 4 = 1 then 'licence' when k % 4 = 2 then 'name' end as tier, k % 8 = 0 as mandatory, k % 5 = 0 as derived, k % 3 > 0 as state_ok, k % 9 = 0 as namesake, k % 7 > 0 as active from (select s_suppkey, s_suppkey as k from supplier) s)
- select k as uid, case when derived then 'excluded_license_derived' else 'excluded_or_sanctioned' end as rule_id, round_even(cast((case when derived then least(22, sev) else sev end) as double) * case when active then 1.0 else 0.6 end, 0) as severity
- from (select *, case when tier = 'npi' and mandatory then 48 when tier = 'npi' then 40 when tier = 'licence' then 30 else 20 end as sev from h) where tier is not null and not namesake and (tier <> 'name' or state_ok)""")
+LISTS = ["OIG LEIE", "WA HCA terminated (Medicaid)", "SAM.gov", "CMS Revoked Medicare"]
+CODES = ["1128a1", "1128(b)(4)", "1128b5", "", "1128b7", "1128 b4"]
+REASONS = ["", "License Suspended by the state", "licence revoked", "Conviction", "License expired"]
+GRADES = ["definitive", "corroborated", "name-only"]
+IDENTITIES = ["license-mismatch", "license-confirmed", "unique-name", "taxonomy-mismatch", "dob-mismatch"]
+SOURCES = ["healthcare", "hospice", "healthcare"]
+
+
+@query(
+    f"""with h as (select c_custkey as uid, c_custkey as k, {sql_pick(LISTS, "c_custkey")} as list, {sql_pick(CODES, "c_custkey // 2")} as code, {sql_pick(REASONS, "c_custkey // 3")} as reason, {sql_pick(GRADES, "c_custkey // 5")} as confidence, {sql_pick(IDENTITIES, "c_custkey // 4")} as identity, {sql_pick(SOURCES, "c_custkey // 7")} as source, upper(trim({sql_pick(STATUSES, "c_custkey")})) as status, 2008 + c_custkey % 9 as listed, 2005 + c_custkey % 15 as paid from customer),
+    a as (select *, case when confidence = 'definitive' and k % 2 = 0 then 48 when confidence = 'definitive' then 40 when confidence = 'corroborated' then 30 else 20 end as base, (regexp_matches(replace(replace(replace(lower(code), ' ', ''), '(', ''), ')', ''), '^1128b(4|5)') or (contains(upper(list), 'HCA') and regexp_matches(lower(reason), 'licen[cs]e\\s+(suspend|revok|surrender)'))) and source = 'healthcare' and status in ('REVOKED', 'SUSPENDED', 'EXPIRED', 'TERMINATED', 'SURRENDER', 'VOLUNTARY SURRENDER', 'DENIED', 'INACTIVE') as derived from h),
+    b as (select *, case when confidence = 'definitive' and ends_with(identity, 'mismatch') then least(base, 10) else base end as s1 from a), c as (select *, case when derived then least(s1, 22) else s1 end as s2 from b)
+    select uid, case when derived then 'excluded_license_derived' else 'excluded_or_sanctioned' end as rule_id, cast(case when k % 6 > 0 and paid <= listed and 2020 - paid >= 8 then greatest(10, round_even(s2 * 0.3, 0)) when k % 6 > 0 and paid <= listed and 2020 - paid >= 5 then greatest(10, round_even(s2 * 0.6, 0)) else s2 end as double) as severity from c"""
+)
 def exclusion_flags(t):
-    k = F.col("uid")
-    rows = t("supplier").select(F.col("s_suppkey").alias("uid")).select(
-        "uid", F.when(k % 4 == 0, "npi").when(k % 4 == 1, "licence").when(k % 4 == 2, "name").alias("tier"), (k % 8 == 0).alias("mandatory"), F.when(k % 5 == 0, "License revoked by state").alias("reason"), (k % 3 > 0).alias("state_ok"),
-        F.when(k % 2 == 1, 1950).when(k % 9 == 0, 1950).alias("birth"), F.when(k % 9 == 0, 1960).alias("listed_birth"), (k % 7 > 0).alias("active"),
+    k = F.col("c_custkey")
+    at = lambda n: F.floor(k / n)
+    rows = t("customer").select(
+        k.alias("uid"), pick(LISTS, k).alias("list"), pick(CODES, at(2)).alias("code"), pick(REASONS, at(3)).alias("reason"), pick(GRADES, at(5)).alias("confidence"), pick(IDENTITIES, at(4)).alias("identity"), pick(SOURCES, at(7)).alias("source"), pick(STATUSES, k).alias("status"),
+        (k % 2 == 0).alias("mandatory"), F.concat((2008 + k % 9).cast("string"), F.lit("-05-01")).alias("date"), F.when(k % 6 > 0, 2005 + k % 15).cast("int").alias("last_paid"),
     )
-    return context.exclusions(rows)
+    return context.exclusions(rows, 2020)
 
 
 @query("with c as (select c_custkey as uid, case when c_custkey % 3 = 0 then 'm' || c_custkey % 200 end as email, case when c_custkey % 2 = 0 then '206555' || lpad(cast(c_custkey % 300 as varchar), 4, '0') end as phone from customer), k as (select uid, 'email' as via, email as key from c where email is not null union all select uid, 'phone', phone from c where phone is not null), s as (select via, key from k group by 1, 2 having count(distinct uid) between 2 and 8) select uid, 'shared_contact_multiple_providers' as rule_id, 22.0::double as severity, max(via) as via from k join s using (via, key) group by 1")
@@ -609,6 +673,9 @@ def contact_person(t):
     return context.contact_person(t("part").select(F.col("p_partkey").alias("uid"), F.concat("p_brand", F.col("p_size").cast("string")).alias("person")))
 
 
-@query("with r as (select upper(p_name) as name_key, bool_or(p_size >= 25) as active from part where p_partkey % 37 = 0 group by 1) select p_partkey as uid, 'no_active_business_registration' as rule_id, case when active is null then 12.0::double else 20.0::double end as severity from part left join r on upper(p_name) = name_key where active is not true")
+@query(f"with {REGISTRY}, m as (select c_custkey as uid, coalesce(a.active, false) or coalesce(b.active, false) as good, coalesce(a.active, b.active) is not null as there from (select c_custkey, {sql_key(sql_pick(NAMES, 'c_custkey'))} as key, {sql_key(sql_pick(NAMES, 'c_custkey + 3'))} as key2 from customer) c left join r a on a.name_key = c.key left join r b on b.name_key = c.key2) select uid, 'no_active_business_registration' as rule_id, case when there then 20.0::double else 12.0::double end as severity from m where not good")
 def registration_flags(t):
     return context.registration(registry_best_match(t))
+
+
+from registrum.plans import registries  # noqa: E402, F401  registers its queries

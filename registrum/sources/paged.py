@@ -2,10 +2,13 @@
 
 spark.dataSource.register(PagedSource); spark.read.format("paged").schema(...).options(url=..., total=..., page=...).load()
 
-Options: url (with or without a query), total (rows to fetch, an upper bound), page (rows per page, 1000), offset_name and limit_name (the
-query's names, `$offset` and `$limit`), rows (dotted path to the list inside the answer, none: the answer is the list), filter.NAME (pushed
-into the query), wrapped (true: the answer holds its JSON once more as a string), retries (4) and pause (seconds, growing with each try).
-Records are objects; columns are taken by name, as text, numbers or booleans; missing ones are null. A short page ends nothing but itself.
+Options: url (with or without a query), page (rows per page, 1000), total (rows to fetch, an upper bound: a partition a page) or, where the number is
+unknown, readers (4: reader i takes pages i, i + readers, ... to its first short page) and cap (rows at most); offset_name and limit_name
+(the query's names, `$offset` and `$limit`), rows (dotted path to the list inside the answer, numbers for places of an array; none: the answer is
+the list), filter.NAME (pushed into the query), body (posted as JSON instead of the query; {page}, {offset} and {size} in it are filled in, pages
+count from 1), wrapped (a field of the answer that holds JSON once more as a string, or true for the whole answer), keys (comma-separated names of positional
+records), retries (4) and pause (seconds, growing with each try). Records are objects; columns are taken by name, as text, numbers or
+booleans; missing ones are null.
 """
 
 from __future__ import annotations
@@ -21,15 +24,17 @@ from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, Str
 
 
 class Page(InputPartition):
-    def __init__(self, offset: int, size: int):
-        self.offset, self.size = offset, size
+    """Pages from `offset` on, `step` rows apart (0: this one only), `size` rows each."""
+
+    def __init__(self, offset: int, size: int, step: int = 0):
+        self.offset, self.size, self.step = offset, size, step
 
 
 def fetched(url: str, retries: int = 4, pause: float = 1.0, body: bytes | None = None) -> object:
     """The JSON at url; tries again after growing pauses where the server fails, not where it refuses."""
     for turn in range(retries):
         try:
-            with urllib.request.urlopen(urllib.request.Request(url, body, {"Accept": "application/json"}), timeout=60) as answer:
+            with urllib.request.urlopen(urllib.request.Request(url, body, {"Accept": "application/json"} | ({"Content-Type": "application/json"} if body else {})), timeout=60) as answer:
                 return json.loads(answer.read())
         except urllib.error.HTTPError as e:
             if turn == retries - 1 or e.code < 500 and e.code != 429:
@@ -61,20 +66,46 @@ class Reader(DataSourceReader):
         self.schema, self.options = schema, options
 
     def partitions(self) -> list[Page]:
-        total, size = int(self.options["total"]), int(self.options.get("page", 1000))
-        return [Page(at, min(size, total - at)) for at in range(0, total, size)]
-
-    def read(self, partition: Page) -> Iterator[tuple]:
+        size = int(self.options.get("page", 1000))
+        if "total" in self.options:
+            total = int(self.options["total"])
+            return [Page(at, min(size, total - at)) for at in range(0, total, size)]
+        readers = int(self.options.get("readers", 4))
+        return [Page(k * size, size, readers * size) for k in range(readers)]
+
+    def _page(self, offset: int, size: int) -> list:
         o = self.options
-        query = {k.removeprefix("filter."): v for k, v in o.items() if k.startswith("filter.")}
-        query |= {o.get("offset_name", "$offset"): str(partition.offset), o.get("limit_name", "$limit"): str(partition.size)}
-        answer = fetched(o["url"] + ("&" if "?" in o["url"] else "?") + urllib.parse.urlencode(query), int(o.get("retries", 4)), float(o.get("pause", 1)))
-        if o.get("wrapped", "").lower() == "true" and isinstance(answer, str):
+        url, body = o["url"], None
+        if "body" in o:
+            text = o["body"]
+            for name, value in (("page", offset // int(o.get("page", 1000)) + 1), ("offset", offset), ("size", size)):
+                text = text.replace("{" + name + "}", str(value))
+            body = text.encode()
+        else:
+            query = {k.removeprefix("filter."): v for k, v in o.items() if k.startswith("filter.")}
+            query |= {o.get("offset_name", "$offset"): str(offset), o.get("limit_name", "$limit"): str(size)}
+            url += ("&" if "?" in url else "?") + urllib.parse.urlencode(query)
+        answer = fetched(url, int(o.get("retries", 4)), float(o.get("pause", 1)), body)
+        wrapped = o.get("wrapped", "")
+        if wrapped and wrapped.lower() != "true":
+            answer = answer[wrapped]
+        if wrapped and isinstance(answer, str):
             answer = json.loads(answer)
         for step in filter(None, o.get("rows", "").split(".")):
-            answer = answer.get(step) or []
-        for record in answer:
-            yield tuple(_as(record.get(f.name), f.dataType) for f in self.schema.fields)
+            answer = ((answer[int(step)] if len(answer) > int(step) else None) if isinstance(answer, list) else answer.get(step)) or []
+        keys = o.get("keys")
+        return [dict(zip(keys.split(","), r, strict=False)) for r in answer] if keys else answer
+
+    def read(self, partition: Page) -> Iterator[tuple]:
+        at, cap = partition.offset, int(self.options.get("cap", 1 << 62))
+        while at < cap:
+            size = min(partition.size, cap - at)
+            records = self._page(at, size)
+            for record in records[:size]:
+                yield tuple(_as(record.get(f.name), f.dataType) for f in self.schema.fields)
+            if not partition.step or len(records) < size:
+                return
+            at += partition.step
 
 
 class PagedSource(DataSource):

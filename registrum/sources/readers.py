@@ -17,8 +17,9 @@ from registrum.functions.text import blank, money, number
 COLUMNS = ["source", "source_id", "name", "dba", "entity_type", "status", "address", "city", "state", "zip", "county", "lat", "lon", "amount", "source_url"]
 
 
-def entities(rows: DataFrame, source: str, columns: dict[str, str | Column]) -> DataFrame:
-    """rows as entities: `columns` maps entity columns to source columns or expressions; rows without an id go, of an id the first stays. All source columns are kept in `raw`."""
+def entities(rows: DataFrame, source: str, columns: dict[str, str | Column], order: str | Column | None = None) -> DataFrame:
+    """rows as entities: `columns` maps entity columns to source columns or expressions; rows without an id go, of an id the first by `order` stays
+    (none given: the first by a hash of the row, the same in every run). All source columns are kept in `raw`."""
     given = {k: F.col(f"`{v}`") if isinstance(v, str) else v for k, v in columns.items()}
     raw = F.map_from_arrays(F.array(*[F.lit(c) for c in rows.columns]), F.array(*[F.col(f"`{c}`").cast("string") for c in rows.columns]))
     out = []
@@ -31,7 +32,10 @@ def entities(rows: DataFrame, source: str, columns: dict[str, str | Column]) ->
             out.append((money(given[c].cast("string")) if c in given else F.lit(None).cast("double")).alias(c))
         else:
             out.append((blank(given[c].cast("string")) if c in given else F.lit("")).alias(c))
-    found = rows.select(*out, raw.alias("raw")).where("source_id <> ''").dropDuplicates(["source_id"])
+    turn = F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in rows.columns]) if order is None else F.col(order) if isinstance(order, str) else order
+    kept = rows.select(*out, raw.alias("raw"), turn.alias("__turn")).where("source_id <> ''")
+    whole = [*COLUMNS, "raw"]
+    found = kept.groupBy(F.col("source_id").alias("__id")).agg(F.min_by(F.struct(*whole), "__turn").alias("e")).select("e.*")
     return found.withColumn("uid", F.concat_ws(":", "source", "source_id"))
 
 

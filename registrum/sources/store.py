@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +17,17 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def replace(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").parquet(path)
+    """Writes df beside the table, then swaps the two by renaming, so a failed write leaves the old table whole."""
+    spark = df.sparkSession
+    new, old = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}", f"{path.rstrip('/')}.old-{uuid.uuid4().hex}"
+    df.write.parquet(new)
+    made = spark._jvm.org.apache.hadoop.fs.Path
+    fs = made(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(made(path)):
+        fs.rename(made(path), made(old))
+    if not fs.rename(made(new), made(path)):
+        raise OSError(f"can't rename {new} to {path}")
+    fs.delete(made(old), True)
 
 
 def replace_partitions(df: DataFrame, path: str, column: str) -> None:
@@ -50,3 +62,47 @@ def snapshot(rows: DataFrame, path: str, run_at: str, keep: int = 6) -> None:
     for run in runs[:-keep]:
         p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/run_at={run}")
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def operators_tables(operators: DataFrame, members: DataFrame, folder: str) -> None:
+    """Replaces the operators and their members (operator_id, uid, ...). Which operator an entity is of is a join with the members, not a column of the entity."""
+    replace(operators, f"{folder.rstrip('/')}/operators")
+    replace(members, f"{folder.rstrip('/')}/operator_members")
+
+
+def watched_unseen(flags: DataFrame, triage: DataFrame) -> DataFrame:
+    """triage (uid, state, note, watched) with every uid watched whose flags (entity_uid, evidence) say that money after its bar can't be seen yet."""
+    unseen = F.try_variant_get(F.try_parse_json("evidence"), "$.after_unobservable", "boolean")
+    new = flags.where(unseen).select(F.col("entity_uid").alias("uid")).distinct().withColumn("__new", F.lit(True))
+    note = F.coalesce("note", F.when(F.col("__new") & F.col("state").isNull() & F.col("watched").isNull(), "auto-watch: bar postdates the data horizon"))
+    return triage.join(new, "uid", "full").select("uid", "state", note.alias("note"), (F.coalesce("watched", F.lit(False)) | F.coalesce("__new", F.lit(False))).alias("watched"))
+
+
+def triaged(triage: DataFrame, changes: DataFrame, states: tuple[str, ...] = ("", "new", "reviewing", "reviewed", "escalated", "dismissed")) -> DataFrame:
+    """triage with reviewers' changes (uid, state, note, watched) laid over it: nulls leave what is there. A state that isn't one of `states` raises where it is read."""
+    known = F.when(F.col("state").isNull() | F.col("state").isin(*states), F.col("state")).otherwise(F.raise_error(F.concat(F.lit("unknown state: "), "state")).cast("string"))
+    return merge(triage, changes.withColumn("state", known), "uid", {"watched": False})
+
+
+def meta(spark: SparkSession, path: str, values: dict[str, str] | None = None) -> dict[str, str]:
+    """The table's keys and values, with `values` written over them."""
+    rows = dict(spark.read.parquet(path).collect()) if exists(spark, path) else {}
+    if values:
+        rows |= values
+        replace(spark.createDataFrame(sorted(rows.items()), "key string, value string"), path)
+    return rows
+
+
+def covering(spark: SparkSession, path: str, tracked: DataFrame, key: str) -> DataFrame | None:
+    """The cached table at path if it was made for all of tracked (key): its folder `tracked` holds what it was made for; else none."""
+    if not exists(spark, f"{path}/tracked"):
+        return None
+    missing = tracked.select(key).join(spark.read.parquet(f"{path}/tracked"), key, "left_anti")
+    return None if missing.limit(1).count() else spark.read.parquet(f"{path}/rows")
+
+
+def cached(rows: DataFrame, path: str, tracked: DataFrame, key: str) -> DataFrame:
+    """rows kept at path with what they were made for."""
+    replace(rows, f"{path}/rows")
+    replace(tracked.select(key).distinct(), f"{path}/tracked")
+    return rows.sparkSession.read.parquet(f"{path}/rows")

@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from registrum.operators.linkage import first_wins
 from registrum.sources.store import upsert
 
 
-def ingest(spark: SparkSession, folder: str, schema: str, path: str, checkpoint: str, key: str = "uid") -> StreamingQuery:
-    """Starts a query that takes the JSON files there now and ends; run again, it takes only newer ones."""
+def ingest(spark: SparkSession, folder: str, schema: str, path: str, checkpoint: str, key: str = "uid", order: str | None = None) -> StreamingQuery:
+    """Starts a query that takes the JSON files there now and ends; run again, it takes only newer ones. Of a batch's rows of a key the last by `order`
+    stays (none given: by a hash of the row, the same in every run)."""
 
     def take(batch: DataFrame, _: int) -> None:
-        upsert(batch.dropDuplicates([key]), path, key)
+        turn = F.col(order) if order else F.xxhash64(*batch.columns)
+        upsert(first_wins(batch, [key], [turn.desc()]), path, key)
 
     rows = spark.readStream.schema(schema).json(folder)
     return rows.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -4,6 +4,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
+from registrum.functions import names as N
 from registrum.functions import text as T
 from registrum.operators import bars, graph, linkage, money, resolve, rules, scoring, serve
 from registrum.sources import readers, store
@@ -26,7 +27,7 @@ def test_normalizers(spark):
     assert value(spark, T.year(a), a="FY2026") == 2026 and value(spark, T.years(a), a="1999 to 2004-2021") == [2004, 2021]
     assert value(spark, T.address_key(a), a="12 north Main street") == "12 N MAIN ST" and value(spark, T.address_key(a), a="Main street") is None
     assert value(spark, T.person_key(a), a="Zed Q. Alpha") == "ALPHA ZED"
-    assert value(spark, T.brand_key(a), a="Sunrise Valley Home Care of Yakima") == "SUNRISE VALLEY"
+    assert value(spark, N.brand_key(a), a="Sunrise Valley Home Care of Yakima") == "SUNRISE VALLEY"
     assert value(spark, T.one_edit(a, b), a="recieve", b="receive") and value(spark, T.one_edit(a, b), a="cats", b="cat") and not value(spark, T.one_edit(a, b), a="abc", b="cba")
     assert abs(value(spark, T.haversine(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0)), a="x") - 111194.93) < 1
     assert value(spark, T.plain_html(a), a="<p>a &amp; <b>b</b></p>") == "a & b"
@@ -53,7 +54,12 @@ def test_nearest_rank_and_spikes(spark):
     rows = spark.createDataFrame([("p", float(v)) for v in range(1, 22)], "program string, total double")
     assert money.nearest_rank(rows, "program", "total", 0.95).first().at_rank == 20.0
     yearly = spark.createDataFrame([("a", 2020, 10_000.0), ("a", 2021, 40_000.0), ("b", 2019, 90_000.0), ("b", 2020, 10_000.0), ("b", 2021, 40_000.0), ("c", 2021, 50_000.0)], "uid string, period int, amount double")
-    assert [r.uid for r in money.spikes(yearly).collect()] == ["a"]
+    assert sorted(r.uid for r in money.spikes(yearly).collect()) == ["a", "b"]  # three years are no falling history
+    falling = spark.createDataFrame([("f", 2018 + k, v) for k, v in enumerate((90_000.0, 80_000.0, 10_000.0, 40_000.0))] + [("g", 2018 + k, v) for k, v in enumerate((80_000.0, 90_000.0, 10_000.0, 40_000.0))] + [("h", 2018 + k, v) for k, v in enumerate((90_000.0, 70_000.0, 80_000.0, 10_000.0, 40_000.0))], "uid string, period int, amount double")
+    assert sorted(r.uid for r in money.spikes(falling).collect()) == ["g", "h"]
+    values = [(float(v),) for v in (-3, -3, 0, 0, 1, 1, 2, 5, 5, 5, 8, 1000, 1001)]
+    ranks = {r.v: (r.n, r.below, r.size) for r in money.ranked(spark.createDataFrame(values, "v double"), None, "v").collect()}
+    assert ranks == {v: (values.count((v,)), sum(x < v for (x,) in values), 13) for (v,) in values}
 
 
 def test_dated_bars(spark):
@@ -84,6 +90,9 @@ def test_links(spark):
     assert {(r.node, r.root) for r in graph.components(graph.key_edges(keys)).collect()} == {("u0", "u0"), ("u1", "u0"), ("u2", "u0")}
     points = spark.createDataFrame([(1, 47.0, -122.0), (2, 47.0003, -122.0), (3, 47.1, -122.0), (4, 0.0, 0.0), (5, 0.0, 0.0), (6, None, 1.0)], "uid long, lat double, lon double")
     assert [(r.a, r.b) for r in graph.geo_pairs(points).collect()] == [(1, 2)]
+    step = 45 / (111_320 * 0.6756)
+    near = spark.createDataFrame([(k, 47.5, -122.3 - k * step) for k in range(4)], "uid long, lat double, lon double")  # 45 m apart, west to east
+    assert sorted((r.a, r.b) for r in graph.geo_pairs(near).collect()) == [(0, 1), (1, 2), (2, 3)]
     names = spark.createDataFrame([("acme care", "care acme"), ("acme care", "acme cars")], "a string, b string").select(linkage.ratio("a", "b").alias("r")).collect()
     assert names[0].r == 1.0 and 0.8 < names[1].r < 1.0
 
@@ -102,7 +111,12 @@ def test_changes(spark):
     schema = "uid string, score double, funds double, status string"
     now = spark.createDataFrame([("a", 50.0, 0.0, "x"), ("b", 50.0, 0.0, "y"), ("c", 20.0, 30_000.0, "x"), ("d", 60.0, 0.0, "x"), ("e", 5.0, 0.0, "x")], schema)
     old = spark.createDataFrame([("a", 30.0, 0.0, "x"), ("b", 50.0, 0.0, "x"), ("c", 20.0, 1_000.0, "x"), ("e", 5.0, 0.0, "x")], schema)
-    assert {r.uid: r.kind for r in serve.changes(now, old).collect()} == {"a": "score", "b": "status", "c": "money", "d": "new"}
+    assert {r.uid: r.kind for r in serve.changes(now, old).collect()} == {"a": "risk", "b": "status", "c": "funds", "d": "new"}
+    many = spark.createDataFrame([("a", 90.0, 99_000.0, "z"), ("f", 10.0, 0.0, "x"), ("g", 10.0, 0.0, "x")], schema)
+    was = spark.createDataFrame([("a", 30.0, 0.0, "x"), ("f", 60.0, 0.0, "x"), ("g", 10.0, 0.0, "")], schema)
+    assert sorted(r.kind for r in serve.changes(many, was).collect()) == ["funds", "risk", "status"]  # all kinds of a uid; no fall, no first status
+    triage = spark.createDataFrame([("c", True)], "uid string, watched boolean")
+    assert [(r.uid, r.kind) for r in serve.changes(now, old, triage=triage, limit=3).collect()] == [("c", "funds"), ("b", "status"), ("a", "risk")]
 
 
 def test_store(spark, tmp_path):

@@ -1,9 +1,13 @@
+import io
 import json
 import threading
+import zipfile
 from http.server import BaseHTTPRequestHandler, HTTPServer
 from urllib.parse import parse_qs, urlparse
 
-from registrum.sources import screening
+import pytest
+
+from registrum.sources import bulk, projections, screening, store
 from registrum.sources.paged import PagedSource
 
 
@@ -39,11 +43,126 @@ def test_paged_api_with_a_failing_server(spark):
 def test_screening_lists(spark, tmp_path):
     (tmp_path / "f.csv").write_text("LASTNAME,FIRSTNAME,BUSNAME,NPI,DOB,STATE,EXCLTYPE,EXCLDATE,REINDATE\nROE,JANE,,1234567890,19600102,WA,1128a1,20200131,00000000\n,,ACME LLC,0000000000,,OR,1128b4,20190101,\nDOE,JO,,,,WA,1128a1,20180101,20200101\n")
     (tmp_path / "a.csv").write_text("Name,First,Last,NPI,State / Province,Record Status,Exclusion Type,Active Date\nBeta,,,,WA,Active,Prohibited,2020-01-01\nGone,,,,WA,Inactive,x,\nFar,,,,TX,Active,x,\n,Al,Far,1111111111,TX,Active,x,\n")
-    (tmp_path / "g.csv").write_text("Provider Name,NPI\nGamma Inc.,2222222222\n,\n")
-    sheet = spark.createDataFrame([(["Name", "NPI"],), (["One\nTwo", "3333333333\n4444444444"],), (["Three", "none"],)], "cells array<string>")
-    rows = screening.merged(screening.federal(spark, f"{tmp_path}/f.csv"), screening.awards(spark, f"{tmp_path}/a.csv", "wa"), screening.generic(spark, f"{tmp_path}/g.csv", "g"), screening.sheet(sheet, "state")).collect()
-    got = {r["name"]: (r.list, r.npi, r.ord) for r in rows}
-    assert got == {"JANE ROE": ("federal", "1234567890", 0), "ACME LLC": ("federal", None, 0), "Beta": ("awards", None, 1), "Al Far": ("awards", "1111111111", 1), "Gamma Inc.": ("g", "2222222222", 2), "One": ("state", "3333333333", 3), "Two": ("state", "4444444444", 3), "Three": ("state", None, 3)}
-    jane = next(r for r in rows if r["name"] == "JANE ROE")
-    assert (jane.mandatory, jane.birth, jane.date, jane.reason) == (True, 1960, "2020-01-31", "Conviction of program-related crimes")
+    (tmp_path / "g.csv").write_text("Name,NPI,ExclDate\nGamma Inc.,2222222222,2020-02-02\n,,\n")
+    cells = [["Provider list"], ["Name", "License #", "NPI # or P1 #", "Date of Exclusion", "Action"], ["One\nTwo", "MD 12345", "1333333333 1444444444 1555555555", "43831", "Terminated"], ["Three", "", "none", "2020-03-04", "x"]]
+    sheet = spark.createDataFrame([(c,) for c in cells[1:]], "cells array<string>")
+    rows = screening.merged(screening.federal(spark, f"{tmp_path}/f.csv"), screening.awards(spark, f"{tmp_path}/a.csv", "wa"), screening.dropped_in(spark, f"{tmp_path}/g.csv", "g", "WA"), screening.sheet(sheet, "state")).collect()
+    got = sorted((r["name"], r.list, r.npi, r.ord.turn) for r in rows)
+    want = [("JANE ROE", "OIG LEIE", "1234567890", 0), ("ACME LLC", "OIG LEIE", None, 0), ("Beta", "SAM.gov", None, 1), ("Al Far", "SAM.gov", "1111111111", 1), ("Gamma Inc.", "g", "2222222222", 2)]
+    assert got == sorted([*want, ("One", "state", "1333333333", 3), ("Two", "state", "1444444444", 3), ("One", "state", "1555555555", 3), ("Three", "state", None, 3)])
+    jane, one = next(r for r in rows if r["name"] == "JANE ROE"), next(r for r in rows if r["name"] == "Two")
+    assert (jane.mandatory, jane.birth, jane.date, jane.reason) == (True, 1960, "2020-01-31", "Conviction of a program-related crime")
+    assert (one.license_core, one.date, one.reason) == ("12345", "2020-01-01", "Terminated")
     assert next(r for r in rows if r["name"] == "ACME LLC").name_key == "ACME"
+
+
+def test_a_failing_list_leaves_the_others(spark, tmp_path):
+    (tmp_path / "sam.csv").write_text("Classification,Exclusion Type,Name,First,Last,NPI,State / Province,Record Status,Active Date\nIndividual,Prohibited,X,Ann,Lee,,WA,Active,2020-01-01\nFirm,Prohibited,Acme,,,,WA,Active,2020-01-01\n")
+    rows, failed = screening.screened(spark, {"gone": lambda: screening.federal(spark, f"{tmp_path}/none.csv"), "sam": lambda: screening.dropped_in(spark, f"{tmp_path}/sam.csv", "sam", "WA")})
+    assert sorted(r["name"] for r in rows.collect()) == ["Acme", "Ann Lee"] and list(failed) == ["gone"]
+
+
+def test_pages_of_unknown_number_posted_and_positional(spark):
+    bodies = []
+
+    class Api(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            bodies.append(body)
+            lo = (body["PageNumber"] - 1) * body["Rows"]
+            rows = [{"id": i} for i in range(lo, min(lo + body["Rows"], 23))]
+            self.answer({"d": json.dumps({"aaData": rows})})
+
+        def do_GET(self):
+            q = {k: v[0] for k, v in parse_qs(urlparse(self.path).query).items()}
+            lo, n = int(q["offset"]), int(q["count"])
+            self.answer([23, [], None, [[str(i), f"n{i}"] for i in range(lo, min(lo + n, 23))]])
+
+        def answer(self, what):
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps(what).encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Api)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    spark.dataSource.register(PagedSource)
+    url = f"http://127.0.0.1:{server.server_port}/x"
+    read = spark.read.format("paged").options(url=url, page="5", pause="0", readers="2")
+    posted = read.schema("id long").options(body='{"PageNumber": {page}, "Rows": {size}}', wrapped="d", rows="aaData").load()
+    assert sorted(r.id for r in posted.collect()) == list(range(23)) and {b["Rows"] for b in bodies} == {5}
+    placed = spark.read.format("paged").options(url=url, page="5", pause="0", readers="3", rows="3", keys="npi,name", offset_name="offset", limit_name="count", cap="12").schema("name string, npi string").load()
+    assert sorted(r.npi for r in placed.collect()) == sorted(map(str, range(12)))
+    server.shutdown()
+
+
+def workbook(rows) -> bytes:
+    space = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    cells = "".join("<row>" + "".join(f'<c t="inlineStr"><is><t>{c}</t></is></c>' for c in r) + "</row>" for r in rows)
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {space}><sheetData>{cells}</sheetData></worksheet>")
+    return out.getvalue()
+
+
+def test_archives(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "c.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("c.csv", "BILLING,SERVICING,HCPCS,MONTH,PATIENTS,LINES,PAID\r\n" + "".join(f"{k % 3},{k % 5},H{k % 7},2024-0{k % 9 + 1},{k},2,{k}.5\n" for k in range(120_000)) + "broken,line\n1,1,H,2024-01,1,1,n/a")
+    lines = bulk.zipped_lines(spark, f"{tmp_path}/c.zip")
+    got = bulk.claim_lines(lines)
+    assert lines.count() == 120_003 and got.count() == 120_000 and got.agg({"paid": "sum"}).first()[0] == sum(range(120_000)) + 60_000
+    with zipfile.ZipFile(tmp_path / "d.zip", "w") as z:
+        z.writestr("d.xlsx", workbook([("NPI", "Date"), ("1", "05/06/2020"), ("2", "bad"), ("3", "01/01/2019")]))
+    off = bulk.deactivated(bulk.zipped_sheets(spark, f"{tmp_path}/d.zip"), spark.createDataFrame([("1",), ("2",)], "npi string"))
+    assert [tuple(r) for r in off.collect()] == [("1", "2020-05-06")]
+    lost = spark.createDataFrame([(0, "91-1234567|ACME|||||||" + "|15-MAY-2010|01-AUG-2011"), (1, "22|short"), (2, "999999999|OTHER||||||||15-MAY-2010|x")], "at long, line string")
+    tracked = spark.createDataFrame([("911234567",), ("",)], "ein string")
+    assert [tuple(r) for r in bulk.revoked_exemptions(lost, tracked).collect()] == [("911234567", "ACME", "2010-05-15", "2011-08-01")]
+
+
+def test_pages_of_orders_and_agreements(spark):
+    text = "News of May. King County In April 2020 the board revoked the licence of Jane A. Roe (RN00012345), citing harm. She may appeal. More."
+    posts = spark.createDataFrame([("https://x/state-disciplines-05-06-2020", f"<p>{text}</p>"), ("https://x/none", "<p>John Quincy Doe (MD00000007) was fined.</p>"), ("https://x/later-07-08-2021", "Jane A Roe (RN00012345) surrendered.")], "url string, html string")
+    entries = bulk.order_entries(posts)
+    got = {(r.name, r.credential, r.date): r.reason for r in entries.collect()}
+    assert got["Jane A. Roe", "RN00012345", "2020-05-06"].endswith("She may appeal.") and ("John Quincy Doe", "MD00000007", "") in got
+    assert [(r.core, r.date) for r in bulk.order_bars(entries).collect()] == [("12345", "2020-05-06")]
+    assert {(r.credential, r.date) for r in bulk.newest_orders(entries).collect()} == {("RN00012345", "2021-07-08"), ("MD00000007", "")}
+    pages = spark.createDataFrame([(0, '<a href="state-revokes-a"> state-suspends-b'), (1, "state-revokes-a state-charges-c")], "number int, html string")
+    assert [r.url for r in bulk.post_links(pages, r"(state-(?:disciplines|revokes|suspends|charges)[a-z0-9-]*)", "https://x/", 2).collect()] == ["https://x/state-revokes-a", "https://x/state-suspends-b"]
+    cards = spark.createDataFrame([('<li class="usa-card a"><a href=x>Acme  Care, Inc.</a><span>Seattle, WA</span><span>Integrity Agreement</span><span>Effective May 6, 2020</span><li class="usa-card"><a>ACME CARE</a><span>Effective Jan 12, 2021</span>',)], "html string")
+    assert [(r.name_key, r.city, r.kind, r.effective) for r in bulk.agreements(cards).collect()] == [("ACME CARE", "", "CIA", "2021-01-12")]
+    page = '<div class="tab-pane" id="complaints"><td>01/02/2020</td><td>03/04/2021</td></div><div class="tab-pane" id="inspections">No Inspection Data available 01/02/2020</div><label>Subsidy Participation:</label> <p class="form-control-static"> Yes </p>'
+    assert [tuple(r) for r in bulk.provider_pages(spark.createDataFrame([("u", page)], "uid string, html string")).collect()] == [("u", 2, 0, "Yes", "", "")]
+
+
+def test_curated_files_and_licences(spark, tmp_path):
+    (tmp_path / "c.csv").write_text("\ufeffLink,Credential #,Provider,Kind\nhttp://a,RN00120098,,ORDER\n,1,x,news\n", encoding="utf-8")
+    assert [(r.url, r.credential, r.kind, r.npi) for r in bulk.curated(spark, f"{tmp_path}/c.csv").collect()] == [("http://a", "RN00120098", "order", "")]
+    rows = spark.createDataFrame([('{"lic_number":" 1 "},{"lic_number":"2"},{"lic_number":"1"}',), ('[{"lic_number":"3"}]',), (None,), ("broken",)], "l string")
+    assert [r[0] for r in rows.select(bulk.license_numbers(rows.l)).collect()] == [["1", "2"], ["3"], [], []]
+
+
+def test_projected_blocks(spark):
+    rows = spark.createDataFrame([("1", "Acme")], "agency_contract_no string, contractor_name_search_for string")
+    got = projections.projected({"contracts_2023": rows, "off": rows}, {"contracts_2023": {}, "off": {"kind": "contracts", "enabled": False}, "absent": {"kind": "cms"}})
+    assert {k: [r.uid for r in v.collect()] for k, v in got.items()} == {"contracts_2023": ["contracts_2023:1"]}
+
+
+def test_tables_beside_what_they_replace(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    store.replace(spark.range(3), path)
+    store.replace(spark.read.parquet(path).where("id > 0"), path)  # reads what it replaces
+    assert spark.read.parquet(path).count() == 2 and [p.name for p in tmp_path.iterdir()] == ["t"]
+    assert store.meta(spark, f"{tmp_path}/m", {"a": "1"}) == {"a": "1"} and store.meta(spark, f"{tmp_path}/m", {"b": "2"}) == {"a": "1", "b": "2"} == store.meta(spark, f"{tmp_path}/m")
+    one, two = spark.createDataFrame([("x",)], "npi string"), spark.createDataFrame([("x",), ("y",)], "npi string")
+    assert store.covering(spark, f"{tmp_path}/c", one, "npi") is None
+    store.cached(spark.range(5), f"{tmp_path}/c", one, "npi")
+    assert store.covering(spark, f"{tmp_path}/c", one, "npi").count() == 5 and store.covering(spark, f"{tmp_path}/c", two, "npi") is None
+    triage = spark.createDataFrame([("a", "new", "n", True)], "uid string, state string, note string, watched boolean")
+    change = spark.createDataFrame([("a", "reviewed", None, None), ("b", None, "hi", None)], triage.schema)
+    assert sorted(tuple(r) for r in store.triaged(triage, change).collect()) == [("a", "reviewed", "n", True), ("b", None, "hi", False)]
+    with pytest.raises(Exception, match="unknown state"):
+        store.triaged(triage, spark.createDataFrame([("a", "odd", None, None)], triage.schema)).collect()

@@ -2,6 +2,9 @@
 
 import difflib
 
+from pyspark.sql import functions as F
+
+from registrum.operators import linkage
 from registrum.plans import catalogue
 
 
@@ -29,11 +32,11 @@ def test_keys_of_two_to_eight_members_connect(spark, tmp_path):
 
 
 def test_misspelled_words_of_every_language_and_of_two_edits(spark, tmp_path):
-    rows = [(1, "garden garden garden", "de"), (2, "garden gardem", "fr"), (3, "garden proffesional managements", None), (4, "anchors proffessionnal", "en")]
+    rows = [(1, "garden " * 20, "de"), (2, "garden " * 4 + "gardem gardens", "fr"), (3, "garden proffesional managements", None), (4, "anchors proffessionnal acadmy", "en")]
     write(spark, tmp_path, "documents", rows, "doc_id long, text string, lang string")
     got = {(r.word, r.likely, r.frequency) for r in catalogue.queries()["misspelled_words"](spark, str(tmp_path)).collect()}
-    # No language alone has "garden" five times; "managements" is a plural.
-    assert got == {("gardem", "garden", 5), ("proffesional", "professional", 0), ("proffessionnal", "professional", 0)}
+    # No language alone has "garden" 25 times; "gardens" and "managements" are plurals; "academy" is a seed that occurs nowhere.
+    assert got == {("GARDEM", "GARDEN", 25), ("PROFFESIONAL", "PROFESSIONAL", 0), ("PROFFESSIONNAL", "PROFESSIONAL", 0), ("ACADMY", "ACADEMY", 0)}
 
 
 def edits(a, b):
@@ -50,12 +53,30 @@ def test_fuzzy_pairs_compare_whole_texts_that_share_a_word(spark, tmp_path):
     texts = {1: base, 2: "Zz" + base, 3: base + " tail", 4: base + " a far longer other end of it", 5: base.replace("shared", "other"), 6: "é" + base[1:], 7: "shared again shared", 8: "again shared again", 9: None, 10: "shared", 11: "a b c d e f", 12: "a b c d g", 13: "h i", 14: "h i"}
     rows = [(i, t, None if i < 3 else "en" if i < 5 else "fr") for i, t in texts.items()]
     rows += [(100 + i, "common words", "en") for i in range(41)]  # two words in more than 40 rows
-    write(spark, tmp_path, "documents", rows, "doc_id long, text string, lang string")
+    docs = spark.createDataFrame(rows, "uid long, text string, lang string").withColumn("block", F.concat("lang", F.left("text", F.lit(8))))
     lang = {i: x for i, _, x in rows}
     keys = {i: {*(w for w in t.split() if len(w) > 4), ("text", t), ("block", lang[i] or i, t[:8])} for i, t in texts.items() if t}
     met = [(i, j) for i in keys for j in keys if i < j and keys[i] & keys[j]]
     want = {(i, j, e) for i, j in met if (e := edits(texts[i], texts[j])) <= 8}
-    assert {tuple(r) for r in catalogue.queries()["fuzzy_block_pairs"](spark, str(tmp_path)).collect()} == want >= {(1, 2, 2), (1, 3, 5), (2, 6, 3), (11, 12, 3), (13, 14, 0)}
+    pairs = linkage.blocked_pairs(docs, F.expr("abs(n - n2) <= 8")).withColumn("edits", F.levenshtein("text", "text2", 8)).where("edits >= 0").select("uid", "uid2", "edits")
+    assert {tuple(r) for r in pairs.collect()} == want >= {(1, 2, 2), (1, 3, 5), (2, 6, 3), (11, 12, 3), (13, 14, 0)}
     alike = lambda a, b: 1.0 if set(a.split()) == set(b.split()) else difflib.SequenceMatcher(None, a, b).ratio()
     want = {(i, j, round(r, 6)) for i, j in met if (r := alike(texts[i], texts[j])) >= 0.9}
-    assert {tuple(r) for r in catalogue.queries()["fuzzy_ratio"](spark, str(tmp_path)).collect()} == want >= {(7, 8, 1.0)}
+    near = F.expr("20 * least(n, n2) >= 9 * (n + n2) or same = same2")
+    pairs = linkage.blocked_pairs(docs, near).withColumn("ratio", linkage.ratio("text", "text2", 0.9)).where("ratio >= 0.9").select("uid", "uid2", F.round("ratio", 6))
+    assert {tuple(r) for r in pairs.collect()} == want >= {(7, 8, 1.0)}
+
+
+def test_fuzzy_ratio_against_brute_force(spark, tmp_path):
+    rows = [(k, f"Customer {k}", k % 25, 1.5, "AUTO") for k in range(60)]
+    write(spark, tmp_path, "customer", rows, "c_custkey long, c_name string, c_nationkey long, c_acctbal double, c_mktsegment string")
+    keys = {k: f"HARBOR{k // 5:06} " + ("LIGHT SERVICES", "LIGHTS SERVICES", "LITE SERVICES", "COUNSEL", "SERVICES LIGHT")[k % 5] for k in range(60)}
+    blocks = {}
+    for k, t in keys.items():
+        for w in set(t.split()):
+            if len(w) >= 5:
+                blocks.setdefault(w, set()).add(k)
+    met = {(i, j) for b in blocks.values() if 2 <= len(b) <= 40 for i in b for j in b if i < j and keys[i] != keys[j]}
+    alike = lambda a, b: 1.0 if set(a.split()) == set(b.split()) else difflib.SequenceMatcher(None, a, b).ratio()
+    want = {(i, j, round(r, 6)) for i, j in met if (r := alike(keys[i], keys[j])) >= 0.9}
+    assert {tuple(r) for r in catalogue.queries()["fuzzy_ratio"](spark, str(tmp_path)).collect()} == want and len(want) > 30
