@@ -124,7 +124,7 @@ def test_archives(spark, tmp_path):
 
 def test_pages_of_orders_and_agreements(spark):
     text = "News of May. King County In April 2020 the board revoked the licence of Jane A. Roe (RN00012345), citing harm. She may appeal. More."
-    posts = spark.createDataFrame([("https://x/state-disciplines-05-06-2020", f"<p>{text}</p>"), ("https://x/none", "<p>John Quincy Doe (MD00000007) was fined.</p>"), ("https://x/later-07-08-2021", "Jane A Roe (RN00012345) surrendered.")], "url string, html string")
+    posts = spark.createDataFrame([("https://x/state-disciplines-05-06-2020", f"<p>{text}</p>"), ("https://x/none", "<p>John Quincy Doe (MD00000007) was fined.</p>"), ("https://x/later-07-08-2021", "Jane Roe (RN00012345) surrendered.")], "url string, html string")
     entries = bulk.order_entries(posts)
     got = {(r.name, r.credential, r.date): r.reason for r in entries.collect()}
     assert got["Jane A. Roe", "RN00012345", "2020-05-06"].endswith("She may appeal.") and ("John Quincy Doe", "MD00000007", "") in got
