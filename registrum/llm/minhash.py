@@ -12,7 +12,8 @@ Work follows the number of documents, not of pairs:
    spanning forest of the pairs within LOOSE differing symbols, never the pairs themselves;
 3. the forests' components are gathered with their full shingle sets, and the same traversal on exact Jaccard similarity returns a spanning
    forest of the links; their components are the result.
-Keys and components of any size are cut into blocks and every pair of blocks is one task, so no group has to fit one and none is cut off.
+Keys and components of any size are cut into blocks, so no group has to fit a task and none is cut off: a block of pivots meets all others, and
+only what then still lies in different components of a group is compared further (`_connected`).
 
 Null texts and texts without a word have an empty set and are linked with nothing. Texts of fewer than five words are one shingle.
 Repeated rows are copies; texts are read whole. Extra columns are ignored. Rows without an id link nothing and are always kept; their
@@ -29,7 +30,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import discard, groups, mixed, releasing, staged, utf8, words
 from .graph import component_table
@@ -137,13 +137,34 @@ def _forest(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple
     return out
 
 
-def _in_blocks(rows: DataFrame, group: str, size: Column, block: int) -> DataFrame:
-    """rows copied to the pairs of blocks (i <= j) of their group; `size` is the group's number of rows. A group of one block has the pair (0, 0)."""
-    blocks = F.ceil(size / block).cast("int")
-    own = F.pmod(F.xxhash64("node", F.lit(7)), blocks).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    one = (F.col("blocks") > 1) & (F.col("own") == F.col("other"))  # pairs of different blocks cover each block itself too
-    return rows.where(~one).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("blocks", "own", "other")
+def _connected(rows: DataFrame, group: str, block: int, compare: Callable[[pa.Table], pa.Table], large: bool) -> tuple[DataFrame, str]:
+    """node and root of every node that is linked with another one of its group, roots but for themselves, as a table and its path.
+
+    rows: the group, node, size (the group's number of rows) and what `compare` needs to return a spanning forest (a, b) of its rows. A group of at most
+    `block` rows is one task. Of a larger one, a first block of pivots, dealt by hash, meets every other block; most rows of a group that hangs
+    together are then in one component. Rows that are not meet all rows of their group, in blocks, so that all pairs of different components are
+    compared and none else: copies grow with the rows left over, not with the square of the group. `large`: whether any group is."""
+    spark = rows.sparkSession
+    others = [c for c in rows.columns if c not in (group, "node", "size")]
+    rows = rows.withColumnRenamed(group, "grp")
+    blocks = F.ceil(F.col("size") / block).cast("int")
+    rows = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
+    everywhere = F.sequence(F.lit(0), F.col("blocks") - 1)
+    first = rows.select("grp", "node", *others, F.explode(F.when(F.col("own") == 0, everywhere).otherwise(F.array("own"))).alias("j"))
+    tied, path = component_table(first.groupBy("grp", "j").applyInArrow(compare, "a long, b long"))
+    if not large:
+        return tied, path
+    crowded = rows.where("blocks > 1").join(tied, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    counted = crowded.groupBy("grp", "root").agg(F.count("*").alias("n"))
+    main = counted.groupBy("grp").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most")).withColumn("left", F.ceil((F.col("all") - F.col("most")) / block).cast("int")).where(F.col("left") > 0)
+    met = crowded.join(main.select("grp", "main", "left"), "grp")
+    strays = met.where("root <> main").withColumn("part", F.pmod(F.xxhash64("node", F.lit(9)), F.col("left")).cast("int"))
+    asked = strays.select("grp", "node", *others, "part", F.explode(everywhere).alias("j"))
+    offered = met.select("grp", "node", *others, F.explode(F.sequence(F.lit(0), F.col("left") - 1)).alias("part"), F.col("own").alias("j"))
+    late = asked.unionByName(offered).groupBy("grp", "part", "j").applyInArrow(compare, "a long, b long")
+    whole, new = component_table(tied.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(late))
+    discard(spark, path)
+    return whole, new
 
 
 def _edges(nodes: np.ndarray, forest: list[tuple[int, int]]) -> pa.Table:
@@ -207,15 +228,20 @@ def linked(docs: DataFrame, text: str = "text", percent: int = PERCENT, broadcas
                 made = keys(np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint16).reshape(part.num_rows, -1))
                 yield pa.RecordBatch.from_arrays([pa.array(made.ravel()), pa.array(np.repeat(part.column(0).to_numpy(), made.shape[1]))], ["key", "node"])
 
-    shared = sigs.select("node", "sig").mapInArrow(releasing(keyed), "key long, node long").withColumn("size", F.count("*").over(Window.partitionBy("key"))).where("size > 1")
-    gathered = _in_blocks(shared.join(sigs.select("node", "sig"), "node"), "key", F.col("size"), block_signatures)
-    close = gathered.groupBy("key", "i", "j").applyInArrow(lambda table: _similar_signatures(table, most), "a long, b long")
-    tied, path = component_table(close)
+    made = sigs.select("node", "sig").mapInArrow(releasing(keyed), "key long, node long")
+    # Counted with a combining aggregate and joined, so that a key of very many nodes is a skewed join, which may be split, and no window of one task.
+    busy = made.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    shared, path = staged(made.join(busy, "key"), "shared")
+    used.append(path)
+    large = (shared.agg(F.max("size")).first()[0] or 0) > block_signatures
+    tied, path = _connected(shared.join(sigs.select("node", "sig"), "node"), "key", block_signatures, lambda table: _similar_signatures(table, most), large)
     roots, roots_path = staged(_members(tied), "candidates")
     discard(spark, path)
     used.append(roots_path)
 
-    sized = roots.join(roots.groupBy("root").agg(F.count("*").alias("size")), "root")
+    sizes = roots.groupBy("root").agg(F.count("*").alias("size"))
+    large = (sizes.agg(F.max("size")).first()[0] or 0) > block_sets
+    sized = roots.join(sizes, "root")
     wanted = sized.join(sigs.select("node", "doc_id", "mark"), "node")
     if roots.count() <= broadcast:
         wanted = F.broadcast(wanted)
@@ -232,9 +258,7 @@ def linked(docs: DataFrame, text: str = "text", percent: int = PERCENT, broadcas
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], packed], ["root", "size", "node", "shingles"]).filter(pa.array(mine))
 
     sets = texts.mapInArrow(releasing(with_sets), "root long, size long, node long, shingles binary")
-    blocks = _in_blocks(sets, "root", F.col("size"), block_sets)
-    links = blocks.groupBy("root", "i", "j").applyInArrow(lambda table: _similar_sets(table, percent), "a long, b long")
-    tied, path = component_table(links)
+    tied, path = _connected(sets, "root", block_sets, lambda table: _similar_sets(table, percent), large)
     linked_nodes, linked_path = staged(_members(tied), "linked")
     discard(spark, path)
     used.append(linked_path)

@@ -61,6 +61,28 @@ def test_rows_without_an_id_and_texts_of_one_id(spark):
         M.linked(spark.createDataFrame(rows, "doc_id long, text string"), percent=60)
 
 
+@pytest.mark.parametrize("spread", [30, 90, 400])
+def test_groups_beyond_a_block_lose_no_link(spark, spread):
+    """Groups of any make: mostly one component, a few, or hardly any links at all."""
+    rng = np.random.default_rng(spread)
+    values = {n: (int(n % 3), int(v)) for n, v in enumerate(rng.integers(0, spread, 90))}
+    sizes = [sum(g == k for g, _ in values.values()) for k in range(3)]
+    rows = spark.createDataFrame([(g, n, sizes[g], v) for n, (g, v) in values.items()], "key long, node long, size long, v long")
+
+    def compare(table):
+        nodes, v = table.column("node").to_numpy(), table.column("v").to_numpy()
+        return M._edges(nodes, M._forest(len(nodes), lambda i, left: np.abs(v[left] - v[i]) <= 1))
+
+    root = {n: n for n in values}
+    for a in values:
+        for b in values:
+            if values[a][0] == values[b][0] and abs(values[a][1] - values[b][1]) <= 1:
+                low, high = sorted((root[a], root[b]))
+                root = {n: low if r == high else r for n, r in root.items()}
+    tied, _ = M._connected(rows, "key", 4, compare, True)
+    assert {r.node: r.root for r in tied.collect()} == {n: r for n, r in root.items() if n != r}
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert M.linked(docs).collect() == []
