@@ -206,7 +206,7 @@ def audit_counts(t):
     return t("orders").groupBy(F.col("o_custkey").alias("uid")).agg(F.count("*").alias("n"), F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("urgent"), F.count_if(closed & (F.col("o_totalprice") >= 100_000)).alias("large_closed"), F.round(F.sum(F.when(closed, F.col("o_totalprice")).otherwise(0)), 2).alias("closed"))
 
 
-@query("with d as (select distinct l_suppkey as uid, cast(l_shipdate as date) as date from lineitem), n as (select date, count(*) as n from d group by 1) select uid, count_if(n < 4) as own, count_if(n >= 4) as chain from d join n using (date) group by 1")
+@query("with d as (select distinct l_suppkey as uid, cast(l_shipdate as date) as date from lineitem), n as (select date, count(*) as n from d group by 1) select uid, cast(count_if(n < 4) as bigint) as own, cast(count_if(n >= 4) as bigint) as chain from d join n using (date) group by 1")
 def chain_dates(t):
     return money.chain_dates(t("lineitem").select(F.col("l_suppkey").alias("uid"), F.col("l_shipdate").cast("date").alias("date")))
 
@@ -222,12 +222,12 @@ def peer_stats(t):
     return serve.peers(rows, "segment", "total").select("uid", "segment", "total", "peers", "percentile")
 
 
-REGISTRY = f"""r as (select {sql_key("name")} as name_key, bool_or(upper(trim(status)) in ('ACTIVE', 'OPEN')) as active from (select {sql_pick(NAMES[::2], "p_partkey")} as name, {sql_pick(["Active", "CLOSED", "open", "Dissolved", "closed"], "p_size")} as status from part) where {sql_key("name")} <> '' group by 1)"""
+REGISTRY = f"""r as (select {sql_key("name")} as name_key, bool_or(upper(trim(status)) in ('ACTIVE', 'OPEN')) as active from (select {sql_pick(NAMES[::2], "p_partkey")} as name, {sql_pick(["Active", "CLOSED", "open", "Dissolved"], "p_partkey % 12 // 3")} as status from part) where {sql_key("name")} <> '' group by 1)"""
 
 
 def registry(t) -> DataFrame:
     """Registered businesses with their statuses; of a name any active one counts."""
-    return linkage.registry_index(t("part").select(pick(NAMES[::2], F.col("p_partkey")).alias("name"), pick(["Active", "CLOSED", "open", "Dissolved", "closed"], F.col("p_size")).alias("status")))
+    return linkage.registry_index(t("part").select(pick(NAMES[::2], F.col("p_partkey")).alias("name"), pick(["Active", "CLOSED", "open", "Dissolved"], F.floor(F.col("p_partkey") % 12 / 3)).alias("status")))
 
 
 @query(f"with {REGISTRY} select c_custkey as uid, case when coalesce(a.active, false) or coalesce(b.active, false) then 'active' when coalesce(a.active, b.active) is not null then 'inactive' else 'none' end as found from (select c_custkey, {sql_key(sql_pick(NAMES, 'c_custkey'))} as key, {sql_key(sql_pick(NAMES, 'c_custkey + 3'))} as key2 from customer) c left join r a on a.name_key = c.key left join r b on b.name_key = c.key2")
@@ -356,7 +356,7 @@ def connected_components(t):
       round(sum(funds), 2) as funds, round(sum(contradiction), 2) as contradiction, coalesce(sum(funds) filter (sanctioned), 0) as sanctioned_funds from m group by 1),
     top as (select root, source, score from m qualify row_number() over (partition by root order by barred desc, score desc, funds desc, uid desc) = 1),
     s as (select r.*, least(100.0, case when verified = 0 and barred_people + sanctioned_people > 0 and source = 'healthcare' then least(score, 15) else score end + case when contradiction > 0 then 30 else 0 end + case when barred_people >= 1 and sanctioned_funds > 0 then 15 else 0 end + case when barred_people >= 2 then least(12, 4 * (barred_people - 1)) else 0 end) as raw from r join top using (root))
-    select operator_id, members, sources, barred_people, verified, funds, contradiction, round_even(cast(case when funds = 0 and verified = 0 and contradiction = 0 then least(raw, 45) else raw end as double), 1) as score from s"""
+    select operator_id, members, sources, barred_people, verified, funds, contradiction, round_even(cast(case when funds = 0 and verified = 0 and contradiction = 0 then least(kept, 45) else kept end as double), 1) as score from (select *, case when members >= 20 and barred_people = 0 and contradiction = 0 then raw * 0.4 else raw end as kept from s)"""
 )
 def operator_rollup(t):
     p = t("part")
@@ -474,7 +474,7 @@ def score_buckets(t):
     return scoring.buckets(scoring.scores(_flags(t)))
 
 
-@query(f"with {ENTITIES} select upper(trim(n_name)) as place, count(*) as n, round(sum(c_acctbal), 2) as funds, count_if(risk_score >= 40) as high from scores join customer on k = c_custkey join nation on c_nationkey = n_nationkey group by 1")
+@query(f"with {ENTITIES} select upper(trim(n_name)) as place, count(*) as n, round(sum(c_acctbal), 2) as funds, cast(count_if(risk_score >= 40) as bigint) as high from scores join customer on k = c_custkey join nation on c_nationkey = n_nationkey group by 1")
 def nation_density(t):
     at = t("customer").join(F.broadcast(t("nation")), F.col("c_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("entity_uid"), F.col("n_name").alias("place"), F.col("c_acctbal").alias("funds"))
     return serve.density(scoring.scores(_flags(t)).join(at, "entity_uid").withColumnRenamed("risk_score", "score"), "place")

@@ -359,11 +359,11 @@ def operator_structure(t):
     return out.select("root", "members", "cross_program", "surfaces", "strongest_link", "bonus")
 
 
-@query("with o as (select c_custkey, cast(100000000 + c_custkey % 400 as varchar) as ein, c_acctbal / 100 as score from customer) select c_custkey as uid, least(100.0, round_even(score + case when c_custkey % 400 % 2 = 0 then case when c_custkey % 400 % 3 > 0 then 10 else 0 end + case when c_custkey % 400 % 5 > 0 then 6 else 0 end + 4 else 0 end + case when c_custkey % 400 % 7 = 0 then 10 else 0 end + 0, 1)) as score from o")
+@query("with o as (select c_custkey, cast(100000000 + c_custkey % 400 as varchar) as ein, abs(c_acctbal) / 100 as score from customer) select c_custkey as uid, least(100.0, round_even(score + case when c_custkey % 400 % 2 = 0 then case when c_custkey % 400 % 3 > 0 then 10 else 0 end + case when c_custkey % 400 % 5 > 0 then 6 else 0 end + 4 else 0 end + case when c_custkey % 400 % 7 = 0 then 10 else 0 end + 0, 1)) as score from o")
 def enriched_scores(t):
     k = F.col("c_custkey")
     number_ = lambda c: (100_000_000 + c).cast("string")
-    rows = t("customer").select(k.alias("uid"), number_(k % 400).alias("ein"), F.col("c_name").alias("name"), (F.col("c_acctbal") / 100).alias("score"))
+    rows = t("customer").select(k.alias("uid"), number_(k % 400).alias("ein"), F.col("c_name").alias("name"), (F.abs("c_acctbal") / 100).alias("score"))
     n = t("customer").select((k % 400).alias("n")).distinct()
     audited = n.where("n % 2 = 0").select(number_(F.col("n")).alias("ein"), (F.col("n") % 3).alias("questioned"), (F.col("n") % 5).alias("weakness"), F.lit(1).alias("repeated"))
     return assembly.bumped(rows, audited, None, n.where("n % 7 = 0").select(number_(F.col("n")).alias("ein"))).select("uid", "score")
@@ -466,7 +466,7 @@ def auto_watch(t):
 @query(
     """with d as (select o_custkey as k, upper(['A', 'j', 'K', 'D', ''][o_orderkey % 5 + 1]) as code from orders where o_custkey % 4 > 0), a as (select k, count(*) as deficiencies, count_if(code in ('J', 'K', 'L')) as jeopardy, max(code) as worst from d group by 1),
     b as (select o_custkey as k, round(sum(case when o_orderkey % 3 > 0 then round(o_totalprice, 2) else 0 end), 2) as fines, count_if(o_orderkey % 3 > 0 and round(o_totalprice, 2) <> 0) as penalties, count_if(o_orderkey % 7 = 0) as denied from orders where o_custkey % 3 > 0 group by 1)
-    select cast(coalesce(a.k, b.k) as varchar) as uid, coalesce(deficiencies, 0) as deficiencies, coalesce(jeopardy, 0) as jeopardy, coalesce(worst, '') as worst, coalesce(fines, 0) as fines, coalesce(penalties, 0) as penalties, cast(coalesce(denied, 0) as integer) as denied from a full join b on a.k = b.k"""
+    select cast(coalesce(a.k, b.k) as varchar) as uid, coalesce(deficiencies, 0) as deficiencies, cast(coalesce(jeopardy, 0) as bigint) as jeopardy, coalesce(worst, '') as worst, coalesce(fines, 0) as fines, cast(coalesce(penalties, 0) as bigint) as penalties, cast(coalesce(denied, 0) as integer) as denied from a full join b on a.k = b.k"""
 )
 def facility_enforcement(t):
     k, key = F.col("o_orderkey"), "cms_certification_number_ccn"
@@ -533,7 +533,7 @@ def provider_crosswalk(t):
 @query(
     """with a as (select *, row_number() over (partition by cast(100000000 + o_custkey % 300 as varchar) order by year(o_orderdate) desc, strftime(o_orderdate, '%Y-%m-%d') desc, 'r' || o_orderkey) as turn from orders), g as (select cast(100000000 + o_custkey % 300 as varchar) as ein, o_orderkey as rid, year(o_orderdate) as y from a where turn = 1),
     f as (select l_orderkey as rid, count(*) as findings, count_if(l_returnflag = 'R') as questioned, count_if(l_linestatus = 'F') as weakness from lineitem where l_linenumber > 1 group by 1), m as (select l_orderkey as rid, round(sum(l_extendedprice), 2) as flagged from lineitem where l_linenumber > 1 group by 1)
-    select ein, cast(y as integer) as audit_year, coalesce(findings, 0) as findings, coalesce(questioned, 0) as questioned, coalesce(weakness, 0) as weakness, case when findings > 0 then coalesce(flagged, 0) else 0 end as flagged from g left join f using (rid) left join m using (rid)"""
+    select ein, cast(y as integer) as audit_year, coalesce(findings, 0) as findings, cast(coalesce(questioned, 0) as bigint) as questioned, cast(coalesce(weakness, 0) as bigint) as weakness, case when findings > 0 then coalesce(flagged, 0) else 0 end as flagged from g left join f using (rid) left join m using (rid)"""
 )
 def single_audits(t):
     rid = F.concat(F.lit("r"), F.col("o_orderkey").cast("string")).alias("report_id")
