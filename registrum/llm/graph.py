@@ -24,9 +24,9 @@ def component_table(links: DataFrame) -> tuple[DataFrame, str]:
     edges, path = staged(links.where("a <> b").select(ends).select("e.*").distinct(), "links")
     mark = _mark(edges)
     while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("low"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.least("a", "low").alias("b")).distinct()
+        # Edges point to the smaller node, so the large star is a look-up of their lower end: its smallest neighbour below it, if it has any.
+        low = edges.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("low"))
+        large = edges.join(low, "b", "left").select("a", F.coalesce("low", "b").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(low, "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(low.select("a", F.col("low").alias("b"))).distinct()
         new, new_path = staged(small, "links")

@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import CHUNK, releasing, remainder, utf8
 
-#: Longest context in bytes, and labelled texts sampled per language.
-ORDER, DOCS_PER_LANG = 4, 200
+#: Longest context in bytes; labelled texts, and bytes of them, sampled per language.
+ORDER, DOCS_PER_LANG, BYTES_PER_LANG = 4, 200, 8 << 20
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -153,8 +153,9 @@ class Model:
         return out
 
 
-def sample(docs: DataFrame, labelled, per_lang: int = DOCS_PER_LANG) -> dict[str, list[bytes]]:
-    """Whole texts of at most per_lang rows of each language, spread evenly over the rows by a hash; a fixed bound, so the driver can hold them."""
+def sample(docs: DataFrame, labelled, per_lang: int = DOCS_PER_LANG, most: int = BYTES_PER_LANG) -> dict[str, list[bytes]]:
+    """Whole texts of at most per_lang rows of each language, spread evenly over the rows by a hash, as far as they have `most` bytes together, and
+    one at least: fixed bounds, so the driver can hold them. Languages are taken to be a few hundred at most."""
     rows = docs.where(labelled & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
@@ -163,10 +164,21 @@ def sample(docs: DataFrame, labelled, per_lang: int = DOCS_PER_LANG) -> dict[str
     share = F.lit(0)
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, int(min(1.0, 1.5 * per_lang / n) * (1 << 30)) + 1).otherwise(share)
-    picked = rows.where(mark < share).select("lang", "text", mark.alias("mark")).orderBy("mark", "text").limit(2 * per_lang * len(counts)).collect()
+    some, limit = rows.where(mark < share), 2 * per_lang * len(counts)
+    last, held = {}, {}
+    for r in some.select("lang", mark.alias("mark"), F.octet_length("text").alias("n")).orderBy("mark", "n").limit(limit).collect():
+        n, size = held.get(r["lang"], (0, 0))
+        if n == 0 or n < per_lang and size + r["n"] <= most:
+            last[r["lang"]], held[r["lang"]] = r["mark"], (n + 1, size + r["n"])
+        else:
+            held[r["lang"]] = (per_lang, most)
+    cut = F.lit(-1)
+    for lang, m in last.items():
+        cut = F.when(F.col("lang") == lang, m).otherwise(cut)
     out: dict[str, list[bytes]] = {}
+    picked = some.where(mark <= cut).select("lang", "text", mark.alias("mark")).orderBy("mark", "text").limit(limit).collect()
     for r in sorted(picked, key=lambda r: (r["mark"], r["text"])):
-        if len(found := out.setdefault(r["lang"], [])) < per_lang:
+        if len(found := out.setdefault(r["lang"], [])) < held[r["lang"]][0]:
             found.append(r["text"].encode())
     return out
 
