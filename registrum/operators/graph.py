@@ -17,8 +17,10 @@ def components(edges: DataFrame) -> DataFrame:
     now = staged(edges.where("a <> b").select(ends).select("e.*").distinct(), "edges")
     mark, old = None, now
     while True:
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = both.join(both.groupBy("a").agg(F.min("b").alias("low")), "a").where("b > a").select(F.col("b").alias("a"), F.least("a", "low").alias("b")).distinct()
+        # Large star: of a node with smaller neighbours, the larger ones are tied to the smallest. Edges point downwards, so that is a look-up of their
+        # lower end; of a centre that is smallest itself there is nothing to look up.
+        low = now.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("low"))
+        large = now.join(low, "b", "left").select("a", F.coalesce("low", "b").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("low"))
         now = staged(large.join(low, "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(low.select("a", F.col("low").alias("b"))).distinct(), "edges")
         discard(old)

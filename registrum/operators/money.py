@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from registrum.functions.text import first_of
+
 
 def rollup(facts: DataFrame) -> DataFrame:
     return facts.groupBy("uid", "program", "period").agg(F.round(F.sum("amount"), 2).cast("double").alias("amount"))
@@ -99,8 +101,32 @@ def top_codes(rows: DataFrame, k: int = 5) -> DataFrame:
     return per.withColumn("rank", F.row_number().over(Window.partitionBy("uid").orderBy(F.desc("amount"), "code"))).where(F.col("rank") <= k)
 
 
-def dominance(rows: DataFrame, share: float = 0.85, least: float = 50_000.0) -> DataFrame:
-    """uids with one code for at least `share` of a large total."""
+def conditional(rows: DataFrame, key: str, counts: dict[str, Column], sums: dict[str, tuple[Column, str]]) -> DataFrame:
+    """Per key its rows (n), how many fulfil each condition of `counts`, and the sums of a column over those that fulfil each of `sums`, to the cent."""
+    made = [F.count_if(c).alias(k) for k, c in counts.items()] + [F.round(F.sum(F.when(c, F.col(v)).otherwise(0)), 2).alias(k) for k, (c, v) in sums.items()]
+    return rows.groupBy(key).agg(F.count("*").alias("n"), *made)
+
+
+def tiered(rows: DataFrame, key: str, value: str, tiers: list[tuple[str, Column]], rest: str) -> DataFrame:
+    """tier, n and funds: keys by the first tier whose condition any of their rows fulfils, and their money."""
+    level = F.min(first_of(*[(c, k) for k, (_, c) in enumerate(tiers)], default=len(tiers)))
+    per = rows.groupBy(key).agg(F.round(F.sum(value), 2).alias("total"), level.alias("level"))
+    return per.groupBy(first_of(*[(F.col("level") == k, F.lit(name)) for k, (name, _) in enumerate(tiers)], default=F.lit(rest)).alias("tier")).agg(F.count("*").alias("n"), F.round(F.sum("total"), 2).alias("funds"))
+
+
+def year_span(rows: DataFrame, key: str, year: Column) -> DataFrame:
+    """Per key its years as `first–last`, and how many there are."""
+    return rows.groupBy(key).agg(F.concat(F.min(year).cast("string"), F.lit("–"), F.max(year).cast("string")).alias("range"), F.count_distinct(year).alias("years"))
+
+
+def tracked_sums(rows: DataFrame, tracked: DataFrame, by: str, key: str, value: str) -> DataFrame:
+    """Per key the rows and money of those whose `by` is tracked: cut by a semi-join before the shuffle."""
+    return rows.join(tracked, by, "left_semi").groupBy(key).agg(F.count("*").alias("n"), F.round(F.sum(value), 2).alias("amount"))
+
+
+def dominance(rows: DataFrame, share: float = 0.85, least: float = 50_000.0, mismatched: DataFrame | None = None) -> DataFrame:
+    """uids with one code for at least `share` of a large total; not those whose identity is mismatched (uid), whose money may be another's."""
+    rows = rows if mismatched is None else rows.join(mismatched.select("uid"), "uid", "left_anti")
     top = top_codes(rows, 1).drop("rank")
     total = rows.groupBy("uid").agg(F.round(F.sum("amount"), 2).alias("total"))
     out = top.join(total, "uid").withColumn("share", F.round(F.col("amount") / F.col("total"), 4))

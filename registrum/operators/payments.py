@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +39,17 @@ def provider_numbers(entities: DataFrame, crosswalk: DataFrame, sources: list[st
     return met.select("uid", npi.alias("npi")).where("coalesce(npi, '') <> ''").groupBy("npi").agg(F.max("uid").alias("uid"))
 
 
+def tracked_numbers(*sides: DataFrame) -> DataFrame:
+    """The different numbers (npi) of all sides, blanks aside."""
+    return reduce(DataFrame.unionByName, [x.select("npi") for x in sides]).where("coalesce(npi, '') <> ''").distinct()
+
+
+def unresolved(crosswalk: DataFrame, entities: DataFrame) -> DataFrame:
+    """uid and name of crosswalk rows (uid, npi, city, licenses) that have a number but no city or licences yet: what to look up again."""
+    bare = crosswalk.where("coalesce(npi, '') <> '' and (coalesce(city, '') = '' or licenses is null)")
+    return bare.select("uid").join(entities.select("uid", "name"), "uid")
+
+
 def field(rows: DataFrame, name: str) -> Column:
     """The column of that name, whatever its case."""
     found = next((c for c in rows.columns if c == name), None) or next((c for c in rows.columns if c.lower() == name.lower()), None)

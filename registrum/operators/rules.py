@@ -110,6 +110,19 @@ def duplicate_values(rows: DataFrame, key: list[str], least: int = 2) -> DataFra
     return rows.groupBy(*key).agg(F.count_distinct("uid").alias("n")).where(F.col("n") >= least)
 
 
+def duplicate_contracts(entities: DataFrame, least: float = 5_000.0) -> DataFrame:
+    """contract_duplicate_amount_vendor flags (14) of contracts of `least` or more whose vendor and amount, to the cent, at least two uids have."""
+    rows = entities.where(F.col("amount") >= least).select("uid", "name", "amount", upper_key(blank(F.col("name"))).alias("vendor"), F.bround("amount", 2).alias("paid"))
+    same = rows.groupBy("vendor", "paid").agg(F.count_distinct("uid").alias("uids"), F.count("*").alias("occurrences")).where("uids >= 2")
+    met = rows.join(same, ["vendor", "paid"])
+    return flag(met, "contract_duplicate_amount_vendor", 14, "Duplicate contract amount to same vendor", F.concat(F.col("occurrences").cast("string"), F.lit(" contracts to one vendor have the same amount")), F.struct(F.col("name").alias("vendor"), F.col("paid").alias("amount"), "occurrences"))
+
+
+def round_amounts(rows: DataFrame, least: float, step: float) -> DataFrame:
+    """Rows (uid, amount) with a large amount that is a whole multiple of `step`."""
+    return rows.where((F.col("amount") >= least) & (F.col("amount") % step == 0))
+
+
 def shared_key(rows: DataFrame, low: int = 2, high: int = 8) -> DataFrame:
     """Members (uid, key, brand) of keys with `low` to `high` uids of at least two brands, with the key's size."""
     sizes = rows.groupBy("key").agg(F.count_distinct("uid").alias("members"), F.count_distinct("brand").alias("brands"))

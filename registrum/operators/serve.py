@@ -240,6 +240,11 @@ def summary(entities: DataFrame, scored: DataFrame, flags: DataFrame, triage: Da
     return out.unionByName(count(high, "story", F.lit("untriaged_high"))).unionByName(count(flags.where(F.col("rule_id").isin("paid_after_barred", "paid_after_npi_deactivated")), "story", F.lit("after_bar")))
 
 
+def story_totals(rows: DataFrame, kind: str, document: str, path: str) -> DataFrame:
+    """Per kind its rows and the sum of a whole number inside a JSON document; documents without it add nothing."""
+    return rows.groupBy(F.col(kind).alias("kind")).agg(F.count("*").alias("n"), F.sum(F.try_variant_get(F.try_parse_json(document), path, "bigint")).alias("total"))
+
+
 def density(rows: DataFrame, place: str) -> DataFrame:
     """Per place (trimmed, upper case) the number of rows, their funds and how many score at least 40."""
     return rows.groupBy(F.upper(F.trim(place)).alias("place")).agg(F.count("*").alias("n"), F.round(F.sum("funds"), 2).alias("funds"), F.count_if(F.col("score") >= 40).alias("high"))

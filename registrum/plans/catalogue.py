@@ -15,7 +15,7 @@ from registrum.functions import text as T
 from registrum.operators import bars, graph, linkage, money, resolve, rules, scoring, serve
 from registrum.operators import context_rules as context
 from registrum.session import table
-from registrum.sources import readers
+from registrum.sources import bulk, readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -63,8 +63,8 @@ dominant as (select uid, program, amount, round(sum(amount) over (partition by u
 
 #: Texts that the predicates must read: names, addresses, statuses, cities and credentials as registries write them.
 NAMES = [
-    "Keller Child Care LLC", "The Keller Child Care", "KELLER CHILD CARE, INC.", "Kiddie Academy of Seattle at Queen Anne", "Martha & Mary Vinland School Age Program", "Martha and Mary Poulsbo", "Providence Mt St Vincent", "Early Learning Center Kids Academy", "Childs Time IX",
-    "Sunrise Enterprises", "Northgate Limited", "P.L.L.C. of Health", "Gardens on University - Spokane Valley, LLC", "Of Mice Inc", "Hillside Community Center", "Saint Mark Church", "Acme Rehabilitation University, Inc.", "", "Tendercare 12", "YMCA of Yakima", "City of Kent", "The LLC", "Of The Sea - 02",
+    "Kessel Child Care LLC", "The Kessel Child Care", "KESSEL CHILD CARE, INC.", "Pebble Academy of Seattle at Green Lake", "Willow & Wren Midland School Age Program", "Willow and Wren Ashford", "Highridge Mt St Alban", "Early Learning Center Kids Academy", "Childs Hour IX",
+    "Sunrise Enterprises", "Northgate Limited", "P.L.L.C. of Health", "Orchard on University - Dale Valley, LLC", "Of Mice Inc", "Hilltop Community Center", "Saint Mark Church", "Acme Rehabilitation University, Inc.", "", "Mellowcare 12", "YMCA of Yakima", "City of Kent", "The LLC", "Of The Sea - 02",
 ]
 ADDRESSES = ["{} Main Street", "1 Main, PO Box {}", "POST OFFICE BOX 9", "PO Box {}", "MAILBOX 3, 5 Elm", "Suite 4 PMB 12", "Box 7 Rural Route", "The UPS Store 5", "Regus 9 Pine", "", "p. o. box 4", "Boxwood 3 Lane", "UPS Storefront 8"]
 STATUSES = ["Active", "Closed", "Revoked", " suspended", "SURRENDER", "Voluntary Surrender", "Active with conditions", "Surrendered", "ACTIVE - PENDING", "Expired", "Summary Suspension"]
@@ -174,7 +174,8 @@ def duplicate_amount(t):
 
 @query("select p_partkey, p_retailprice from part where p_retailprice >= 100 and p_retailprice % 10 = 0")
 def round_amount(t):
-    return t("part").where((F.col("p_retailprice") >= 100) & (F.col("p_retailprice") % 10 == 0)).select("p_partkey", "p_retailprice")
+    rows = t("part").select("p_partkey", F.col("p_partkey").alias("uid"), F.col("p_retailprice").alias("amount"))
+    return rules.round_amounts(rows, 100, 10).select("p_partkey", F.col("amount").alias("p_retailprice"))
 
 
 PART_KEY = "p_brand || '|' || p_size || '|' || p_type"
@@ -203,7 +204,8 @@ def top5_codes(t):
 @query("select o_custkey as uid, count(*) as n, count_if(o_orderpriority = '1-URGENT') as urgent, count_if(o_orderstatus = 'F' and o_totalprice >= 100000) as large_closed, round(sum(case when o_orderstatus = 'F' then o_totalprice else 0 end), 2) as closed from orders group by 1")
 def audit_counts(t):
     closed = F.col("o_orderstatus") == "F"
-    return t("orders").groupBy(F.col("o_custkey").alias("uid")).agg(F.count("*").alias("n"), F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("urgent"), F.count_if(closed & (F.col("o_totalprice") >= 100_000)).alias("large_closed"), F.round(F.sum(F.when(closed, F.col("o_totalprice")).otherwise(0)), 2).alias("closed"))
+    counts = {"urgent": F.col("o_orderpriority") == "1-URGENT", "large_closed": closed & (F.col("o_totalprice") >= 100_000)}
+    return money.conditional(t("orders").withColumn("uid", F.col("o_custkey")), "uid", counts, {"closed": (closed, "o_totalprice")})
 
 
 @query("with d as (select distinct l_suppkey as uid, cast(l_shipdate as date) as date from lineitem), n as (select date, count(*) as n from d group by 1) select uid, cast(count_if(n < 4) as bigint) as own, cast(count_if(n >= 4) as bigint) as chain from d join n using (date) group by 1")
@@ -263,12 +265,12 @@ def first_wins_join(t):
 @query("select l_suppkey as uid, count(*) as n, round(sum(l_extendedprice), 2) as amount from lineitem where l_orderkey in (select o_orderkey from orders where o_orderpriority = '1-URGENT') group by 1")
 def semi_scan(t):
     tracked = t("orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("l_orderkey"))
-    return t("lineitem").join(tracked, "l_orderkey", "left_semi").groupBy(F.col("l_suppkey").alias("uid")).agg(F.count("*").alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("amount"))
+    return money.tracked_sums(t("lineitem").withColumn("uid", F.col("l_suppkey")), tracked, "l_orderkey", "uid", "l_extendedprice")
 
 
 @query("select c_custkey as uid from customer where c_custkey not in (select o_custkey from orders where o_orderpriority = '1-URGENT')")
 def anti_resume(t):
-    return t("customer").select(F.col("c_custkey").alias("uid")).join(t("orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("uid")), "uid", "left_anti")
+    return bulk.still_to_fetch(t("customer").select(F.col("c_custkey").alias("uid")), t("orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("uid")))
 
 
 @query("select c_custkey as uid, o_orderstatus as program, cast(year(o_orderdate) as integer) as year, round(sum(o_totalprice), 2) as amount from orders join customer on o_custkey = c_custkey where c_acctbal < 0 and year(o_orderdate) > 1995 + c_custkey % 6 and o_orderstatus <> 'P' group by 1, 2, 3")
@@ -412,13 +414,12 @@ def html_strip(t):
 
 @query("select doc_id as uid, unnest(regexp_extract_all(text, '[A-Za-z0-9._]+@[A-Za-z0-9.]+[A-Za-z]')) as email from documents")
 def entry_extract(t):
-    return t("documents").select(F.col("doc_id").alias("uid"), F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9._]+@[A-Za-z0-9.]+[A-Za-z]"), F.lit(0))).alias("email"))
+    return readers.extracted(t("documents").select(F.col("doc_id").alias("uid"), "text"), "text", "[A-Za-z0-9._]+@[A-Za-z0-9.]+[A-Za-z]", "email")
 
 
 @query("select event_type as kind, count(*) as n, sum(cast(json_extract(props, '$.k') as bigint)) as total from events group by 1")
 def json_story(t):
-    k = F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint")
-    return t("events").groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("n"), F.sum(k).alias("total"))
+    return serve.story_totals(t("events"), "event_type", "props", "$.k")
 
 
 # Rules and scores over the customer entities ---------------------------------------------------------------------------------------
@@ -504,9 +505,8 @@ def grade(t):
 @query("""with f as (select o_custkey as uid, round(sum(o_totalprice), 2) as total, max(case when o_orderstatus = 'F' then 2 when o_orderpriority = '1-URGENT' then 1 else 0 end) as tier from orders group by 1)
  select case tier when 2 then 'closed' when 1 then 'urgent' else 'other' end as tier, count(*) as n, round(sum(total), 2) as funds from f group by 1""")
 def funds_tiers(t):
-    level = F.max(F.when(F.col("o_orderstatus") == "F", 2).when(F.col("o_orderpriority") == "1-URGENT", 1).otherwise(0))
-    per = t("orders").groupBy("o_custkey").agg(F.round(F.sum("o_totalprice"), 2).alias("total"), level.alias("level"))
-    return per.groupBy(F.when(F.col("level") == 2, "closed").when(F.col("level") == 1, "urgent").otherwise("other").alias("tier")).agg(F.count("*").alias("n"), F.round(F.sum("total"), 2).alias("funds"))
+    tiers = [("closed", F.col("o_orderstatus") == "F"), ("urgent", F.col("o_orderpriority") == "1-URGENT")]
+    return money.tiered(t("orders"), "o_custkey", "o_totalprice", tiers, "other")
 
 
 SNAPSHOTS = "snap as (select o_custkey as uid, year(o_orderdate) as y, cast(count(*) * 15 as double) as score, round(sum(o_totalprice), 2) as funds, max(o_orderstatus) as status from orders group by 1, 2)"
@@ -525,8 +525,7 @@ def change_feed(t):
 
 @query("select o_orderstatus as status, min(year(o_orderdate)) || '–' || max(year(o_orderdate)) as range, count(distinct year(o_orderdate)) as years from orders group by 1")
 def period_range(t):
-    y = F.year("o_orderdate")
-    return t("orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.concat(F.min(y).cast("string"), F.lit("–"), F.max(y).cast("string")).alias("range"), F.count_distinct(y).alias("years"))
+    return money.year_span(t("orders").withColumn("status", F.col("o_orderstatus")), "status", F.year("o_orderdate"))
 
 
 @query("select c_custkey as uid, c_name as name, c_acctbal as score from customer where c_name ilike '%00012%' order by c_acctbal desc, c_custkey limit 10")

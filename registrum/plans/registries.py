@@ -11,10 +11,10 @@ from registrum.operators import assembly, context_rules, payments, rules, serve
 from registrum.plans.catalogue import ADDRESSES, NAMES, STATUSES, pick, query, sql_key, sql_pick
 from registrum.sources import bulk, projections, screening
 
-PEOPLE = ["Ann Marie Smith", "ANN SMITH", "Bo Li", "J Doe", "Kim Eun Lee", "Lee Suk Kim", "Maria Sandoval", "Robert Q Parks", "  ", "Zoe van der Berg", "Smith Ann"]
-DBAS = ["", "Keller Child Care", "Little Blessings Preschool", "Kiddie Academy Seattle", "Sullivan Park Care Center", "", "Child Care"]
+PEOPLE = ["Ann Marie Smith", "ANN SMITH", "Bo Li", "J Doe", "Kim Ada Lee", "Lee Sol Kim", "Maria Castellan", "Edgar Q Moss", "  ", "Zoe van der Berg", "Smith Ann"]
+DBAS = ["", "Kessel Child Care", "Little Meadows Preschool", "Pebble Academy Seattle", "Alder Park Care Center", "", "Child Care"]
 CITIES = ["Seattle", "seattle", "Yakima", "", "Spokane Valley"]
-MAILS = ["smith@x.org", "rosa4@mail.com", "", "hill@army.mil", "DEPT@state.GOV", "nobody"]
+MAILS = ["smith@x.org", "nora4@mail.com", "", "hill@army.mil", "DEPT@state.GOV", "nobody"]
 DATES = ["2015-01-31", "01/15/2008", "20120229", "2011", "", "n/a"]
 MONEY = ["$ 1,250.50", "0", "", "NULL", "90000", "$12,000,000.00", "-5"]
 
@@ -221,7 +221,7 @@ def cluster(t) -> DataFrame:
     source = pick(["childcare", "healthcare", "contracts", "contracts_2024", "hospice"], k)
     at = lambda n: F.floor(k / n)
     fields = F.create_map(
-        F.lit("primarycontactpersonname"), pick(PEOPLE, at(2)), F.lit("primarycontactemail"), pick(MAILS, at(3)), F.lit("primarycontactphonenumber"), pick(["206 555 0101", "", "1", "(509) 555-7777"], at(2)), F.lit("middlename"), pick(["", "Eun", "Suk", "Q"], at(5)), F.lit("birthyear"), pick(["1960", "", "2001"], at(7)),
+        F.lit("primarycontactpersonname"), pick(PEOPLE, at(2)), F.lit("primarycontactemail"), pick(MAILS, at(3)), F.lit("primarycontactphonenumber"), pick(["206 555 0101", "", "1", "(509) 555-7777"], at(2)), F.lit("middlename"), pick(["", "Ada", "Sol", "Q"], at(5)), F.lit("birthyear"), pick(["1960", "", "2001"], at(7)),
         F.lit("expirationdate"), pick(["2024-01-01", "2012-05-05", "06/30/2017", ""], at(5)), F.lit("licenseeffectivedate"), pick(["2010-01-01", "", "2015-03-03"], at(3)), F.lit("procurement_type"), pick(["", "Data Sharing", "Sole source"], at(4)), F.lit("purpose_of_the_contract"), pick(["x", "Non-Financial", ""], at(6)),
     )
     return t("customer").select(
@@ -326,7 +326,7 @@ def registry_keys(t):
 
 
 @query(
-    f"""with {CLUSTER}, h as (select root, {sql_person("name")} as person, upper(trim(regexp_replace(name, '\\s+', ' ', 'g'))) as up, try_cast(regexp_extract({_c(["2024-01-01", "2012-05-05", "06/30/2017", ""], "k // 5")}, '(19|20)\\d\\d') as int) as ends, try_cast(nullif({_c(["1960", "", "2001"], "k // 7")}, '') as int) as birth, upper(nullif({_c(["", "Eun", "Suk", "Q"], "k // 5")}, '')) as middle from e where source = 'healthcare'),
+    f"""with {CLUSTER}, h as (select root, {sql_person("name")} as person, upper(trim(regexp_replace(name, '\\s+', ' ', 'g'))) as up, try_cast(regexp_extract({_c(["2024-01-01", "2012-05-05", "06/30/2017", ""], "k // 5")}, '(19|20)\\d\\d') as int) as ends, try_cast(nullif({_c(["1960", "", "2001"], "k // 7")}, '') as int) as birth, upper(nullif({_c(["", "Ada", "Sol", "Q"], "k // 5")}, '')) as middle from e where source = 'healthcare'),
     p as (select root, coalesce(list(distinct person) filter (person is not null), []) as people, coalesce(list(distinct string_split(up, ' ')[-1]) filter (len(string_split(up, ' ')) >= 2 and length(string_split(up, ' ')[-1]) >= 4), []) as surnames, max(ends) as ends, max(birth) as birth, coalesce(list(distinct middle) filter (middle is not null), []) as middles from h group by 1),
     s as (select root, {sql_person("contact")} as person, replace(upper(trim(regexp_replace(split_part(mail, '@', 1), '\\s+', ' ', 'g'))), ' ', '') as box, list_filter(string_split(upper(trim(regexp_replace(contact, '\\s+', ' ', 'g'))), ' ')[2:-2], lambda x: length(x) > 1) as mids, try_cast(regexp_extract({_c(["2010-01-01", "", "2015-03-03"], "k // 3")}, '(19|20)\\d\\d') as int) as lic from e where source = 'childcare'),
     j as (select s.*, p.* exclude (root), coalesce(list_contains(people, person), false) as tied from s join p using (root)),
@@ -583,3 +583,35 @@ def screened_matches(t):
     listed = screening.merged(screening._listed(made, "l", npi=screening.npi(c("NPI")), license=F.coalesce("license", F.lit("")), name=c("name"), state=c("state"), city=c("city"), birth=c("birth"), date=c("date")))
     entities = t("customer").select(k.alias("uid"), (k % 500).cast("string").alias("npi"), F.when(k % 2 == 0, (1000 + k).cast("string")).alias("license"), pick(NAMES, k).alias("name"), F.lit("WA").alias("state"), pick(CITIES, k).alias("city"), F.lit("").alias("entity_type"), F.when(k % 3 > 0, (1950 + k % 3).cast("string")).alias("birthyear"))
     return screening.matched(entities, listed).select("uid", "via", "confidence")
+
+
+@query("with e as (select c_custkey as uid, upper(trim(regexp_replace(" + sql_pick(NAMES, "c_custkey") + ", '\\s+', ' ', 'g'))) as vendor, 4000.0 + 1000 * (c_custkey % 5) + 0.5 as amount from customer), s as (select vendor, amount from e where amount >= 5000 group by 1, 2 having count(distinct uid) >= 2) select uid as entity_uid, 'contract_duplicate_amount_vendor' as rule_id, 14.0::double as severity from e join s using (vendor, amount)")
+def duplicate_contracts(t):
+    k = F.col("c_custkey")
+    rows = t("customer").select(k.alias("uid"), pick(NAMES, k).alias("name"), (4000.0 + 1000 * (k % 5) + 0.5).alias("amount"))
+    return rules.duplicate_contracts(rows).select("entity_uid", "rule_id", "severity")
+
+
+@query(f"with {ORDER_FLAGS}, {ORDER_PAYMENTS} select 'rule' as kind, rule as label, count(*) as n, 0.0::double as amount from f group by 2 union all select 'program', program, count(*), round(sum(amount), 2) from p group by 2")
+def run_summary(t):
+    return payments.run_summary(order_flags(t), order_payments(t))
+
+
+@query(
+    f"""with {ORDER_FLAGS}, s as (select uid, cast(count(*) * 7 as double) as score from f group by 1), e as (select 'c' || c_custkey as uid, c_mktsegment as source from customer), g as (select 'c' || c_custkey as uid, case when c_custkey % 3 = 0 then 'reviewing' when c_custkey % 3 = 1 then '' end as state, c_custkey % 5 = 0 as watched from customer)
+    select 'entities' as kind, source as label, count(*) as n from e group by 2 union all select 'flagged', source, count(*) from s join e using (uid) group by 2 union all select 'rule', rule, count(*) from f group by 2 union all select 'triage', state, count(*) from g where state <> '' group by 2 union all select 'triage', 'watched', count(*) from g where watched having count(*) > 0
+    union all select 'story', 'untriaged_high', count(*) from s where score >= 40 and uid not in (select uid from g where state <> '') having count(*) > 0 union all select 'story', 'after_bar', count(*) from f where rule = 'paid_after_barred' having count(*) > 0"""
+)
+def dashboard_summary(t):
+    k = F.col("c_custkey")
+    flags, uid = order_flags(t), F.concat(F.lit("c"), k.cast("string"))
+    scored = flags.groupBy("entity_uid").agg((F.count("*") * 7).cast("double").alias("risk_score"))
+    triage = t("customer").select(uid.alias("uid"), F.when(k % 3 == 0, "reviewing").when(k % 3 == 1, "").alias("state"), (k % 5 == 0).alias("watched"))
+    return serve.summary(t("customer").select(uid.alias("uid"), F.col("c_mktsegment").alias("source")), scored, flags, triage)
+
+
+@query(f"with n as (select c_custkey as uid, {sql_key(sql_pick(NAMES, 'c_custkey'))} as nk from customer), h as (select p_partkey as url, {sql_key(sql_pick(NAMES, 'p_partkey') + chr(32) + '||' + chr(32) + chr(39) + ' pleads guilty' + chr(39))} as title from part) select uid, 'http://n/' || url as url from n join h on length(nk) >= 10 and contains(title, nk)")
+def headline_matches(t):
+    k, p = F.col("c_custkey"), F.col("p_partkey")
+    items = t("part").select(F.concat(F.lit("http://n/"), p.cast("string")).alias("url"), F.concat(pick(NAMES, p), F.lit(" pleads guilty")).alias("title"))
+    return bulk.headline_matches(t("customer").select(k.alias("uid"), pick(NAMES, k).alias("name")), items)

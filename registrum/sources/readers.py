@@ -79,6 +79,12 @@ def license_rows(c: Column) -> Column:
     return F.try_parse_json(whole).cast("array<variant>")
 
 
+def sheets(content: bytes) -> int:
+    """The number of sheets of a spreadsheet file."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        return sum(re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n) is not None for n in z.namelist())
+
+
 def sheet_rows(content: bytes, sheet: int = 0) -> Iterator[list[str]]:
     """Rows of a spreadsheet file: shared and inline strings, gaps as blanks."""
     space = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -105,13 +111,21 @@ def sheet_rows(content: bytes, sheet: int = 0) -> Iterator[list[str]]:
             yield cells
 
 
-def xlsx(spark: SparkSession, path: str, sheet: int = 0) -> DataFrame:
-    """path, row (from 0) and cells of spreadsheet files; each file is read where its bytes are."""
+def extracted(rows: DataFrame, text: str, pattern: str, name: str) -> DataFrame:
+    """The other columns and `name`, a row for every match of the pattern in a text."""
+    others = [F.col(f"`{c}`") for c in rows.columns if c != text]
+    return rows.select(*others, F.explode(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).alias(name))
+
+
+def xlsx(spark: SparkSession, path: str, sheet: int | None = 0) -> DataFrame:
+    """path, row (from 0) and cells of one sheet of spreadsheet files, or of all of them one after the other; each file is read where its bytes are."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, content in zip(batch["path"], batch["content"], strict=True):
-                rows = list(sheet_rows(bytes(content), sheet))
+                rows = []
+                for number in (sheet,) if sheet is not None else range(sheets(bytes(content))):
+                    rows += sheet_rows(bytes(content), number)
                 yield pd.DataFrame({"path": [name] * len(rows), "row": range(len(rows)), "cells": rows})
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, row long, cells array<string>")

@@ -45,6 +45,15 @@ def upsert(new: DataFrame, path: str, key: str, partial: bool = False, defaults:
     replace(new, path)
 
 
+def ingested(new: DataFrame, path: str, log: str, source: str, ran_at: str) -> int:
+    """Upserts a source's entities by uid and logs the run (source, record_count, ran_at); returns the number of records."""
+    upsert(new, path, "uid")
+    spark = new.sparkSession
+    count = spark.read.parquet(path).where(F.col("source") == source).count()
+    spark.createDataFrame([(source, count, ran_at)], "source string, record_count long, ran_at string").write.mode("append").parquet(log)
+    return count
+
+
 def append_new(new: DataFrame, path: str, key: list[str]) -> None:
     """Appends rows whose key the table doesn't have."""
     spark = new.sparkSession

@@ -17,7 +17,7 @@ def entity(uid, source="childcare", name="", dba="", address="", city="Seattle",
 @pytest.mark.parametrize(
     ("name", "brand"),
     [
-        ("Martha & Mary Vinland School Age Program", "MARTHA MARY"), ("CHILDS TIME IX", "TIME"), ("KIDDIE ACADEMY OF SEATTLE AT QUEEN ANNE", "KIDDIE"), ("PROVIDENCE MT ST VINCENT", "PROVIDENCE MOUNT"), ("EARLY LEARNING CENTER KIDS ACADEMY", ""), ("Of Mice Inc", "MICE"), ("Ann", ""), (None, ""),
+        ("Willow & Wren Midland School Age Program", "WILLOW WREN"), ("CHILDS HOUR IX", "HOUR"), ("PEBBLE ACADEMY OF SEATTLE AT GREEN LAKE", "PEBBLE"), ("HIGHRIDGE MT ST ALBAN", "HIGHRIDGE MOUNT"), ("EARLY LEARNING CENTER KIDS ACADEMY", ""), ("Of Mice Inc", "MICE"), ("Ann", ""), (None, ""),
         ("Sunrise Enterprises LLC", "SUNRISE"), ("Northgate Limited", "NORTHGATE LIMITED"),
     ],
 )
@@ -26,7 +26,7 @@ def test_brands(spark, name, brand):
 
 
 def test_predicates(spark):
-    rows = spark.createDataFrame([("Hillside CDC", "desk@us.army.MIL"), ("Gardens on University - Spokane Valley, LLC", None), ("Acme University", ""), ("City of Kent Nursing College", None), ("Plain Care", "x@y.com"), (None, None)], "n string, m string")
+    rows = spark.createDataFrame([("Hilltop CDC", "desk@us.army.MIL"), ("Orchard on University - Dale Valley, LLC", None), ("Acme University", ""), ("City of Kent Nursing College", None), ("Plain Care", "x@y.com"), (None, None)], "n string, m string")
     got = [(r.a, r.b) for r in rows.select(N.institution(F.col("n"), F.col("m")).alias("a"), N.venue(F.col("n")).alias("b")).collect()]
     assert got == [(True, False), (False, True), (True, True), (True, True), (False, False), (False, False)]
     rows = spark.createDataFrame([("Dentist", "Emergency Medicine"), ("Physician Assistant", "Physician"), ("Medical Student", "Physician"), ("Independent Social Worker", "Counselor"), ("Barber", "Dentist")], "a string, b string")
@@ -48,19 +48,19 @@ def test_rules_read_their_texts(spark):
 def test_shared_addresses(spark):
     at = {"address": "1 Main St"}
     rows = [entity("e1", name="Acme Care", **at), entity("e2", name="Beta House Kids", **at), entity("e3", name="Gamma Tots", **at)]
-    rows += [entity(f"f{k}", name=f"Martha & Mary Site {k}", address="2 Elm", city="Kent") for k in range(2)] + [entity("f9", name="Zed Quilts", address="2 Elm", city="Kent")]
+    rows += [entity(f"f{k}", name=f"Willow & Wren Site {k}", address="2 Elm", city="Kent") for k in range(2)] + [entity("f9", name="Zed Quilts", address="2 Elm", city="Kent")]
     rows += [entity("g1", name="Tiny Tots", address="3 Oak"), entity("g2", name="Saint Mark Church", address="3 Oak")]
     got = {r.uid: (r.severity, r.providers, r.brand) for r in rules.shared_addresses(spark.createDataFrame(rows, ENTITY)).collect()}
     assert {u: got[u] for u in ("e1", "e2", "e3")} == dict.fromkeys(("e1", "e2", "e3"), (24.0, 3, None)) and got["f0"] == (24.0, 3, None) and "g1" not in got
-    only = spark.createDataFrame([entity("h1", name="Gateway Extended Care", address="4 Fir"), entity("h2", name="Gateway", address="4 Fir"), entity("h3", name="Gateway Prime", address="4 Fir")], ENTITY)
-    assert {r.uid: (r.severity, r.brand) for r in rules.shared_addresses(only).collect()} == {f"h{k}": (8.4, "GATEWAY") for k in (1, 2, 3)}
+    only = spark.createDataFrame([entity("h1", name="Lantern Extended Care", address="4 Fir"), entity("h2", name="Lantern", address="4 Fir"), entity("h3", name="Lantern Prime", address="4 Fir")], ENTITY)
+    assert {r.uid: (r.severity, r.brand) for r in rules.shared_addresses(only).collect()} == {f"h{k}": (8.4, "LANTERN") for k in (1, 2, 3)}
 
 
 def test_operators_are_assembled(spark):
     rows = [
-        entity("e1", name="Sunny Valley Tots", address="12 Main Street", primarycontactpersonname="Rosa Sandoval", primarycontactemail="rosa@x.org", licenseeffectivedate="2015-01-01"),
-        entity("e2", name="Harbor Quilts", address="12 MAIN ST"), entity("e3", "healthcare", "Rosa Sandoval", status="Revoked", birthyear="1970", expirationdate="2023-01-01"),
-        entity("e4", "contracts", "Sullivan Park", dba="Riverbend Lodge Care", amount=9_000.0, procurement_type="Sole source"), entity("e5", "hospice", "Riverbend Lodge Care - 02"), entity("e6", "contracts_2024", "Sullivan Park", dba="Riverbend Lodge Care", amount=9_500.0),
+        entity("e1", name="Sunny Valley Tots", address="12 Main Street", primarycontactpersonname="Nora Castellan", primarycontactemail="nora@x.org", licenseeffectivedate="2015-01-01"),
+        entity("e2", name="Harbor Quilts", address="12 MAIN ST"), entity("e3", "healthcare", "Nora Castellan", status="Revoked", birthyear="1970", expirationdate="2023-01-01"),
+        entity("e4", "contracts", "Alder Park", dba="Riverbend Lodge Care", amount=9_000.0, procurement_type="Sole source"), entity("e5", "hospice", "Riverbend Lodge Care - 02"), entity("e6", "contracts_2024", "Alder Park", dba="Riverbend Lodge Care", amount=9_500.0),
         entity("e7", name="Lonely Star"), entity("e8", "contracts", "Paper Mills", amount=5.0, procurement_type="Data Sharing"), entity("e9", "hospice", "Paper Mills"),
     ]
     rows[5] = (*rows[5][:2], "00" + rows[3][2], *rows[5][3:])  # the same contract, a year later, with zeros before its number
@@ -80,7 +80,7 @@ def test_operators_are_assembled(spark):
 
 
 def test_documented_and_hard_links(spark):
-    rows = [entity("e1", "contracts", "Sullivan Park", dba="Riverbend Lodge Care", amount=9_000.0), entity("e2", "hospice", "Riverbend Lodge Care - 02"), entity("e3", "hospice", "Other Brand"), entity("e4", "hospice", "Third Brand")]
+    rows = [entity("e1", "contracts", "Alder Park", dba="Riverbend Lodge Care", amount=9_000.0), entity("e2", "hospice", "Riverbend Lodge Care - 02"), entity("e3", "hospice", "Other Brand"), entity("e4", "hospice", "Third Brand")]
     e = spark.createDataFrame(rows, ENTITY)
     members = e.withColumn("root", F.lit("r"))
     assert [r.root for r in assembly.documented(members).collect()] == ["r"]
@@ -90,8 +90,8 @@ def test_documented_and_hard_links(spark):
     assert [(r.ubi, r.agent, r.gov, r.owner, r.bonus) for r in assembly.identity_signals(members, keys).collect()] == [(False, True, True, False, 26)]
     owned = spark.createDataFrame([("OTHER BRAND", "aid:1"), ("THIRD BRAND", "aid:1")], "org string, owner string")
     assert {r.key for r in assembly.owner_keys(e, owned).collect()} == {"owner:aid:1"}
-    chains = assembly.franchises(spark.createDataFrame([entity(f"k{i}", name=f"Kiddie Academy of City{i}", primarycontactemail=f"{i % 4}@x") for i in range(10)], ENTITY))
-    assert [r.brand for r in chains.collect()] == ["KIDDIE"]
+    chains = assembly.franchises(spark.createDataFrame([entity(f"k{i}", name=f"Pebble Academy of City{i}", primarycontactemail=f"{i % 4}@x") for i in range(10)], ENTITY))
+    assert [r.brand for r in chains.collect()] == ["PEBBLE"]
 
 
 def test_queue_orders(spark):
