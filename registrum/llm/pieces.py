@@ -5,7 +5,8 @@ something else. The text is cut there into marked words (one or more markers and
 once by the library, and ids are joined back by position. The table of distinct words lives in the Python worker that needs it and is
 emptied when it reaches `TABLE` words, so memory is bounded whatever the vocabulary, and nothing is shuffled.
 
-Null texts count as empty; empty texts give begin and end only. Long texts are segmented whole.
+Null texts count as empty; empty texts give begin and end only. Long texts are segmented whole. Repeated rows are encoded alike, one row each;
+columns beside the text and those kept are not read, whatever their names. An empty table gives none.
 """
 
 from __future__ import annotations

@@ -2,7 +2,7 @@
 
 Small gradient-boosted trees are grown on text statistics of a bounded sample of labelled rows; every path from a root to a node is a
 conjunctive rule; a lasso logistic regression weighs the rules, most of them with zero; the rules left are compiled into one Spark column
-over the statistics. Statistics are counted over whole texts in one pass: shares of byte classes, lengths of words and lines, repetition.
+over the statistics. The fit stops after STEPS steps, near the optimum of the lasso. Statistics are counted over whole texts in one pass: shares of byte classes, lengths of words and lines, repetition.
 
 Null and empty texts have zero statistics and a score like any other. With one class among the labels, or none, the score is that class's
 smoothed share for every row. Repeated labels of a document count once each; labels other than 0 and 1 are left out.

@@ -6,6 +6,7 @@ distinct pre-tokens are inserted in a trie whose nodes hold the best score and i
 pre-token's count is read off its terminal. Trie and terminals live in the worker and start anew at a size bound, which changes no count.
 
 Null and empty texts have no pre-token and count 0. A character outside the vocabulary costs one byte token for each of its UTF-8 bytes.
+Repeated rows are counted alike, one row each; columns beside the text and those kept are not read. An empty table gives none.
 """
 
 from __future__ import annotations

@@ -46,3 +46,29 @@ def test_one_class_or_none(spark):
     assert {r.predicted for r in R.judged(d, labels.where("quality = 1")).collect()} == {1}
     assert {r.score for r in R.judged(d, labels.limit(0)).collect()} == {0.5}
     assert R.judged(d.limit(0), labels).collect() == []
+
+
+def test_fitted_weights_are_a_lasso_optimum(monkeypatch):
+    """With steps enough, the loss's slope along each kept weight is the penalty, against its sign, and along the bias none; no single change of a weight does better."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(800, len(R.STATISTICS)))
+    y = ((x[:, 0] > 0.3) & (x[:, 3] < 0.5) | (x[:, 5] > 1.2)).astype(float)
+    y[rng.integers(0, 800, 60)] = rng.integers(0, 2, 60)
+    early = R.fit(x, y)
+    monkeypatch.setattr(R, "STEPS", 6400)
+    model = R.fit(x, y)
+    a, w = np.column_stack([R.holds(x, rule) for _, rule in model.rules]).astype(float), np.array([k for k, _ in model.rules])
+
+    def loss(weights, bias, a=a):
+        z = a @ weights + bias
+        return np.mean(np.logaddexp(0, z) - y * z) + R.PENALTY * np.abs(weights).sum()
+
+    slope = a.T @ (model.score(x) - y) / len(y)
+    assert np.abs(slope + R.PENALTY * np.sign(w)).max() < 1e-4 and abs(np.mean(model.score(x) - y)) < 1e-4
+    best = loss(w, model.bias)
+    soon = loss(np.array([k for k, _ in early.rules]), early.bias, np.column_stack([R.holds(x, rule) for _, rule in early.rules]).astype(float))
+    assert best < soon < 1.1 * best  # the production steps stop near it
+    for k in range(len(w)):
+        for d in (-0.05, 0.05):
+            assert loss(w + d * (np.arange(len(w)) == k), model.bias) > best - 1e-6
+    assert np.mean((model.score(x) >= 0.5) == y) > 0.9 and 3 < len(w) < 200
