@@ -26,24 +26,24 @@ def registration(matched: DataFrame, missing: float = 12.0, inactive: float = 20
 # Adverse credential statuses, and identity grades that mean another person.
 ADVERSE = ("REVOKED", "SUSPENDED", "EXPIRED", "TERMINATED", "SURRENDER", "VOLUNTARY SURRENDER", "DENIED", "INACTIVE")
 MISMATCHED = ("license-mismatch", "dob-mismatch", "taxonomy-mismatch")
-# What each list bars, and how its entry is headed, by a word of its name.
+# What each list bars, and how its entry is headed, by a word of its name; the first that fits counts.
 SCOPES = [
-    ("LEIE", "Excluded parties may not be paid by any federal health program (Medicare, Medicaid, CHIP)."), ("CMS REVOKED", "Revoked from MEDICARE billing; state Medicaid status is separate."),
-    ("SAM", "Debarred from federal procurement/awards; clinical program billing is governed separately by OIG/CMS status."), ("HCA TERMINATED", "Terminated from WA MEDICAID (Apple Health) only — this does not by itself bar Medicare or other federal programs."),
+    ("LEIE", "Bars payment by all federal health programs."), ("CMS REVOKED", "Bars billing Medicare; a state's Medicaid decides for itself."),
+    ("SAM", "Bars federal awards and contracts; billing of health programs is another list's matter."), ("HCA TERMINATED", "Bars the state's Medicaid only, not Medicare or other federal programs."),
 ]
-TITLES = [("HCA", "On Washington's Medicaid termination list"), ("LEIE", "On the federal OIG exclusion list"), ("SAM", "On the federal SAM.gov exclusion list"), ("CMS REVOKED", "Medicare billing privileges revoked")]
+TITLES = [("HCA", "Terminated by the state's Medicaid"), ("LEIE", "Excluded from federal health programs"), ("SAM", "Excluded from federal awards"), ("CMS REVOKED", "Revoked from Medicare billing")]
 
 
 def scope_text(listed: Column) -> Column:
     """What a list bars."""
     name = F.upper(F.coalesce(listed, F.lit("")))
-    return first_of(*[(name.contains(k), F.lit(v)) for k, v in SCOPES], default=F.lit("Verify which programs this listing actually bars before attributing dollars."))
+    return first_of(*[(name.contains(k), F.lit(v)) for k, v in SCOPES], default=F.lit("Which programs it bars is to be found out."))
 
 
 def list_title(listed: Column) -> Column:
     """The headline of an entry; a state's list is never called federal."""
     name = F.upper(F.coalesce(listed, F.lit("")))
-    shown = first_of(*[(name.contains(k), F.lit(v)) for k, v in TITLES], default=F.lit("On an exclusion/sanction list"))
+    shown = first_of(*[(name.contains(k), F.lit(v)) for k, v in TITLES], default=F.lit("On a list of exclusions"))
     return F.concat(shown, F.lit(" ("), F.coalesce(listed, F.lit("")), F.lit(")"))
 
 

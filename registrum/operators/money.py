@@ -89,8 +89,12 @@ def series(yearly: DataFrame) -> DataFrame:
     return yearly.groupBy("uid").agg(kept.alias("s")).select("uid", F.col("s.period").alias("periods"), F.col("s.amount").alias("amounts"))
 
 
-def contiguous(yearly: DataFrame, least: int = 3) -> DataFrame:
-    """uids with at least `least` years and no gap between them."""
+def contiguous(yearly: DataFrame, least: int = 3, since: DataFrame | None = None, gap: int = 2) -> DataFrame:
+    """uids with at least `least` years and no gap between them; with since (uid, year), only where the first of them follows within `gap` years."""
+    if since is not None:
+        met = yearly.join(since.select("uid", "year"), "uid").where("period > year")
+        near = met.groupBy("uid").agg(F.min(F.col("period") - F.col("year")).alias("after")).where(F.col("after") <= gap)
+        yearly = met.join(near, "uid", "left_semi").drop("year")
     rows = yearly.groupBy("uid").agg(F.min("period").alias("first"), F.max("period").alias("last"), F.count_distinct("period").alias("years"))
     return rows.where((F.col("last") - F.col("first") + 1 == F.col("years")) & (F.col("years") >= least))
 

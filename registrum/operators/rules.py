@@ -96,7 +96,7 @@ def simple_flags(entities: DataFrame, today: str, only: list[str] | None = None)
 def capacity_outliers(rows: DataFrame, sigmas: float = 3.0, least: int = 20) -> DataFrame:
     """Rows (uid, kind, value) above the mean by more than `sigmas` population deviations of their kind, in kinds of enough rows. Moments are aggregated, then joined: no kind has to fit a window."""
     moments = rows.groupBy("kind").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sigma"), F.count("value").alias("n")).where(F.col("n") >= least)
-    return rows.join(F.broadcast(moments), "kind").where(F.col("value") > F.col("mean") + sigmas * F.col("sigma"))
+    return rows.join(moments, "kind").where(F.col("value") > F.col("mean") + sigmas * F.col("sigma"))
 
 
 def recent_large(rows: DataFrame, today: str, share: float = 0.9, days: int = 365) -> DataFrame:
@@ -115,7 +115,7 @@ def duplicate_contracts(entities: DataFrame, least: float = 5_000.0) -> DataFram
     rows = entities.where(F.col("amount") >= least).select("uid", "name", "amount", upper_key(blank(F.col("name"))).alias("vendor"), F.bround("amount", 2).alias("paid"))
     same = rows.groupBy("vendor", "paid").agg(F.count_distinct("uid").alias("uids"), F.count("*").alias("occurrences")).where("uids >= 2")
     met = rows.join(same, ["vendor", "paid"])
-    return flag(met, "contract_duplicate_amount_vendor", 14, "Duplicate contract amount to same vendor", F.concat(F.col("occurrences").cast("string"), F.lit(" contracts to one vendor have the same amount")), F.struct(F.col("name").alias("vendor"), F.col("paid").alias("amount"), "occurrences"))
+    return flag(met, "contract_duplicate_amount_vendor", 14, "One vendor, one amount, several contracts", F.concat(F.col("occurrences").cast("string"), F.lit(" contracts to one vendor have the same amount")), F.struct(F.col("name").alias("vendor"), F.col("paid").alias("amount"), "occurrences"))
 
 
 def round_amounts(rows: DataFrame, least: float, step: float) -> DataFrame:
@@ -183,7 +183,7 @@ def misspelled_names(entities: DataFrame, real: DataFrame | None = None, **limit
     met = words.join(misspelled(words, real=real, **limits), "word").groupBy("uid", "name").agg(F.array_sort(F.collect_list(F.struct("at", "word", "likely"))).alias("found"))
     pairs = F.transform(F.slice("found", 1, 5), lambda x: F.struct(x["word"].alias("word"), x["likely"].alias("likely")))
     shown = F.array_join(F.transform(F.slice("found", 1, 3), lambda x: F.concat(F.lit("'"), F.initcap(x["word"]), F.lit("' → '"), F.initcap(x["likely"]), F.lit("'"))), "; ")
-    return flag(met, "misspelled_word_in_name", 8, "Possible misspelling in name", F.concat(F.lit("Name contains a likely misspelling: "), shown), F.struct(pairs.alias("misspellings"), F.col("name")))
+    return flag(met, "misspelled_word_in_name", 8, "Name may be misspelled", F.concat(F.lit("Close to a common word: "), shown), F.struct(pairs.alias("misspellings"), F.col("name")))
 
 
 def open_brands(rows: DataFrame, group: str, least: int = 3, share: float = 0.7) -> DataFrame:

@@ -136,9 +136,9 @@ def operator_tasks(rows: DataFrame) -> DataFrame:
     """operator_id and todo: what a reviewer has to verify, in order."""
     link = F.col("strongest_link")
     tasks = [
-        F.when(F.col("contradiction") > 0, F.concat(F.lit("Verify the "), dollars(F.col("contradiction")), F.lit(" paid AFTER a bar against the linked Medicare + sanction records."))),
-        F.when(F.col("barred_people") > 0, F.concat(F.lit("Confirm the "), F.col("barred_people").cast("string"), F.lit(" barred member(s) are the same individuals (NPI / license #) before attributing dollars."))),
-        F.when(link.isin("hard", "shell"), F.lit("Pull the shared WA SOS / CMS owner record that links these entities — a hard identity link worth documenting.")).when(link.isin("fuzzy", "geo"), F.lit("This is a soft (name/proximity) link — confirm the entities are actually the same operator before acting.")),
+        F.when(F.col("contradiction") > 0, F.concat(F.lit("Check "), dollars(F.col("contradiction")), F.lit(" dated after a bar in the payment and sanction records."))),
+        F.when(F.col("barred_people") > 0, F.concat(F.lit("Make sure by number or licence who the barred people are: "), F.col("barred_people").cast("string"), F.lit("."))),
+        F.when(link.isin("hard", "shell"), F.lit("Get the registry or ownership record that these entities share.")).when(link.isin("fuzzy", "geo"), F.lit("The link is by likeness or nearness only: find out whether it is one operator.")),
     ]
     return rows.select("operator_id", F.array_compact(F.array(*tasks)).alias("todo"))
 
@@ -171,10 +171,10 @@ def timeline(entities: DataFrame, flags: DataFrame) -> DataFrame:
     status = F.upper(F.trim(F.coalesce("status", F.lit(""))))
     own = entities.select("uid", status.alias("status"), F.explode(F.array(*raw)).alias("e")).where("e.date is not null")
     ended = (F.col("e.key") == "expirationdate") & F.col("status").isin(*ENDED)
-    own = own.select("uid", F.col("e.date").alias("date"), F.when(ended, F.concat(F.lit("license "), F.lower("status"), F.lit(" (effective; no dated order held)"))).otherwise(F.col("e.label")).alias("label"), F.lit("license").alias("kind"))
+    own = own.select("uid", F.col("e.date").alias("date"), F.when(ended, F.concat(F.lit("license ended: "), F.lower("status"), F.lit(", no dated order"))).otherwise(F.col("e.label")).alias("label"), F.lit("license").alias("kind"))
     seen = flags.select(F.col("entity_uid").alias("uid"), "rule_id", "title", F.explode(F.from_json("evidence", "map<string,string>")).alias("key", "value")).where("lower(key) like '%date%'")
     bar = F.col("rule_id").isin(*BAR_RULES)
-    told = seen.select("uid", dateish(F.col("value")).alias("date"), F.when(bar, "excluded/barred").otherwise(F.left("title", F.lit(60))).alias("label"), F.when(bar, "bar").otherwise("flag").alias("kind")).where("date is not null")
+    told = seen.select("uid", dateish(F.col("value")).alias("date"), F.when(bar, "barred").otherwise(F.left("title", F.lit(60))).alias("label"), F.when(bar, "bar").otherwise("flag").alias("kind")).where("date is not null")
     rank = F.when(F.col("kind") == "license", 0).when(F.col("kind") == "bar", 1).otherwise(2)
     once = own.unionByName(told).groupBy("uid", "date", "label").agg(F.min_by("kind", rank).alias("kind"))
     first = once.where("kind = 'bar'").groupBy("uid").agg(F.min("date").alias("bar_date"))
@@ -221,7 +221,7 @@ def funds_breakdown(payments: DataFrame, flags: DataFrame, contracts: str = "WA
     rule = F.col("rule_id")
     level = F.min(first_of((rule.isin("paid_after_barred", "paid_after_npi_deactivated"), 0), (rule.isin("excluded_or_sanctioned", "paid_while_sanctioned"), 1), (rule.isin("single_code_dominance", "services_per_visit_outlier", "payment_outlier", "billing_spike"), 2), default=3))
     levels = flags.groupBy(F.col("entity_uid").alias("uid")).agg(level.alias("level"))
-    tier = first_of(*[(F.col("level") == k, F.lit(v)) for k, v in enumerate(["Verifiable contradiction (paid-after-barred)", "Sanctioned / excluded + paid", "Billing anomaly", "Other flag"])], default=F.lit("No risk flag"))
+    tier = first_of(*[(F.col("level") == k, F.lit(v)) for k, v in enumerate(["paid after a bar", "sanctioned and paid", "unusual billing", "other flags"])], default=F.lit("no flags"))
     paid = own.groupBy("uid").agg(F.sum("amount").alias("amount")).join(levels, "uid", "left")
     out = total(payments, "program", F.col("program")).unionByName(total(paid, "tier", tier))
     out = out.unionByName(total(own.where(F.col("period").rlike("^[0-9]{4}$")), "year", F.col("period")))

@@ -477,7 +477,7 @@ def score_buckets(t):
 
 @query(f"with {ENTITIES} select upper(trim(n_name)) as place, count(*) as n, round(sum(c_acctbal), 2) as funds, cast(count_if(risk_score >= 40) as bigint) as high from scores join customer on k = c_custkey join nation on c_nationkey = n_nationkey group by 1")
 def nation_density(t):
-    at = t("customer").join(F.broadcast(t("nation")), F.col("c_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("entity_uid"), F.col("n_name").alias("place"), F.col("c_acctbal").alias("funds"))
+    at = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("entity_uid"), F.col("n_name").alias("place"), F.col("c_acctbal").alias("funds"))
     return serve.density(scoring.scores(_flags(t)).join(at, "entity_uid").withColumnRenamed("risk_score", "score"), "place")
 
 

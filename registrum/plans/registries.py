@@ -401,8 +401,8 @@ def sql_dateish(c: str) -> str:
 
 @query(
     f"""with {ORDER_FLAGS}, c as (select 'c' || c_custkey as uid, upper(trim({sql_pick(STATUSES, "c_custkey")})) as status, {sql_pick(DATES, "c_custkey")} as issued, {sql_pick(DATES, "c_custkey + 1")} as expires from customer),
-    o as (select uid, {sql_dateish("issued")} as date, 'license issued' as label, 0 as r from c union all select uid, {sql_dateish("expires")}, case when status in ('REVOKED', 'SURRENDER', 'VOLUNTARY SURRENDER', 'SUSPENDED', 'TERMINATED') then 'license ' || lower(status) || ' (effective; no dated order held)' else 'license expires' end, 0 from c
-      union all select uid, {sql_dateish("day")}, case when rule in ('excluded_or_sanctioned', 'paid_while_sanctioned', 'paid_after_barred') then 'excluded/barred' else left(title, 60) end, case when rule in ('excluded_or_sanctioned', 'paid_while_sanctioned', 'paid_after_barred') then 1 else 2 end from f),
+    o as (select uid, {sql_dateish("issued")} as date, 'license issued' as label, 0 as r from c union all select uid, {sql_dateish("expires")}, case when status in ('REVOKED', 'SURRENDER', 'VOLUNTARY SURRENDER', 'SUSPENDED', 'TERMINATED') then 'license ended: ' || lower(status) || ', no dated order' else 'license expires' end, 0 from c
+      union all select uid, {sql_dateish("day")}, case when rule in ('excluded_or_sanctioned', 'paid_while_sanctioned', 'paid_after_barred') then 'barred' else left(title, 60) end, case when rule in ('excluded_or_sanctioned', 'paid_while_sanctioned', 'paid_after_barred') then 1 else 2 end from f),
     d as (select uid, date, label, min(r) as r from o where date is not null group by 1, 2, 3) select uid, date, label, ['license', 'bar', 'flag'][r + 1] as kind, min(date) filter (r = 1) over (partition by uid) as bar_date from d"""
 )
 def entity_timeline(t):
@@ -427,7 +427,7 @@ ORDER_PAYMENTS = f"p as (select 'c' || o_custkey as uid, {sql_pick(PROGRAMS, 'o_
     f"""with {ORDER_FLAGS}, {ORDER_PAYMENTS}, l as (select uid, min(case when rule = 'paid_after_barred' then 0 when rule in ('excluded_or_sanctioned', 'paid_while_sanctioned') then 1 when rule = 'billing_spike' then 2 else 3 end) as level from f where o_custkey_even(uid) group by 1) select 1""".replace("o_custkey_even(uid)", "true").replace(" select 1", "")
     + """ , u as (select uid, sum(amount) as amount from p where program <> 'WA agency contract' group by 1)
     select 'program' as kind, program as label, round(sum(amount), 2) as amount, count(*) as n from p group by 2
-    union all select 'tier', case level when 0 then 'Verifiable contradiction (paid-after-barred)' when 1 then 'Sanctioned / excluded + paid' when 2 then 'Billing anomaly' when 3 then 'Other flag' else 'No risk flag' end, round(sum(amount), 2), count(*) from u left join l using (uid) group by 2
+    union all select 'tier', case level when 0 then 'paid after a bar' when 1 then 'sanctioned and paid' when 2 then 'unusual billing' when 3 then 'other flags' else 'no flags' end, round(sum(amount), 2), count(*) from u left join l using (uid) group by 2
     union all select 'year', period, round(sum(amount), 2), count(*) from p where program <> 'WA agency contract' and regexp_full_match(period, '[0-9]{4}') group by 2
     union all select 'fiscal', period, round(sum(amount), 2), count(*) from p where regexp_full_match(period, 'FY[0-9]{4}') and starts_with(program, 'WA state') group by 2"""
 )
@@ -450,7 +450,7 @@ def dossiers(t):
 
 @query(
     f"""with {ORDER_FLAGS}, w as (select distinct uid from f where unseen), g as (select 'c' || c_custkey as uid, case when c_custkey % 3 = 0 then 'reviewing' end as state, cast(null as varchar) as note, c_custkey % 5 = 0 as watched from customer where c_custkey % 2 = 0)
-    select coalesce(g.uid, w.uid) as uid, state, coalesce(note, case when g.uid is null then 'auto-watch: bar postdates the data horizon' end) as note, coalesce(watched, false) or w.uid is not null as watched from g full join w on w.uid = g.uid"""
+    select coalesce(g.uid, w.uid) as uid, state, coalesce(note, case when g.uid is null then 'watched by rule: the bar is newer than the data' end) as note, coalesce(watched, false) or w.uid is not null as watched from g full join w on w.uid = g.uid"""
 )
 def auto_watch(t):
     from registrum.sources.store import watched_unseen

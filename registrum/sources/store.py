@@ -16,11 +16,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def replace(df: DataFrame, path: str) -> None:
+def replace(df: DataFrame, path: str, *partitions: str) -> None:
     """Writes df beside the table, then swaps the two by renaming, so a failed write leaves the old table whole."""
     spark = df.sparkSession
     new, old = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}", f"{path.rstrip('/')}.old-{uuid.uuid4().hex}"
-    df.write.parquet(new)
+    df.write.partitionBy(*partitions).parquet(new)
     made = spark._jvm.org.apache.hadoop.fs.Path
     fs = made(path).getFileSystem(spark._jsc.hadoopConfiguration())
     if fs.exists(made(path)):
@@ -83,7 +83,7 @@ def watched_unseen(flags: DataFrame, triage: DataFrame) -> DataFrame:
     """triage (uid, state, note, watched) with every uid watched whose flags (entity_uid, evidence) say that money after its bar can't be seen yet."""
     unseen = F.try_variant_get(F.try_parse_json("evidence"), "$.after_unobservable", "boolean")
     new = flags.where(unseen).select(F.col("entity_uid").alias("uid")).distinct().withColumn("__new", F.lit(True))
-    note = F.coalesce("note", F.when(F.col("__new") & F.col("state").isNull() & F.col("watched").isNull(), "auto-watch: bar postdates the data horizon"))
+    note = F.coalesce("note", F.when(F.col("__new") & F.col("state").isNull() & F.col("watched").isNull(), "watched by rule: the bar is newer than the data"))
     return triage.join(new, "uid", "full").select("uid", "state", note.alias("note"), (F.coalesce("watched", F.lit(False)) | F.coalesce("__new", F.lit(False))).alias("watched"))
 
 

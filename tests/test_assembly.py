@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from registrum.functions import names as N
 from registrum.functions import text as T
-from registrum.operators import assembly, resolve, rules, scoring, serve
+from registrum.operators import assembly, resolve, rules, serve
+from registrum.sources import bulk
 
 ENTITY = "uid string, source string, source_id string, name string, dba string, address string, city string, zip string, status string, amount double, raw map<string,string>"
 
@@ -90,6 +91,8 @@ def test_documented_and_hard_links(spark):
     assert [(r.ubi, r.agent, r.gov, r.owner, r.bonus) for r in assembly.identity_signals(members, keys).collect()] == [(False, True, True, False, 26)]
     owned = spark.createDataFrame([("OTHER BRAND", "aid:1"), ("THIRD BRAND", "aid:1")], "org string, owner string")
     assert {r.key for r in assembly.owner_keys(e, owned).collect()} == {"owner:aid:1"}
+    held, by = bulk.owner_networks(owned.withColumn("owner_name", F.lit("X")))
+    assert [tuple(r) for r in held.collect()] == [("aid:1", "X", ["OTHER BRAND", "THIRD BRAND"])] and {(r.org, *r.owners) for r in by.collect()} == {("OTHER BRAND", "aid:1"), ("THIRD BRAND", "aid:1")}
     chains = assembly.franchises(spark.createDataFrame([entity(f"k{i}", name=f"Pebble Academy of City{i}", primarycontactemail=f"{i % 4}@x") for i in range(10)], ENTITY))
     assert [r.brand for r in chains.collect()] == ["PEBBLE"]
 
@@ -103,4 +106,3 @@ def test_queue_orders(spark):
     assert order(where={"triage": "watched"}) == ["a"] and order(where={"triage": "open"}) == ["b", "c"] and order(where={"least": 50}) == ["c", "a"]
     leads = spark.createDataFrame([("a", 30.0, ""), ("b", 30.0, "reviewed"), ("c", 80.0, None), ("d", 24.0, None)], "uid string, score double, state string")
     assert [r.uid for r in serve.random_lead(leads, 7).collect()] == ["a"]
-    assert scoring.group_of is not None

@@ -8,7 +8,7 @@ from registrum.functions import names as N
 from registrum.functions import text as T
 from registrum.operators import bars, graph, linkage, money, resolve, rules, scoring, serve
 from registrum.sources import readers, store
-from registrum.streaming.ingest import ingest
+from registrum.streaming.ingest import compacted, current, ingest
 
 
 def value(spark, column, **row):
@@ -62,6 +62,13 @@ def test_nearest_rank_and_spikes(spark):
     assert ranks == {v: (values.count((v,)), sum(x < v for (x,) in values), 13) for (v,) in values}
 
 
+def test_contiguous_years_after_a_date(spark):
+    yearly = spark.createDataFrame([("a", y, 1.0) for y in (2015, 2018, 2019, 2020)] + [("b", y, 1.0) for y in (2019, 2020, 2021)] + [("c", y, 1.0) for y in (2018, 2020, 2021)], "uid string, period int, amount double")
+    assert [r.uid for r in money.contiguous(yearly).collect()] == ["b"]
+    bars_ = spark.createDataFrame([("a", 2016), ("b", 2016), ("c", 2017)], "uid string, year int")
+    assert [(r.uid, r.first, r.last) for r in money.contiguous(yearly, since=bars_).collect()] == [("a", 2018, 2020)]
+
+
 def test_dated_bars(spark):
     people = [("after", "REVOKED", "license-confirmed", None, None), ("small", "REVOKED", "license-confirmed", None, None), ("before", "REVOKED", "license-confirmed", None, None), ("other", "SUSPENDED", "license-mismatch", 2015, None), ("same", "SUSPENDED", "dob-confirmed", 2020, None), ("again", "REVOKED", "dob-confirmed", 2015, 2019), ("fine", "ACTIVE", "dob-confirmed", 2015, None), ("scope", "REVOKED", "dob-confirmed", None, None)]
     e = spark.createDataFrame(people, "uid string, status string, identity string, expiry_year int, reissue_year int")
@@ -160,4 +167,9 @@ def test_streaming(spark, tmp_path):
     ingest(*args).awaitTermination(60)
     (tmp_path / "in" / "3.json").write_text('{"uid":"a","n":7}')
     ingest(*args).awaitTermination(60)
-    assert sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/t").collect()) == [("a", 7), ("b", 2)]
+    assert sorted(tuple(r) for r in current(spark, f"{tmp_path}/t").collect()) == [("a", 7), ("b", 2)] and spark.read.parquet(f"{tmp_path}/t").count() == 3
+    compacted(spark, f"{tmp_path}/t")
+    assert spark.read.parquet(f"{tmp_path}/t").count() == 2
+    (tmp_path / "in" / "4.json").write_text('{"uid":"b","n":9}')
+    ingest(*args).awaitTermination(60)
+    assert sorted(tuple(r) for r in current(spark, f"{tmp_path}/t").collect()) == [("a", 7), ("b", 9)]

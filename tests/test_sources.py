@@ -7,7 +7,8 @@ from urllib.parse import parse_qs, urlparse
 
 import pytest
 
-from registrum.sources import bulk, projections, screening, store
+from registrum.operators import payments
+from registrum.sources import bulk, projections, readers, screening, store
 from registrum.sources.paged import PagedSource
 
 
@@ -145,6 +146,23 @@ def test_curated_files_and_licences(spark, tmp_path):
     assert [r[0] for r in rows.select(bulk.license_numbers(rows.l)).collect()] == [["1", "2"], ["3"], [], []]
 
 
+def test_all_sheets_runs_and_dockets(spark, tmp_path):
+    one, two = workbook([("a",)]), workbook([("b",), ("c",)])
+    with zipfile.ZipFile(io.BytesIO(one)) as x, zipfile.ZipFile(io.BytesIO(two)) as y, zipfile.ZipFile(tmp_path / "w.xlsx", "w") as z:
+        z.writestr("xl/worksheets/sheet1.xml", x.read("xl/worksheets/sheet1.xml"))
+        z.writestr("xl/worksheets/sheet2.xml", y.read("xl/worksheets/sheet1.xml"))
+    assert [(r.row, r.cells) for r in readers.xlsx(spark, f"{tmp_path}/w.xlsx", None).orderBy("row").collect()] == [(0, ["a"]), (1, ["b"]), (2, ["c"])]
+    rows = spark.createDataFrame([("s:1", "s"), ("s:2", "s")], "uid string, source string")
+    assert store.ingested(rows, f"{tmp_path}/e", f"{tmp_path}/log", "s", "2024-01-01") == 2 and store.ingested(rows.limit(1), f"{tmp_path}/e", f"{tmp_path}/log", "s", "2024-01-02") == 2
+    assert spark.read.parquet(f"{tmp_path}/log").count() == 2
+    entities = spark.createDataFrame([("a", "Harbor Light Services LLC"), ("b", "Short"), ("c", "Harbor Quilts House")], "uid string, name string")
+    triage = spark.createDataFrame([("a", "escalated", None), ("b", "escalated", True), ("c", "new", False)], "uid string, state string, watched boolean")
+    cases = spark.createDataFrame([("HARBOR LIGHT SERVICES", "US v. X", "wawd", "2020-01-01", "1:20", "http://c/1"), ("Harbor Quilts House", "Y", "waed", "2020-01-01", "2", "http://c/2")], "party string, case string, court string, filed string, docket string, url string")
+    assert [(r.name, r.url, r.kind) for r in bulk.dockets(entities, triage, cases).collect()] == [("Harbor Light Services LLC", "http://c/1", "litigation")]
+    crosswalk = spark.createDataFrame([("a", "1", "", ["2"]), ("b", "1", "Kent", ["2"]), ("c", "", "", None)], "uid string, npi string, city string, licenses array<string>")
+    assert [r.uid for r in payments.unresolved(crosswalk, entities).collect()] == ["a"] and [r.npi for r in payments.tracked_numbers(crosswalk, crosswalk).collect()] == ["1"]
+
+
 def test_projected_blocks(spark):
     rows = spark.createDataFrame([("1", "Acme")], "agency_contract_no string, contractor_name_search_for string")
     got = projections.projected({"contracts_2023": rows, "off": rows}, {"contracts_2023": {}, "off": {"kind": "contracts", "enabled": False}, "absent": {"kind": "cms"}})
