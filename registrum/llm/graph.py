@@ -25,9 +25,9 @@ def component_table(links: DataFrame) -> tuple[DataFrame, str]:
     mark = _mark(edges)
     while True:
         # Edges point to the smaller node, so the large star is a look-up of their lower end: its smallest neighbour below it, if it has any.
-        low = edges.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("low"))
+        low = _lowest(edges).withColumnRenamed("a", "b")
         large = edges.join(low, "b", "left").select("a", F.coalesce("low", "b").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("low"))
+        low = _lowest(large)
         small = large.join(low, "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(low.select("a", F.col("low").alias("b"))).distinct()
         new, new_path = staged(small, "links")
         discard(spark, path)
@@ -36,6 +36,12 @@ def component_table(links: DataFrame) -> tuple[DataFrame, str]:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")), path
 
 
+def _lowest(edges: DataFrame) -> DataFrame:
+    """a and low, its smallest neighbour. The key is made anew (a number xor 0), so that the plan doesn't join in the stage of this aggregate: with a shuffle
+    of its own on either side, adaptive execution may split a centre's edges over tasks."""
+    return edges.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").bitwiseXOR(F.lit(0).cast("long")).alias("a"), "low")
+
+
 def _mark(edges: DataFrame) -> tuple:
     """Rows and an order-free digest of them."""
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
