@@ -235,8 +235,8 @@ def marked(docs: DataFrame, text: str = "text", hot: int = HOT, bucket: int = BU
     return rows.join(lists, rows["doc_id"] == lists["doc"], "left").select("doc_id", "text", "marks")
 
 
-def cut(marked_rows: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, spans (start and end of removed runs), kept (the bytes left) and left_text (they as text without characters cut in two; null where nothing went) of rows of marked()."""
+def cut(marked_rows: DataFrame, texts: bool = True) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, spans (start and end of removed runs), kept (the bytes left) and left_text (they as text without characters cut in two; null where nothing went, or without `texts`) of rows of marked()."""
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept binary, left_text string"
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept", "left_text"]
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -267,11 +267,11 @@ def cut(marked_rows: DataFrame) -> DataFrame:
                 spans.append([{"start": int(x), "end": int(y)} for x, y in zip(lo, hi, strict=True)])
                 kept.append(left.tobytes())
                 gone.append(n - len(left))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at)), pa.array(gone, pa.int64()), pa.array([len(x) for x in spans], pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary()), pa.array([x.decode(errors="ignore") if n else None for x, n in zip(kept, gone, strict=True)], pa.string())], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at)), pa.array(gone, pa.int64()), pa.array([len(x) for x in spans], pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary()), pa.array([x.decode(errors="ignore") if n and texts else None for x, n in zip(kept, gone, strict=True)], pa.string())], names)
 
     return marked_rows.mapInArrow(releasing(run), schema)
 
 
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
-    return cut(marked(docs)).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return cut(marked(docs), False).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
