@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import blocks, impact, minhash, personal, pieces, ppm, repeats, rule_ensemble, spaced_seeds, trie, url_rules
+from . import blocks, dialogues, impact, minhash, personal, pieces, ppm, repeats, rule_ensemble, spaced_seeds, trie, url_rules
 from .common import table
 
 
@@ -59,12 +59,17 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.extracted(table(spark, sf_dir, "pages"))
 
 
+def op12_dialogue_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return dialogues.repaired(dialogues.damaged(rows), rows)
+
+
 def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.digests(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_url_filters, op3_decontamination, op4_pieces, op5_token_counts, op6_near_duplicates, op7_quality, op8_repeats, op9_top_k, op10_main_text, op13_personal_data)}
+    return {f.__name__: f for f in (op1_language_id, op2_url_filters, op3_decontamination, op4_pieces, op5_token_counts, op6_near_duplicates, op7_quality, op8_repeats, op9_top_k, op10_main_text, op12_dialogue_repair, op13_personal_data)}
 
 
 #: DuckDB twin of op9.
