@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import blocks, dialogues, impact, minhash, personal, pieces, ppm, repeats, rule_ensemble, spaced_seeds, trie, url_rules
+from . import blocks, dialogues, impact, minhash, personal, phrases, pieces, ppm, repeats, rule_ensemble, spaced_seeds, trie, url_rules
 from .common import table
 
 
@@ -59,6 +59,10 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.extracted(table(spark, sf_dir, "pages"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mined(table(spark, sf_dir, "documents"))
+
+
 def op12_dialogue_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations")
     return dialogues.repaired(dialogues.damaged(rows), rows)
@@ -69,7 +73,7 @@ def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_url_filters, op3_decontamination, op4_pieces, op5_token_counts, op6_near_duplicates, op7_quality, op8_repeats, op9_top_k, op10_main_text, op12_dialogue_repair, op13_personal_data)}
+    return {f.__name__: f for f in (op1_language_id, op2_url_filters, op3_decontamination, op4_pieces, op5_token_counts, op6_near_duplicates, op7_quality, op8_repeats, op9_top_k, op10_main_text, op11_collocations, op12_dialogue_repair, op13_personal_data)}
 
 
 #: DuckDB twin of op9.
@@ -125,4 +129,4 @@ select t.doc_id, length(h) // 2 as n_bytes, cast(coalesce(n_removed, 0) as bigin
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filters": url_rules.ORACLE, "op3_decontamination": LEAKS, "op6_near_duplicates": NEAR, "op8_repeats": REPEATED, "op9_top_k": TOP_K}
+    return {"op2_url_filters": url_rules.ORACLE, "op3_decontamination": LEAKS, "op6_near_duplicates": NEAR, "op8_repeats": REPEATED, "op9_top_k": TOP_K, "op11_collocations": phrases.ORACLE}
