@@ -199,7 +199,7 @@ n as (select lang, cast(sum(len(w)) as bigint) as n from p group by 1),
 c as (select lang, k, phrase, f as a, string_split(phrase, ' ') as w from f where k > 1),
 cuts as (select c.lang, c.phrase, c.a, j, x.f as l, y.f as r, cast((2000000 * cast(c.a as hugeint)) // (x.f + y.f) as bigint) as score
   from (select *, unnest(range(1, k)) as j from c) c join f x on x.lang = c.lang and x.k = j and x.phrase = array_to_string(c.w[1 : j], ' ') join f y on y.lang = c.lang and y.k = c.k - j and y.phrase = array_to_string(c.w[j + 1 :], ' ')),
-best as (select lang, phrase, a, unnest(arg_min(struct_pack(l := l, r := r, score := score), score * 10 + j)) from cuts group by all),
+best as (select lang, phrase, a, b.l as l, b.r as r, b.score as score from (select lang, phrase, a, arg_min(struct_pack(l := l, r := r, score := score), score * 10 + j) as b from cuts group by 1, 2, 3)),
 out_ as (select distinct s.lang, s.phrase from c s join c g on s.lang = g.lang and s.k < g.k and contains(' ' || g.phrase || ' ', ' ' || s.phrase || ' ') and 100 * g.a >= 80 * s.a),
 ranked as (select b.*, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from best b anti join out_ using (lang, phrase))
 select lang, rank, phrase, a, l, r, n, score from ranked join n using (lang) where rank <= 2000
