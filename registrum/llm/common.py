@@ -42,11 +42,20 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL_BASE[0]
 
 
+#: Shuffle files are removed as soon as the query that wrote them has ended.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def staged(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """df written once as a table in the shared folder and read back, which cuts its lineage; and the table's path."""
+    """df written once as a table in the shared folder and read back, which cuts its lineage; and the table's path. Shuffle files beneath it go at once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
     return spark.read.schema(df.schema).parquet(path), path
 
 

@@ -56,10 +56,15 @@ def _stream(text: bytes) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     return stream, words.dictionary, np.bincount(numbers, minlength=len(words.dictionary)).astype(np.int64)
 
 
+def _packed(stream: np.ndarray) -> list[pa.Array]:
+    """A stream compressed, and its size in bytes."""
+    return [pa.array([pa.compress(stream, "zstd", asbytes=True)]), pa.array([stream.nbytes], pa.int32())]
+
+
 def _blocks(docs: DataFrame, text: str, lang: str, size: int) -> DataFrame:
     """block, lang, stream, the block's words and their counts."""
     rows = docs.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    schema = StructType.fromDDL("block long, lang string, stream binary, words array<string>, counts array<long>")
+    schema = StructType.fromDDL("block long, lang string, stream binary, size int, words array<string>, counts array<long>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[bytes]] = {}
@@ -71,7 +76,7 @@ def _blocks(docs: DataFrame, text: str, lang: str, size: int) -> DataFrame:
             for of in [k for k, n in sizes.items() if n >= least]:
                 stream, words, counts = _stream(b"\n".join(held.pop(of)))
                 del sizes[of]
-                columns = [pa.array([number], pa.int64()), pa.array([of]), pa.array([stream.tobytes()]), pa.ListArray.from_arrays([0, len(words)], words.cast(pa.string())), pa.ListArray.from_arrays([0, len(counts)], pa.array(counts))]
+                columns = [pa.array([number], pa.int64()), pa.array([of]), *_packed(stream), pa.ListArray.from_arrays([0, len(words)], words.cast(pa.string())), pa.ListArray.from_arrays([0, len(counts)], pa.array(counts))]
                 number += 1
                 yield pa.RecordBatch.from_arrays(columns, schema.names)
 
@@ -91,14 +96,16 @@ def _blocks(docs: DataFrame, text: str, lang: str, size: int) -> DataFrame:
 
 def _paired(blocks: DataFrame, known: DataFrame) -> DataFrame:
     """block, the stream of pairs of adjacent named numbers, the pairs' parents and their counts."""
-    schema = StructType.fromDDL("block long, stream binary, lefts array<long>, rights array<long>, counts array<long>")
+    schema = StructType.fromDDL("block long, stream binary, size int, lefts array<long>, rights array<long>, counts array<long>")
     one = lambda values: pa.ListArray.from_arrays([0, len(values)], pa.array(values, pa.int64()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, text, named in zip(*batch.columns, strict=True):
+            for block, packed, size, named in zip(*batch.columns, strict=True):
                 numbers, ids = (c.to_numpy(zero_copy_only=False) for c in named.values.flatten())
-                stream = np.frombuffer(text.as_buffer(), np.int32)
+                if not len(numbers):
+                    continue
+                stream = np.frombuffer(pa.decompress(packed.as_buffer(), size.as_py(), "zstd"), np.int32)
                 place = np.full(int(max(stream.max(), numbers.max())) + 2, -1, np.int64)  # its last place is that of -1
                 place[numbers] = np.arange(len(numbers))
                 held = place[stream]
@@ -110,9 +117,9 @@ def _paired(blocks: DataFrame, known: DataFrame) -> DataFrame:
                 out = np.full(len(both), -1, np.int32)
                 out[both] = which
                 out = out[both | np.concatenate([[False], both[:-1]])]  # one mark is enough between runs
-                yield pa.RecordBatch.from_arrays([pa.array([block.as_py()]), pa.array([out.tobytes()]), one(ids[pairs // len(numbers)]), one(ids[pairs % len(numbers)]), one(counts)], schema.names)
+                yield pa.RecordBatch.from_arrays([pa.array([block.as_py()]), *_packed(out), one(ids[pairs // len(numbers)]), one(ids[pairs % len(numbers)]), one(counts)], schema.names)
 
-    return blocks.select("block", "stream").join(known, "block").select("block", "stream", "known").mapInArrow(releasing(run), schema)
+    return blocks.select("block", "stream", "size").join(known, "block").select("block", "stream", "size", "known").mapInArrow(releasing(run), schema)
 
 
 def _counted(entries: DataFrame, keys: list[str], least: int, name: str) -> tuple[DataFrame, str]:
@@ -121,10 +128,12 @@ def _counted(entries: DataFrame, keys: list[str], least: int, name: str) -> tupl
 
 
 def _known(entries: DataFrame, names: DataFrame, keys: list[str], broadcast: int) -> DataFrame:
-    """block and known: the numbers of its entries that have a name, with the name."""
+    """block and known: the numbers of its entries that have a name, with the name. Each entry finds one name or none."""
+    names = names.select(*keys, "id")
     few = names.limit(broadcast + 1).count() <= broadcast
-    named = entries.join(F.broadcast(names) if few else names, keys)
-    return named.groupBy("block").agg(F.collect_list(F.struct("number", "id")).alias("known"))  # at most a block's distinct entries
+    named = entries.join(F.broadcast(names) if few else names, keys, "left")
+    name = F.when(F.col("id").isNotNull(), F.struct("number", "id"))
+    return named.groupBy("block").agg(F.collect_list(name).alias("known"))  # at most a block's distinct entries
 
 
 def named_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", words: int = WORDS, least: int = LEAST, block: int = BLOCK, broadcast: int = BROADCAST) -> tuple[list[DataFrame], DataFrame, list[str]]:
@@ -136,16 +145,18 @@ def named_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", words
         paths.append(made[1])
         return made[0]
 
-    blocks = kept(staged(_blocks(docs, text, lang, block), "phrase-blocks"))
+    blocks, path = staged(_blocks(docs, text, lang, block), "phrase-blocks")
     entry = F.posexplode(F.arrays_zip("words", F.col("counts").alias("n"))).alias("number", "entry")
     entries = blocks.select("block", "lang", entry).select("block", "number", "lang", F.col("entry.words").alias("word"), "entry.n")
-    totals = entries.groupBy("lang").agg(F.sum("n").alias("n"))
+    totals = kept(staged(entries.groupBy("lang").agg(F.sum("n").alias("n")), "phrase-totals"))
     names = kept(_counted(entries, ["lang", "word"], least, "phrase-words"))
     none = F.array().cast("array<bigint>")
     levels = [names.select("lang", "id", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", none.alias("heads"), none.alias("tails"))]
     keys = ["lang", "word"]
     for k in range(2, words + 1):
-        blocks = kept(staged(_paired(blocks, _known(entries, names, keys, broadcast)), f"phrase-pairs-{k}"))
+        blocks, paired = staged(_paired(blocks, _known(entries, names, keys, broadcast)), f"phrase-pairs-{k}")
+        discard(docs.sparkSession, path)
+        path = paired
         entry = F.posexplode(F.arrays_zip(F.col("lefts").alias("left"), F.col("rights").alias("right"), F.col("counts").alias("n"))).alias("number", "entry")
         entries, keys = blocks.select("block", entry).select("block", "number", "entry.*"), ["left", "right"]
         names = kept(_counted(entries, keys, least, f"phrase-names-{k}"))
@@ -154,7 +165,7 @@ def named_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", words
         rest = below.select(F.col("id").alias("right"), "last", F.concat(F.array("f"), "tails").alias("tails"))
         both = names.join(first, "left").join(rest, "right")
         levels.append(kept(staged(both.select("lang", "id", "left", "right", F.concat_ws(" ", "_phrase", "last").alias("phrase"), "last", "f", "heads", "tails"), f"phrases-{k}")))
-    return levels, totals, paths
+    return levels, totals, [*paths, path]
 
 
 def mined(docs: DataFrame, text: str = "text", lang: str = "lang", words: int = WORDS, least: int = LEAST, inside: int = INSIDE, top: int = TOP, block: int = BLOCK, broadcast: int = BROADCAST) -> DataFrame:
