@@ -7,7 +7,8 @@ a byte that no context knows costs 8 bits after the last escape. Contexts end at
 so the trees of all languages are folded into one hash table per order, whose rows hold the languages' resolved costs side by side.
 
 Null texts and texts without a letter get `und` with score 0; repeated rows and ties are independent per row, equal lengths go to the
-first language in alphabetical order; without any labelled row everything is `und`. Texts are scored whole, in chunks of bounded size.
+first language in alphabetical order; without any labelled row everything is `und`. A text that is repeated among the labelled rows is learned
+once. Texts are scored whole, in chunks of bounded size; other columns are not read, whatever their names; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import CHUNK, releasing, remainder, utf8
 
-#: Longest context in bytes; labelled texts, and bytes of them, sampled per language.
-ORDER, DOCS_PER_LANG, BYTES_PER_LANG = 4, 200, 8 << 20
+#: Longest context in bytes; labelled texts, and bytes of them, sampled per language; languages that are learned.
+ORDER, DOCS_PER_LANG, BYTES_PER_LANG, LANGS = 4, 200, 8 << 20, 200
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -153,33 +154,32 @@ class Model:
         return out
 
 
-def sample(docs: DataFrame, labelled, per_lang: int = DOCS_PER_LANG, most: int = BYTES_PER_LANG) -> dict[str, list[bytes]]:
-    """Whole texts of at most per_lang rows of each language, spread evenly over the rows by a hash, as far as they have `most` bytes together, and
-    one at least: fixed bounds, so the driver can hold them. Languages are taken to be a few hundred at most."""
+def sample(docs: DataFrame, labelled, per_lang: int = DOCS_PER_LANG, most: int = BYTES_PER_LANG, langs: int = LANGS) -> dict[str, list[bytes]]:
+    """Of the `langs` languages with most different texts, at most per_lang different texts each, drawn by a hash of the text, whole, as far as they
+    have `most` bytes together, and one at least: fixed bounds, so the driver can hold them. However often a row is repeated, it counts once."""
     rows = docs.where(labelled & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    key = F.xxhash64("text", "lang")
+    different = rows.select("lang", key.alias("key"), F.octet_length("text").alias("n")).distinct()
+    counts = {r["lang"]: r["count"] for r in different.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(langs).collect()}
     if not counts:
         return {}
-    mark = F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1 << 30))
-    share = F.lit(0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, int(min(1.0, 1.5 * per_lang / n) * (1 << 30)) + 1).otherwise(share)
-    some, limit = rows.where(mark < share), 2 * per_lang * len(counts)
-    last, held = {}, {}
-    for r in some.select("lang", mark.alias("mark"), F.octet_length("text").alias("n")).orderBy("mark", "n").limit(limit).collect():
+    mark = F.pmod("key", F.lit(1 << 30))
+    shares = docs.sparkSession.createDataFrame([(k, int(min(1.0, 1.5 * per_lang / n) * (1 << 30)) + 1) for k, n in counts.items()], "lang string, share long")
+    some, limit = different.join(F.broadcast(shares), "lang").where(mark < F.col("share")), 2 * per_lang * len(counts)  # a row a language, langs at most
+    held: dict[str, tuple[int, int]] = {}
+    picked = []
+    for r in some.select("lang", "key", mark.alias("mark"), "n").orderBy("mark", "key").limit(limit).collect():
         n, size = held.get(r["lang"], (0, 0))
         if n == 0 or n < per_lang and size + r["n"] <= most:
-            last[r["lang"]], held[r["lang"]] = r["mark"], (n + 1, size + r["n"])
+            held[r["lang"]] = (n + 1, size + r["n"])
+            picked.append((r["lang"], r["key"]))
         else:
             held[r["lang"]] = (per_lang, most)
-    cut = F.lit(-1)
-    for lang, m in last.items():
-        cut = F.when(F.col("lang") == lang, m).otherwise(cut)
+    wanted = F.broadcast(docs.sparkSession.createDataFrame(picked, "lang string, key long"))  # at most per_lang rows a language
+    texts = rows.select("lang", "text", key.alias("key")).join(wanted, ["lang", "key"]).groupBy("lang", "key").agg(F.min("text").alias("text"))
     out: dict[str, list[bytes]] = {}
-    picked = some.where(mark <= cut).select("lang", "text", mark.alias("mark")).orderBy("mark", "text").limit(limit).collect()
-    for r in sorted(picked, key=lambda r: (r["mark"], r["text"])):
-        if len(found := out.setdefault(r["lang"], [])) < held[r["lang"]][0]:
-            found.append(r["text"].encode())
+    for r in sorted(texts.collect(), key=lambda r: (r["lang"], r["key"])):
+        out.setdefault(r["lang"], []).append(r["text"].encode())
     return out
 
 

@@ -2,7 +2,9 @@ import math
 
 import numpy as np
 
-from registrum.llm.ppm import Model, identify, predicted
+from pyspark.sql import functions as F
+
+from registrum.llm.ppm import Model, identify, predicted, sample
 
 
 def brute(train: list[bytes], text: bytes, order: int = 4) -> float:
@@ -57,3 +59,11 @@ def test_rows_nulls_and_clashing_columns(spark):
 def test_no_labels_is_undetermined(spark):
     docs = spark.createDataFrame([(1, "abc")], "doc_id long, text string")
     assert [tuple(r) for r in identify(docs, Model({})).collect()] == [(1, "und", 0.0)]
+
+
+def test_a_text_repeated_many_times_silences_no_language(spark):
+    labelled = [(i, f"the cat sat on mat number {i} and slept", "en") for i in range(50)] + [(100 + i, f"der hund lief zum haus nummer {i} und schlief", "de") for i in range(50)]
+    docs = spark.createDataFrame([*labelled, *[labelled[7]] * 30_000], "doc_id long, text string, lang string")
+    got = sample(docs, F.lit(True), per_lang=20)
+    assert {k: len(set(v)) for k, v in got.items()} == {"en": 20, "de": 20}
+    assert set(sample(docs.withColumn("lang", F.col("doc_id").cast("string")), F.lit(True), langs=3)) == set(sorted(str(d) for d, *_ in labelled)[:3])
