@@ -5,7 +5,8 @@ conjunctive rule; a lasso logistic regression weighs the rules, most of them wit
 over the statistics. The fit stops after STEPS steps, near the optimum of the lasso. Statistics are counted over whole texts in one pass: shares of byte classes, lengths of words and lines, repetition.
 
 Null and empty texts have zero statistics and a score like any other. With one class among the labels, or none, the score is that class's
-smoothed share for every row. Repeated labels of a document count once each; labels other than 0 and 1 are left out.
+smoothed share for every row. Repeated labels and repeated documents of an id count once; labels other than 0 and 1 are left out. Very long texts are measured whole,
+in chunks of bounded size; columns named like a result give way, others are carried and never read; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -158,10 +159,12 @@ def learned(docs: DataFrame, labels: DataFrame, label: str = "quality", sample:
     """The ensemble of at most `sample` labelled documents, spread evenly by a hash; labels: doc_id and the label, already of rows to learn from."""
     rows = labels.select("doc_id", F.col(label).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
     mark = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    share = min(1.0, 1.2 * sample / max(1, rows.count()))
-    some = rows.where(mark < int(share * (1 << 30)) + 1).orderBy(mark, "doc_id", "label").limit(2 * sample)
+    share = min(1.0, 1.2 * sample / max(1, rows.distinct().count()))
+    some = rows.where(mark < int(share * (1 << 30)) + 1).distinct().orderBy(mark, "doc_id", "label").limit(2 * sample)
     found = measured(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id"))  # at most 2 * sample rows of two numbers
-    got = found.select("doc_id", "label", *[f"{PREFIX}{s}" for s in STATISTICS]).orderBy("doc_id", "label").limit(2 * sample).toArrow()
+    columns = [f"{PREFIX}{s}" for s in STATISTICS]  # of documents that share an id the one with the least statistics, so that copies weigh nothing
+    found = found.groupBy("doc_id", "label").agg(F.min(F.struct(*columns)).alias("one")).select("doc_id", "label", "one.*")
+    got = found.orderBy("doc_id", "label").limit(2 * sample).toArrow()
     x = np.column_stack([got.column(k).to_numpy() for k in range(got.num_columns)])
     x = x[np.lexsort(x.T[::-1])][: 2 * sample]
     return fit(x[:, 2:], x[:, 1])

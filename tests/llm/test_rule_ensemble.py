@@ -72,3 +72,14 @@ def test_fitted_weights_are_a_lasso_optimum(monkeypatch):
         for d in (-0.05, 0.05):
             assert loss(w + d * (np.arange(len(w)) == k), model.bias) > best - 1e-6
     assert np.mean((model.score(x) >= 0.5) == y) > 0.9 and 3 < len(w) < 200
+
+
+def test_repeated_documents_weigh_nothing_and_clashing_names_stand_apart(spark):
+    texts = [(i, f"word {i} and more of it. " * 5 if i % 2 else f"### {i} !!! $$$ " * 9) for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in texts], "doc_id long, quality int")
+    plain = spark.createDataFrame(texts, "doc_id long, text string")
+    often = spark.createDataFrame([*texts, *[texts[3]] * 5000, *[texts[4]] * 3], "doc_id long, text string")
+    assert R.learned(often, labels, sample=40) == R.learned(plain, labels, sample=40)
+    named = plain.selectExpr("doc_id", "text", "1 score", "'x' predicted", "2 label")
+    got = R.judged(named, labels.unionByName(labels)).collect()
+    assert len(got) == 40 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
