@@ -9,7 +9,8 @@ matched whole, without substitutions; items shorter than a mask have masks of th
 
 A side is broadcast only while it holds at most `BROADCAST` numbers and words; beyond it the same join is shuffled. A hot seed has a row per
 occurrence and the hits of a document are made distinct before they are verified. Null and empty texts and items without a token match
-nothing; repeated rows of a document give the same pairs once. Everything stays in DataFrame operations.
+nothing; repeated rows of a document give the same pairs once; very long texts are matched whole; other columns are not read, whatever their
+names; an empty table on either side gives none. Everything stays in DataFrame operations.
 """
 
 from __future__ import annotations
@@ -90,7 +91,7 @@ def found(docs: DataFrame, items: DataFrame, text: str = "text", window: int = W
 
 
 def clean(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
-    """The documents in which no item is found. Rows without an id are checked like others, each by its own text, and kept where it is clean."""
-    key = F.coalesce(F.concat(F.lit("id "), F.col("doc_id").cast("string")), F.concat(F.lit("text "), F.sha2(F.col(text), 256)))
+    """The documents in which no item is found. A row is judged by its own text, whatever other rows share its id or have none."""
+    key = F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
     dirty = found(docs.select(key.alias("doc_id"), F.col(text).alias("text")), items).select(F.col("doc_id").alias("__dirty")).distinct()
     return docs.join(dirty, key == F.col("__dirty"), "left_anti")

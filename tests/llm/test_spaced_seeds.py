@@ -58,7 +58,7 @@ def test_equals_brute_force(spark, broadcast):
 def test_clean_and_empty(spark):
     docs = spark.createDataFrame([d for d in DOCS if d[0] is not None], "doc_id long, text string")
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
-    assert {r.doc_id for r in clean(docs, items).collect()} == {0, 1, 5, 7, 9}
+    assert {(r.doc_id, r.text) for r in clean(docs, items).collect()} == {d for d in DOCS if d[0] in (0, 1, 5, 7, 9) or d[1] == "other text with the same id"}
     assert found(docs.limit(0), items).collect() == [] and found(docs, items.limit(0)).collect() == []
     assert clean(docs, items.limit(0)).count() == len(DOCS) - 1
 
@@ -67,5 +67,11 @@ def test_clean_checks_rows_without_an_id(spark):
     docs = spark.createDataFrame([*DOCS, (None, "clean text"), (None, None), (None, "pre " + ITEM)], "doc_id long, text string")
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     got = [(r.doc_id, r.text) for r in clean(docs, items).collect()]
-    assert {d for d, _ in got if d is not None} == {0, 1, 5, 7, 9}
+    assert {d for d, _ in got if d is not None} == {0, 1, 2, 5, 7, 9}
     assert sorted(str(t) for d, t in got if d is None) == ["None", "clean text"]
+
+
+def test_clean_judges_rows_of_one_id_apart(spark):
+    docs = spark.createDataFrame([(1, "pre " + ITEM, "x"), (1, "clean text", "y"), (1, "clean text", "z")], "doc_id long, text string, item_id string")
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    assert sorted(r.item_id for r in clean(docs, items).collect()) == ["y", "z"]
