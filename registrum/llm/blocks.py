@@ -12,7 +12,11 @@ What the markup says only weighs lines. Menus, headers, footers, sidebars, notic
 role, class or id made wholly of such words (`share-price` is not), weigh nothing; where no other line has a weight and the page
 marks no article, classes and ids are not believed. Of a page with `article` elements, else `main` ones, that hold at least SHARE of the weight,
 all other lines weigh nothing, links inside count in full, and the marked element is the container. In other containers, WINDOW or more
-lines of nothing but links in a row are a menu.
+lines of nothing but links in a row before or after the heavy lines are a menu.
+
+A form is boilerplate, unless the page stands in it: it holds a marked article, or most characters of the page with more of them than
+THRESHOLD for each of its controls. A header that belongs to the content (`content-header`) is no boilerplate, and a main heading stays though
+it stands in a header within an article. Link lines between two heavy lines of a container are part of its text.
 
 Character references are decoded, white space inside a block (a <br> too) becomes one space, blocks are trimmed and joined in page order
 by one newline. Null or empty pages, and pages without text, give an empty text. Repeated rows are read alike, one row each; columns
@@ -38,7 +42,8 @@ WINDOW, THRESHOLD, SHARE = 3, 86, 0.1
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe svg math textarea select title object".split())
-BOILERPLATE = frozenset("nav header footer aside form button dialog menu".split())
+BOILERPLATE = frozenset("nav header footer aside button dialog menu".split())
+CONTROLS = frozenset("input textarea select button".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 #: Blocks that hold lines but group no text of their own.
 LEAF = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd ul ol dl blockquote pre figure figcaption table thead tbody tfoot tr td th caption address details summary center".split())
@@ -52,6 +57,9 @@ WORDS = frozenset(
 )
 BESIDE = frozenset("area bar block body bottom box btn button buttons container content fixed global group holder icon icons inner item items left links list main media message outer page panel primary reader readers right secondary section site slot sticky thread title top unit user users wrap wrapper".split())
 
+#: Words that make a header one of the content.
+CONTENT = frozenset("content main title".split())
+
 _OPEN = re.compile(r"<!--|<!\[CDATA\[|<[!?]|</?([a-zA-Z][a-zA-Z0-9:-]*)")
 _STOP, _PLAIN = re.compile(r"""[<>"']"""), re.compile("[<>]")
 _NAMED = re.compile(r"""(?:^|[\s"'])(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
@@ -65,13 +73,14 @@ def named(attributes: str) -> tuple[bool, bool]:
     for key, value in _NAMED.findall(attributes):
         for name in value.strip("\"'").split():
             parts = [w.lower() for w in _PART.findall(name)]
-            boiler |= any(w in WORDS for w in parts) and all(w in WORDS or w in BESIDE for w in parts)
+            own = "header" in parts and not CONTENT.isdisjoint(parts)
+            boiler |= not own and any(w in WORDS for w in parts) and all(w in WORDS or w in BESIDE for w in parts)
             main |= key.lower() == "role" and name.lower() == "main"
     return boiler, main
 
 
 class Line(NamedTuple):
-    """A block's text: characters outside links, the element that holds it, and whether it stands in boilerplate by element or by name, in an article, in a main element."""
+    """A block's text: characters outside links, the element that holds it, whether it stands in boilerplate by element or by name, in an article, in a main element, and the number of the form around it or 0."""
 
     text: str
     own: int
@@ -80,6 +89,7 @@ class Line(NamedTuple):
     named: bool
     article: bool
     main: bool
+    form: int
 
 
 class Element:
@@ -100,11 +110,14 @@ class Page:
         self._stack: list[tuple] = []  # name, place of the innermost block at or below, element, and what it counts for: hard, named, article, main, link
         self._open: dict[str, list[int]] = {}  # places of the open elements of a name
         self._counts = [0] * 5
+        self._headers = 0  # open header elements
         self._parts: list[str] = []
         self._linked = 0
         self._headed = True  # the end of a head may still follow
+        self._forms, self._form = [[0, False]], 0  # of each form: its controls, and whether it holds a marked article; the one that is open
         self._read()
         self._pop(0)
+        self._judge_forms()
         for e in self.elements:
             if e.end < 0:
                 e.end = len(self.lines)
@@ -114,10 +127,20 @@ class Page:
             text = " ".join("".join(self._parts).split())
             if text:
                 hard, name, article, main, _ = (n > 0 for n in self._counts)
-                self.lines.append(Line(text, max(0, len(text) - self._linked), self._block(), hard, name, article, main))
+                hard &= not (article and self.elements[self._block()].name == "h1" and self._counts[0] == self._headers)
+                self.lines.append(Line(text, max(0, len(text) - self._linked), self._block(), hard, name, article, main, self._form))
             self._parts.clear()
         self._linked = 0
 
+    def _judge_forms(self) -> None:
+        """Lines of forms that are not around the page's text count as boilerplate."""
+        own = [0 if x.hard or x.named else x.own for x in self.lines]
+        mass = [0] * len(self._forms)
+        for x, w in zip(self.lines, own, strict=True):
+            mass[x.form] += w
+        around = [k > 0 and (marked or 2 * mass[k] > sum(own) and mass[k] > THRESHOLD * controls) for k, (controls, marked) in enumerate(self._forms)]
+        self.lines = [x._replace(hard=True) if x.form and not around[x.form] else x for x in self.lines]
+
     def _block(self) -> int:
         """The innermost open block element."""
         at = self._stack[-1][1] if self._stack else -1
@@ -131,6 +154,10 @@ class Page:
                 self.elements[element].end = len(self.lines)
             for k, f in enumerate(flags):
                 self._counts[k] -= f
+            if name == "header":
+                self._headers -= 1
+            elif name == "form":
+                self._form = 0
 
     def _push(self, name: str, flags: tuple[bool, ...]) -> None:
         element, below = 0, self._stack[-1][1] if self._stack else -1
@@ -139,6 +166,11 @@ class Page:
             self.elements.append(Element(name, around, self.elements[around].group if name in LEAF else element, len(self.lines)))
         self._stack.append((name, below, element, flags))
         self._open.setdefault(name, []).append(len(self._stack) - 1)
+        if name == "header":
+            self._headers += 1
+        elif name == "form":
+            self._forms.append([0, False])
+            self._form = len(self._forms) - 1
         for k, f in enumerate(flags):
             self._counts[k] += f
 
@@ -187,6 +219,8 @@ class Page:
             self._ended(name)
             return at
         closed = attributes.endswith("/")
+        if name in CONTROLS and self._form and "hidden" not in attributes:
+            self._forms[self._form][0] += 1
         if name in RAW:
             if closed:
                 return at
@@ -199,6 +233,9 @@ class Page:
         boiler, role_main = named(attributes) if "=" in attributes else (False, False)
         article, main = name == "article", name == "main" or role_main
         self.marked |= article or main
+        self._forms[self._form][1] |= article or main
+        if name == "form" and self._form:
+            return at  # forms don't nest
         keeps = article or main or name in ROOT  # never boilerplate by name
         flags = (name in BOILERPLATE, boiler and not keeps, article, main, name == "a")
         if name not in INLINE:
@@ -293,18 +330,21 @@ def main_text(html: str, window: int = WINDOW, threshold: int = THRESHOLD) -> st
     weight, kind = weights(page)
     believed = page.marked or any(w and not x.named for x, w in zip(lines, weight, strict=True))
     plain = [not (x.hard or believed and x.named) and (not kind or getattr(x, kind)) for x in lines]
+    linked: set[int] = set()
     if not kind:
         at = 0
         for links, row in groupby(lines, key=lambda x: x.own == 0):
             many = len(list(row))
-            if links and many >= window:  # a menu
+            if links and many >= window:  # a menu, unless the text goes on behind it
                 plain[at : at + many] = [False] * many
+                linked.update(range(at, at + many))
             at += many
     out, covered = [], 0
     for first, end in humps(weight, window, threshold):
         heavy = min(threshold, max(weight[first:end]))
         strong = [i for i in range(first, end) if weight[i] >= heavy]
         if strong[-1] >= covered:
+            plain[strong[0] : strong[-1]] = [p or k in linked and not (lines[k].hard or lines[k].named) for k, p in enumerate(plain[strong[0] : strong[-1]], strong[0])]
             first, end = _taken(page, kind, strong[0], strong[-1] + 1, plain)
             out += [lines[i].text for i in range(max(first, covered), end) if plain[i]]
             covered = max(covered, end)

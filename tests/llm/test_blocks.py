@@ -28,7 +28,14 @@ LONG = "A long paragraph of the article that goes on and on with many words so t
         ("<article><p>A</p><div class='socialShare top-bar'>s</div><div id=reader-comments>c</div></article>", "A"),
         (f"<body><div>home</div><h1>T</h1><p>by X</p><p>{LONG}</p><p>end</p><div>c 2024</div></body>", f"T\nby X\n{LONG.strip()}\nend"),
         (f"<div class=a><p>{LONG}</p></div><div>m</div><div>m</div><div>m</div><div>m</div><div class=b><p>t</p><p>{LONG}</p></div>", f"{LONG.strip()}\nt\n{LONG.strip()}"),
-        (f"<div><p>{LONG}</p><ul><li><a>x</a><li><a>y</a><li><a>z</a></ul><p>{LONG}</p><p><a>one link</a></p></div>", f"{LONG.strip()}\n{LONG.strip()}\none link"),
+        (f"<div><p>{LONG}</p><ul><li><a>x</a><li><a>y</a><li><a>z</a></ul><p>{LONG}</p><p><a>one link</a></p></div>", f"{LONG.strip()}\nx\ny\nz\n{LONG.strip()}\none link"),  # further reading inside the text
+        (f"<div><p>{LONG}</p><p>{LONG}</p><ul><li><a>x</a><li><a>y</a><li><a>z</a></ul></div>", f"{LONG.strip()}\n{LONG.strip()}"),
+        (f"<form action=/page.aspx><input type=hidden><div class=top><input name=q><button>Go</button></div><div id=c><h1>T</h1><p>{LONG}</p><p>{LONG}</p></div></form>", f"T\n{LONG.strip()}\n{LONG.strip()}"),
+        (f"<form><article><p>{LONG}</p></article><input></form>", LONG.strip()),
+        (f"<article><p>A text.</p><form>{LONG * 2}<input><input><input><textarea></textarea></form></article>", "A text."),
+        (f"<div><div class='content-header'><h1>Title</h1></div><p>{LONG}</p></div>", f"Title\n{LONG.strip()}"),
+        (f"<header><h1>Site</h1></header><article><header><h1>Title</h1><p>by x</p></header><p>{LONG}</p></article>", f"Title\n{LONG.strip()}"),
+        (f"<article><nav><h1>Menu</h1></nav><p>{LONG}</p></article>", LONG.strip()),
         (f"<main>Skip to text</main><div><p>{LONG * 3}</p></div>", (LONG * 3).strip()),
         ("<div class=widget><p>only text here</p></div>", "only text here"),
         ("<article></article><div class=ad>buy</div>", ""),
