@@ -114,9 +114,10 @@ def documented(members: DataFrame) -> DataFrame:
 
 
 def franchises(entities: DataFrame, sites: int = 10, contacts: int = 3) -> DataFrame:
-    """brand of names with at least `sites` sites and `contacts` different mail addresses or phones in the whole corpus."""
-    rows = entities.where(~F.col("source").isin(*PEOPLE)).select("uid", brand_key(F.col("name")).alias("brand"), F.coalesce(F.nullif(email(blank(raw("primarycontactemail"))), F.lit("")), phone(raw("primarycontactphonenumber"))).alias("contact"))
-    seen = rows.where("brand <> ''").groupBy("brand").agg(F.count_distinct("uid").alias("sites"), F.count_distinct("contact").alias("contacts"))
+    """brand of child-care names with at least `sites` sites and `contacts` different contact persons in the whole corpus."""
+    person = F.nullif(upper_key(raw("primarycontactpersonname")), F.lit(""))
+    rows = entities.where("source = 'childcare'").select(brand_key(F.col("name")).alias("brand"), person.alias("contact"))
+    seen = rows.where("brand <> ''").groupBy("brand").agg(F.count("*").alias("sites"), F.count_distinct("contact").alias("contacts"))
     return seen.where((F.col("sites") >= sites) & (F.col("contacts") >= contacts)).select("brand")
 
 

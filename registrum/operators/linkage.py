@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from registrum.functions.names import generic
 from registrum.functions.text import name_key
+from registrum.session import staged
 
 
 def first_wins(rows: DataFrame, key: list[str], order: list) -> DataFrame:
@@ -62,11 +63,41 @@ def after(facts: DataFrame, bars: DataFrame, covers: Column | None = None) -> Da
     return met if covers is None else met.where(covers)
 
 
+def _starting(points: DataFrame, spans: DataFrame, key: str, low: Column, high: Column) -> DataFrame:
+    """spans and __place: the places, in order of `start` within the key, of the points that start from `low` to `high`. A sorted sweep counts the points
+    before either end, so a key costs its points, its spans and its output, never their product."""
+    marks = points.select(key, F.col("start").cast("string").alias("__x"), F.lit(1).alias("__turn"), F.lit(None).cast("long").alias("__span"))
+    ends = spans.select(key, F.explode(F.array(F.struct(low.alias("x"), F.lit(0).alias("turn")), F.struct(high.alias("x"), F.lit(2).alias("turn")))).alias("__e"), "__span")
+    swept = marks.unionByName(ends.select(key, F.col("__e.x").alias("__x"), F.col("__e.turn").alias("__turn"), "__span"))
+    before = F.count_if(F.col("__turn") == 1).over(Window.partitionBy(key).orderBy("__x", "__turn").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    counted = swept.withColumn("__n", before).where("__span is not null").groupBy("__span").agg(F.min("__n").alias("__lo"), F.max("__n").alias("__hi"), F.max_by("__n", "__turn").alias("__last"))
+    counted = counted.where("__hi > __lo and __last = __hi")  # windows that end before they start hold nothing
+    return counted.select("__span", F.explode(F.sequence(F.col("__lo") + 1, F.col("__hi"))).alias("__place"))
+
+
 def overlapping(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Pairs of a key whose windows (start, end; end may be open) overlap; starts must be known."""
-    right = right.select(key, F.col("start").alias("start2"), F.col("end").alias("end2"), *[c for c in right.columns if c not in (key, "start", "end")])
-    met = left.join(right, key).where("start is not null and start2 is not null")
-    return met.where((F.col("start") <= F.coalesce("end2", F.lit("9999-12-31"))) & (F.coalesce("end", F.lit("9999-12-31")) >= F.col("start2")))
+    """Pairs of a key whose windows (start, end; end may be open) overlap; starts must be known, and null keys meet nothing.
+
+    Of two windows that overlap one starts inside the other. Each side's windows are numbered by their start, a sweep gives every window the range of
+    numbers that start inside it, and the pairs are looked up by number: a key with many windows costs its output, not its square."""
+    late = F.lit("9999-12-31")
+
+    def numbered(rows: DataFrame, name: str) -> DataFrame:
+        rows = rows.where(F.col(key).isNotNull() & F.col("start").isNotNull())
+        return staged(rows.withColumn("__span", F.monotonically_increasing_id()), name)
+
+    def places(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("__place", F.row_number().over(Window.partitionBy(key).orderBy("start", "__span")).cast("long"))
+
+    a, b = numbered(left, "windows"), numbered(right, "windows")
+    others = [c for c in right.columns if c not in (key, "start", "end")]
+    until, begin = F.coalesce(F.col("end").cast("string"), late), F.col("start").cast("string")
+    inside = a.join(_starting(b, a, key, begin, until), "__span").drop("__span")  # the right one starts in the left one
+    met = inside.join(places(b).select(key, "__place", F.col("start").alias("start2"), F.col("end").alias("end2"), *others), [key, "__place"]).drop("__place")
+    # The left one starts in the right one, and later: by a character that is below all others, no start lies between.
+    around = b.join(_starting(a, b, key, F.concat(begin, F.lit("\0")), until), "__span").select(key, "__place", F.col("start").alias("start2"), F.col("end").alias("end2"), *others)
+    met = met.unionByName(around.join(places(a).drop("__span"), [key, "__place"]).drop("__place"))
+    return met.where((begin <= F.coalesce(F.col("end2").cast("string"), late)) & (until >= F.col("start2").cast("string"))).select(*left.columns, "start2", "end2", *others)
 
 
 def words(text: Column) -> Column:
@@ -137,19 +168,41 @@ def supersets(rows: DataFrame, subsets: DataFrame) -> DataFrame:
     return rows.join(met, "name").select("uid", "subset")
 
 
+#: Characters of the pieces by which short needles meet texts.
+GRAM = 4
+
+
 def containing(texts: DataFrame, needles: DataFrame) -> DataFrame:
-    """uid and item_id for texts (uid, text) that hold a needle (item_id, needle) as it stands.
+    """uid and item_id for texts (uid, text) that hold a needle (item_id, needle) as it stands. Empty needles are nowhere.
 
-    Needles of three or more words meet texts on the longest of their inner words, which is a whole word of every text that holds them;
-    shorter ones, which may start or end inside a word, are looked for in every text. Empty needles are nowhere."""
+    Needles meet texts by an equal key. The inner words of a needle of three or more words are whole words of every text that holds it; of a shorter
+    one, which may start or end inside a word, every run of GRAM characters (all of it, if it has fewer) is one of the text's. Of these
+    keys the one that is in the fewest texts is looked up, so a common word gathers nothing that a rarer one rules out, and a needle
+    with a key that no text has is done."""
+    needles = needles.where("needle <> ''")
     parts = F.split("needle", " ")
     inner = F.filter(F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(1))), lambda w: w != "")
-    needles = needles.where("needle <> ''").withColumn("word", F.when(F.size(parts) >= 3, F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]))
-    long, short = needles.where("word is not null"), needles.where("word is null")
-    words = texts.select("uid", F.explode(F.array_distinct(F.split("text", " "))).alias("word"))
-    met = words.join(long, "word").select("uid", "item_id", "needle").join(texts, "uid").where(F.col("text").contains(F.col("needle"))).select("uid", "item_id")
-    anywhere = texts.join(short, F.col("text").contains(F.col("needle"))).select("uid", "item_id")
-    return met.unionByName(anywhere).distinct()
+    long = (F.size(parts) >= 3) & (F.size(inner) > 0)
+
+    def runs(text: str, n: int) -> Column:
+        return F.transform(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)), lambda x: F.concat(F.lit(f"{n}:"), x))
+
+    size = F.least(F.length("needle"), F.lit(GRAM))
+    own = F.when(long, F.transform(inner, lambda w: F.concat(F.lit("w:"), w)))
+    for n in range(1, GRAM + 1):
+        own = own.when(size == n, runs("needle", n))
+    different = staged(needles.select("needle", size.alias("size"), long.alias("long"), F.array_distinct(own).alias("keys")).distinct(), "needles")
+    kinds = {(r["long"], r["size"] if not r["long"] else 0) for r in different.select("long", F.when(~F.col("long"), F.col("size")).alias("size")).distinct().collect()}  # GRAM + 1 at most
+    keys = [F.transform(F.split("text", " "), lambda w: F.concat(F.lit("w:"), w))] if any(k for k, _ in kinds) else []
+    keys += [runs("text", n) for k, n in sorted(kinds) if not k]
+    if not keys:
+        return texts.join(needles, F.lit(False)).select("uid", "item_id")
+    wanted = different.select("needle", F.explode("keys").alias("key"))
+    held = texts.select("uid", F.explode(F.array_distinct(F.concat(*keys))).alias("key")).join(wanted.select("key").distinct(), "key", "left_semi")
+    often = held.groupBy("key").agg(F.count("*").alias("n"))
+    rarest = wanted.join(often, "key", "left").groupBy("needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0).cast("long")).alias("n"), "key")).alias("r")).where("r.n > 0").select("needle", F.col("r.key").alias("key"))
+    met = held.join(rarest, "key").select("uid", "needle").distinct().join(texts, "uid").where(F.col("text").contains(F.col("needle"))).select("uid", "needle").distinct()
+    return met.join(needles.select("needle", "item_id"), "needle").select("uid", "item_id").distinct()
 
 
 def merge(old: DataFrame, new: DataFrame, key: str, defaults: dict[str, object] | None = None) -> DataFrame:

@@ -76,11 +76,11 @@ def spikes(yearly: DataFrame, ratio: float = 2.0, least: float = 25_000.0, rise:
 
 
 def movers(yearly: DataFrame, ratio: float = 1.6, least: float = 100_000.0, floor: float = 10_000.0, limit: int = 12) -> DataFrame:
-    """The `limit` uids whose last period rose most in money."""
+    """The `limit` uids whose last period grew most, as a multiple of the one before; ties go to the larger uid. Money of contracts is left out beforehand."""
     by = Window.partitionBy("uid").orderBy("period")
     rows = yearly.withColumn("prev", F.lag("amount").over(by)).withColumn("next", F.lead("period").over(by)).where("next is null")
     rows = rows.where((F.col("prev") > floor) & (F.col("amount") >= least) & (F.col("amount") / F.col("prev") >= ratio))
-    return rows.select("uid", "period", "amount", "prev", F.round(F.col("amount") - F.col("prev"), 2).alias("rise")).orderBy(F.desc("rise"), "uid").limit(limit)
+    return rows.select("uid", "period", "amount", "prev", (F.col("amount") / F.col("prev")).alias("ratio")).orderBy(F.desc("ratio"), F.desc("uid")).limit(limit)
 
 
 def series(yearly: DataFrame) -> DataFrame:

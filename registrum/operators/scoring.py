@@ -61,9 +61,13 @@ def buckets(scored: DataFrame) -> DataFrame:
     return scored.groupBy(band.alias("band")).agg(F.count("*").alias("n"))
 
 
+# Identity grades that confirm a lead and those that refute it.
+CONFIRMED, REFUTED = ["license-confirmed", "dob-confirmed"], ["license-mismatch", "dob-mismatch", "city-mismatch", "taxonomy-mismatch"]
+
+
 def grade(after: Column, prebar: Column, excluded_paid: Column, strong: Column, funds: Column, identity: Column, after_amount: Column, runoff: Column, last_year: Column, horizon: int = 2024) -> Column:
     """Evidence grade A to D of a lead; the first condition that holds."""
-    good, bad = identity.isin("license-confirmed", "dob-confirmed", "exclusion-npi", "city-match"), identity.isin("license-mismatch", "dob-mismatch", "name-only-mismatch")
+    good, bad = identity.isin(*CONFIRMED), identity.isin(*REFUTED)
     prebar = prebar & ~after
     paid = excluded_paid & (funds > 0) & ~prebar
     big = after_amount >= 100_000

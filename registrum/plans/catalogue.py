@@ -63,8 +63,8 @@ dominant as (select uid, program, amount, round(sum(amount) over (partition by u
 
 #: Texts that the predicates must read: names, addresses, statuses, cities and credentials as registries write them.
 NAMES = [
-    "Kessel Child Care LLC", "The Kessel Child Care", "KESSEL CHILD CARE, INC.", "Pebble Academy of Seattle at Green Lake", "Willow & Wren Midland School Age Program", "Willow and Wren Ashford", "Highridge Mt St Alban", "Early Learning Center Kids Academy", "Childs Hour IX",
-    "Sunrise Enterprises", "Northgate Limited", "P.L.L.C. of Health", "Orchard on University - Dale Valley, LLC", "Of Mice Inc", "Hilltop Community Center", "Saint Mark Church", "Acme Rehabilitation University, Inc.", "", "Mellowcare 12", "YMCA of Yakima", "City of Kent", "The LLC", "Of The Sea - 02",
+    "Kessel Child Care LLC", "The Kessel Child Care", "KESSEL CHILD CARE, INC.", "Quillback Kids of Tacoma", "Marrow & Finch Kindergarten", "Finch and Marrow", "Mt Tolmie Otters", "Otters of St Brannoc", "Kids Academy Center", "XII Dolphins 3", "7 Brambles",
+    "At Ermine Burrow", "Harbor Seal Limited", "P.L.L.C. of Health", "Elk", "Fernhollow on College Street, LLC", "Of Voles Inc", "Saint Mark Church", "Acme Rehabilitation University, Inc.", "", "Mellowcare 12", "YMCA of Yakima", "City of Kent", "The LLC", "Of The Sea - 02",
 ]
 ADDRESSES = ["{} Main Street", "1 Main, PO Box {}", "POST OFFICE BOX 9", "PO Box {}", "MAILBOX 3, 5 Elm", "Suite 4 PMB 12", "Box 7 Rural Route", "The UPS Store 5", "Regus 9 Pine", "", "p. o. box 4", "Boxwood 3 Lane", "UPS Storefront 8"]
 STATUSES = ["Active", "Closed", "Revoked", " suspended", "SURRENDER", "Voluntary Surrender", "Active with conditions", "Surrendered", "ACTIVE - PENDING", "Expired", "Summary Suspension"]
@@ -139,10 +139,10 @@ def payment_outlier(t):
 
 @query(
     f"""with {YEARLY}, s as (select *, lag(amount) over w as prev, lead(period) over w as next from yearly window w as (partition by uid order by period))
-    select uid, period, amount, prev, round(amount - prev, 2) as rise from s where next is null and prev > 10000 and amount >= 100000 and amount / prev >= 1.6 order by rise desc, uid limit 12"""
+    select uid, period, amount, prev, round(amount / prev, 6) as ratio from s where next is null and prev > 10000 and amount >= 100000 and amount / prev >= 1.6 order by amount / prev desc, uid desc limit 12"""
 )
 def movers_top12(t):
-    return money.movers(yearly(t))
+    return money.movers(yearly(t)).withColumn("ratio", F.round("ratio", 6))
 
 
 @query(f"with {YEARLY} select uid, array_to_string(list(period order by period), ',') as periods, round(sum(amount), 2) as total from yearly group by 1")
@@ -495,11 +495,11 @@ def top_titles(t):
 
 
 @query("""select c_custkey as uid, case when pre and not t1 then 'D' when bad and (t1 or (t2 and funds > 0 and not (pre and not t1))) then 'C' when t1 and good and ((amt >= 1000 and not run) or amt >= 100000) and (ly >= 2022 or amt >= 100000) then 'A' when t1 then 'B' when t2 and funds > 0 and not (pre and not t1) and good then 'B' when (t2 and funds > 0 and not (pre and not t1)) or (strong and funds > 0) then 'C' else 'D' end as grade
- from (select c_custkey, c_custkey % 2 = 0 as t1, c_custkey % 5 = 0 as pre, c_custkey % 3 = 0 as t2, c_custkey % 7 = 0 as strong, c_acctbal as funds, c_custkey % 4 = 1 as good, c_custkey % 4 = 2 as bad, c_acctbal * 20 as amt, c_custkey % 11 = 0 as run, 2018 + c_custkey % 8 as ly from customer)""")
+ from (select c_custkey, c_custkey % 2 = 0 as t1, c_custkey % 5 = 0 as pre, c_custkey % 3 = 0 as t2, c_custkey % 7 = 0 as strong, c_acctbal as funds, c_custkey % 11 in (1, 2) as good, c_custkey % 11 in (3, 4, 5, 6) as bad, c_acctbal * 20 as amt, c_custkey % 13 = 0 as run, 2018 + c_custkey % 8 as ly from customer)""")
 def grade(t):
     k, money_ = F.col("c_custkey"), F.col("c_acctbal")
-    identity = F.when(k % 4 == 1, "license-confirmed").when(k % 4 == 2, "license-mismatch").otherwise("name-only")
-    return t("customer").select(k.alias("uid"), scoring.grade(k % 2 == 0, k % 5 == 0, k % 3 == 0, k % 7 == 0, money_, identity, money_ * 20, k % 11 == 0, 2018 + k % 8).alias("grade"))
+    identity = pick(["name-only", "license-confirmed", "dob-confirmed", "license-mismatch", "dob-mismatch", "city-mismatch", "taxonomy-mismatch", "exclusion-npi", "city-match", "", "name-only-mismatch"], k)
+    return t("customer").select(k.alias("uid"), scoring.grade(k % 2 == 0, k % 5 == 0, k % 3 == 0, k % 7 == 0, money_, identity, money_ * 20, k % 13 == 0, 2018 + k % 8).alias("grade"))
 
 
 @query("""with f as (select o_custkey as uid, round(sum(o_totalprice), 2) as total, max(case when o_orderstatus = 'F' then 2 when o_orderpriority = '1-URGENT' then 1 else 0 end) as tier from orders group by 1)

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from registrum.functions import names as N
 from registrum.functions import text as T
-from registrum.operators import assembly, context_rules, payments, rules, serve
+from registrum.operators import assembly, context_rules, linkage, payments, rules, serve
 from registrum.plans.catalogue import ADDRESSES, NAMES, STATUSES, pick, query, sql_key, sql_pick
 from registrum.sources import bulk, projections, screening
 
 PEOPLE = ["Ann Marie Smith", "ANN SMITH", "Bo Li", "J Doe", "Kim Ada Lee", "Lee Sol Kim", "Maria Castellan", "Edgar Q Moss", "  ", "Zoe van der Berg", "Smith Ann"]
-DBAS = ["", "Kessel Child Care", "Little Meadows Preschool", "Pebble Academy Seattle", "Alder Park Care Center", "", "Child Care"]
+DBAS = ["", "Kessel Child Care", "Saltmarsh Preschool", "Quillback Kids Tacoma", "Finch Center", "", "Child Care"]
 CITIES = ["Seattle", "seattle", "Yakima", "", "Spokane Valley"]
 MAILS = ["smith@x.org", "nora4@mail.com", "", "hill@army.mil", "DEPT@state.GOV", "nobody"]
 DATES = ["2015-01-31", "01/15/2008", "20120229", "2011", "", "n/a"]
@@ -610,8 +610,17 @@ def dashboard_summary(t):
     return serve.summary(t("customer").select(uid.alias("uid"), F.col("c_mktsegment").alias("source")), scored, flags, triage)
 
 
-@query(f"with n as (select c_custkey as uid, {sql_key(sql_pick(NAMES, 'c_custkey'))} as nk from customer), h as (select p_partkey as url, {sql_key(sql_pick(NAMES, 'p_partkey') + chr(32) + '||' + chr(32) + chr(39) + ' pleads guilty' + chr(39))} as title from part) select uid, 'http://n/' || url as url from n join h on length(nk) >= 10 and contains(title, nk)")
+@query(f"with n as (select c_custkey as uid, c_name as name, {sql_key('c_name')} as nk from customer where c_acctbal >= 2000), h as (select o_orderkey as url, 'Owner of <b>' || o_orderpriority || '</b> and Customer#' || lpad(cast(o_custkey as varchar), 9, '0') || ' pleads guilty' as title from orders) select uid, 'http://n/' || url as url from n join (select url, {sql_key("regexp_replace(title, '<[^>]+>', ' ', 'g')")} as title from h) on length(nk) >= 10 and contains(title, nk)")
 def headline_matches(t):
-    k, p = F.col("c_custkey"), F.col("p_partkey")
-    items = t("part").select(F.concat(F.lit("http://n/"), p.cast("string")).alias("url"), F.concat(pick(NAMES, p), F.lit(" pleads guilty")).alias("title"))
-    return bulk.headline_matches(t("customer").select(k.alias("uid"), pick(NAMES, k).alias("name")), items)
+    key = F.col("o_orderkey")
+    title = F.concat(F.lit("Owner of <b>"), "o_orderpriority", F.lit("</b> and Customer#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0"), F.lit(" pleads guilty"))
+    items = t("orders").select(F.concat(F.lit("http://n/"), key.cast("string")).alias("url"), title.alias("title"))
+    scored = t("customer").select(F.col("c_custkey").alias("entity_uid"), (F.col("c_acctbal") / 100).alias("risk_score"))
+    return bulk.headline_matches(t("customer").select(F.col("c_custkey").alias("uid"), F.col("c_name").alias("name")), items, scored)
+
+
+@query("with w as (select item_id, string_split(text, ' ') as w from benchmark), n as (select item_id, w[1] || ' ' || w[2] as needle from w where len(w) > 1 union all select -1 - item_id, w[1] from w) select distinct doc_id as uid, item_id from documents join n on needle <> '' and contains(text, needle)")
+def short_needles(t):
+    w, item = F.split("text", " "), F.col("item_id").cast("long")
+    two = t("benchmark").where(F.size(w) > 1).select(item.alias("item_id"), F.concat_ws(" ", w[0], w[1]).alias("needle"))
+    return linkage.containing(t("documents").select(F.col("doc_id").alias("uid"), "text"), two.unionByName(t("benchmark").select((-1 - item).alias("item_id"), w[0].alias("needle"))))

@@ -1,6 +1,7 @@
 """Registered queries on small tables of their own, against brute force: what a cut of the input would lose."""
 
 import difflib
+import random
 
 from pyspark.sql import functions as F
 
@@ -80,3 +81,35 @@ def test_fuzzy_ratio_against_brute_force(spark, tmp_path):
     alike = lambda a, b: 1.0 if set(a.split()) == set(b.split()) else difflib.SequenceMatcher(None, a, b).ratio()
     want = {(i, j, round(r, 6)) for i, j in met if (r := alike(keys[i], keys[j])) >= 0.9}
     assert {tuple(r) for r in catalogue.queries()["fuzzy_ratio"](spark, str(tmp_path)).collect()} == want and len(want) > 30
+
+
+def test_needles_of_any_size_meet_texts_without_a_product(spark):
+    draw = random.Random(3)
+    words = ["alpha", "beta", "gam", "a", "ab", "deltas", "é", "common"]
+    texts = [(k, " ".join(draw.choice(words) for _ in range(draw.randrange(12))) + (" common" if k % 2 else "")) for k in range(300)] + [(999, None), (998, ""), (5, "alpha alpha"), (997, "x" * 50_000 + " tail end")]
+    needles = [(k, " ".join(draw.choice(words) for _ in range(draw.randrange(1, 5)))[draw.randrange(3) :]) for k in range(120)] + [(500, ""), (501, None), (502, "common"), (503, " "), (504, "a  b"), (505, "nowhere at all"), (506, "x tail en"), (507, "alpha"), (508, "alpha")]
+    want = {(u, i) for u, t in texts for i, n in needles if t is not None and n and n in t}
+    found = linkage.containing(spark.createDataFrame(texts, "uid long, text string"), spark.createDataFrame(needles, "item_id long, needle string"))
+    assert {tuple(r) for r in found.collect()} == want
+    plan = found._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    assert linkage.containing(spark.createDataFrame(texts, "uid long, text string"), spark.createDataFrame([], "item_id long, needle string")).count() == 0
+
+
+def test_a_key_of_ten_thousand_windows_costs_its_output(spark):
+    day = lambda n: F.date_format(F.date_add(F.lit("2000-01-01").cast("date"), n.cast("int")), "yyyy-MM-dd")
+    rows = spark.range(10_000).select(F.lit(1).alias("key"), F.col("id").alias("uid"), day(F.col("id") * 3).alias("start"), day(F.col("id") * 3 + 1).alias("end"))
+    other = spark.range(10_000).select(F.lit(1).alias("key"), F.col("id").alias("item"), day(F.col("id") * 3 + 1).alias("start"), day(F.col("id") * 3 + 2).alias("end"))
+    met = linkage.overlapping(rows, other, "key")
+    assert met.where("uid = item").count() == 10_000 == met.count()
+
+
+def test_windows_equal_brute_force(spark):
+    draw = random.Random(8)
+    day = lambda: draw.choice(["2000-01-01", "2000-01-02", "2000-03-01", "2001-01-01", "2005-06-30", None])
+    make = lambda n: [(draw.choice([1, 2, None]), k, day(), day()) for k in range(n)]
+    left, right = make(120), make(120)
+    far = "9999-12-31"
+    want = {(a[1], b[1]) for a in left for b in right if a[0] is not None and a[0] == b[0] and a[2] and b[2] and a[2] <= (b[3] or far) and (a[3] or far) >= b[2]}
+    got = linkage.overlapping(spark.createDataFrame(left, "key int, uid int, start string, end string"), spark.createDataFrame(right, "key int, item int, start string, end string"), "key").select("uid", "item").collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
