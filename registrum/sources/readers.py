@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import io
 import re
-import zipfile
-from collections.abc import Iterator
-from xml.etree import ElementTree
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from registrum.functions.text import blank, money, number
 
+from .archives import archive
+
 COLUMNS = ["source", "source_id", "name", "dba", "entity_type", "status", "address", "city", "state", "zip", "county", "lat", "lon", "amount", "source_url"]
 
 
@@ -79,38 +76,6 @@ def license_rows(c: Column) -> Column:
     return F.try_parse_json(whole).cast("array<variant>")
 
 
-def sheets(content: bytes) -> int:
-    """The number of sheets of a spreadsheet file."""
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        return sum(re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n) is not None for n in z.namelist())
-
-
-def sheet_rows(content: bytes, sheet: int = 0) -> Iterator[list[str]]:
-    """Rows of a spreadsheet file: shared and inline strings, gaps as blanks."""
-    space = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        shared = []
-        if "xl/sharedStrings.xml" in z.namelist():
-            shared = ["".join(t.text or "" for t in s.iter(f"{space}t")) for s in ElementTree.parse(z.open("xl/sharedStrings.xml")).getroot().iter(f"{space}si")]
-        names = sorted((n for n in z.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[0]))
-        if sheet >= len(names):
-            return
-        for _, row in ElementTree.iterparse(z.open(names[sheet])):
-            if row.tag != f"{space}row":
-                continue
-            cells: list[str] = []
-            for cell in row.iter(f"{space}c"):
-                at = 0
-                for ch in re.match("[A-Z]*", cell.get("r", ""))[0]:
-                    at = at * 26 + ord(ch) - 64
-                cells += [""] * ((at or len(cells) + 1) - 1 - len(cells))
-                value = cell.find(f"{space}v")
-                text = "".join(t.text or "" for t in cell.iter(f"{space}t")) if cell.get("t") == "inlineStr" else (value.text or "") if value is not None else ""
-                cells.append(shared[int(text)] if cell.get("t") == "s" and text else text)
-            row.clear()
-            yield cells
-
-
 def extracted(rows: DataFrame, text: str, pattern: str, name: str) -> DataFrame:
     """The other columns and `name`, a row for every match of the pattern in a text."""
     others = [F.col(f"`{c}`") for c in rows.columns if c != text]
@@ -118,17 +83,9 @@ def extracted(rows: DataFrame, text: str, pattern: str, name: str) -> DataFrame:
 
 
 def xlsx(spark: SparkSession, path: str, sheet: int | None = 0) -> DataFrame:
-    """path, row (from 0) and cells of one sheet of spreadsheet files, or of all of them one after the other; each file is read where its bytes are."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for name, content in zip(batch["path"], batch["content"], strict=True):
-                rows = []
-                for number in (sheet,) if sheet is not None else range(sheets(bytes(content))):
-                    rows += sheet_rows(bytes(content), number)
-                yield pd.DataFrame({"path": [name] * len(rows), "row": range(len(rows)), "cells": rows})
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, row long, cells array<string>")
+    """path, row (from 0 in each sheet) and cells of one sheet of spreadsheet files, or of all of them; `member` tells the sheets apart."""
+    rows = archive(spark, path, "cells", **({} if sheet is None else {"sheet": str(sheet)}))
+    return rows.select("path", "member", "row", "cells") if sheet is None else rows.select("path", "row", "cells")
 
 
 def feed(spark: SparkSession, path: str, words: list[str]) -> DataFrame:

@@ -1,6 +1,7 @@
 import io
 import json
 import threading
+import tracemalloc
 import zipfile
 from http.server import BaseHTTPRequestHandler, HTTPServer
 from urllib.parse import parse_qs, urlparse
@@ -8,7 +9,7 @@ from urllib.parse import parse_qs, urlparse
 import pytest
 
 from registrum.operators import payments
-from registrum.sources import bulk, projections, readers, screening, store
+from registrum.sources import archives, bulk, projections, readers, screening, store
 from registrum.sources.paged import PagedSource
 
 
@@ -123,6 +124,40 @@ def test_archives(spark, tmp_path):
     assert [tuple(r) for r in bulk.revoked_exemptions(lost, tracked).collect()] == [("911234567", "ACME", "2010-05-15", "2011-08-01")]
 
 
+def test_members_and_sheets_are_read_in_bounded_memory(spark, tmp_path):
+    """A member of 200 MB and a sheet of 60,000 rows pass through a few MB; each member is a partition of its own."""
+    with zipfile.ZipFile(tmp_path / "big.zip", "w", zipfile.ZIP_DEFLATED) as z, z.open("a.csv", "w", force_zip64=True) as member:
+        for _ in range(200):
+            member.write(b"x" * 999_999 + b"\n")
+    with zipfile.ZipFile(tmp_path / "big.zip", "a") as z:
+        z.writestr("deep/b.csv", "1\n2")
+        z.writestr("c.txt", "no")
+    (tmp_path / "sheet.xlsx").write_bytes(workbook((k, "some text") for k in range(60_000)))
+    for content, path, rows in (("lines", "big.zip", 202), ("cells", "sheet.xlsx", 60_000)):
+        reader = archives.Reader({"path": f"{tmp_path}/{path}", "content": content, "member": r".*\.csv"})
+        parts = reader.partitions()
+        tracemalloc.start()
+        assert sum(batch.num_rows for p in parts for batch in reader.read(p)) == rows
+        assert tracemalloc.get_traced_memory()[1] < 60e6
+        tracemalloc.stop()
+    got = archives.archive(spark, f"{tmp_path}/*.zip", member=r".*b\.csv")
+    assert sorted((r.member, r["at"], r.line) for r in got.collect()) == [("deep/b.csv", 0, "1"), ("deep/b.csv", 1, "2")]
+    assert archives.archive(spark, f"file://{tmp_path}", member="none").count() == 0
+
+
+def test_the_sentences_around_an_entry():
+    place = "Jane Roe (RN00012345)"
+    for text, want in (
+        (f"First. {place} was barred. She may appeal. More.", f"{place} was barred. She may appeal."),
+        (f"First. {place} was barred. The end.", f"{place} was barred. The end."),
+        (f"{'a' * 300}. Kent County {place} was. {'b' * 400}. c", f"{place} was. {'b' * 400}"[:221]),
+        (f"A. {'c' * 237}{place}", "c" * 140 + place),
+        (f"A. {'c' * 236}{place}", "c" * 236 + place),
+    ):
+        start = text.index(place)
+        assert bulk.around(text, start, start + len(place)) == want[:320], text
+
+
 def test_pages_of_orders_and_agreements(spark):
     text = "News of May. King County In April 2020 the board revoked the licence of Jane A. Roe (RN00012345), citing harm. She may appeal. More."
     posts = spark.createDataFrame([("https://x/state-disciplines-05-06-2020", f"<p>{text}</p>"), ("https://x/none", "<p>John Quincy Doe (MD00000007) was fined.</p>"), ("https://x/later-07-08-2021", "Jane Roe (RN00012345) surrendered.")], "url string, html string")
@@ -151,7 +186,7 @@ def test_all_sheets_runs_and_dockets(spark, tmp_path):
     with zipfile.ZipFile(io.BytesIO(one)) as x, zipfile.ZipFile(io.BytesIO(two)) as y, zipfile.ZipFile(tmp_path / "w.xlsx", "w") as z:
         z.writestr("xl/worksheets/sheet1.xml", x.read("xl/worksheets/sheet1.xml"))
         z.writestr("xl/worksheets/sheet2.xml", y.read("xl/worksheets/sheet1.xml"))
-    assert [(r.row, r.cells) for r in readers.xlsx(spark, f"{tmp_path}/w.xlsx", None).orderBy("row").collect()] == [(0, ["a"]), (1, ["b"]), (2, ["c"])]
+    assert [(r.member[-5], r.row, r.cells) for r in readers.xlsx(spark, f"{tmp_path}/w.xlsx", None).orderBy("member", "row").collect()] == [("1", 0, ["a"]), ("2", 0, ["b"]), ("2", 1, ["c"])]
     rows = spark.createDataFrame([("s:1", "s"), ("s:2", "s")], "uid string, source string")
     assert store.ingested(rows, f"{tmp_path}/e", f"{tmp_path}/log", "s", "2024-01-01") == 2 and store.ingested(rows.limit(1), f"{tmp_path}/e", f"{tmp_path}/log", "s", "2024-01-02") == 2
     assert spark.read.parquet(f"{tmp_path}/log").count() == 2
