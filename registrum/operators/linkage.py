@@ -105,35 +105,52 @@ def words(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(text, r"(?U)[\s\x1c-\x1f]+"), lambda w: w != ""))
 
 
-def blocked_pairs(rows: DataFrame, near: Column, least: int = 5, most: int = 40) -> DataFrame:
+def blocked_pairs(rows: DataFrame, near: Column, least: int = 5, most: int = 40, also: dict[str, Column] | None = None) -> DataFrame:
     """Pairs of rows (uid, text, block), uid below uid2, that share a word of `least` or more characters, the block or the whole text, where 2 to
-    `most` rows have it. `near` is a condition
-    that all wanted pairs fulfil, over the lengths n and n2 and the hashes of the word sets same and same2; it holds before texts are joined."""
+    `most` rows have it. `near` is a condition that all wanted pairs fulfil, over the lengths n and n2, the hashes of the word sets same and same2, and
+    what `also` makes of a text (name and name2); it holds before texts are joined."""
+    also = also or {}
     rows = rows.where("text is not null")
     # A word has no blank in it, so that the other two kinds of keys can't be taken for one.
     others = F.array(F.concat(F.lit("block "), "block"), F.concat(F.lit("text "), F.sha2("text", 256)))
-    known = rows.select("uid", F.length("text").alias("n"), words(F.col("text")).alias("words"), others.alias("others"))
+    known = rows.select("uid", F.length("text").alias("n"), words(F.col("text")).alias("words"), others.alias("others"), *[c.alias(k) for k, c in also.items()])
     keys = F.filter(F.concat(F.filter("words", lambda w: F.length(w) >= least), "others"), lambda k: k.isNotNull())
-    known = known.select("uid", "n", F.xxhash64(F.array_sort("words")).alias("same"), F.explode(keys).alias("word"))
+    known = known.select("uid", "n", F.xxhash64(F.array_sort("words")).alias("same"), *also, F.explode(keys).alias("word"))
     rows = rows.select("uid", "text")
     sized = known.groupBy("word").agg(F.count_distinct("uid").alias("members")).where(F.col("members").between(2, most))
     kept = known.join(sized.select("word"), "word")
-    other = kept.select("word", F.col("uid").alias("uid2"), F.col("n").alias("n2"), F.col("same").alias("same2"))
+    other = kept.select("word", F.col("uid").alias("uid2"), F.col("n").alias("n2"), F.col("same").alias("same2"), *[F.col(k).alias(f"{k}2") for k in also])
     pairs = kept.join(other, "word").where("uid < uid2").where(near).select("uid", "uid2").distinct()
     return pairs.join(rows, "uid").join(rows.select(F.col("uid").alias("uid2"), F.col("text").alias("text2")), "uid2").select("uid", "uid2", "text", "text2")
 
 
-def name_pairs(rows: DataFrame, near: Column, least: int = 5, most: int = 40) -> DataFrame:
+def name_pairs(rows: DataFrame, near: Column, least: int = 5, most: int = 40, also: dict[str, Column] | None = None) -> DataFrame:
     """blocked_pairs of the name keys of organizations (uid, name): of five characters or more, not generic, different, sharing a word."""
     keys = rows.select("uid", name_key(F.col("name")).alias("text")).where((F.length("text") >= least) & ~generic(F.col("text")))
-    return blocked_pairs(keys.withColumn("block", F.lit(None).cast("string")), near, least, most).where("text <> text2")
+    return blocked_pairs(keys.withColumn("block", F.lit(None).cast("string")), near, least, most, also).where("text <> text2")
+
+
+#: The characters of a name key.
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 "
+
+
+def letter_counts(text: Column) -> Column:
+    """How often each of LETTERS is in a text, and how many other characters it has."""
+    known = [F.length(text) - F.length(F.replace(text, F.lit(c))) for c in LETTERS]
+    return F.array(*known, F.length(text) - reduce(lambda a, b: a + b, known)).cast("array<smallint>")
+
+
+def near_pairs(rows: DataFrame, least: float = 0.9) -> DataFrame:
+    """name_pairs that may reach the ratio `least`: matching blocks hold no more characters than the two texts have in common, whatever their order, so a pair that
+    has too few goes before any text is joined or handed to Python."""
+    common = F.aggregate(F.zip_with("letters", "letters2", lambda a, b: F.least(a, b).cast("int")), F.lit(0), lambda total, x: total + x)
+    near = ((2.0 * F.least("n", "n2")) / (F.col("n") + F.col("n2")) >= least) & ((2.0 * common) / (F.col("n") + F.col("n2")) >= least) | (F.col("same") == F.col("same2"))
+    return name_pairs(rows, near, also={"letters": letter_counts(F.col("text"))})
 
 
 def near_names(rows: DataFrame, least: float = 0.9) -> DataFrame:
     """Pairs uid, uid2 of organizations whose name keys are alike by `least`, with their ratio."""
-    # Matching blocks are at most as long as the shorter text.
-    near = (F.lit(2.0 / least) * F.least("n", "n2") >= F.col("n") + F.col("n2")) | (F.col("same") == F.col("same2"))
-    return name_pairs(rows, near).withColumn("ratio", ratio("text", "text2", least)).where(F.col("ratio") >= least).select("uid", "uid2", "ratio")
+    return near_pairs(rows, least).withColumn("ratio", ratio("text", "text2", least)).where(F.col("ratio") >= least).select("uid", "uid2", "ratio")
 
 
 def ratio(left: str, right: str, least: float = 0.0) -> Column:

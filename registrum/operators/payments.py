@@ -134,8 +134,17 @@ def member_facts(flags: DataFrame, funds: DataFrame) -> DataFrame:
     return out.select("uid", F.coalesce("funds", F.lit(0.0)).alias("funds"), no("sanctioned").alias("sanctioned"), no("barred").alias("barred"), no("quality").alias("quality"), F.coalesce("contradiction", F.lit(0.0)).alias("contradiction"), F.coalesce("identity", F.lit("")).alias("identity"), F.coalesce("top_flag", F.lit("")).alias("top_flag"))
 
 
-def run_summary(flags: DataFrame, payments: DataFrame) -> DataFrame:
-    """kind, label, n and amount: flags per rule and money per program."""
+def combinations(members: DataFrame) -> DataFrame:
+    """label and n: how many operators of members (operator_id, source) have exactly these sources, in order, joined by ` + `."""
+    sets = members.groupBy("operator_id").agg(F.array_join(F.array_sort(F.collect_set("source")), " + ").alias("label"))  # as many as there are registries
+    return sets.groupBy("label").agg(F.count("*").alias("n"))
+
+
+def run_summary(flags: DataFrame, payments: DataFrame, members: DataFrame | None = None) -> DataFrame:
+    """kind, label, n and amount: flags per rule, money per program and, of members (operator_id, source), operators per combination of sources."""
     rules = flags.groupBy(F.col("rule_id").alias("label")).agg(F.count("*").alias("n")).select(F.lit("rule").alias("kind"), "label", "n", F.lit(0.0).alias("amount"))
     paid = payments.groupBy(F.col("program").alias("label")).agg(F.count("*").alias("n"), F.round(F.sum("amount"), 2).alias("amount")).select(F.lit("program").alias("kind"), "label", "n", "amount")
-    return rules.unionByName(paid)
+    out = rules.unionByName(paid)
+    if members is None:
+        return out
+    return out.unionByName(combinations(members).select(F.lit("combination").alias("kind"), "label", "n", F.lit(0.0).alias("amount")))

@@ -250,12 +250,47 @@ def density(rows: DataFrame, place: str) -> DataFrame:
     return rows.groupBy(F.upper(F.trim(place)).alias("place")).agg(F.count("*").alias("n"), F.round(F.sum("funds"), 2).alias("funds"), F.count_if(F.col("score") >= 40).alias("high"))
 
 
-def search_all(entities: DataFrame, scored: DataFrame, found: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
-    """The ten entities whose name, id, city or any field holds the text, by score, and the five operators (operator_id, name, score) whose name does."""
-    like = f"%{text}%"
-    anywhere = F.col("name").ilike(like) | F.col("source_id").ilike(like) | F.col("city").ilike(like) | F.exists(F.map_values("raw"), lambda v: v.ilike(like))
-    rows = entities.where(anywhere).join(scored.select(F.col("entity_uid").alias("uid"), "risk_score"), "uid", "left").select("uid", "name", "source", "city", "risk_score")
-    return rows.orderBy(F.desc_nulls_last("risk_score"), "uid").limit(10), found.where(F.col("name").ilike(like)).orderBy(F.desc("score"), "operator_id").limit(5)
+#: Characters of the pieces in the search index.
+GRAM = 3
+
+
+def _fields(entities: DataFrame) -> Column:
+    """Everything that a search looks at, in small letters."""
+    own = F.array(*[F.coalesce(F.lower(c), F.lit("")) for c in ("name", "source_id", "city")])
+    return F.concat(own, F.coalesce(F.transform(F.map_values("raw"), lambda v: F.coalesce(F.lower(v), F.lit(""))), F.array().cast("array<string>")))
+
+
+def _grams(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1))
+
+
+def search_index(entities: DataFrame) -> DataFrame:
+    """gram and uid: every run of GRAM characters of an entity's name, id, city and raw values, to be kept as a table in the order of its grams, so that a
+    search reads few of its files."""
+    grams = F.array_distinct(F.flatten(F.transform(_fields(entities), _grams)))
+    return entities.select("uid", F.explode(grams).alias("gram")).select("gram", "uid").repartitionByRange("gram").sortWithinPartitions("gram", "uid")
+
+
+def candidates(index: DataFrame, text: str) -> DataFrame:
+    """uids that have every run of GRAM characters of the text."""
+    low = text.lower()
+    wanted = sorted({low[k : k + GRAM] for k in range(len(low) - GRAM + 1)})
+    return index.where(F.col("gram").isin(wanted)).groupBy("uid").agg(F.count_distinct("gram").alias("n")).where(F.col("n") == len(wanted)).select("uid")
+
+
+def search_all(entities: DataFrame, scored: DataFrame, text: str, index: DataFrame | None = None, limit: int = 10) -> DataFrame:
+    """The first `limit` entities by score whose name, id, city or any raw value holds the text, whatever the case. With search_index() only entities that have
+    all its pieces are looked at; a text shorter than a piece is looked for everywhere."""
+    if index is not None and len(text) >= GRAM:
+        entities = entities.join(candidates(index, text), "uid", "left_semi")
+    rows = entities.where(F.exists(_fields(entities), lambda v: v.contains(text.lower())))
+    rows = rows.join(scored.select(F.col("entity_uid").alias("uid"), "risk_score"), "uid", "left").select("uid", "name", "source", "city", "risk_score")
+    return rows.orderBy(F.desc_nulls_last("risk_score"), "uid").limit(limit)
+
+
+def search_operators(found: DataFrame, text: str, limit: int = 5) -> DataFrame:
+    """The first `limit` operators (operator_id, name, score) by score whose name holds the text."""
+    return found.where(F.lower("name").contains(text.lower())).orderBy(F.desc("score"), "operator_id").limit(limit)
 
 
 def search(rows: DataFrame, text: str, limit: int = 10) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from registrum.functions import names as N
@@ -592,9 +592,10 @@ def duplicate_contracts(t):
     return rules.duplicate_contracts(rows).select("entity_uid", "rule_id", "severity")
 
 
-@query(f"with {ORDER_FLAGS}, {ORDER_PAYMENTS} select 'rule' as kind, rule as label, count(*) as n, 0.0::double as amount from f group by 2 union all select 'program', program, count(*), round(sum(amount), 2) from p group by 2")
+@query(f"with {ORDER_FLAGS}, {ORDER_PAYMENTS} select 'rule' as kind, rule as label, count(*) as n, 0.0::double as amount from f group by 2 union all select 'program', program, count(*), round(sum(amount), 2) from p group by 2 union all select 'combination', label, count(*), 0.0::double from (select string_agg(s, ' + ' order by s) as label from (select distinct o_custkey, o_orderpriority as s from orders) group by o_custkey) group by 2")
 def run_summary(t):
-    return payments.run_summary(order_flags(t), order_payments(t))
+    members = t("orders").select(F.col("o_custkey").alias("operator_id"), F.col("o_orderpriority").alias("source"))
+    return payments.run_summary(order_flags(t), order_payments(t), members)
 
 
 @query(
@@ -624,3 +625,18 @@ def short_needles(t):
     w, item = F.split("text", " "), F.col("item_id").cast("long")
     two = t("benchmark").where(F.size(w) > 1).select(item.alias("item_id"), F.concat_ws(" ", w[0], w[1]).alias("needle"))
     return linkage.containing(t("documents").select(F.col("doc_id").alias("uid"), "text"), two.unionByName(t("benchmark").select((-1 - item).alias("item_id"), w[0].alias("needle"))))
+
+
+@query("""with c as (select 'c' || c_custkey as uid, c_name as name, cast(c_custkey as varchar) as source_id, n_name as city, c_mktsegment as segment, c_acctbal as risk_score from customer join nation on c_nationkey = n_nationkey), r as (select *, 0 as x from c where contains(lower(concat_ws(chr(10), name, source_id, city, segment)), 'mobi') or contains(lower(name), '0012'))
+ select q as text, uid, rank from (select 'MoBi' as q, uid, row_number() over (order by risk_score desc, uid) as rank from c where contains(lower(name), 'mobi') or contains(lower(source_id), 'mobi') or contains(lower(city), 'mobi') or contains(lower(segment), 'mobi') union all select '0012', uid, row_number() over (order by risk_score desc, uid) from c where contains(lower(name), '0012') or contains(source_id, '0012') or contains(city, '0012') union all select '1', uid, row_number() over (order by risk_score desc, uid) from c where contains(lower(name), '1') or contains(source_id, '1') or contains(city, '1') union all select 'ON_1', uid, row_number() over (order by risk_score desc, uid) from c where contains(lower(city), 'on_1')) where rank <= 10""")
+def search_all(t):
+    k = F.col("c_custkey")
+    rows = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    entities = rows.select(F.concat(F.lit("c"), k.cast("string")).alias("uid"), F.col("c_name").alias("name"), k.cast("string").alias("source_id"), F.col("n_name").alias("city"), F.create_map(F.lit("segment"), F.col("c_mktsegment")).alias("raw"))
+    scored = rows.select(F.concat(F.lit("c"), k.cast("string")).alias("entity_uid"), F.col("c_acctbal").alias("risk_score"))
+    index, out = serve.search_index(entities), None
+    for text in ("MoBi", "0012", "1", "ON_1"):
+        found = serve.search_all(entities.withColumn("source", F.lit("x")), scored, text, index=index).withColumn("text", F.lit(text))
+        found = found.select("text", "uid", F.row_number().over(Window.partitionBy("text").orderBy(F.desc_nulls_last("risk_score"), "uid")).cast("long").alias("rank"))
+        out = found if out is None else out.unionByName(found)
+    return out

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -102,16 +103,18 @@ def meta(spark: SparkSession, path: str, values: dict[str, str] | None = None) -
     return rows
 
 
-def covering(spark: SparkSession, path: str, tracked: DataFrame, key: str) -> DataFrame | None:
-    """The cached table at path if it was made for all of tracked (key): its folder `tracked` holds what it was made for; else none."""
-    if not exists(spark, f"{path}/tracked"):
-        return None
-    missing = tracked.select(key).join(spark.read.parquet(f"{path}/tracked"), key, "left_anti")
-    return None if missing.limit(1).count() else spark.read.parquet(f"{path}/rows")
-
-
-def cached(rows: DataFrame, path: str, tracked: DataFrame, key: str) -> DataFrame:
-    """rows kept at path with what they were made for."""
-    replace(rows, f"{path}/rows")
-    replace(tracked.select(key).distinct(), f"{path}/tracked")
-    return rows.sparkSession.read.parquet(f"{path}/rows")
+def grown(spark: SparkSession, path: str, tracked: DataFrame, key: str, fetched: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows of all of tracked (key), of which only those of keys not yet covered are fetched: fetched(missing keys) -> rows.
+
+    path holds `rows` and `covered` (the keys that rows were made for, also those that have none), each in folders `batch=...`. A batch's keys are
+    written last, and rows of batches without keys are not read, so a run that dies leaves nothing half known; it is fetched anew."""
+    rows, covered = f"{path.rstrip('/')}/rows", f"{path.rstrip('/')}/covered"
+    wanted = tracked.select(key).where(F.col(key).isNotNull()).distinct()
+    known = spark.read.parquet(covered) if exists(spark, covered) else None
+    missing = staged(wanted if known is None else wanted.join(known, key, "left_anti"), "missing")
+    if missing.limit(1).count():
+        batch = uuid.uuid4().hex
+        fetched(missing).write.parquet(f"{rows}/batch={batch}")
+        missing.write.parquet(f"{covered}/batch={batch}")
+    batches = spark.read.parquet(covered).select("batch").distinct()
+    return spark.read.option("basePath", rows).parquet(rows).join(F.broadcast(batches), "batch", "left_semi").drop("batch").join(wanted, key, "left_semi")  # a row a run

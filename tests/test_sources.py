@@ -42,6 +42,61 @@ def test_paged_api_with_a_failing_server(spark):
     assert all(q["state"] == "WA" and q["a"] == "b" for q in seen) and len(seen) == 4
 
 
+def test_filters_of_a_plan_go_into_the_request(spark):
+    seen = []
+
+    class Api(BaseHTTPRequestHandler):
+        def do_GET(self):
+            q = {k: v[0] for k, v in parse_qs(urlparse(self.path).query).items()}
+            seen.append(q)
+            rows = [{"id": k, "state": ("WA", "OR")[k % 2], "year": 2000 + k} for k in range(10)]
+            body = json.dumps([r for r in rows if r["state"] == q.get("state", r["state"])]).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Api)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    spark.dataSource.register(PagedSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        load = lambda **o: spark.read.format("paged").schema("id long, state string, year long").options(url=f"http://127.0.0.1:{server.server_port}/x", total="10", page="10", pause="0", **o).load()
+        plain = load(push="state").where("state = 'WA' and year > 2003")
+        assert [r.id for r in plain.orderBy("id").collect()] == [4, 6, 8] and seen[-1]["state"] == "WA" and "$where" not in seen[-1]
+        plan = plain._jdf.queryExecution().executedPlan().toString()
+        assert "year" in plan.split("Filter")[1].split("\n")[0] and "state" not in plan.split("Filter")[1].split("\n")[0]
+        load(push="*", where="$where").where("state in ('WA', 'O''R') and year >= 2004 and state like 'W%' and id <> 4").collect()
+        assert set(seen[-1]["$where"].split(" AND ")) >= {"state in ('WA', 'O''R')", "year >= 2004", "starts_with(state, 'W')"} and "id" not in seen[-1]
+        load().where("state = 'WA'").collect()
+        assert "state" not in seen[-1]
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+        server.shutdown()
+
+
+def test_a_cache_grows_by_what_is_new(spark, tmp_path):
+    asked = []
+
+    def fetched(missing):
+        asked.append(sorted(r.npi for r in missing.collect()))
+        return missing.where("npi <> 'none'").selectExpr("npi", "length(npi) as n", "explode(array(1, 2)) as k")
+
+    keys = lambda *k: spark.createDataFrame([(x,) for x in k], "npi string")
+    path = f"{tmp_path}/c"
+    assert store.grown(spark, path, keys("x", "none", "x", None), "npi", fetched).count() == 2
+    assert store.grown(spark, path, keys("x", "none"), "npi", fetched).count() == 2
+    assert store.grown(spark, path, keys("x", "yy"), "npi", fetched).count() == 4
+    assert asked == [["none", "x"], ["yy"]]  # one added key asks for one key
+    spark.createDataFrame([("zz", 2, 1)], "npi string, n int, k int").write.parquet(f"{path}/rows/batch=dead")  # a run that died before its keys were written
+    assert store.grown(spark, path, keys("x", "zz"), "npi", fetched).count() == 4 and asked[-1] == ["zz"]
+    with pytest.raises(ValueError, match="refused"):
+        store.grown(spark, path, keys("new"), "npi", lambda missing: (_ for _ in ()).throw(ValueError("refused")))
+    assert store.grown(spark, path, keys("yy"), "npi", fetched).count() == 2
+
+
 def test_screening_lists(spark, tmp_path):
     (tmp_path / "f.csv").write_text("LASTNAME,FIRSTNAME,BUSNAME,NPI,DOB,STATE,EXCLTYPE,EXCLDATE,REINDATE\nROE,JANE,,1234567890,19600102,WA,1128a1,20200131,00000000\n,,ACME LLC,0000000000,,OR,1128b4,20190101,\nDOE,JO,,,,WA,1128a1,20180101,20200101\n")
     (tmp_path / "a.csv").write_text("Name,First,Last,NPI,State / Province,Record Status,Exclusion Type,Active Date\nBeta,,,,WA,Active,Prohibited,2020-01-01\nGone,,,,WA,Inactive,x,\nFar,,,,TX,Active,x,\n,Al,Far,1111111111,TX,Active,x,\n")
@@ -210,10 +265,6 @@ def test_tables_beside_what_they_replace(spark, tmp_path):
     store.replace(spark.read.parquet(path).where("id > 0"), path)  # reads what it replaces
     assert spark.read.parquet(path).count() == 2 and [p.name for p in tmp_path.iterdir()] == ["t"]
     assert store.meta(spark, f"{tmp_path}/m", {"a": "1"}) == {"a": "1"} and store.meta(spark, f"{tmp_path}/m", {"b": "2"}) == {"a": "1", "b": "2"} == store.meta(spark, f"{tmp_path}/m")
-    one, two = spark.createDataFrame([("x",)], "npi string"), spark.createDataFrame([("x",), ("y",)], "npi string")
-    assert store.covering(spark, f"{tmp_path}/c", one, "npi") is None
-    store.cached(spark.range(5), f"{tmp_path}/c", one, "npi")
-    assert store.covering(spark, f"{tmp_path}/c", one, "npi").count() == 5 and store.covering(spark, f"{tmp_path}/c", two, "npi") is None
     triage = spark.createDataFrame([("a", "new", "n", True)], "uid string, state string, note string, watched boolean")
     change = spark.createDataFrame([("a", "reviewed", None, None), ("b", None, "hi", None)], triage.schema)
     assert sorted(tuple(r) for r in store.triaged(triage, change).collect()) == [("a", "reviewed", "n", True), ("b", None, "hi", False)]

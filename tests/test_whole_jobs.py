@@ -113,3 +113,22 @@ def test_windows_equal_brute_force(spark):
     want = {(a[1], b[1]) for a in left for b in right if a[0] is not None and a[0] == b[0] and a[2] and b[2] and a[2] <= (b[3] or far) and (a[3] or far) >= b[2]}
     got = linkage.overlapping(spark.createDataFrame(left, "key int, uid int, start string, end string"), spark.createDataFrame(right, "key int, item int, start string, end string"), "key").select("uid", "item").collect()
     assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_two_thousand_names_against_brute_force(spark):
+    draw = random.Random(12)
+    parts = ["HARBOR", "LIGHTS", "MEADOW", "QUILTS", "TIMBER", "CEDARS", "OTTERS", "FENLAND"]
+    names, base = [], ""
+    for k in range(2000):
+        base = f"{draw.choice(parts)}{k // 6:04} {draw.choice(parts)} {draw.choice(parts)}" if k % 6 == 0 else base
+        name = base + draw.choice(["", "S", " TWO", " É", f" {draw.choice(parts)}"])
+        if k % 3 == 0:
+            at = draw.randrange(len(name))
+            name = name[:at] + draw.choice("ABCXYZ 09") + name[at + draw.randrange(2) :]
+        names.append((k, name))
+    rows = spark.createDataFrame(names, "uid long, name string")
+    every = linkage.name_pairs(rows, F.lit(True)).collect()
+    alike = lambda a, b: 1.0 if set(a.split()) == set(b.split()) else difflib.SequenceMatcher(None, a, b).ratio()
+    want = {(r.uid, r.uid2, ratio) for r in every if (ratio := alike(r.text, r.text2)) >= 0.9}
+    assert {tuple(r) for r in linkage.near_names(rows).collect()} == want and len(want) > 100
+    assert linkage.near_pairs(rows).count() < 0.2 * len(every)  # what Python gets to see
