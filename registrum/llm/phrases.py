@@ -96,8 +96,8 @@ def _blocks(docs: DataFrame, text: str, lang: str, size: int) -> DataFrame:
 
 def _paired(blocks: DataFrame, known: DataFrame) -> DataFrame:
     """block, the stream of pairs of adjacent named numbers, the pairs' parents and their counts."""
-    schema = StructType.fromDDL("block long, stream binary, size int, lefts array<long>, rights array<long>, counts array<long>")
-    one = lambda values: pa.ListArray.from_arrays([0, len(values)], pa.array(values, pa.int64()))
+    schema = StructType.fromDDL("block long, stream binary, size int, lefts array<long>, rights array<long>, counts array<int>")
+    one = lambda values, kind=pa.int64(): pa.ListArray.from_arrays([0, len(values)], pa.array(values, kind))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,7 +117,7 @@ def _paired(blocks: DataFrame, known: DataFrame) -> DataFrame:
                 out = np.full(len(both), -1, np.int32)
                 out[both] = which
                 out = out[both | np.concatenate([[False], both[:-1]])]  # one mark is enough between runs
-                yield pa.RecordBatch.from_arrays([pa.array([block.as_py()]), *_packed(out), one(ids[pairs // len(numbers)]), one(ids[pairs % len(numbers)]), one(counts)], schema.names)
+                yield pa.RecordBatch.from_arrays([pa.array([block.as_py()]), *_packed(out), one(ids[pairs // len(numbers)]), one(ids[pairs % len(numbers)]), one(counts, pa.int32())], schema.names)
 
     return blocks.select("block", "stream", "size").join(known, "block").select("block", "stream", "size", "known").mapInArrow(releasing(run), schema)
 
@@ -145,7 +145,7 @@ def named_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", words
         paths.append(made[1])
         return made[0]
 
-    blocks, path = staged(_blocks(docs, text, lang, block), "phrase-blocks")
+    blocks, path = staged(_blocks(docs, text, lang, block), "phrase-blocks", "zstd")
     entry = F.posexplode(F.arrays_zip("words", F.col("counts").alias("n"))).alias("number", "entry")
     entries = blocks.select("block", "lang", entry).select("block", "number", "lang", F.col("entry.words").alias("word"), "entry.n")
     totals = kept(staged(entries.groupBy("lang").agg(F.sum("n").alias("n")), "phrase-totals"))
@@ -154,7 +154,7 @@ def named_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", words
     levels = [names.select("lang", "id", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", none.alias("heads"), none.alias("tails"))]
     keys = ["lang", "word"]
     for k in range(2, words + 1):
-        blocks, paired = staged(_paired(blocks, _known(entries, names, keys, broadcast)), f"phrase-pairs-{k}")
+        blocks, paired = staged(_paired(blocks, _known(entries, names, keys, broadcast)), f"phrase-pairs-{k}", "zstd")
         discard(docs.sparkSession, path)
         path = paired
         entry = F.posexplode(F.arrays_zip(F.col("lefts").alias("left"), F.col("rights").alias("right"), F.col("counts").alias("n"))).alias("number", "entry")
