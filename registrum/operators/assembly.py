@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from registrum.functions.names import brand_key, brand_or_name, distinctive, generic, venue, without_site
 from registrum.functions.text import address_key, address_line, blank, email, first_of, name_key, person_key, phone, upper_key, year
+from registrum.session import staged
 
 from .graph import components
 from .linkage import first_wins
@@ -231,7 +232,7 @@ def assembled(entities: DataFrame, keys: DataFrame, fuzzy: DataFrame, geo: DataF
     alone = entities.select(F.col("uid").alias("a"), F.col("uid").alias("b"))
     roots = components(edges.unionByName(alone).distinct())
     rows = entities.join(roots, entities["uid"] == roots["node"]).drop("node")
-    members = folded_members(rows).withColumn("real", F.when(contract(F.col("source")), substantive(F.col("amount"), F.col("status"))))
+    members = staged(folded_members(rows).withColumn("real", F.when(contract(F.col("source")), substantive(F.col("amount"), F.col("status")))), "members")
     flags = members.select("root").distinct()
     for side in (colocated(members, met).withColumn("colocated", F.lit(True)), linked_pairs(members, fuzzy, "fuzzy"), linked_pairs(members, geo, "geo"), documented(members).withColumn("dba", F.lit(True)), members.join(verified.select("uid"), "uid", "left_semi").where(~F.col("source").isin(*PEOPLE)).select("root").distinct().withColumn("verified", F.lit(True))):
         flags = flags.join(side, "root", "left")

@@ -677,4 +677,4 @@ def registration_flags(t):
     return context.registration(registry_best_match(t))
 
 
-from registrum.plans import registries  # noqa: E402, F401  registers its queries
+from registrum.plans import registries, resolution  # noqa: E402, F401  registers its queries
