@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from registrum.operators.linkage import first_wins
-from registrum.sources.store import replace
+from registrum.sources.store import swap
 
 
 def ingest(spark: SparkSession, folder: str, schema: str, path: str, checkpoint: str, key: str = "uid", order: str | None = None) -> StreamingQuery:
@@ -37,4 +37,4 @@ def current(spark: SparkSession, path: str, key: str = "uid") -> DataFrame:
 def compacted(spark: SparkSession, path: str, key: str = "uid") -> None:
     """Folds all batches into the newest one; not while a query writes."""
     newest = spark.read.parquet(path).agg(F.max("batch")).first()[0]
-    replace(current(spark, path, key).withColumn("batch", F.lit(newest)), path, "batch")
+    swap(current(spark, path, key).withColumn("batch", F.lit(newest)), path, "batch")

@@ -130,13 +130,13 @@ def test_store(spark, tmp_path):
     path, schema = f"{tmp_path}/t", "uid string, a int, b string"
     store.upsert(spark.createDataFrame([("x", 1, "p"), ("y", 2, "q")], schema), path, "uid")
     store.upsert(spark.createDataFrame([("x", 9, None), ("z", None, "r")], schema), path, "uid", partial=True, defaults={"a": 0})
-    assert sorted(tuple(r) for r in spark.read.parquet(path).collect()) == [("x", 9, "p"), ("y", 2, "q"), ("z", 0, "r")]
+    assert sorted(tuple(r) for r in store.read(spark, path).collect()) == [("x", 9, "p"), ("y", 2, "q"), ("z", 0, "r")]
     store.append_new(spark.createDataFrame([("x", 5, "s"), ("w", 5, "s"), ("w", 5, "s")], schema), path, ["uid"])
-    assert spark.read.parquet(path).count() == 4
+    assert store.read(spark, path).count() == 4
     runs = f"{tmp_path}/runs"
     for day in range(1, 9):
         store.snapshot(spark.createDataFrame([("x", day)], "uid string, score int"), runs, f"2024-01-0{day}")
-    assert {r.score for r in spark.read.parquet(runs).collect()} == {3, 4, 5, 6, 7, 8}
+    assert {r.score for r in store.read(spark, runs).collect()} == {3, 4, 5, 6, 7, 8}
 
 
 def test_readers(spark, tmp_path):

@@ -244,7 +244,7 @@ def test_all_sheets_runs_and_dockets(spark, tmp_path):
     assert [(r.member[-5], r.row, r.cells) for r in readers.xlsx(spark, f"{tmp_path}/w.xlsx", None).orderBy("member", "row").collect()] == [("1", 0, ["a"]), ("2", 0, ["b"]), ("2", 1, ["c"])]
     rows = spark.createDataFrame([("s:1", "s"), ("s:2", "s")], "uid string, source string")
     assert store.ingested(rows, f"{tmp_path}/e", f"{tmp_path}/log", "s", "2024-01-01") == 2 and store.ingested(rows.limit(1), f"{tmp_path}/e", f"{tmp_path}/log", "s", "2024-01-02") == 2
-    assert spark.read.parquet(f"{tmp_path}/log").count() == 2
+    assert store.read(spark, f"{tmp_path}/log").count() == 2
     entities = spark.createDataFrame([("a", "Harbor Light Services LLC"), ("b", "Short"), ("c", "Harbor Quilts House")], "uid string, name string")
     triage = spark.createDataFrame([("a", "escalated", None), ("b", "escalated", True), ("c", "new", False)], "uid string, state string, watched boolean")
     cases = spark.createDataFrame([("HARBOR LIGHT SERVICES", "US v. X", "wawd", "2020-01-01", "1:20", "http://c/1"), ("Harbor Quilts House", "Y", "waed", "2020-01-01", "2", "http://c/2")], "party string, case string, court string, filed string, docket string, url string")
@@ -262,11 +262,46 @@ def test_projected_blocks(spark):
 def test_tables_beside_what_they_replace(spark, tmp_path):
     path = f"{tmp_path}/t"
     store.replace(spark.range(3), path)
-    store.replace(spark.read.parquet(path).where("id > 0"), path)  # reads what it replaces
-    assert spark.read.parquet(path).count() == 2 and [p.name for p in tmp_path.iterdir()] == ["t"]
+    store.replace(store.read(spark, path).where("id > 0"), path)  # reads what it replaces
+    assert store.read(spark, path).count() == 2 and store.read(spark, path, 1).count() == 3 and [p.name for p in tmp_path.iterdir()] == ["t"]
+    store.swap(spark.range(3), f"{tmp_path}/plain")
+    store.swap(spark.read.parquet(f"{tmp_path}/plain").where("id > 0"), f"{tmp_path}/plain")
+    assert spark.read.parquet(f"{tmp_path}/plain").count() == 2
     assert store.meta(spark, f"{tmp_path}/m", {"a": "1"}) == {"a": "1"} and store.meta(spark, f"{tmp_path}/m", {"b": "2"}) == {"a": "1", "b": "2"} == store.meta(spark, f"{tmp_path}/m")
     triage = spark.createDataFrame([("a", "new", "n", True)], "uid string, state string, note string, watched boolean")
     change = spark.createDataFrame([("a", "reviewed", None, None), ("b", None, "hi", None)], triage.schema)
     assert sorted(tuple(r) for r in store.triaged(triage, change).collect()) == [("a", "reviewed", "n", True), ("b", None, "hi", False)]
     with pytest.raises(Exception, match="unknown state"):
         store.triaged(triage, spark.createDataFrame([("a", "odd", None, None)], triage.schema)).collect()
+
+
+def test_versions(spark, tmp_path):
+    path = f"{tmp_path}/v"
+    rows = lambda *r: spark.createDataFrame(list(r), "k string, n int")
+    table = lambda **at: sorted(tuple(r) for r in store.read(spark, path, **at).collect())
+    with pytest.raises(FileNotFoundError):
+        store.read(spark, path)
+    assert store.replace_partitions(rows(("a:1", 1), ("b", 2)), path, "k") == 1
+    before = store.read(spark, path)  # a reader that began with the first version
+    assert store.replace_partitions(rows(("b", 3), ("c", 4), (None, 5)), path, "k") == 2
+    assert sorted(r.n for r in before.collect()) == [1, 2] and [r.n for r in store.read(spark, path).orderBy("n").collect()] == [1, 3, 4, 5]
+    assert table(parts=["a:1"]) == [("a:1", 1)] and table(version=1) == [("a:1", 1), ("b", 2)]
+    # A write that dies half way, in its rows or in its manifest, changes nothing, and the next one goes on from what was there.
+    broken = rows(("d", 1)).union(spark.range(1).selectExpr("cast(raise_error('killed') as string) k", "1 n"))
+    with pytest.raises(Exception, match="killed"):
+        store.replace(broken, path)
+    (tmp_path / "v" / store.MANIFESTS / f"{3:012d}").write_text('{"entries": [')
+    assert [r.n for r in store.read(spark, path).orderBy("n").collect()] == [1, 3, 4, 5]
+    assert store.append(rows(("e", 6)), path) == 4 and store.read(spark, path).count() == 5
+    # Two writers from one version: the second is told, and its rows aren't in the table.
+    assert store.replace(rows(("f", 7)), path, base=4) == 5
+    with pytest.raises(store.Conflict):
+        store.replace(rows(("g", 8)), path, base=4)
+    assert table() == [("f", 7)] and set(store.versions(spark, path)) == {4, 5}
+    folders = lambda: {p.name for p in (tmp_path / "v").iterdir() if p.name.startswith("data-")}
+    left = len(folders())
+    assert store.vacuum(spark, path) == [] and 1 <= len(store.vacuum(spark, path, 0)) < left and table() == [("f", 7)] and store.read(spark, path, 4).count() == 5
+    store.replace(rows(), path)
+    assert table() == []
+    with pytest.raises(ValueError, match="n is int"):
+        store.append(spark.createDataFrame([("x", "y")], "k string, n string"), path)
