@@ -16,8 +16,8 @@ from . import assembly, graph, linkage
 def rollup(members: DataFrame) -> DataFrame:
     """One row per component of members (root, uid, source, name, person, score, funds, barred, sanctioned, contradiction).
 
-    People are counted once, and so are the yearly sources of contracts. A barred or sanctioned member is verified unless it is a health-care credential, which meets others by a person's
-    name only. The base score is that of the first member by bar, score and money. The name is that of a verified barred member in this
+    People are counted once, and so are the yearly sources of contracts. A barred or sanctioned member is verified unless it is a health-care
+    credential, which meets others by a person's name only. The base score is that of the first member by bar, score and money. The name is that of a verified barred member in this
     place, else of the organization with the most money, else the longest."""
     order = F.struct("barred", "score", "funds", "uid")
     org = F.col("source") != "healthcare"
