@@ -611,6 +611,19 @@ def dashboard_summary(t):
     return serve.summary(t("customer").select(uid.alias("uid"), F.col("c_mktsegment").alias("source")), scored, flags, triage)
 
 
+@query(
+    f"""with {ORDER_FLAGS}, {ORDER_PAYMENTS} select 'funds' as kind, 'all' as label, count(*) as n, round(coalesce(sum(amount), 0), 2) as amount from p union all select 'program', program, count(*), round(sum(amount), 2) from p group by 2
+    union all (select 'fiscal', period, count(*), round(sum(amount), 2) from p where starts_with(program, 'WA state') and regexp_matches(period, '^FY[0-9]{{4}}$') group by 2 order by period desc limit 1)
+    union all select 'story', 'after_bar', count(*), round_even(coalesce(sum(after), 0), 0) from f where rule = 'paid_after_barred' union all select 'story', 'complaints', count(*), 0.0::double from f where rule = 'civil_monetary_penalty'
+    union all select 'ingest', o_orderpriority || ' @ ' || max(cast(o_orderdate as date)), count(*), 0.0::double from orders group by o_orderpriority"""
+)
+def dashboard_money(t):
+    rule = F.col("rule_id")
+    flags = order_flags(t).withColumn("rule_id", F.when(rule == "civil_monetary_penalty", "childcare_valid_complaint").otherwise(rule))
+    runs = t("orders").select(F.col("o_orderpriority").alias("source"), F.col("o_orderdate").cast("date").cast("string").alias("ran_at"))
+    return serve.money_summary(order_payments(t), flags, runs)
+
+
 @query(f"with n as (select c_custkey as uid, c_name as name, {sql_key('c_name')} as nk from customer where c_acctbal >= 2000), h as (select o_orderkey as url, 'Owner of <b>' || o_orderpriority || '</b> and Customer#' || lpad(cast(o_custkey as varchar), 9, '0') || ' pleads guilty' as title from orders) select uid, 'http://n/' || url as url from n join (select url, {sql_key("regexp_replace(title, '<[^>]+>', ' ', 'g')")} as title from h) on length(nk) >= 10 and contains(title, nk)")
 def headline_matches(t):
     key = F.col("o_orderkey")
