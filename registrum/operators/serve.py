@@ -242,7 +242,7 @@ def summary(entities: DataFrame, scored: DataFrame, flags: DataFrame, triage: Da
 
 def money_summary(payments: DataFrame, flags: DataFrame, runs: DataFrame | None = None) -> DataFrame:
     """kind, label, n and amount of the first screen's money: payments (program, period, amount) in all and by program, the latest fiscal year of state
-    programs, what flags (rule_id, evidence) say was paid after a bar, valid complaints, and of runs (source, ran_at) the last of each source as
+    programs, what flags (rule_id, evidence) say was paid after a bar (evidence that can't be read counts for nothing), valid complaints, and of runs (source, ran_at) the last of each source as
     `ingest` with its time as label's second half, after ` @ `. Everything is aggregated before it meets; empty tables leave zeros in the totals."""
     cents = F.round(F.coalesce(F.sum("amount"), F.lit(0.0)), 2).alias("amount")
     row = lambda kind, label, n, amount: [F.lit(kind).alias("kind"), label.alias("label"), n.alias("n"), amount.alias("amount")]
@@ -252,7 +252,7 @@ def money_summary(payments: DataFrame, flags: DataFrame, runs: DataFrame | None
     years_ = payments.where(fiscal(F.col("period")) & F.col("program").startswith("WA state")).groupBy("period").agg(count, cents)
     out = out.unionByName(years_.orderBy(F.desc("period")).limit(1).select(*row("fiscal", F.col("period"), n, amount)))
     paid = F.coalesce(F.try_variant_get(F.try_parse_json("evidence"), "$.amount_after", "double"), F.lit(0.0))
-    late = flags.where(F.col("rule_id").isin("paid_after_barred", "paid_after_npi_deactivated")).agg(count, F.bround(F.coalesce(F.sum(paid), F.lit(0.0)), 0).alias("amount"))
+    late = flags.where(F.col("rule_id").isin("paid_after_barred", "paid_after_npi_deactivated") & F.try_parse_json(F.coalesce(F.nullif("evidence", F.lit("")), F.lit("{}"))).isNotNull()).agg(count, F.bround(F.coalesce(F.sum(paid), F.lit(0.0)), 0).alias("amount"))
     out = out.unionByName(late.select(*row("story", F.lit("after_bar"), n, amount)))
     out = out.unionByName(flags.where("rule_id = 'childcare_valid_complaint'").agg(count).select(*row("story", F.lit("complaints"), n, F.lit(0.0))))
     if runs is None:

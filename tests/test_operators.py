@@ -173,3 +173,11 @@ def test_streaming(spark, tmp_path):
     (tmp_path / "in" / "4.json").write_text('{"uid":"b","n":9}')
     ingest(*args).awaitTermination(60)
     assert sorted(tuple(r) for r in current(spark, f"{tmp_path}/t").collect()) == [("a", 7), ("b", 9)]
+
+
+def test_money_summary(spark):
+    payments = spark.createDataFrame([("a", "WA state (X)", "FY2023", 1.0), ("a", "WA state (X)", "FY2024", 2.0), ("b", "WA state (Y)", None, None)], "uid string, program string, period string, amount double")
+    flags = spark.createDataFrame([("a", "paid_after_barred", '{"amount_after": 7.4}'), ("b", "paid_after_npi_deactivated", "{"), ("b", "childcare_valid_complaint", None)], "entity_uid string, rule_id string, evidence string")
+    got = {(r.kind, r.label): (r.n, r.amount) for r in serve.money_summary(payments, flags).collect()}
+    assert got == {("funds", "all"): (3, 3.0), ("program", "WA state (X)"): (2, 3.0), ("program", "WA state (Y)"): (1, 0.0), ("fiscal", "FY2024"): (1, 2.0), ("story", "after_bar"): (1, 7.0), ("story", "complaints"): (1, 0.0)}
+    assert {(r.kind, r.label, r.n) for r in serve.money_summary(payments.limit(0), flags.limit(0)).collect()} == {("funds", "all", 0), ("story", "after_bar", 0), ("story", "complaints", 0)}
