@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import discard, releasing, staged, utf8
+from .common import discard, freed, releasing, staged, utf8
 
 #: Words of the longest phrase, least occurrences, percentage of a phrase's occurrences inside a longer one that drops it, rows a language.
 WORDS, LEAST, INSIDE, TOP = 4, 30, 80, 2000
@@ -95,31 +95,35 @@ def _blocks(docs: DataFrame, text: str, lang: str, size: int) -> DataFrame:
 
 
 def _paired(blocks: DataFrame, known: DataFrame) -> DataFrame:
-    """block, the stream of pairs of adjacent named numbers, the pairs' parents and their counts."""
+    """block, the stream of pairs of adjacent named numbers, the pairs' parents and their counts. known: block, number and id, which meet the block's
+    stream as sorted rows, one block at a time, so a task's memory depends neither on how many blocks it has nor on the corpus."""
     schema = StructType.fromDDL("block long, stream binary, size int, lefts array<long>, rights array<long>, counts array<int>")
-    one = lambda values, kind=pa.int64(): pa.ListArray.from_arrays([0, len(values)], pa.array(values, kind))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, packed, size, named in zip(*batch.columns, strict=True):
-                numbers, ids = (c.to_numpy(zero_copy_only=False) for c in named.values.flatten())
-                if not len(numbers):
-                    continue
-                stream = np.frombuffer(pa.decompress(packed.as_buffer(), size.as_py(), "zstd"), np.int32)
-                place = np.full(int(max(stream.max(), numbers.max())) + 2, -1, np.int64)  # its last place is that of -1
-                place[numbers] = np.arange(len(numbers))
-                held = place[stream]
-                left, right = held[:-1], held[1:]
-                both = (left >= 0) & (right >= 0)
-                if not both.any():
-                    continue
-                pairs, which, counts = np.unique(left[both] * len(numbers) + right[both], return_inverse=True, return_counts=True)
-                out = np.full(len(both), -1, np.int32)
-                out[both] = which
-                out = out[both | np.concatenate([[False], both[:-1]])]  # one mark is enough between runs
-                yield pa.RecordBatch.from_arrays([pa.array([block.as_py()]), *_packed(out), one(ids[pairs // len(numbers)]), one(ids[pairs % len(numbers)]), one(counts, pa.int32())], schema.names)
-
-    return blocks.select("block", "stream", "size").join(known, "block").select("block", "stream", "size", "known").mapInArrow(releasing(run), schema)
+    one = lambda values, kind=pa.int64(): pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
+    none = pa.Table.from_batches([], pa.schema([("block", pa.int64()), ("stream", pa.binary()), ("size", pa.int32()), ("lefts", pa.list_(pa.int64())), ("rights", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32()))]))
+
+    def run(held: pa.Table, named: pa.Table) -> pa.Table:
+        if not held.num_rows or not named.num_rows:
+            return none
+        numbers, ids = (named.column(c).to_numpy() for c in ("number", "id"))
+        block, packed, size = (held.column(c)[0] for c in ("of", "packed", "size"))
+        stream = np.frombuffer(pa.decompress(packed.as_buffer(), size.as_py(), "zstd"), np.int32)
+        place = np.full(int(max(stream.max(), numbers.max())) + 2, -1, np.int64)  # its last place is that of -1
+        place[numbers] = np.arange(len(numbers))
+        at = place[stream]
+        left, right = at[:-1], at[1:]
+        both = (left >= 0) & (right >= 0)
+        if not both.any():
+            return none
+        pairs, which, counts = np.unique(left[both] * len(numbers) + right[both], return_inverse=True, return_counts=True)
+        out = np.full(len(both), -1, np.int32)
+        out[both] = which
+        out = out[both | np.concatenate([[False], both[:-1]])]  # one mark is enough between runs
+        made = pa.Table.from_arrays([pa.array([block.as_py()]), *_packed(out), one(ids[pairs // len(numbers)]), one(ids[pairs % len(numbers)]), one(counts, pa.int32())], schema.names)
+        freed()
+        return made
+
+    streams = blocks.select(F.col("block").alias("of"), F.col("stream").alias("packed"), "size").groupBy("of")
+    return streams.cogroup(known.groupBy("block")).applyInArrow(run, schema)  # names of their own: both sides come from the same table
 
 
 def _counted(entries: DataFrame, keys: list[str], least: int, name: str) -> tuple[DataFrame, str]:
@@ -128,12 +132,10 @@ def _counted(entries: DataFrame, keys: list[str], least: int, name: str) -> tupl
 
 
 def _known(entries: DataFrame, names: DataFrame, keys: list[str], broadcast: int) -> DataFrame:
-    """block and known: the numbers of its entries that have a name, with the name. Each entry finds one name or none."""
+    """block, number and id of its entries that have a name. Each entry finds one name or none."""
     names = names.select(*keys, "id")
     few = names.limit(broadcast + 1).count() <= broadcast
-    named = entries.join(F.broadcast(names) if few else names, keys, "left")
-    name = F.when(F.col("id").isNotNull(), F.struct("number", "id"))
-    return named.groupBy("block").agg(F.collect_list(name).alias("known"))  # at most a block's distinct entries
+    return entries.join(F.broadcast(names) if few else names, keys).select("block", "number", "id")
 
 
 def named_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", words: int = WORDS, least: int = LEAST, block: int = BLOCK, broadcast: int = BROADCAST) -> tuple[list[DataFrame], DataFrame, list[str]]:

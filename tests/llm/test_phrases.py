@@ -62,3 +62,19 @@ def test_one_phrase_in_all_texts_and_repeated_rows(spark):
 def test_empty_tables_and_texts_without_words(spark):
     assert phrases.mined(spark.createDataFrame([], "lang string, text string")).count() == 0
     assert phrases.mined(spark.createDataFrame([("en", None), (None, ""), ("en", " .\n. "), ("en", "one")], "lang string, text string")).count() == 0
+
+
+def test_memory_holds_one_block_at_a_time(spark, monkeypatch):
+    """Names meet a block as sorted rows: no aggregate collects the entries of all blocks of a task, and results stay the same."""
+    plans, staged = [], phrases.staged
+
+    def seen(df, name, codec=None):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return staged(df, name, codec)
+
+    monkeypatch.setattr(phrases, "staged", seen)
+    rows = made(7)
+    got = {tuple(r) for r in phrases.mined(spark.createDataFrame(rows, "lang string, text string"), least=3, block=300).collect()}
+    assert got == brute(rows, 3, 80, 2000) and got
+    paired = [plan for name, plan in plans if name.startswith("phrase-pairs")]
+    assert len(paired) == phrases.WORDS - 1 and not any("collect_list" in plan for plan in paired)
