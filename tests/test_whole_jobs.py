@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from registrum.operators import linkage
 from registrum.plans import catalogue
+from registrum.sources import bulk
 
 
 def write(spark, folder, name, rows, schema):
@@ -132,3 +133,19 @@ def test_two_thousand_names_against_brute_force(spark):
     want = {(r.uid, r.uid2, ratio) for r in every if (ratio := alike(r.text, r.text2)) >= 0.9}
     assert {tuple(r) for r in linkage.near_names(rows).collect()} == want and len(want) > 100
     assert linkage.near_pairs(rows).count() < 0.4 * len(every)  # what Python gets to see
+
+
+def test_items_of_a_key_and_url_are_one_before_they_meet(spark):
+    entities = spark.range(40).selectExpr("concat('u', id % 30) as uid", "cast(null as string) as credential", "'17' as npi", "'Ann Smith' as name")
+    items = spark.range(400).selectExpr("if(id % 4 = 3, null, concat('x', id % 4)) as url", "if(id % 7 = 0, null, concat('t', id % 9)) as title", "concat('d', id % 5) as date", "'news' as kind", "cast(null as string) as credential", "if(id % 2 = 0, '17', null) as npi", "'ANN SMITH' as name")
+    links = bulk.context_links(entities, items)
+    plan = links._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") >= 3 and plan.index("Join") < plan.rindex("Aggregate")  # both sides are made single below the join
+    best = {}
+    for r in items.collect():
+        for rank, via, key in ((1, "NPI", r.npi), (2, "name", r.name)):
+            if key:
+                value = (rank, via, *((x is not None, x) for x in (r.title, r.date, r.kind)))
+                best[r.url] = min(best.get(r.url, value), value)
+    assert {tuple(r) for r in links.collect()} == {(f"u{u}", url, *(x[1] for x in b[2:]), b[1]) for u in range(30) for url, b in best.items()}
+    assert links.count() == 30 * len(best)
