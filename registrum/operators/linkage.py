@@ -185,41 +185,57 @@ def supersets(rows: DataFrame, subsets: DataFrame) -> DataFrame:
     return rows.join(met, "name").select("uid", "subset")
 
 
-#: Characters of the pieces by which short needles meet texts.
-GRAM = 4
+#: Characters of the pieces by which short needles meet texts; pairs of lengths of two words that are told apart.
+GRAM, PAIRS = 4, 25
 
 
-def containing(texts: DataFrame, needles: DataFrame) -> DataFrame:
-    """uid and item_id for texts (uid, text) that hold a needle (item_id, needle) as it stands. Empty needles are nowhere.
+def needle_keys(needles: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """needle and keys of the different needles, and the arrays of keys of a column `text` that can meet them.
 
-    Needles meet texts by an equal key. The inner words of a needle of three or more words are whole words of every text that holds it; of a shorter
-    one, which may start or end inside a word, every run of GRAM characters (all of it, if it has fewer) is one of the text's. Of these
-    keys the one that is in the fewest texts is looked up, so a common word gathers nothing that a rarer one rules out, and a needle
-    with a key that no text has is done."""
-    needles = needles.where("needle <> ''")
+    The inner words of a needle of three or more words are whole words of every text that holds it. Of two words the first ends a word of the text and the second
+    begins one, so the key is the end of the one, the blank and the beginning of the other: both words whole while the needles have at most
+    PAIRS pairs of lengths, else their last and first 1, 2, 4, 8 or 16 characters. A text has one such key a blank and pair of lengths. Of any other needle, which may start or
+    end inside a word, every run of GRAM characters (all of it, if it has fewer) is one of the text's."""
+    needles = staged(needles.select("needle").distinct(), "needles")
     parts = F.split("needle", " ")
     inner = F.filter(F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(1))), lambda w: w != "")
-    long = (F.size(parts) >= 3) & (F.size(inner) > 0)
+    long, two = (F.size(parts) >= 3) & (F.size(inner) > 0), (F.size(parts) == 2) & (F.get(parts, F.lit(0)) != "") & (F.get(parts, F.lit(1)) != "")
+    first, second = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
+    whole = needles.where(two).select(F.length(first), F.length(second)).distinct().limit(PAIRS + 1).count() <= PAIRS
+    cut = lambda w: F.length(w) if whole else F.greatest(F.lit(1), *[F.when(F.length(w) >= n, n) for n in (2, 4, 8, 16)])
 
     def runs(text: str, n: int) -> Column:
         return F.transform(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)), lambda x: F.concat(F.lit(f"{n}:"), x))
 
-    size = F.least(F.length("needle"), F.lit(GRAM))
+    size = F.when(~long & ~two, F.least(F.length("needle"), F.lit(GRAM)))
     own = F.when(long, F.transform(inner, lambda w: F.concat(F.lit("w:"), w)))
+    own = own.when(two, F.array(F.concat(F.lit("p:"), F.right(first, cut(first)), F.lit(" "), F.left(second, cut(second)))))
     for n in range(1, GRAM + 1):
         own = own.when(size == n, runs("needle", n))
-    different = staged(needles.select("needle", size.alias("size"), long.alias("long"), F.array_distinct(own).alias("keys")).distinct(), "needles")
-    kinds = {(r["long"], r["size"] if not r["long"] else 0) for r in different.select("long", F.when(~F.col("long"), F.col("size")).alias("size")).distinct().collect()}  # GRAM + 1 at most
-    keys = [F.transform(F.split("text", " "), lambda w: F.concat(F.lit("w:"), w))] if any(k for k, _ in kinds) else []
-    keys += [runs("text", n) for k, n in sorted(kinds) if not k]
+    kinds = needles.select(long.alias("long"), F.when(two, cut(first)).alias("a"), F.when(two, cut(second)).alias("b"), size.alias("size")).distinct().collect()  # GRAM + PAIRS + 1 at most
+    keys = [F.transform(F.split("text", " "), lambda w: F.concat(F.lit("w:"), w))] if any(k["long"] for k in kinds) else []
+    for a, b in sorted({(k["a"], k["b"]) for k in kinds if k["a"]}):
+        keys.append(F.transform(F.regexp_extract_all("text", F.lit(f"(?=([^ ]{{{a}}} [^ ]{{{b}}}))"), F.lit(1)), lambda x: F.concat(F.lit("p:"), x)))
+    keys += [runs("text", n) for n in sorted({k["size"] for k in kinds if k["size"]})]
+    return needles.select("needle", F.array_distinct(own).alias("keys")), keys
+
+
+def containing(texts: DataFrame, needles: DataFrame) -> DataFrame:
+    """uid and item_id for texts (uid, text) that hold a needle (item_id, needle) as it stands. Empty needles are nowhere.
+
+    Needles meet texts by an equal key (needle_keys). Of a needle's keys the one that is in the fewest texts is looked up, so a common word gathers nothing that
+    a rarer one rules out, and a needle with a key that no text has is done. Needles and their keys are merged, not broadcast: their files are far smaller than
+    their rows, and the driver would hold them all."""
+    needles = needles.where("needle <> ''")
+    different, keys = needle_keys(needles)
     if not keys:
         return texts.join(needles, F.lit(False)).select("uid", "item_id")
     wanted = different.select("needle", F.explode("keys").alias("key"))
-    held = texts.select("uid", F.explode(F.array_distinct(F.concat(*keys))).alias("key")).join(wanted.select("key").distinct(), "key", "left_semi")
+    held = texts.select("uid", F.explode(F.array_distinct(F.concat(*keys))).alias("key")).join(wanted.select("key").distinct().hint("merge"), "key", "left_semi")
     often = held.groupBy("key").agg(F.count("*").alias("n"))
-    rarest = wanted.join(often, "key", "left").groupBy("needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0).cast("long")).alias("n"), "key")).alias("r")).where("r.n > 0").select("needle", F.col("r.key").alias("key"))
-    met = held.join(rarest, "key").select("uid", "needle").distinct().join(texts, "uid").where(F.col("text").contains(F.col("needle"))).select("uid", "needle").distinct()
-    return met.join(needles.select("needle", "item_id"), "needle").select("uid", "item_id").distinct()
+    rarest = wanted.hint("merge").join(often, "key", "left").groupBy("needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0).cast("long")).alias("n"), "key")).alias("r")).where("r.n > 0").select("needle", F.col("r.key").alias("key"))
+    met = held.join(rarest.hint("merge"), "key").select("uid", "needle").distinct().join(texts, "uid").where(F.col("text").contains(F.col("needle"))).select("uid", "needle").distinct()
+    return met.join(needles.select("needle", "item_id").hint("merge"), "needle").select("uid", "item_id").distinct()
 
 
 def merge(old: DataFrame, new: DataFrame, key: str, defaults: dict[str, object] | None = None) -> DataFrame:

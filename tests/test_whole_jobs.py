@@ -135,6 +135,27 @@ def test_two_thousand_names_against_brute_force(spark):
     assert linkage.near_pairs(rows).count() < 0.4 * len(every)  # what Python gets to see
 
 
+def test_needles_of_two_words_have_one_key(spark):
+    # Numbered names share nearly all runs of four characters; the two words with their blank are one key, and a text has one such key a blank.
+    names = [f"CUSTOMER {k:09d}" for k in range(300)]
+    needles = spark.createDataFrame([(k, n) for k, n in enumerate(names)], "item_id long, needle string")
+    texts = spark.createDataFrame([(k, f"OWNER OF X{n}1 PLEADS") for k, n in enumerate(names)], "uid long, text string")
+    own, keys = linkage.needle_keys(needles)
+    assert {len(r[0]) for r in own.select("keys").collect()} == {1}
+    assert {len(r[0]) for r in texts.select(F.concat(*keys)).collect()} == {1}
+    assert {tuple(r) for r in linkage.containing(texts, needles).collect()} == {(k, k) for k in range(300)}
+
+
+def test_needles_of_two_words_of_many_lengths(spark):
+    # More pairs of lengths than are told apart: the keys hold the words' ends only, and the whole needle decides.
+    draw = random.Random(5)
+    word = lambda: "".join(draw.choice("abé𝄞\n") for _ in range(draw.choice([1, 1, 2, 3, 5, 9, 17, 40])))
+    needles = [(k, f"{word()} {word()}") for k in range(200)] + [(900, " a"), (901, "a "), (902, " "), (903, "a")]
+    texts = [(k, " ".join(word() for _ in range(6)) + draw.choice(["", " ", "b"]) + draw.choice(needles)[1] + draw.choice(["", " ", "é"])) for k in range(150)] + [(999, None), (998, "")]
+    found = linkage.containing(spark.createDataFrame(texts, "uid long, text string"), spark.createDataFrame(needles, "item_id long, needle string"))
+    assert sorted(tuple(r) for r in found.collect()) == sorted((u, i) for u, t in texts for i, n in needles if t and n in t)
+
+
 def test_items_of_a_key_and_url_are_one_before_they_meet(spark):
     entities = spark.range(40).selectExpr("concat('u', id % 30) as uid", "cast(null as string) as credential", "'17' as npi", "'Ann Smith' as name")
     items = spark.range(400).selectExpr("if(id % 4 = 3, null, concat('x', id % 4)) as url", "if(id % 7 = 0, null, concat('t', id % 9)) as title", "concat('d', id % 5) as date", "'news' as kind", "cast(null as string) as credential", "if(id % 2 = 0, '17', null) as npi", "'ANN SMITH' as name")
