@@ -1,12 +1,14 @@
-"""Phrase collocations by hierarchical pair naming.
+"""Phrase collocations, counted length by length.
 
 A block of text becomes a stream of numbers, one for each word, with a mark between pieces. Words that are frequent in all blocks of a language
-get a name (an id) by a global count; two adjacent named words form a pair, two adjacent named (k-1)-word phrases overlap in k-2 words and
-form a pair that is a k-word phrase. Pairs are counted by block, then globally, and frequent ones are named and joined back to the
-blocks, which replace the pair by its name. A name's two parents are its first and last k-1 words: cuts and the phrases inside a phrase
-are looked up along them.
-
-Counts are summed within a block before they are shuffled, names reach a block only for what it holds, and a block has a bounded size, so no
+get a name (a number from 0) by a global count and are joined back to the blocks once, which keep named words only. From then on a phrase is
+called by the names of its words, so a block needs no further join: it counts its distinct phrases of k named words, the counts are summed
+globally, and frequent ones stay. For k > 2 a block leaves out phrases whose first or last k-1 words are not frequent; it asks a table of bits for
+that, in which each frequent phrase has set one bit. A bit set by another phrase lets a phrase through in vain, never out: what is frequent is
+decided by the count alone, also where the table, whose size has a bound, is full. A phrase's first and last k-1 words are its parents: cuts and the
+phrases inside a phrase are looked up along them.
+
+Counts are summed within a block before they are shuffled, names of words reach a block only for what it holds, and a block has a bounded size, so no
 task holds a language or a phrase. Names are broadcast only while they are at most `BROADCAST` rows; beyond it the same join is shuffled.
 
 Texts are lower-cased in A-Z, split at `.,;:!?` and line ends into pieces, and at spaces and tabs into words. Null and empty texts have no
@@ -20,17 +22,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import discard, freed, releasing, staged, utf8
+from .common import discard, freed, mixed, releasing, staged, utf8
 
 #: Words of the longest phrase, least occurrences, percentage of a phrase's occurrences inside a longer one that drops it, rows a language.
 WORDS, LEAST, INSIDE, TOP = 4, 30, 80, 2000
 #: Bytes of text in a block; rows of names that are few enough to broadcast; parts of a language that are ranked before the language is.
 BLOCK, BROADCAST, PARTS = 4 << 20, 1_000_000, 64
+#: Bits a phrase in the table of frequent phrases, its bits at most (32 MB), rows that a block sends at once.
+SPREAD, BITS, ROWS = 16, 1 << 28, 1 << 18
 
 _BREAK, _SPACE = np.zeros(256, bool), np.zeros(256, bool)
 _BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -94,12 +98,11 @@ def _blocks(docs: DataFrame, text: str, lang: str, size: int) -> DataFrame:
     return rows.mapInArrow(releasing(run), schema)
 
 
-def _paired(blocks: DataFrame, known: DataFrame) -> DataFrame:
-    """block, the stream of pairs of adjacent named numbers, the pairs' parents and their counts. known: block, number and id, which meet the block's
-    stream as sorted rows, one block at a time, so a task's memory depends neither on how many blocks it has nor on the corpus."""
-    schema = StructType.fromDDL("block long, stream binary, size int, lefts array<long>, rights array<long>, counts array<int>")
-    one = lambda values, kind=pa.int64(): pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
-    none = pa.Table.from_batches([], pa.schema([("block", pa.int64()), ("stream", pa.binary()), ("size", pa.int32()), ("lefts", pa.list_(pa.int64())), ("rights", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32()))]))
+def _named(blocks: DataFrame, known: DataFrame) -> DataFrame:
+    """block, its stream of named words, and their names. known: block, number and id, which meet the block's stream as sorted rows, one block at a
+    time, so a task's memory depends neither on how many blocks it has nor on the corpus."""
+    schema = StructType.fromDDL("block long, stream binary, size int, ids array<long>")
+    none = pa.Table.from_batches([], pa.schema([("block", pa.int64()), ("stream", pa.binary()), ("size", pa.int32()), ("ids", pa.list_(pa.int64()))]))
 
     def run(held: pa.Table, named: pa.Table) -> pa.Table:
         if not held.num_rows or not named.num_rows:
@@ -107,18 +110,11 @@ def _paired(blocks: DataFrame, known: DataFrame) -> DataFrame:
         numbers, ids = (named.column(c).to_numpy() for c in ("number", "id"))
         block, packed, size = (held.column(c)[0] for c in ("of", "packed", "size"))
         stream = np.frombuffer(pa.decompress(packed.as_buffer(), size.as_py(), "zstd"), np.int32)
-        place = np.full(int(max(stream.max(), numbers.max())) + 2, -1, np.int64)  # its last place is that of -1
-        place[numbers] = np.arange(len(numbers))
+        place = np.full(int(max(stream.max(), numbers.max())) + 2, -1, np.int32)  # its last place is that of -1
+        place[numbers] = np.arange(len(numbers), dtype=np.int32)
         at = place[stream]
-        left, right = at[:-1], at[1:]
-        both = (left >= 0) & (right >= 0)
-        if not both.any():
-            return none
-        pairs, which, counts = np.unique(left[both] * len(numbers) + right[both], return_inverse=True, return_counts=True)
-        out = np.full(len(both), -1, np.int32)
-        out[both] = which
-        out = out[both | np.concatenate([[False], both[:-1]])]  # one mark is enough between runs
-        made = pa.Table.from_arrays([pa.array([block.as_py()]), *_packed(out), one(ids[pairs // len(numbers)]), one(ids[pairs % len(numbers)]), one(counts, pa.int32())], schema.names)
+        at = at[(at >= 0) | np.concatenate([[True], at[:-1] >= 0])]  # one mark is enough between runs
+        made = pa.Table.from_arrays([pa.array([block.as_py()]), *_packed(at), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.array(ids, pa.int64()))], schema.names)
         freed()
         return made
 
@@ -126,11 +122,97 @@ def _paired(blocks: DataFrame, known: DataFrame) -> DataFrame:
     return streams.cogroup(known.groupBy("block")).applyInArrow(run, schema)  # names of their own: both sides come from the same table
 
 
+def _slots(columns: list[np.ndarray], bits: int) -> np.ndarray:
+    """The places of phrases, given by a column of names for each of their words, in a table of so many bits (a power of two)."""
+    at = np.zeros(len(columns[0]), np.uint64)
+    for names in columns:
+        at = mixed(at + names.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    return at & np.uint64(bits - 1)
+
+
+def _table(phrases: DataFrame, width: str, most: int) -> Broadcast:
+    """The table of bits of frequent phrases: at most `most` bits, and as many as its rows need; what is sent are its words that are not zero."""
+    bits = 1 << (max(64, min(phrases.count() * SPREAD, most)) - 1).bit_length()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                data, at = utf8(batch.column(0))
+                slot = _slots(list(data[at[0] : at[-1]].view(width).reshape(batch.num_rows, -1).T), bits)
+                word, place = np.unique(slot >> np.uint64(6), return_inverse=True)
+                bit = np.zeros(len(word), np.uint64)
+                np.bitwise_or.at(bit, place, np.uint64(1) << (slot & np.uint64(63)))
+                yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(bit.view(np.int64))], ["word", "bit"])
+
+    found = phrases.select("key").mapInArrow(run, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
+    table = np.zeros(bits >> 6, np.uint64)
+    table[found.column("word").to_numpy()] = found.column("bit").to_numpy().view(np.uint64)
+    return phrases.sparkSession.sparkContext.broadcast(table)
+
+
+def _phrases(blocks: DataFrame, k: int, width: str, shorter: Broadcast | None) -> DataFrame:
+    """The blocks' distinct phrases of k named words as key (the names of the words, one after the other) and their counts n; only those whose first
+    and last k-1 words are in the table of frequent ones, if that is given."""
+    schema = StructType.fromDDL("key binary, n int")
+
+    def counted(at: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        whole = np.ones(max(0, len(at) - k + 1), bool)
+        for j in range(k):
+            whole &= at[j : len(whole) + j] >= 0
+        if shorter is not None and len(whole):
+            table, names = shorter.value, ids[at]  # a mark gets a name, but is in no whole phrase
+            slot = _slots([names[j : len(whole) + 1 + j] for j in range(k - 1)], len(table) << 6)
+            often = (table[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
+            whole &= often[:-1] & often[1:]
+        begins = np.flatnonzero(whole)
+        if not len(begins):
+            return
+        code, below = at[begins].astype(np.int64), []  # below: for each length the distinct codes of its phrases
+        for j in range(1, k):
+            if j > 1:
+                distinct, code = np.unique(code, return_inverse=True)
+                below.append(distinct)
+            code = code * len(ids) + at[begins + j]
+        code, counts = np.unique(code, return_counts=True)
+        columns = []
+        for j in range(k - 1, 0, -1):
+            code, last = np.divmod(code, len(ids))
+            columns.append(last)
+            code = below[j - 2][code] if j > 1 else code
+        words = np.stack([ids[c] for c in [code, *reversed(columns)]], axis=1).astype(width)
+        for lo in range(0, len(words), ROWS):
+            some = words[lo : lo + ROWS]
+            ends = np.arange(len(some) + 1, dtype=np.int32) * (k * some.itemsize)
+            key = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(ends), pa.py_buffer(some.tobytes())])
+            yield pa.RecordBatch.from_arrays([key, pa.array(counts[lo : lo + ROWS], pa.int32())], schema.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for packed, size, ids in zip(*batch.columns, strict=True):
+                stream = np.frombuffer(pa.decompress(packed.as_buffer(), size.as_py(), "zstd"), np.int32)
+                yield from counted(stream, ids.values.to_numpy())
+
+    return blocks.select("stream", "size", "ids").mapInArrow(releasing(run), schema)
+
+
 def _counted(entries: DataFrame, keys: list[str], least: int, name: str) -> tuple[DataFrame, str]:
     """The keys that occur often enough, with their count f and a name: id."""
     return staged(entries.groupBy(*keys).agg(F.sum("n").alias("f")).where(F.col("f") >= least).withColumn("id", F.monotonically_increasing_id()), name)
 
 
+def _numbered(names: DataFrame) -> tuple[DataFrame, str]:
+    """names with ids from 0 without gaps, and the type that holds them: four bytes while there are few enough. Only counts by written part are ranked."""
+    part = F.shiftright("id", 33)  # monotonic ids hold the part above 33 bits
+    sizes = names.groupBy(part.alias("part")).agg(F.count("*").alias("rows")).collect()
+    starts, total = [], 0
+    for row in sorted(sizes):
+        starts.append((row["part"], total))
+        total += row["rows"]
+    starts = names.sparkSession.createDataFrame(starts, "part int, start long")
+    dense = names.withColumn("part", part.cast("int")).join(F.broadcast(starts), "part").withColumn("id", F.col("start") + F.col("id").bitwiseAND((1 << 33) - 1))
+    return dense.drop("part", "start"), ">u4" if total <= 1 << 32 else ">u8"
+
+
 def _known(entries: DataFrame, names: DataFrame, keys: list[str], broadcast: int) -> DataFrame:
     """block, number and id of its entries that have a name. Each entry finds one name or none."""
     names = names.select(*keys, "id")
@@ -138,7 +220,7 @@ def _known(entries: DataFrame, names: DataFrame, keys: list[str], broadcast: int
     return entries.join(F.broadcast(names) if few else names, keys).select("block", "number", "id")
 
 
-def named_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", words: int = WORDS, least: int = LEAST, block: int = BLOCK, broadcast: int = BROADCAST) -> tuple[list[DataFrame], DataFrame, list[str]]:
+def named_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", words: int = WORDS, least: int = LEAST, block: int = BLOCK, broadcast: int = BROADCAST, bits: int = BITS) -> tuple[list[DataFrame], DataFrame, list[str]]:
     """For each length the frequent phrases (lang, id, left, right, phrase, last word, f, and the counts of their beginnings and ends), the words
     of each language (lang, n), and the staged tables beneath."""
     paths: list[str] = []
@@ -151,28 +233,29 @@ def named_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", words
     entry = F.posexplode(F.arrays_zip("words", F.col("counts").alias("n"))).alias("number", "entry")
     entries = blocks.select("block", "lang", entry).select("block", "number", "lang", F.col("entry.words").alias("word"), "entry.n")
     totals = kept(staged(entries.groupBy("lang").agg(F.sum("n").alias("n")), "phrase-totals"))
-    names = kept(_counted(entries, ["lang", "word"], least, "phrase-words"))
+    names, width = _numbered(kept(_counted(entries, ["lang", "word"], least, "phrase-words")))
     none = F.array().cast("array<bigint>")
-    levels = [names.select("lang", "id", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", none.alias("heads"), none.alias("tails"))]
-    keys = ["lang", "word"]
+    size = np.dtype(width).itemsize
+    blocks = kept(staged(_named(blocks, _known(entries, names, ["lang", "word"], broadcast)), "phrase-streams", "zstd"))
+    discard(docs.sparkSession, path)
+    levels = [names.select("lang", "id", F.unhex(F.lpad(F.hex("id"), 2 * size, "0")).alias("key"), F.col("word").alias("phrase"), F.col("word").alias("last"), "f", none.alias("heads"), none.alias("tails"))]
+    table = None
     for k in range(2, words + 1):
-        blocks, paired = staged(_paired(blocks, _known(entries, names, keys, broadcast)), f"phrase-pairs-{k}", "zstd")
-        discard(docs.sparkSession, path)
-        path = paired
-        entry = F.posexplode(F.arrays_zip(F.col("lefts").alias("left"), F.col("rights").alias("right"), F.col("counts").alias("n"))).alias("number", "entry")
-        entries, keys = blocks.select("block", entry).select("block", "number", "entry.*"), ["left", "right"]
-        names = kept(_counted(entries, keys, least, f"phrase-names-{k}"))
+        names = kept(_counted(_phrases(blocks, k, width, table), ["key"], least, f"phrase-pairs-{k}"))
+        if table is not None:
+            table.destroy()
+        table = _table(names, width, bits) if k < words else None
         below = levels[-1]
-        first = below.select(F.col("id").alias("left"), "lang", F.col("phrase").alias("_phrase"), F.concat("heads", F.array("f")).alias("heads"))
-        rest = below.select(F.col("id").alias("right"), "last", F.concat(F.array("f"), "tails").alias("tails"))
-        both = names.join(first, "left").join(rest, "right")
-        levels.append(kept(staged(both.select("lang", "id", "left", "right", F.concat_ws(" ", "_phrase", "last").alias("phrase"), "last", "f", "heads", "tails"), f"phrases-{k}")))
-    return levels, totals, [*paths, path]
+        first = below.select(F.col("key").alias("_head"), F.col("id").alias("left"), "lang", F.col("phrase").alias("_phrase"), F.concat("heads", F.array("f")).alias("heads"))
+        rest = below.select(F.col("key").alias("_tail"), F.col("id").alias("right"), "last", F.concat(F.array("f"), "tails").alias("tails"))
+        both = names.withColumn("_head", F.substring("key", 1, (k - 1) * size)).withColumn("_tail", F.substring("key", size + 1, (k - 1) * size)).join(first, "_head").join(rest, "_tail")
+        levels.append(kept(staged(both.select("lang", "id", "key", "left", "right", F.concat_ws(" ", "_phrase", "last").alias("phrase"), "last", "f", "heads", "tails"), f"phrases-{k}")))
+    return levels, totals, paths
 
 
-def mined(docs: DataFrame, text: str = "text", lang: str = "lang", words: int = WORDS, least: int = LEAST, inside: int = INSIDE, top: int = TOP, block: int = BLOCK, broadcast: int = BROADCAST) -> DataFrame:
+def mined(docs: DataFrame, text: str = "text", lang: str = "lang", words: int = WORDS, least: int = LEAST, inside: int = INSIDE, top: int = TOP, block: int = BLOCK, broadcast: int = BROADCAST, bits: int = BITS) -> DataFrame:
     """lang, rank, phrase, a, l, r, n and score of each language's first `top` phrases of 2 to `words` words."""
-    levels, totals, paths = named_phrases(docs, text, lang, words, least, block, broadcast)
+    levels, totals, paths = named_phrases(docs, text, lang, words, least, block, broadcast, bits)
     kept, longer = [], None  # longer: id of a phrase of the level at hand, and the counts of longer phrases around it
     for level in reversed(levels[1:]):
         if longer is None:

@@ -78,3 +78,31 @@ def test_memory_holds_one_block_at_a_time(spark, monkeypatch):
     assert got == brute(rows, 3, 80, 2000) and got
     paired = [plan for name, plan in plans if name.startswith("phrase-pairs")]
     assert len(paired) == phrases.WORDS - 1 and not any("collect_list" in plan for plan in paired)
+
+
+@pytest.mark.parametrize("bits", [64, phrases.BITS])
+def test_phrases_meet_no_join_of_entries(spark, monkeypatch, bits):
+    """Only words are joined back to their blocks; longer phrases are counted without a join, whose rows grew 16 times on five times the input. A
+    table of bits that is full lets more phrases through to the count, and the results stay the same."""
+    plans, staged = [], phrases.staged
+
+    def seen(df, name, codec=None):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return staged(df, name, codec)
+
+    monkeypatch.setattr(phrases, "staged", seen)
+    rows = made(11)
+    got = {tuple(r) for r in phrases.mined(spark.createDataFrame(rows, "lang string, text string"), least=4, block=400, **({} if bits == phrases.BITS else {"bits": bits})).collect()}
+    assert got == brute(rows, 4, 80, 2000) and got
+    paired = [plan for name, plan in plans if name.startswith("phrase-pairs")]
+    assert len(paired) == phrases.WORDS - 1 and not any("Join" in plan or "Generate" in plan for plan in paired)
+
+
+@pytest.mark.parametrize(("count", "width"), [(7, ">u4"), (300, ">u8")])
+def test_table_of_bits_loses_no_phrase(spark, count, width):
+    """Each frequent phrase finds its bit, in a table of any size and for names of four and eight bytes."""
+    keys = [phrases.np.array([k, k * k, 7], width).tobytes() for k in range(count)]
+    for most in (64, 1 << 20):
+        table = phrases._table(spark.createDataFrame([(bytearray(k),) for k in keys], "key binary"), width, most).value
+        slot = phrases._slots([phrases.np.array(c) for c in zip(*((k, k * k, 7) for k in range(count)), strict=True)], len(table) << 6)
+        assert len(table) << 6 <= max(64, most) and (table[slot >> phrases.np.uint64(6)] >> (slot & phrases.np.uint64(63)) & phrases.np.uint64(1)).all()
