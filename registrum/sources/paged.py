@@ -92,24 +92,6 @@ class Reader(DataSourceReader):
         self.schema, self.options = schema, options
         self.pushed: dict[str, str] = {}
 
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        """Takes over what the server can filter by; the rest stays with Spark."""
-        columns, where, conditions = self.options.get("push", "").split(","), self.options.get("where"), []
-        equal = {f.attribute[0] for f in filters if isinstance(f, EqualTo) and len(f.attribute) == 1}
-        for f in filters:
-            column = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
-            known = column is not None and "body" not in self.options and ("*" in columns or column in columns)
-            if known and isinstance(f, EqualTo) and column not in self.pushed:
-                self.pushed[column] = _literal(f.value).strip("'") if not isinstance(f.value, str) else f.value
-            elif known and isinstance(f, IsNotNull) and column in equal:
-                continue  # an equality says as much
-            elif known and where and (text := condition(f)):
-                conditions.append(text)
-            else:
-                yield f
-        if conditions:
-            self.pushed[where] = " AND ".join(conditions)
-
     def partitions(self) -> list[Page]:
         size = int(self.options.get("page", 1000))
         if "total" in self.options:
@@ -155,6 +137,28 @@ class Reader(DataSourceReader):
             at += partition.step
 
 
+class PushingReader(Reader):
+    """A reader whose server filters. Spark refuses a reader that takes filters while its setting for them is off, so only `push` makes one."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Takes over what the server can filter by; the rest stays with Spark."""
+        columns, where, conditions = self.options.get("push", "").split(","), self.options.get("where"), []
+        equal = {f.attribute[0] for f in filters if isinstance(f, EqualTo) and len(f.attribute) == 1}
+        for f in filters:
+            column = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
+            known = column is not None and "body" not in self.options and ("*" in columns or column in columns)
+            if known and isinstance(f, EqualTo) and column not in self.pushed:
+                self.pushed[column] = _literal(f.value).strip("'") if not isinstance(f.value, str) else f.value
+            elif known and isinstance(f, IsNotNull) and column in equal:
+                continue  # an equality says as much
+            elif known and where and (text := condition(f)):
+                conditions.append(text)
+            else:
+                yield f
+        if conditions:
+            self.pushed[where] = " AND ".join(conditions)
+
+
 class PagedSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -164,4 +168,5 @@ class PagedSource(DataSource):
         raise ValueError("give the columns to read with schema()")
 
     def reader(self, schema: StructType) -> Reader:
-        return Reader(schema, dict(self.options))
+        options = dict(self.options)
+        return (PushingReader if options.get("push") else Reader)(schema, options)

@@ -77,6 +77,31 @@ def test_filters_of_a_plan_go_into_the_request(spark):
         server.shutdown()
 
 
+@pytest.mark.parametrize("enabled", ["false", "true"])
+def test_pages_are_read_whatever_the_setting_for_filters(spark, enabled):
+    """A reader that pushes nothing takes no filters, which Spark would refuse while its setting is off (the default)."""
+
+    class Api(BaseHTTPRequestHandler):
+        def do_GET(self):
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps([{"id": k} for k in range(10)]).encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Api)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    spark.dataSource.register(PagedSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", enabled)
+    try:
+        rows = spark.read.format("paged").schema("id long").options(url=f"http://127.0.0.1:{server.server_port}/x", total="10", page="10", pause="0").load()
+        assert sorted(r.id for r in rows.where("id >= 4").collect()) == [4, 5, 6, 7, 8, 9]
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+        server.shutdown()
+
+
 def test_a_cache_grows_by_what_is_new(spark, tmp_path):
     asked = []
 
