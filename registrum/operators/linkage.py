@@ -14,6 +14,8 @@ from registrum.functions.names import generic
 from registrum.functions.text import name_key
 from registrum.session import staged
 
+from .needles import found
+
 
 def first_wins(rows: DataFrame, key: list[str], order: list) -> DataFrame:
     """One row per key, the first in `order`."""
@@ -220,22 +222,22 @@ def needle_keys(needles: DataFrame) -> tuple[DataFrame, list[Column]]:
     return needles.select("needle", F.array_distinct(own).alias("keys")), keys
 
 
+#: Rows and bytes of needles that are few enough to broadcast.
+FEW, FEW_BYTES = 20_000, 1 << 22
+
+
 def containing(texts: DataFrame, needles: DataFrame) -> DataFrame:
     """uid and item_id for texts (uid, text) that hold a needle (item_id, needle) as it stands. Empty needles are nowhere.
 
-    Needles meet texts by an equal key (needle_keys). Of a needle's keys the one that is in the fewest texts is looked up, so a common word gathers nothing that
-    a rarer one rules out, and a needle with a key that no text has is done. Needles and their keys are merged, not broadcast: their files are far smaller than
-    their rows, and the driver would hold them all."""
-    needles = needles.where("needle <> ''")
-    different, keys = needle_keys(needles)
-    if not keys:
+    The pieces of a text that look like needles are found where the text is read (needles.found) and meet the needles as they stand, so what is sent grows
+    with the result. Needles are broadcast while they are few, and merged beyond that: their files are far smaller than their rows, and the driver would hold
+    them all."""
+    needles = staged(needles.where("needle <> ''").select("item_id", F.col("needle").cast("binary").alias("needle")), "needles")
+    rows, size = needles.agg(F.count("*"), F.sum(F.length("needle"))).first()
+    if not rows:
         return texts.join(needles, F.lit(False)).select("uid", "item_id")
-    wanted = different.select("needle", F.explode("keys").alias("key"))
-    held = texts.select("uid", F.explode(F.array_distinct(F.concat(*keys))).alias("key")).join(wanted.select("key").distinct().hint("merge"), "key", "left_semi")
-    often = held.groupBy("key").agg(F.count("*").alias("n"))
-    rarest = wanted.hint("merge").join(often, "key", "left").groupBy("needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0).cast("long")).alias("n"), "key")).alias("r")).where("r.n > 0").select("needle", F.col("r.key").alias("key"))
-    met = held.join(rarest.hint("merge"), "key").select("uid", "needle").distinct().join(texts, "uid").where(F.col("text").contains(F.col("needle"))).select("uid", "needle").distinct()
-    return met.join(needles.select("needle", "item_id").hint("merge"), "needle").select("uid", "item_id").distinct()
+    other = F.broadcast(needles) if rows <= FEW and size <= FEW_BYTES else needles.hint("merge")
+    return found(texts, needles).join(other, "needle").select("uid", "item_id").distinct()
 
 
 def merge(old: DataFrame, new: DataFrame, key: str, defaults: dict[str, object] | None = None) -> DataFrame:

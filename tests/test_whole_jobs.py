@@ -6,6 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from registrum.operators import linkage
+from registrum.operators.needles import found
 from registrum.plans import catalogue
 from registrum.sources import bulk
 
@@ -170,3 +171,63 @@ def test_items_of_a_key_and_url_are_one_before_they_meet(spark):
                 best[r.url] = min(best.get(r.url, value), value)
     assert {tuple(r) for r in links.collect()} == {(f"u{u}", url, *(x[1] for x in b[2:]), b[1]) for u in range(30) for url, b in best.items()}
     assert links.count() == 30 * len(best)
+
+
+def shuffled(spark, run):
+    """What run() gives, and the bytes that its stages shuffled."""
+    jvm, store = spark._jvm, spark.sparkContext._jsc.sc().statusStore()
+
+    def stages():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        none = spark.sparkContext._gateway.new_array(jvm.double, 0)
+        seq = store.stageList(None, False, False, none, jvm.java.util.ArrayList())
+        return [seq.apply(k) for k in range(seq.size())]
+
+    before = {(s.stageId(), s.attemptId()) for s in stages()}
+    out = run()
+    return out, sum(s.shuffleWriteBytes() for s in stages() if (s.stageId(), s.attemptId()) not in before)
+
+
+def test_needles_shuffle_their_hits_and_no_pieces_of_texts(spark, tmp_path):
+    draw = random.Random(4)
+    word = lambda: "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(draw.randrange(2, 9)))
+    texts = [(k, " ".join(word() for _ in range(1500))) for k in range(200)]
+    needles = [(k, word()) for k in range(40)] + [(100 + k, f"{word()} {word()}") for k in range(20)] + [(200 + k, texts[k][1][50:250]) for k in range(20)]
+    spark.createDataFrame(texts, "uid long, text string").write.parquet(f"{tmp_path}/texts")
+    found = lambda: {tuple(r) for r in linkage.containing(spark.read.parquet(f"{tmp_path}/texts"), spark.createDataFrame(needles, "item_id long, needle string")).collect()}
+    got, size = shuffled(spark, found)
+    assert got == {(u, i) for u, t in texts for i, n in needles if n in t}
+    assert size < 0.2 * sum(len(t) for _, t in texts)
+
+
+def test_needles_of_any_length_at_the_edges_of_texts(spark):
+    draw = random.Random(9)
+    make = lambda n: "".join(draw.choice("abé𝄞\0 ") for _ in range(n))
+    base = make(30_000)
+    sizes = [*range(1, 40), 63, 64, 65, 127, 128, 129, 1000, 4095, 4096, 4097, 8191, 8192, 9000, 20_000]
+    needles = [(n, base[(a := draw.randrange(len(base) - n)) : a + n]) for n in sizes] + [(-n, base[:n]) for n in sizes] + [(1000 + n, base[-n:]) for n in sizes] + [(2000 + n, base[:n] + "!" + base[-n:]) for n in sizes]
+    needles += [(5, needles[3][1]), (-40_000, needles[9][1]), (None, "a"), (8000, "x" * 9000 + "y" + "x" * 9000), (8001, "x" * 16)]
+    texts = [(0, base), (1, base[:9000]), (2, base[-9000:]), (3, "a" * 300_000 + base[-9000:]), (4, ""), (5, None), (None, "ab"), (6, "x" * 18_001), (6, "x" * 9000 + "y" + "x" * 9000), (7, base[:500]), (8, base[-500:])]
+    texts += [(100 + k, make(draw.randrange(60))) for k in range(100)]
+    want = {(u, i) for u, t in texts for i, n in needles if t is not None and n in t}
+    rows, wanted = spark.createDataFrame(texts, "uid long, text string"), spark.createDataFrame(needles, "item_id long, needle string")
+    got = [tuple(r) for r in linkage.containing(rows, wanted).collect()]
+    assert set(got) == want and len(got) == len(want)
+    # A table that is full lets more through, and merged needles are found like broadcast ones.
+    exact = {(u, n.encode()) for u, t in texts for _, n in needles if t is not None and n in t}
+    binary = wanted.select(F.col("needle").cast("binary").alias("needle"))
+    few = {(r.uid, bytes(r.needle)) for r in found(rows, binary).collect()}
+    assert few >= exact and len(few) < 1.02 * len(exact)
+
+
+def test_full_tables_and_merged_needles(spark, monkeypatch):
+    draw = random.Random(10)
+    word = lambda: "".join(draw.choice("abcé") for _ in range(draw.choice([1, 2, 3, 4, 5, 7, 8, 9, 12])))
+    texts = [(k, " ".join(word() for _ in range(15))) for k in range(120)]
+    needles = [(k, draw.choice([word(), f"{word()} {word()}"])) for k in range(150)]
+    want = {(u, i) for u, t in texts for i, n in needles if n in t}
+    monkeypatch.setattr(linkage, "FEW", 10)
+    monkeypatch.setattr("registrum.operators.needles.FEWEST", 64)
+    monkeypatch.setattr(linkage, "found", lambda a, b: found(a, b, most=64))
+    got = linkage.containing(spark.createDataFrame(texts, "uid long, text string"), spark.createDataFrame(needles, "item_id long, needle string"))
+    assert {tuple(r) for r in got.collect()} == want and "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
